@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import decontaminate, quality_rules
+from twinfold.llm import decontaminate, licenses, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding, url_filter
 from twinfold.llm.frames import table
 
 QUERIES, ORACLES = {}, {}
@@ -16,6 +16,47 @@ def query(f):
     return f
 
 
+@query
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op1_near_dedup"] = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s : s + least(len(w), 4) - 1], ' ') AS g
+  FROM cut, LATERAL (SELECT unnest(range(1, greatest(1, len(w) - 3) + 1)) AS s) WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared s JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * s.n >= 80 * (a.n + b.n - s.n)
+), edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y FROM reach r JOIN edges b ON r.y = b.x
+), roots AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN roots USING (doc_id)
+"""
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "n_chars", "text", "copy_no", "mix_key")
+
+
+ORACLES["op2_mixing"] = f"""
+WITH sources AS (SELECT source, sum(strlen(coalesce(text, '')))::DOUBLE AS bytes FROM documents GROUP BY source
+), sums AS (SELECT sum(bytes) AS total, sum(pow(bytes, {mixing.TEMPERATURE})) AS weighed FROM sources
+), rated AS (SELECT source, pow(bytes, {mixing.TEMPERATURE}) / weighed * total / bytes AS rate FROM sources, sums WHERE bytes > 0
+), terms AS (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::INT)) AS j FROM rated
+), cdf AS (SELECT source, sum(exp(j * ln(rate) - rate - lgamma(j + 1.0))) OVER (PARTITION BY source ORDER BY j) AS c FROM terms
+), drawn AS (SELECT d.*, ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents d
+), counted AS (SELECT d.*, (SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM d.source AND c <= u) AS n FROM drawn d
+), copies AS (SELECT *, unnest(range(1, n + 1)) AS k FROM counted)
+SELECT doc_id, source, lang, n_chars, text, k::INT AS copy_no, md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || k || ':' || md5(coalesce(text, ''))) AS mix_key FROM copies
+"""
+
+
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -25,6 +66,49 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("doc_id", *[F.col("seen.statistics")[k].alias(k) for k in names], "seen.base_failed", "seen.kept", F.round("seen.posterior", 6).alias("posterior"))
 
 
+@query
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, text = table(spark, sf_dir, "documents"), F.col("text")
+    slim = docs.select("doc_id", sharding.size_of(text).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), sharding.key_of(text, F.col("doc_id")).alias("text_key"))
+    dealt = sharding.shard(slim, key=F.col("text_key"), size=F.col("size"))
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+ORACLES["op4_sharding"] = f"""
+WITH bits AS (SELECT list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b) AS t, b FROM (SELECT unnest(range(256)) AS b)
+), crc AS (SELECT list(t::BIGINT ORDER BY b) AS ts FROM bits
+), sized AS (
+  SELECT doc_id, text, strlen(coalesce(text, '')) + 1 AS size, md5(coalesce(text, '')) AS h FROM documents
+), placed AS (
+  SELECT *, coalesce(sum(size) OVER (ORDER BY h, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, row_number() OVER (ORDER BY h, doc_id NULLS FIRST) AS r, sum(size) OVER () AS total FROM sized
+), dealt AS (SELECT *, least({sharding.SHARDS} * b // total, {sharding.SHARDS - 1})::INT AS shard FROM placed
+), hexed AS (SELECT *, hex(encode(coalesce(text, ''))) AS x FROM dealt)
+SELECT doc_id, size::BIGINT AS size,
+  xor(list_reduce(list_transform(range(strlen(coalesce(text, ''))), lambda i: ('0x' || x[2 * i + 1 : 2 * i + 2])::BIGINT), lambda c, y: xor(c // 256, ts[xor(c % 256, y) + 1]), 4294967295), 4294967295)::BIGINT AS text_crc32,
+  'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY r) - 1 AS slot, NULL::INT AS grown_shard
+FROM hexed, crc
+"""
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), report="seen")
+    return left.select("doc_id", "source", "seen.*", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+ORACLES["op5_line_dedup"] = f"""
+WITH numbered AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents
+), cut AS (
+  SELECT r, source, i, l, regexp_replace(l, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS bare
+  FROM (SELECT r, source, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM numbered)
+), counting AS (SELECT * FROM cut WHERE regexp_matches(bare, '([^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]+){{{line_dedup.LEAST_WORDS - 1}}}[^\\x20\\x09-\\x0D]')
+), gone AS (SELECT bare FROM counting GROUP BY bare HAVING count(DISTINCT source) >= {line_dedup.LEAST_SITES}
+), marked AS (SELECT c.*, bare IN (SELECT bare FROM gone) AND (r, i) IN (SELECT (r, i) FROM counting) AS drop_it FROM cut c
+), joined AS (SELECT r, count(*) AS n_lines, count(*) FILTER (drop_it) AS n_removed, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT drop_it), '') AS t FROM marked GROUP BY r)
+SELECT doc_id, source, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, CASE WHEN text IS NOT NULL THEN md5(t) END AS text_md5 FROM numbered LEFT JOIN joined USING (r)
+"""
+
+
 @query
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -53,3 +137,73 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM cut LEFT JOIN words USING (r) LEFT JOIN owners USING (r)
 """
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    # a page's outcome is its label: good quality and not toxic
+    good = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    outcomes = pages.join(good, pages["page_id"] == good["doc_id"]).select("url", F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0).alias("good"))
+    return url_filter.judge(pages.select("page_id", "url"), outcomes).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _rule_rows() -> str:
+    return ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in url_filter.RULES)
+
+
+def _level(name: str, source: str, by: str, prior: str) -> str:
+    """SQL of one level: its prior weight by moments, then posterior means."""
+    low, high = url_filter.PRIOR_WEIGHT
+    return f"""{name}_r AS (SELECT sum(n / ({prior} * (1 - {prior})) * pow(good / n - {prior}, 2) - 1) / nullif(sum(n - 1), 0) AS r FROM {source} WHERE n > 0 AND {prior} > 0 AND {prior} < 1
+), {name} AS (SELECT {by}, n, good, k, (good + k * {prior}) / (n + k) AS mean FROM {source}, (SELECT CASE WHEN r > 0 THEN least(greatest(1 / r - 1, {low}), {high}) ELSE {high} END AS k FROM {name}_r))"""
+
+
+ORACLES["op7_url_filter"] = f"""
+WITH parts AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
+), labelled AS (SELECT doc_id, max(quality) AS q, max(toxic) AS t FROM labels GROUP BY doc_id
+), hosts AS (
+  SELECT host, count(*)::DOUBLE AS n, sum(CASE WHEN q = 1 AND t = 0 THEN 1 ELSE 0 END)::DOUBLE AS good,
+    coalesce(regexp_extract(host, '(?:^|\\.)({"|".join(s.replace(".", "\\.") for s in url_filter.SUFFIXES)})$', 1), '') AS known
+  FROM parts JOIN labelled ON page_id = doc_id WHERE host <> '' GROUP BY host
+), named AS (SELECT *, CASE WHEN known <> '' THEN known ELSE regexp_extract(host, '[^.]*$') END AS suffix FROM hosts
+), domained AS (SELECT *, CASE WHEN host = suffix THEN host ELSE regexp_extract(substr(host, 1, length(host) - length(suffix) - 1), '[^.]*$') || '.' || suffix END AS domain FROM named
+), overall AS (SELECT (sum(good) + 1) / (sum(n) + 2) AS p FROM domained
+), s0 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, any_value(p) AS p FROM domained, overall GROUP BY suffix
+), {_level("s1", "s0", "suffix", "p")}
+, d0 AS (SELECT suffix, domain, sum(d.n) AS n, sum(d.good) AS good, any_value(mean) AS p FROM domained d JOIN s1 USING (suffix) GROUP BY suffix, domain
+), {_level("d1", "d0", "domain", "p")}
+, h0 AS (SELECT host, h.n, h.good, d1.mean AS p FROM domained h JOIN d1 USING (domain)
+), {_level("h1", "h0", "host", "p")}
+, blocked AS (SELECT host FROM h1 WHERE mean + {url_filter.DEVIATIONS} * sqrt(mean * (1 - mean) / (n + k + 1)) < {url_filter.LEAST}
+), rules(v, rule, name, start) AS (VALUES {_rule_rows()}
+), fits AS (SELECT page_id, url, max_by(v, length(rule)) AS v, max_by(rule, length(rule)) AS rule FROM parts JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY page_id, url
+)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM parts LEFT JOIN fits USING (page_id, url)
+"""
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), "found")
+    return found.select("doc_id", *[F.col(f"found.n_{k}") for k in pii.BASE_KINDS], "found.base_sha256", "found.spans", F.col("found.n_account"), F.col("found.n_url"))
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality_classifier.score(docs, model, "score")
+    return scored.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality_classifier.LEAST_SCORE).cast("int").alias("predicted"))
+
+
+def _path() -> Column:
+    """Documents have no paths; this lays them out by source, language and id, a few of them higher up."""
+    name, deep = F.format_string("%d.txt", "doc_id"), F.pmod("doc_id", F.lit(8))
+    return F.when(deep == 0, F.concat_ws("/", "source", name)).when(deep <= 2, F.concat_ws("/", "source", "lang", name)).otherwise(F.concat_ws("/", "source", "lang", F.pmod("doc_id", F.lit(61)).cast("string"), name))
+
+
+@query
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select("doc_id", _path().alias("path"), "text")
+    return licenses.scan(files).select("doc_id", "path", "license", "cosine", "found_in")
