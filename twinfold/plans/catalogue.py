@@ -1,4 +1,368 @@
-"""The named queries over the driver tables and their SQL twins."""
+"""The named queries over the driver tables and their SQL twins.
 
-QUERIES = {}
-ORACLES = {}
+``documents`` stand for files: the source is the archive, the id the path inside, the text the content. Documents of src0
+to src9 are the source side, the others the targets; labels of quality stand for stored selections. The threshold and
+prefix are small, so that both phases have work.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from twinfold.functions import exprs
+from twinfold.operators import match, report, store
+
+THRESHOLD, PREFIX = 1024, 64
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str):
+    """Registers a query under its name, with DuckDB SQL for the same rows. ``{...}`` names a common table."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = _with_tables(sql)
+        return f
+
+    return add
+
+
+_DUCK_TABLES = {
+    "fps": f"""SELECT doc_id, source, encode(text) AS content, strlen(text) AS size, md5(encode(text)) AS h, CASE WHEN strlen(text) >= {THRESHOLD} THEN md5(encode(text)[1:{PREFIX}]) END AS q,
+      CAST(substr(source, 4) AS INT) < 10 AS is_source FROM documents""",
+    "files": "SELECT h AS full_hash, q AS quick_hash, doc_id::VARCHAR || '.txt' AS filename, 'd/' || doc_id || '.txt' AS path_in_archive, source AS source_archive, size::BIGINT AS size FROM fps WHERE is_source",
+    "targets": f"SELECT source || '/' || doc_id AS path, size::BIGINT AS size, h AS true_hash, CASE WHEN size < {THRESHOLD} THEN h END AS full_hash, q AS quick_hash FROM fps WHERE NOT is_source",
+    "matches": "SELECT f.*, t.path AS target_path, t.size AS target_size FROM targets t JOIN files f ON t.true_hash = f.full_hash AND t.size = f.size",
+    "selection": "SELECT t.true_hash AS file_hash, t.path AS target_path, bool_or(l.quality = 1) AS selected FROM targets t JOIN labels l ON l.doc_id = CAST(split_part(t.path, '/', 2) AS BIGINT) GROUP BY ALL",
+    "chosen": "SELECT m.*, coalesce(s.selected, true) AS selected FROM matches m LEFT JOIN selection s ON s.file_hash = m.full_hash AND s.target_path = m.target_path",
+    "listed": "SELECT source || '/' || doc_id AS path, doc_id, 1000 + doc_id AS mtime_ms, strlen(text)::BIGINT AS size, md5(encode(text)) AS h FROM documents",
+    "stored": "SELECT path, doc_id, CASE WHEN doc_id % 13 = 0 THEN mtime_ms - 1 ELSE mtime_ms END AS mtime_ms, CASE WHEN doc_id % 7 = 0 THEN size + 1 ELSE size END AS size, CASE WHEN doc_id % 5 <> 0 THEN 1.0 END AS last_scanned, CASE WHEN doc_id % 3 <> 0 THEN h END AS full_hash FROM listed WHERE doc_id % 11 <> 0",
+}
+
+
+def _with_tables(sql: str) -> str:
+    needed = [t for t in _DUCK_TABLES if f"{{{t}}}" in sql]
+    pending = list(needed)
+    while pending:
+        body = _DUCK_TABLES[pending.pop()]
+        for t in _DUCK_TABLES:
+            if t not in needed and f" {t} " in f"{body} ":
+                needed.append(t)
+                pending.append(t)
+    ordered = [t for t in _DUCK_TABLES if t in needed]
+    head = "WITH " + ", ".join(f"{t} AS ({_DUCK_TABLES[t]})" for t in ordered) + "\n" if ordered else ""
+    for t in ordered:
+        sql = sql.replace(f"{{{t}}}", t)
+    return head + sql
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").cast("binary").alias("content"))
+    return docs.withColumn("size", F.octet_length("content").cast("long")).withColumn("is_source", F.substring("source", 4, 10).cast("int") < 10)
+
+
+def _size() -> Column:
+    return F.col("size")
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full, quick = exprs.member_hashes(F.col("content"), _size(), THRESHOLD, PREFIX)
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    return documents(spark, sf_dir).filter("is_source").select(full.alias("full_hash"), quick.alias("quick_hash"), name.alias("filename"), F.concat(F.lit("d/"), name).alias("path_in_archive"), F.col("source").alias("source_archive"), "size", F.lit(False).alias("is_nested_archive"))
+
+
+def target_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).filter("not is_source").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "size", "content")
+
+
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small ones with their full hash, large ones with that of the prefix."""
+    full, quick = exprs.file_hashes(F.col("content"), _size(), THRESHOLD, PREFIX)
+    return target_contents(spark, sf_dir).select("path", "size", full.alias("full_hash"), quick.alias("quick_hash"))
+
+
+def whole_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_contents(spark, sf_dir).select("path", "size", exprs.content_hash(F.col("content")).alias("full_hash"))
+
+
+def all_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.one_phase(whole_targets(spark, sf_dir), source_files(spark, sf_dir))
+
+
+def verify(spark: SparkSession, sf_dir: str) -> Callable[[DataFrame], DataFrame]:
+    """Adds the full hash to candidates: their contents are read for the second phase only."""
+
+    def with_full(rows: DataFrame) -> DataFrame:
+        contents = target_contents(spark, sf_dir).join(rows.select("path"), "path", "left_semi")
+        return rows.join(contents.select("path", exprs.content_hash(F.col("content")).alias("full_hash")), "path")
+
+    return with_full
+
+
+def two_phase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.two_phase(targets(spark, sf_dir), source_files(spark, sf_dir), verify(spark, sf_dir))[0]
+
+
+def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("selected"))
+    wanted = whole_targets(spark, sf_dir).withColumn("doc_id", F.element_at(F.split("path", "/"), -1).cast("long"))
+    return wanted.join(labels, "doc_id").select(F.col("full_hash").alias("file_hash"), F.col("path").alias("target_path"), "selected")
+
+
+def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.with_selection(two_phase_matches(spark, sf_dir), selection(spark, sf_dir))
+
+
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return docs.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "doc_id", (F.lit(1000) + F.col("doc_id")).alias("mtime_ms"), "size", exprs.content_hash(F.col("content")).alias("h"))
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An earlier snapshot: some rows missing, some of another time or size, some never scanned, some without hashes."""
+    d = F.col("doc_id")
+    return listed(spark, sf_dir).filter(d % 11 != 0).select(
+        "path",
+        "doc_id",
+        F.when(d % 13 == 0, F.col("mtime_ms") - 1).otherwise(F.col("mtime_ms")).alias("mtime_ms"),
+        F.when(d % 7 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"),
+        F.when(d % 5 != 0, F.lit(1.0)).alias("last_scanned"),
+        F.when(d % 3 != 0, F.col("h")).alias("full_hash"),
+        F.lit(None).cast("string").alias("quick_hash"),
+    )
+
+
+_MATCH = ("full_hash", "quick_hash", "filename", "path_in_archive", "source_archive", "size", "target_path", "target_size")
+
+
+@query("SELECT doc_id, size::BIGINT AS size, h AS full_hash, q AS quick_hash FROM {fps}")
+def fingerprint_documents(spark, sf_dir):
+    full, quick = exprs.member_hashes(F.col("content"), _size(), THRESHOLD, PREFIX)
+    return documents(spark, sf_dir).select("doc_id", "size", full.alias("full_hash"), quick.alias("quick_hash"))
+
+
+@query("SELECT doc_id, CASE WHEN size < 1024 THEN h END AS full_hash, q AS quick_hash FROM {fps}")
+def lazy_file_hashes(spark, sf_dir):
+    full, quick = exprs.file_hashes(F.col("content"), _size(), THRESHOLD, PREFIX)
+    return documents(spark, sf_dir).select("doc_id", full.alias("full_hash"), quick.alias("quick_hash"))
+
+
+_SUFFIX_LIST = "|".join(s.replace(".", "\\.") for s in exprs.ARCHIVE_SUFFIXES)
+
+
+@query(f"""SELECT page_id, name, regexp_matches(lower(name), '({_SUFFIX_LIST})$') AS is_archive
+FROM (SELECT page_id, regexp_replace(split_part(split_part(url, '?', 1), '#', 1), '/+$', '') || CASE page_id % 5 WHEN 0 THEN '.ZIP' WHEN 1 THEN '.tar.gz' WHEN 2 THEN '.gz' WHEN 3 THEN 'zip' ELSE '' END AS name FROM pages)""")
+def archive_suffix_predicate(spark, sf_dir):
+    bare = F.regexp_replace(F.split_part(F.split_part(F.col("url"), F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1)), "/+$", "")
+    end = F.element_at(F.array(*map(F.lit, (".ZIP", ".tar.gz", ".gz", "zip", ""))), (F.col("page_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(bare, end).alias("name")).withColumn("is_archive", exprs.is_archive(F.col("name")))
+
+
+@query("SELECT page_id, regexp_extract(split_part(url, '?', 1), '([^/]+)/*$', 1) AS name FROM pages")
+def basename_extract(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", exprs.basename(F.split_part(F.col("url"), F.lit("?"), F.lit(1))).alias("name"))
+
+
+@query("SELECT page_id, 'outer.zip/' || url AS path FROM pages")
+def member_paths(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", exprs.child_path(F.lit("outer.zip"), F.col("url")).alias("path"))
+
+
+@query("SELECT doc_id, size::BIGINT AS size FROM {fps} WHERE size >= 500")
+def min_size_filter(spark, sf_dir):
+    return documents(spark, sf_dir).filter(_size() >= 500).select("doc_id", "size")
+
+
+@query(f"SELECT {', '.join(_MATCH)} FROM {{matches}}")
+def exact_match_join(spark, sf_dir):
+    return all_matches(spark, sf_dir).select(*_MATCH)
+
+
+@query("SELECT path, size, quick_hash FROM {targets} t WHERE full_hash IS NULL AND EXISTS (SELECT 1 FROM {files} f WHERE f.quick_hash = t.quick_hash)")
+def quick_hash_candidates(spark, sf_dir):
+    return match.quick_candidates(targets(spark, sf_dir), source_files(spark, sf_dir)).select("path", "size", "quick_hash")
+
+
+@query(f"SELECT {', '.join(_MATCH)} FROM {{matches}}")
+def two_phase_match(spark, sf_dir):
+    return two_phase_matches(spark, sf_dir).select(*_MATCH)
+
+
+@query("SELECT path, size FROM {targets} t WHERE full_hash IS NULL AND quick_hash IN (SELECT quick_hash FROM {files}) AND path NOT IN (SELECT target_path FROM {matches})")
+def quick_hash_false_positives(spark, sf_dir):
+    candidates = match.quick_candidates(targets(spark, sf_dir), source_files(spark, sf_dir))
+    found = two_phase_matches(spark, sf_dir).select(F.col("target_path").alias("path"))
+    return candidates.join(found, "path", "left_anti").select("path", "size")
+
+
+@query("SELECT f.source_archive, f.path_in_archive, t.path AS target_path FROM {targets} t JOIN {files} f ON t.quick_hash = f.quick_hash")
+def quick_hash_join(spark, sf_dir):
+    own = targets(spark, sf_dir).select(F.col("path").alias("target_path"), "quick_hash")
+    return source_files(spark, sf_dir).join(own, "quick_hash").select("source_archive", "path_in_archive", "target_path")
+
+
+@query("SELECT source_archive, path_in_archive, target_path, selected FROM {chosen}")
+def match_with_selection(spark, sf_dir):
+    return chosen(spark, sf_dir).select("source_archive", "path_in_archive", "target_path", "selected")
+
+
+@query("SELECT source_archive, count(*) AS match_count, sum(target_size)::BIGINT AS redundant_bytes FROM {matches} GROUP BY source_archive")
+def matches_by_archive(spark, sf_dir):
+    return report.by_archive(two_phase_matches(spark, sf_dir))
+
+
+@query("SELECT count(*) AS match_count, count(DISTINCT source_archive) AS archive_count, count(DISTINCT target_path) AS target_count FROM {matches}")
+def match_totals(spark, sf_dir):
+    return report.totals(two_phase_matches(spark, sf_dir))
+
+
+@query("SELECT path, count(source_archive) AS file_count FROM (SELECT DISTINCT source AS path FROM documents UNION SELECT 'empty' || i FROM range(3) r(i)) LEFT JOIN {files} ON path = source_archive GROUP BY path")
+def archive_inventory(spark, sf_dir):
+    names = table(spark, sf_dir, "documents").select(F.col("source").alias("path")).distinct()
+    empty = spark.range(3).select(F.concat(F.lit("empty"), F.col("id").cast("string")).alias("path"))
+    return report.inventory(names.unionByName(empty), source_files(spark, sf_dir))
+
+
+@query("SELECT (SELECT count(DISTINCT source_archive) FROM {files}) AS archive_count, count(*) AS file_count, count(*) FILTER (size % 9 = 0) AS nested_count FROM {files}")
+def store_statistics(spark, sf_dir):
+    files = source_files(spark, sf_dir).withColumn("is_nested_archive", F.col("size") % 9 == 0)
+    return store.store_statistics(files.select("source_archive").distinct(), files)
+
+
+@query("SELECT coalesce(sum(target_size), 0)::BIGINT AS total_size FROM (SELECT DISTINCT target_path, target_size FROM {chosen} WHERE selected)")
+def selection_total_size(spark, sf_dir):
+    return report.plan_summary(report.deletion_plan(chosen(spark, sf_dir))).select("total_size")
+
+
+@query("SELECT target_path, max(target_size) AS target_size, count(*) AS match_count FROM {chosen} WHERE selected GROUP BY target_path")
+def deletion_plan_distinct(spark, sf_dir):
+    return report.deletion_plan(chosen(spark, sf_dir))
+
+
+def _duck_size(x: str) -> str:
+    steps = "".join(f" WHEN {x} < pow(1024.0, {k + 1}) THEN printf('%.1f {u}', {x} / pow(1024.0, {k}))" for k, u in enumerate(exprs.UNITS[:-1]))
+    return f"CASE{steps} ELSE printf('%.1f PB', {x} / pow(1024.0, 5)) END"
+
+
+@query(f"""SELECT doc_id, {_duck_size("x")} AS size_text FROM (SELECT doc_id, strlen(text) * CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 1000000 ELSE 1000000000000 END AS x FROM documents)""")
+def human_size(spark, sf_dir):
+    scale = F.element_at(F.array(*(F.lit(10**k).cast("long") for k in (0, 3, 6, 12))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return documents(spark, sf_dir).select("doc_id", exprs.human_size(_size() * scale).alias("size_text"))
+
+
+@query("SELECT doc_id, size / 1048576.0::DOUBLE AS mb, CASE WHEN doc_id % 10 = 0 THEN 0.0 ELSE (doc_id % 7)::DOUBLE / (doc_id % 10) * 100 END AS pct, CASE WHEN doc_id % 3 = 0 THEN h ELSE q END AS match_key FROM {fps}")
+def scalar_functions(spark, sf_dir):
+    full, quick = exprs.member_hashes(F.col("content"), _size(), THRESHOLD, PREFIX)
+    d = F.col("doc_id")
+    some = F.when(d % 3 == 0, full).when(d % 3 == 1, F.lit(""))
+    return documents(spark, sf_dir).select("doc_id", exprs.size_mb(_size()).alias("mb"), exprs.progress_pct(d % 7, d % 10).alias("pct"), exprs.match_key(some, quick).alias("match_key"))
+
+
+@query(f"""SELECT source_archive, is_detail, target_path, path_in_archive, CASE WHEN is_detail THEN CASE WHEN selected THEN '[X] ' ELSE '[ ] ' END || target_path ELSE source_archive || ' (' || n || ' duplicates)' END AS label,
+CASE WHEN is_detail THEN {_duck_size("target_size")} END AS size_text
+FROM (SELECT source_archive, target_path, path_in_archive, grouping(target_path) = 0 AS is_detail, count(*) AS n, max(target_size) AS target_size, bool_or(selected) AS selected
+  FROM {{chosen}} GROUP BY GROUPING SETS ((source_archive, target_path, path_in_archive), (source_archive)))""")
+def review_listing(spark, sf_dir):
+    return report.review(chosen(spark, sf_dir))
+
+
+@query("SELECT path_in_archive, size FROM {files} WHERE source_archive = 'src3' ORDER BY path_in_archive")
+def files_by_archive_sorted(spark, sf_dir):
+    return source_files(spark, sf_dir).filter("source_archive = 'src3'").select("path_in_archive", "size").orderBy("path_in_archive")
+
+
+@query("SELECT DISTINCT source_archive AS path FROM {files} ORDER BY path")
+def archives_sorted(spark, sf_dir):
+    return source_files(spark, sf_dir).select(F.col("source_archive").alias("path")).distinct().orderBy("path")
+
+
+@query("SELECT path_in_archive, size, doc_id AS seq FROM (SELECT 'p' || doc_id % 97 AS path_in_archive, doc_id, strlen(text)::BIGINT AS size, row_number() OVER (PARTITION BY doc_id % 97 ORDER BY doc_id DESC) AS r FROM documents) WHERE r = 1")
+def upsert_last_wins(spark, sf_dir):
+    rows = documents(spark, sf_dir).select(F.concat(F.lit("p"), (F.col("doc_id") % 97).cast("string")).alias("path_in_archive"), "size", F.col("doc_id").alias("seq"))
+    return store.last_wins(rows, ["path_in_archive"], "seq")
+
+
+@query("SELECT path, size, h AS full_hash FROM {listed} WHERE doc_id % 2 = 0 UNION ALL SELECT path, size, full_hash FROM {stored} WHERE doc_id % 2 <> 0")
+def upsert_snapshot(spark, sf_dir):
+    old = stored(spark, sf_dir).select("path", "size", "full_hash")
+    new = listed(spark, sf_dir).filter(F.col("doc_id") % 2 == 0).select("path", "size", F.col("h").alias("full_hash"))
+    return store.merge(old, new, ["path"])
+
+
+@query("SELECT source_archive, path_in_archive, full_hash FROM {files}")
+def full_hash_backfill(spark, sf_dir):
+    files = source_files(spark, sf_dir)
+    partial = files.withColumn("full_hash", F.when(F.col("quick_hash").isNull(), F.col("full_hash")))
+    late = files.filter("quick_hash is not null").select("source_archive", "path_in_archive", "full_hash")
+    return store.backfilled(partial, late).select("source_archive", "path_in_archive", "full_hash")
+
+
+@query("SELECT l.path FROM {listed} l LEFT JOIN {stored} s USING (path) WHERE s.last_scanned IS NULL OR s.mtime_ms IS DISTINCT FROM l.mtime_ms OR s.size IS DISTINCT FROM l.size")
+def archives_needing_rescan(spark, sf_dir):
+    return store.changed(listed(spark, sf_dir), stored(spark, sf_dir)).filter("needs_rescan").select("path")
+
+
+@query("SELECT l.path, s.full_hash FROM {listed} l JOIN {stored} s ON s.path = l.path AND s.mtime_ms = l.mtime_ms AND s.size = l.size WHERE s.full_hash IS NOT NULL")
+def target_cache_hits(spark, sf_dir):
+    return store.cached(listed(spark, sf_dir), stored(spark, sf_dir)).filter("cache_hit").select("path", "full_hash")
+
+
+@query("SELECT DISTINCT path FROM {listed} WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+def cross_root_union(spark, sf_dir):
+    rows = listed(spark, sf_dir)
+    one, two = rows.filter(F.col("doc_id") % 2 == 0), rows.filter(F.col("doc_id") % 3 == 0)
+    return one.unionByName(two).dropDuplicates(["path"]).select("path")
+
+
+@query("SELECT target_path, path_in_archive, source_archive, false AS selected FROM {matches}")
+def selection_select_all(spark, sf_dir):
+    return match.select_all(two_phase_matches(spark, sf_dir), False).select("target_path", "path_in_archive", "source_archive", "selected")
+
+
+@query("SELECT count(*) AS file_count, coalesce(sum(target_size), 0)::BIGINT AS total_size, " + _duck_size("coalesce(sum(target_size), 0)") + " AS size_text, 'trash' AS method, 'dry run' AS mode FROM (SELECT DISTINCT target_path, target_size FROM {chosen} WHERE selected)")
+def confirmation_summary(spark, sf_dir):
+    return report.plan_summary(report.deletion_plan(chosen(spark, sf_dir)))
+
+
+@query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN CAST(split_part(target_path, '/', 2) AS BIGINT) % 4 = 0 THEN 'failed' ELSE 'deleted' END AS status FROM (SELECT DISTINCT target_path FROM {chosen} WHERE selected)) GROUP BY status")
+def outcome_counts(spark, sf_dir):
+    plan = report.deletion_plan(chosen(spark, sf_dir))
+    gone = F.element_at(F.split("target_path", "/"), -1).cast("long") % 4 == 0
+    return report.outcome_counts(plan.select(F.when(gone, "failed").otherwise("deleted").alias("status")))
+
+
+@query("SELECT path, path NOT LIKE '%/1%' AS exists FROM {listed}")
+def existing_paths(spark, sf_dir):
+    from twinfold.operators.actions import existing
+
+    rows = listed(spark, sf_dir).select("path")
+    return existing(rows, rows.filter(~F.col("path").contains("/1")))
+
+
+@query("SELECT path, h AS full_hash FROM {listed} WHERE h NOT IN (SELECT full_hash FROM {files})")
+def unique_targets(spark, sf_dir):
+    rows = listed(spark, sf_dir).select("path", F.col("h").alias("full_hash"))
+    return rows.join(source_files(spark, sf_dir).select("full_hash"), "full_hash", "left_anti").select("path", "full_hash")
+
+
+def member_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into one archive for each source, inside another, and unpacked again. SQL has no archives."""
+    from twinfold.config import ScanConfig
+    from twinfold.plans.packing import packed
+    from twinfold.sources import archives
+
+    config = ScanConfig(hash_name="md5", partial_threshold=THRESHOLD, prefix_size=PREFIX)
+    found = archives.members(packed(table(spark, sf_dir, "documents")), config)
+    return found.select("source_archive", "path_in_archive", "size", "is_nested_archive", "depth", "full_hash", "quick_hash", "error")
+
+
+QUERIES["member_unnest"] = member_unnest
