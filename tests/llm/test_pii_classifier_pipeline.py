@@ -1,0 +1,171 @@
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from twinfold.llm import mixing, pii, quality_classifier
+from twinfold.llm.queries import QUERIES
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def valid(kind, found):
+    digits = re.sub("[^0-9]", "", found)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in found.split("."))
+    if kind == "card":
+        twice = [int(d) * (1 + k % 2) for k, d in enumerate(digits[::-1])]
+        return 16 <= len(digits) <= 19 and sum(x - 9 * (x > 9) for x in twice) % 10 == 0
+    return kind == "email" or 8 <= len(digits) <= 15
+
+
+def base(text):
+    return {k: [m.span() for m in re.finditer(p, text or "") if valid(k, m[0])] for k, p in PATTERNS.items()}
+
+
+CARD = "4111 1111 1111 1111"
+PIECES = ["a@b.c", "@", ".", "-", "+", " ", "(", ")", "1", "22", "255", "256", "0", "x", "é", "@d.e", "b@", CARD, "4111-1111-1111-1111", "10.0.0.1", "+1 (499) 555-6503", "://", "http", "\n", "%", "account: 12", "0" * 16]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=25).map("".join))
+def test_parsers_match_like_the_patterns(text):
+    found = pii.spans_of(text, pii.anchors())
+    assert {k: found[k] for k in PATTERNS} == base(text)
+
+
+def test_added_spans_and_masks():
+    text = "See https://x.org/a?b=1, mail me@x.org; account no. 1234-5678 or IBAN DE89 3704 0044 0532 0130 00. My ssn: 078-05-1120!"
+    found = pii.spans_of(text, pii.anchors())
+    pick = lambda k: [text[a:b] for a, b in found[k]]
+    assert pick("url") == ["https://x.org/a?b=1"] and pick("email") == ["me@x.org"]
+    assert pick("account") == ["1234-5678", "DE89 3704 0044 0532 0130 00", "078-05-1120"]
+    assert pii.masked(text, found).startswith("See [url], mail [email]; account no. [account] or IBAN [account]")
+    assert not any(pii.spans_of("plain text on accountancy, 12 items", pii.anchors()).values())
+
+
+def test_pii_query_against_patterns(spark, docs, corpus, tables):
+    texts = [r[1] for r in corpus] + [f"é {CARD} me@x.org 10.0.0.1 10.0.0.256 +49 (30) 1234567", "9" * 5000, "a@" * 2000, "1." * 3000]
+    sf = tables(documents=spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    found = QUERIES["op8_pii"](spark, sf).collect()
+    for r in found:
+        spans = base(texts[r["doc_id"]])
+        listed = ",".join(f"{k}:{a}:{b}" for k in PATTERNS for a, b in spans[k])
+        assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest() and r["spans"].startswith(listed)
+        assert [r[f"n_{k}"] for k in PATTERNS] == [len(v) for v in spans.values()]
+
+
+def test_pii_edges(spark, docs, empty):
+    assert pii.annotate(empty, "found").count() == 0 and pii.redact(empty).count() == 0
+    clash = docs.withColumn("spans", F.lit(1)).withColumn("__masked", F.lit(2))
+    assert pii.redact(clash).columns == clash.columns
+    assert pii.redact(clash).filter("text is null").count() == docs.filter("text is null").count()
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    r = np.random.default_rng(6)
+    word = lambda: "".join(r.choice(list("etaoinshr"), r.integers(2, 8)))
+    rows = []
+    for k in range(900):
+        words = [word() for _ in range(r.integers(20, 60))]
+        if k % 4 == 0:
+            words = [w + r.choice(["###", "$$", "%%"]) for w in words]
+        elif k % 4 == 1 and k % 8 == 1:
+            words = (words[:3] * 30)[:60]
+        rows.append((k, " ".join(words), int(not (k % 4 == 0 or k % 8 == 1))))
+    return spark.createDataFrame(rows, "doc_id long, text string, q int").cache()
+
+
+def test_classifier_on_held_out_rows(spark, labelled, tables):
+    labels = labelled.select("doc_id", F.col("q").alias("quality"), F.lit(0).alias("toxic")).filter("doc_id % 2 = 0 or doc_id % 3 = 0")
+    sf = tables(documents=labelled.drop("q"), labels=labels)
+    found = {r["doc_id"]: r for r in QUERIES["op9_quality_classifier"](spark, sf).collect()}
+    truth = {r["doc_id"]: r["q"] for r in labelled.collect()}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert {i for i, r in found.items() if r["held_out"]} == set(held)
+    assert np.mean([found[i]["predicted"] == truth[i] for i in held]) > 0.97
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in found.values())
+    # labels of held-out rows, and everything beside the text, leave the scores as they are
+    swapped = labels.withColumn("quality", F.when(quality_classifier.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    other = quality_classifier.train(labelled.withColumn("lang", F.lit("x")), swapped)
+    scores = {r["doc_id"]: r["s"] for r in quality_classifier.score(labelled, other, "s").collect()}
+    assert all(scores[i] == found[i]["score"] for i in scores)
+
+
+def test_compiled_rules_score_like_the_model(spark, labelled):
+    model = quality_classifier.train(labelled, labelled.withColumn("quality", F.col("q")))
+    rows = labelled.select("text", quality_classifier.statistics(F.col("text")).alias("s")).withColumn("p", model.score(F.col("s"))).collect()
+    x = np.array([[r["s"][k] for k in quality_classifier.STATISTICS] for r in rows])
+    assert np.allclose([r["p"] for r in rows], model.score_rows(x)) and 0 < len(model.rules) < 200
+
+
+def test_classifier_edges(spark, docs, empty):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    model = quality_classifier.train(docs, none)
+    scores = quality_classifier.score(docs, model, "score")
+    assert {r["score"] for r in scores.collect()} == {0.5}
+    assert quality_classifier.keep_good(docs, model).columns == docs.columns
+    one = quality_classifier.train(docs, spark.createDataFrame([(k, 1) for k in range(50)] + [(None, 0), (3, None), (4, 7)], "doc_id long, quality int"))
+    assert quality_classifier.score(docs, one, "score").agg(F.min("score")).first()[0] > 0.9
+    assert quality_classifier.score(empty, one, "score").count() == 0
+    assert quality_classifier.statistics_of(b"") == quality_classifier.statistics_of(b" \n ") == (0.0,) * 12
+
+
+def test_stages_one_by_one(spark, labelled, docs, tables):
+    from tests.llm.test_near_dedup import brute
+    from tests.llm.test_rules_and_contamination import contamination
+
+    more = labelled.select((F.col("doc_id") + 10_000).alias("doc_id"), "text", F.lit("en").alias("lang"), F.concat(F.lit("src"), (F.col("doc_id") % 3).cast("string")).alias("source"), F.length("text").cast("long").alias("n_chars"))
+    everything = docs.unionByName(more).withColumn("extra", F.lit("e"))
+    labels = labelled.select((F.col("doc_id") + 10_000).alias("doc_id"), F.col("q").alias("quality"), F.lit(0).alias("toxic"))
+    stolen = more.filter("doc_id % 4 = 3").first()["text"]
+    items = [(1, " ".join(stolen.split()[:15]))]
+    sf = tables(documents=everything, labels=labels, benchmark=spark.createDataFrame(items, "item_id long, text string"))
+    rows = {name: None for name, _ in corpus_pipeline.STAGES}
+    frame = spark.read.parquet(f"{sf}/documents.parquet")
+    before = {r["doc_id"]: r["text"] for r in frame.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, frame, sf)
+        assert out.columns[: len(frame.columns)] == frame.columns or name == "sharding"
+        path = f"{sf}/{name}.out"
+        out.write.mode("overwrite").parquet(path)
+        frame = spark.read.parquet(path)
+        rows[name] = frame.collect()
+        ids = Counter(r["doc_id"] for r in rows[name])
+        if name == "quality classifier":
+            good = {r["doc_id"] for r in labelled.collect() if r["q"]}
+            assert len({i - 10_000 for i in ids if i >= 10_000} ^ good) < 20 and set(ids.values()) == {1}
+        elif name == "near-duplicates":
+            assert set(ids) == {i for i, v in brute(list(before.items())).items() if v[2]} and set(ids.values()) == {1}
+        elif name == "decontamination":
+            assert set(ids) == {i for i, t in before.items() if not contamination(t, items)[4]} and len(ids) == len(before) - 1
+        elif name == "mixing":
+            assert set(ids) < set(before) and max(ids.values()) > 1
+        else:
+            sizes = Counter()
+            for r in rows[name]:
+                sizes[r["shard"]] += len((r["text"] or "").encode()) + 1
+            assert sum(ids.values()) == len(rows["mixing"]) and len(sizes) <= 8
+        before = {r["doc_id"]: r["text"] for r in rows[name]}
+    final = corpus_pipeline.run(spark, sf)
+    key = lambda rs: sorted((str(r["doc_id"]), r["shard"]) for r in rs)
+    assert key(final.collect()) == key(rows["sharding"])
+
+
+def test_pipeline_on_empty_tables(spark, empty, tables):
+    sf = tables(documents=empty, labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"), benchmark=spark.createDataFrame([], "item_id long, text string"))
+    assert corpus_pipeline.run(spark, sf).count() == 0
+    assert mixing.mix(empty).count() == 0

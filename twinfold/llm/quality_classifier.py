@@ -8,8 +8,8 @@ characters and words.
 Only the statistics enter a score: neither labels nor id, language or source. Texts are counted whole.
 
 Edge cases: a null or empty text has zero statistics and a score like any other. Labels that are null or not 0 or 1 are
-not learnt from; of several labels of one id the largest counts. With no labels of one of the two classes, every score
-is the share of good labels, or 0.5 without labels. Repeated rows are scored one by one. Other columns pass through.
+not learnt from; of several labels of one id the largest counts. With labels of one class only, every score
+is 0.999 or 0.001, and 0.5 without labels. Repeated rows are scored one by one. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -164,9 +164,11 @@ class Model:
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> Model:
-    good = float(y.mean()) if len(y) else 0.5
+    if not len(y):
+        return Model(0.0)
+    good = float(y.mean())
     if not 0 < good < 1:
-        return Model(math.log(min(max(good, 1e-3), 1 - 1e-3) / (1 - min(max(good, 1e-3), 1 - 1e-3))) if len(y) else 0.0)
+        return Model(math.log(999.0) if good else -math.log(999.0))
     draw = np.random.default_rng(SEED)
     bounds = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(x.shape[1])]
     rules: dict[Rule, None] = {}

@@ -2,7 +2,7 @@
 
 Each rule votes for a text (1), against it (-1) or abstains (0). The votes of all documents are counted by pattern; on
 these counts (at most 3 to the number of rules, whatever the corpus) expectation-maximisation estimates each rule's
-accuracy and the share of good texts, without labels. The posterior probability of being good, compiled into one column
+accuracy on good and on bad texts and the share of good ones, without labels. The posterior probability of being good, compiled into one column
 expression, replaces all-must-pass filtering.
 
 Edge cases: a null text counts as empty; without words every rule abstains, and the posterior is the estimated share.
@@ -22,9 +22,9 @@ from twinfold.llm.frames import Scratch, col, free_name
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
 ROUNDS = 40
-#: An accuracy is kept in this range, so that a rule which rarely votes stays better than chance and never decides alone.
-ACCURACY = (0.55, 0.995)
-SHARE = (0.05, 0.95)
+#: Added to each count of votes, so that a vote which was never seen on a class is unlikely there but possible.
+SMOOTHING = 0.5
+SHARE = (0.02, 0.98)
 
 
 def let(value: Column, body) -> Column:
@@ -82,6 +82,7 @@ def statistics(docs: DataFrame, into: str, text_col: str = "text") -> DataFrame:
                 let(lines, F.size).cast("long").alias("n_lines"),
                 F.size(F.array_distinct(h)).cast("long").alias("n_distinct_words"),
                 (F.length(text) - left(r"[A-Z]+")).cast("long").alias("n_capitals"),
+                (F.length(text) - left(r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+")).cast("long").alias("n_marks"),
                 (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))).cast("long").alias("n_shouts"),
             ),
         )
@@ -100,6 +101,7 @@ def votes(s: Column) -> dict[str, Column]:
     length = per_word("word_chars")
     return {
         "symbols": rule(per_word("n_symbols"), 0.05, 0.2),
+        "marks": rule(per_word("n_marks"), 0.3, 0.45, n >= 20),
         "capitals": rule(s["n_capitals"] / F.greatest(s["word_chars"], F.lit(1)), 0.15, 0.4),
         "shouts": rule(per_word("n_shouts"), 0.1, 0.5),
         "repeated_words": rule(per_word("n_repeat_words"), 0.1, 0.3),
@@ -113,32 +115,44 @@ def base_failed(s: Column) -> Column:
     return (s["n_words"] < 10) | (100 * s["n_repeat_words"] > 20 * s["n_words"])
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[float]]:
-    """Share of good texts and accuracy of each rule, by expectation-maximisation over vote patterns and their counts.
+def estimate(patterns: list[tuple[tuple[int, ...], int]], width: int, rounds: int = ROUNDS) -> tuple[float, list[dict[int, tuple[float, float]]]]:
+    """Share of good texts, and for each rule how likely each vote is on a good and on a bad text.
 
-    Rules are taken as independent given the truth; abstaining says nothing. It starts from the majority of votes.
+    By expectation-maximisation over vote patterns and their counts; rules are taken as independent given the truth. A
+    rule thus has an accuracy for each class: one that seldom objects, and then rightly, weighs much when it does and
+    little when it does not. It starts from distrust of texts that some rule objects to; rules overlap, so that what one
+    objects to alone can be found good after all.
     """
-    width = len(patterns[0][0]) if patterns else 0
-    clamp = lambda x, bounds: min(max(x, bounds[0]), bounds[1])
-    share, accuracy = 0.5, [0.75] * width
-    for _ in range(rounds):
-        good = total = 0.0
-        right, cast = [0.0] * width, [0.0] * width
-        for pattern, count in patterns:
-            odds = math.log(share / (1 - share)) + sum(v * math.log(a / (1 - a)) for v, a in zip(pattern, accuracy, strict=True))
-            p = 1 / (1 + math.exp(-odds))
-            good, total = good + count * p, total + count
-            for j, v in enumerate(pattern):
-                if v:
-                    right[j] += count * (p if v > 0 else 1 - p)
-                    cast[j] += count
-        share = clamp(good / total, SHARE) if total else share
-        accuracy = [clamp((r + 3) / (c + 4), ACCURACY) for r, c in zip(right, cast, strict=True)]
-    return share, accuracy
-
-
-def posterior(vote_columns: list[Column], share: float, accuracy: list[float]) -> Column:
-    weighed = [v * F.lit(math.log(a / (1 - a))) for v, a in zip(vote_columns, accuracy, strict=True)]
+    clamp = lambda x: min(max(x, SHARE[0]), SHARE[1])
+    belief = [0.05 if -1 in pattern else 0.95 for pattern, _ in patterns]
+    share, likely = 0.5, [dict.fromkeys((-1, 0, 1), (1 / 3, 1 / 3)) for _ in range(width)]
+    for _ in range(rounds if patterns else 0):
+        total = sum(count for _, count in patterns)
+        good = sum(count * p for (_, count), p in zip(patterns, belief, strict=True))
+        share = clamp(good / total)
+        for j in range(width):
+            seen = {v: [SMOOTHING, SMOOTHING] for v in (-1, 0, 1)}
+            for (pattern, count), p in zip(patterns, belief, strict=True):
+                seen[pattern[j]][0] += count * p
+                seen[pattern[j]][1] += count * (1 - p)
+            likely[j] = {v: (g / (good + 3 * SMOOTHING), b / (total - good + 3 * SMOOTHING)) for v, (g, b) in seen.items()}
+        belief = [1 / (1 + math.exp(-min(max(log_odds(pattern, share, likely), -700), 700))) for pattern, _ in patterns]
+    return share, likely
+
+
+def log_odds(pattern: tuple[int, ...], share: float, likely: list[dict[int, tuple[float, float]]]) -> float:
+    return math.log(share / (1 - share)) + sum(math.log(table[v][0] / table[v][1]) for v, table in zip(pattern, likely, strict=True))
+
+
+def accuracies(share: float, likely: list[dict[int, tuple[float, float]]]) -> list[float]:
+    """How often each rule is right when it votes."""
+    return [(share * t[1][0] + (1 - share) * t[-1][1]) / (share * (t[1][0] + t[-1][0]) + (1 - share) * (t[1][1] + t[-1][1])) for t in likely]
+
+
+def posterior(vote_columns: list[Column], share: float, likely: list[dict[int, tuple[float, float]]]) -> Column:
+    """The probability of being good, as one expression."""
+    weight = lambda t, v: F.lit(math.log(t[v][0] / t[v][1]))
+    weighed = [F.when(c == 1, weight(t, 1)).when(c == -1, weight(t, -1)).otherwise(weight(t, 0)) for c, t in zip(vote_columns, likely, strict=True)]
     odds = reduce(lambda a, b: a + b, weighed, F.lit(math.log(share / (1 - share))))
     return 1 / (1 + F.exp(-odds))
 
@@ -156,7 +170,7 @@ def judge(docs: DataFrame, into: str, *, text_col: str = "text", keep: list[str]
     seen = Scratch(docs.sparkSession, "quality-rules").save(
         with_stats.select(*[col(c) for c in (docs.columns if keep is None else keep)], col(stats), F.struct(*[cast[k].cast("int").alias(k) for k in names]).alias(ballots))
     )
-    counted = seen.groupBy(*[col(ballots)[k].alias(k) for k in names]).count().collect()  # at most 3 ** 7 rows
-    share, accuracy = estimate(sorted((tuple(r[k] for k in names), r["count"]) for r in counted))
-    p, s = posterior([col(ballots)[k] for k in names], share, accuracy), col(stats)
+    counted = seen.groupBy(*[col(ballots)[k].alias(k) for k in names]).count().collect()  # at most 3 ** 8 rows
+    share, likely = estimate(sorted((tuple(r[k] for k in names), r["count"]) for r in counted), len(names))
+    p, s = posterior([col(ballots)[k] for k in names], share, likely), col(stats)
     return seen.withColumn(into, F.struct(s.alias("statistics"), col(ballots).alias("votes"), p.alias("posterior"), base_failed(s).alias("base_failed"), (~base_failed(s) & (p >= least)).alias("kept"))).drop(stats, ballots)
