@@ -3,10 +3,14 @@
 1. Every text becomes its set of word shingles, a 128-bit fingerprint of that set and a sketch. Equal sets are one node.
 2. Nodes that agree in a band of registers share a bucket. With 40 bands of 5 registers two sets at similarity 0.8 miss
    each other with a probability of 0.672 ** 40, about 1e-7.
-3. In each bucket one node, the hub, is paired with those that are not yet in its component: the node whose buckets hold
+3. Elements that no other node of any shared bucket has bound what a node can share: two sets x and y with u and v such
+   elements are similar only if 9 * (x - u) and 9 * (y - v) are 4 * (x + y) or more. And similar sets differ in a ninth of
+   x + y elements at most, so that of 512 parity bits of their elements no more can differ. Both bounds are exact, and
+   they take most of those out that were edited too far to be linked.
+4. In each bucket one node, the hub, is paired with those that are not yet in its component: the node whose buckets hold
    most others, which is the middle of a cloud of near copies. A pair is compared by sketch (likelihood) and, if it may be
    similar, on its whole sets. Links join components, and a bucket whose nodes are all in one component is done.
-4. This repeats with new hubs as long as too many pairs between different components are left; then these are compared one
+5. This repeats with new hubs as long as too many pairs between different components are left; then these are compared one
    by one. No pair of a shared bucket is left out unless a chain of confirmed links joins both already. So a group of n
    copies costs about n pairs, not n * n.
 
@@ -20,6 +24,7 @@ takes part but never names a component that has ids. Other columns pass through.
 from __future__ import annotations
 
 from collections import OrderedDict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,7 @@ from twinfold.llm.components import components
 from twinfold.llm.frames import Scratch, col, free_name, small_batches, texts_of
 
 #: Pairs between components, for each entry of the shared buckets, up to which they are compared one by one.
-PAIRS_PER_ENTRY = 2
+PAIRS_PER_ENTRY = 32
 #: Ids up to which they are broadcast (some 50 bytes each).
 BROADCAST_IDS = 200_000
 
@@ -50,6 +55,19 @@ def _node(texts: pa.Array) -> pa.Array:
     return pa.array([setsketch.fingerprint(e) if len(e := setsketch.shingles(x)) else None for x in texts_of(texts)], pa.binary())
 
 
+def _elements(texts: pa.Array) -> pa.Array:
+    return pa.array([setsketch.shingles(x).view(np.int64) for x in texts_of(texts)], pa.list_(pa.int64()))
+
+
+def _parities(texts: pa.Array) -> pa.Array:
+    rows = np.array([setsketch.parities(setsketch.shingles(x)) for x in texts_of(texts)], np.int64).reshape(-1, len(_ODD))
+    return pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(len(_ODD))], _ODD)
+
+
+_ODD = [f"p{k}" for k in range(setsketch.PARITIES // 64)]
+_ODD_TYPE = "struct<" + ", ".join(f"{p}:bigint" for p in _ODD) + ">"
+
+
 def _bands(sketches: pa.Array) -> pa.Array:
     rows = [setsketch.bands(np.frombuffer(x, "<u2")) for x in sketches.to_pylist()]
     flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
@@ -77,6 +95,12 @@ def _are_linked(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([setsketch.linked(elements(x), elements(y)) for x, y in zip(texts_of(a), texts_of(b), strict=True)], pa.bool_())
 
 
+def may_be_similar(n: Column, own: Column, odd: Column, m: Column, their: Column, their_odd: Column) -> Column:
+    """By sizes n and m, the elements of each that no other node has, and parity bits."""
+    differ = reduce(lambda x, y: x + y, [F.bit_count(odd[p].bitwiseXOR(their_odd[p])) for p in _ODD])
+    return (100 * F.least(n, m) >= 80 * F.greatest(n, m)) & (9 * (n - own) >= 4 * (n + m)) & (9 * (m - their) >= 4 * (n + m)) & (9 * differ <= n + m)
+
+
 class Search:
     """One run over a table of (id, text)."""
 
@@ -94,7 +118,7 @@ class Search:
         near = entries.select("node").distinct()
         self.nodes = scratch.save(nodes.join(near, "node", "left_semi"))
         self.texts = self.texts_of_nodes()
-        roots = self.links(entries)
+        roots = self.links(self.hopeful(entries))
         ranked = nodes.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
         named = scratch.save(ranked.groupBy("root").agg(F.min("rep").alias("component")))
         named = scratch.save(ranked.join(named, "root").select("node", "component"))
@@ -116,6 +140,18 @@ class Search:
         found = self.docs.join(wanted, self.docs["id"].eqNullSafe(wanted["rep"])).select("node", "text")
         return self.scratch.save(found.filter(F.arrow_udf(_node, "binary")("text") == F.col("node")).dropDuplicates(["node"]))
 
+    def hopeful(self, entries: DataFrame) -> DataFrame:
+        """bucket, node, n, own, odd: the entries that some other node of the bucket may be similar to."""
+        elements = self.texts.select(F.xxhash64("node").alias("of"), F.explode(F.arrow_udf(_elements, "array<bigint>")("text")).alias("element"))
+        alone = elements.groupBy("element").agg(F.count("*").alias("n"), F.min("of").alias("of")).filter("n = 1")
+        own = self.scratch.save(alone.groupBy("of").agg(F.count("*").alias("own")))
+        sized = self.nodes.select("node", "n", F.xxhash64("node").alias("of")).join(own, "of", "left").select("node", "n", F.coalesce("own", F.lit(0)).alias("own"))
+        odd = self.scratch.save(self.texts.select("node", F.arrow_udf(_parities, _ODD_TYPE)("text").alias("odd")))
+        sized = self.scratch.save(sized.filter("5 * own <= n").join(odd, "node"))  # else not even a subset of 4/5 is left
+        left = self.scratch.save(entries.join(sized, "node").select("bucket", "node", "n", "own", "odd"))
+        least = self.scratch.save(left.groupBy("bucket").agg(F.min("n").alias("least"), F.count("*").alias("size")).filter("size > 1"))
+        return self.scratch.save(left.join(least, "bucket").filter("9 * (n - own) >= 4 * (n + least)").select("bucket", "node", "n", "own", "odd"))
+
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Of the pairs (a, b), those that are linked."""
         side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
@@ -133,6 +169,9 @@ class Search:
         limit = PAIRS_PER_ENTRY * entries.count()
         left = entries.withColumn("label", F.col("node"))
         links = roots = None
+        own, other = ("bucket", "node", "n", "own", "odd", "label"), ("bucket", "hub", "hub_n", "hub_own", "hub_odd", "hub_label")
+        as_other = [F.col(x).alias(y) for x, y in zip(own, other, strict=True)]
+        fits = may_be_similar(*map(F.col, ("n", "own", "odd", "hub_n", "hub_own", "hub_odd"))) & (F.col("label") != F.col("hub_label"))
         while True:
             sizes = left.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("size"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
             sizes = scratch.save(sizes.filter("pairs > 0"))
@@ -142,36 +181,52 @@ class Search:
             left = scratch.save(left.join(sizes.select("bucket", "size"), "bucket"))
             last = pairs_left <= limit
             if last:
-                one, two = left.select("bucket", F.col("node").alias("a"), F.col("label").alias("x")), left.select("bucket", F.col("node").alias("b"), F.col("label").alias("y"))
-                pairs = one.join(two, "bucket").filter((F.col("x") != F.col("y")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+                # nodes that share several buckets meet in the first of them; a node has BANDS buckets at most
+                places = scratch.save(left.groupBy("node").agg(F.collect_set("bucket").alias("places")))
+                left = scratch.save(left.join(places, "node"))
+                meet = F.array_min(F.array_intersect("places", "their_places")) == F.col("bucket")
+                pairs = left.join(left.select(*as_other, F.col("places").alias("their_places")), "bucket").filter(fits & (F.col("node") < F.col("hub")) & meet)
             else:
                 weight = scratch.save(left.groupBy("node").agg(F.sum("size").alias("weight")))
                 weighed = scratch.save(left.join(weight, "node"))
-                hubs = scratch.save(weighed.groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("hub")).join(left.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label")), ["bucket", "hub"]))
+                hubs = weighed.groupBy("bucket").agg(F.max_by(F.struct(*own[1:]), F.struct("weight", "node")).alias("h"))
+                hubs = scratch.save(hubs.select("bucket", *[F.col(f"h.{x}").alias(y) for x, y in zip(own[1:], other[1:], strict=True)]))
                 met = scratch.save(left.join(hubs, "bucket"))
-                pairs = met.filter(F.col("label") != F.col("hub_label")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-            more = self.confirmed(scratch.save(pairs))
+                pairs = met.filter(fits)
+            more = self.confirmed(scratch.save(pairs.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()))
             links = more if links is None else scratch.save(links.unionByName(more))
             roots = scratch.save(components(links, scratch))
             if last:
                 return roots
-            left = met.filter(F.col("node") != F.col("hub")).select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label"))
-            left = scratch.save(left)
+            # a hub has met all others of its bucket
+            left = met.filter(F.col("node") != F.col("hub")).select(*own[:5]).join(roots, "node", "left")
+            left = scratch.save(left.select(*own[:5], F.coalesce("root", "node").alias("label")))
 
 
 def classes(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id, n_shingles, component_id, kept: one row for each document."""
+    return _judged(docs, text_col, id_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
+
+
+def _judged(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     found = Search(docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))).run()
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+    return found.withColumn("kept", F.col("id").eqNullSafe(F.col("component")))
 
 
 def dedup(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One document of each class, with its own columns."""
-    name = free_name(docs, "kept")
+    name, node = free_name(docs, "kept"), free_name(docs, "node")
     scratch = Scratch(docs.sparkSession, "near-dedup-kept")
-    kept = scratch.save(classes(docs, text_col=text_col, id_col=id_col).filter("kept").groupBy(F.col(id_col).alias(name)).agg(F.count("*").alias("n")))
-    left = lambda ids: docs.join(ids.select(name), col(id_col).eqNullSafe(col(name)), "left_semi")
-    again = kept.filter("n > 1")
-    if again.isEmpty():
-        return left(kept)
-    return left(kept.filter("n = 1")).unionByName(left(again).dropDuplicates([id_col]))
+    judged = scratch.save(_judged(docs, text_col, id_col).filter("kept").groupBy("id", "node").agg(F.count("*").alias("n")))
+    ids = scratch.save(judged.filter("id is not null").groupBy(F.col("id").alias(name)).agg(F.sum("n").alias("n")))
+    left = lambda some: docs.join(some.select(name), col(id_col) == col(name), "left_semi")
+    again = ids.filter("n > 1")
+    out = left(ids) if again.isEmpty() else left(ids.filter("n = 1")).unionByName(left(again).dropDuplicates([id_col]))
+    unnamed = judged.filter("id is null")
+    if unnamed.isEmpty():
+        return out
+    # rows without an id are told apart by their sets; those without words all stay
+    rows = docs.filter(col(id_col).isNull()).withColumn(node, F.arrow_udf(_node, "binary")(col(text_col).cast("string")))
+    nodes = unnamed.select(F.col("node").alias(name))
+    one = rows.filter(col(node).isNotNull()).join(nodes, col(node) == col(name), "left_semi").dropDuplicates([node])
+    return out.unionByName(one.drop(node)).unionByName(rows.filter(col(node).isNull()).drop(node))

@@ -20,6 +20,7 @@ BANDS, BAND_ROWS = 40, 5
 REGISTERS = BANDS * BAND_ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2
 WORDS = 4
+PARITIES = 512
 SIMILAR = 0.8
 #: A pair whose likelihood at SIMILAR is this far (in log) below its best is no candidate: less than one in a million true pairs.
 DOUBT = 14.0
@@ -119,6 +120,16 @@ def sketch(elements: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(least / RATE) / np.log(BASE)), 0, LIMIT + 1).astype("<u2")
 
 
+def parities(elements: np.ndarray) -> np.ndarray:
+    """PARITIES bits as 64-bit words: whether an even or odd number of elements falls on each.
+
+    Two sets differ in one element at least for each bit that differs.
+    """
+    places = (mixed(elements ^ _STEP) >> _U(32)) % _U(PARITIES)
+    odd = np.bincount(places.astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def bands(registers: np.ndarray) -> np.ndarray:
     """A 64-bit key of each band, band number included."""
     rows = registers.reshape(BANDS, BAND_ROWS).astype(_U)
