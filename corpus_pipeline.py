@@ -56,4 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = scratch.save(docs)
+            scratch.drop_but(docs)
     return docs

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Rows and bytes of one Arrow batch, so that a worker holds a few MB of text whatever the table's size.
 BATCH_ROWS = 256
 BATCH_BYTES = 16 << 20
+#: Whether a query's shuffle files go when it ends; else they stay until the driver happens to collect garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,19 +45,26 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Parquet tables in the shared folder that cut lineage: a lost executor costs one table's recomputation at most.
 
-    ``drop`` deletes tables that no result reads any more; the rest stay until the folder is cleaned, as results are
-    lazy.
+    ``drop`` and ``drop_but`` delete tables that no result reads any more; the rest stay until the folder is cleaned, as
+    results are lazy. The shuffle files of the query that wrote a table go with its end.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.count = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.tables: dict[int, DataFrame] = {}
 
     def save(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(FREE_SHUFFLES, "false")
+        self.spark.conf.set(FREE_SHUFFLES, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(FREE_SHUFFLES, before)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept.scratch_path = path
+        self.tables[self.count] = kept
         return kept
 
     def drop(self, *tables: DataFrame) -> None:
@@ -63,6 +72,11 @@ class Scratch:
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        self.tables = {k: t for k, t in self.tables.items() if not any(t is x for x in tables)}
+
+    def drop_but(self, *kept: DataFrame | None, since: int = 0) -> None:
+        """Drop the tables that were saved when the count was over ``since``, other than those kept."""
+        self.drop(*[t for k, t in self.tables.items() if k > since and not any(t is x for x in kept)])
 
 
 def free_name(df: DataFrame, stem: str) -> str:

@@ -108,6 +108,10 @@ class Search:
         self.docs, self.scratch = docs, Scratch(docs.sparkSession, "near-dedup")
         small_batches(docs.sparkSession)
 
+    @classmethod
+    def of(cls, docs: DataFrame, text_col: str, id_col: str) -> Search:
+        return cls(docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")))
+
     def run(self) -> DataFrame:
         """id, n, component: one row for each row of the table."""
         scratch = self.scratch
@@ -118,10 +122,13 @@ class Search:
         near = entries.select("node").distinct()
         self.nodes = scratch.save(nodes.join(near, "node", "left_semi"))
         self.texts = self.texts_of_nodes()
-        roots = self.links(self.hopeful(entries))
+        hopeful = self.hopeful(entries)
+        scratch.drop(entries)
+        roots = self.links(hopeful)
         ranked = nodes.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
         named = scratch.save(ranked.groupBy("root").agg(F.min("rep").alias("component")))
         named = scratch.save(ranked.join(named, "root").select("node", "component"))
+        scratch.drop_but(prints, named)
         return prints.select("id", "n", "node").join(named, "node", "left").select("id", "n", "node", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
 
     def shared(self, nodes: DataFrame) -> DataFrame:
@@ -142,6 +149,7 @@ class Search:
 
     def hopeful(self, entries: DataFrame) -> DataFrame:
         """bucket, node, n, own, odd: the entries that some other node of the bucket may be similar to."""
+        start = self.scratch.count
         elements = self.texts.select(F.xxhash64("node").alias("of"), F.explode(F.arrow_udf(_elements, "array<bigint>")("text")).alias("element"))
         alone = elements.groupBy("element").agg(F.count("*").alias("n"), F.min("of").alias("of")).filter("n = 1")
         own = self.scratch.save(alone.groupBy("of").agg(F.count("*").alias("own")))
@@ -150,7 +158,9 @@ class Search:
         sized = self.scratch.save(sized.filter("5 * own <= n").join(odd, "node"))  # else not even a subset of 4/5 is left
         left = self.scratch.save(entries.join(sized, "node").select("bucket", "node", "n", "own", "odd"))
         least = self.scratch.save(left.groupBy("bucket").agg(F.min("n").alias("least"), F.count("*").alias("size")).filter("size > 1"))
-        return self.scratch.save(left.join(least, "bucket").filter("9 * (n - own) >= 4 * (n + least)").select("bucket", "node", "n", "own", "odd"))
+        hopeful = self.scratch.save(left.join(least, "bucket").filter("9 * (n - own) >= 4 * (n + least)").select("bucket", "node", "n", "own", "odd"))
+        self.scratch.drop_but(hopeful, since=start)
+        return hopeful
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Of the pairs (a, b), those that are linked."""
@@ -166,7 +176,7 @@ class Search:
     def links(self, entries: DataFrame) -> DataFrame:
         """node, root of each node that is linked to a smaller one."""
         scratch = self.scratch
-        limit = PAIRS_PER_ENTRY * entries.count()
+        start, limit = scratch.count, PAIRS_PER_ENTRY * entries.count()
         left = entries.withColumn("label", F.col("node"))
         links = roots = None
         own, other = ("bucket", "node", "n", "own", "odd", "label"), ("bucket", "hub", "hub_n", "hub_own", "hub_odd", "hub_label")
@@ -201,23 +211,25 @@ class Search:
             # a hub has met all others of its bucket
             left = met.filter(F.col("node") != F.col("hub")).select(*own[:5]).join(roots, "node", "left")
             left = scratch.save(left.select(*own[:5], F.coalesce("root", "node").alias("label")))
+            scratch.drop_but(links, roots, left, since=start)
 
 
 def classes(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id, n_shingles, component_id, kept: one row for each document."""
-    return _judged(docs, text_col, id_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
+    return _judged(Search.of(docs, text_col, id_col)).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
 
 
-def _judged(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    found = Search(docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))).run()
+def _judged(search: Search) -> DataFrame:
+    found = search.run()
     return found.withColumn("kept", F.col("id").eqNullSafe(F.col("component")))
 
 
 def dedup(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One document of each class, with its own columns."""
     name, node = free_name(docs, "kept"), free_name(docs, "node")
-    scratch = Scratch(docs.sparkSession, "near-dedup-kept")
-    judged = scratch.save(_judged(docs, text_col, id_col).filter("kept").groupBy("id", "node").agg(F.count("*").alias("n")))
+    scratch, search = Scratch(docs.sparkSession, "near-dedup-kept"), Search.of(docs, text_col, id_col)
+    judged = scratch.save(_judged(search).filter("kept").groupBy("id", "node").agg(F.count("*").alias("n")))
+    search.scratch.drop_but()
     ids = scratch.save(judged.filter("id is not null").groupBy(F.col("id").alias(name)).agg(F.sum("n").alias("n")))
     left = lambda some: docs.join(some.select(name), col(id_col) == col(name), "left_semi")
     again = ids.filter("n > 1")
