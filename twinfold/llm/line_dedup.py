@@ -18,6 +18,7 @@ from twinfold.llm.frames import Scratch, col, free_name
 
 LEAST_SITES = 10
 LEAST_WORDS = 4
+BLANKS = " \t\n\x0b\x0c\r"
 #: Registers (log 2) of a sketch: a standard error of about 1.6 %; estimates within NEAR of the bound are counted exactly.
 LOG_REGISTERS = 12
 NEAR = 0.12
@@ -31,8 +32,9 @@ def lines_of(text: Column) -> Column:
 
 def line_key(line: Column, least_words: int = LEAST_WORDS) -> Column:
     """64-bit hash of a line that counts, else null."""
-    bare = F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(bare.rlike(r"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){%d}[^\x20\x09-\x0D]" % (least_words - 1)), F.xxhash64(bare))
+    bare = F.btrim(line, F.lit(BLANKS))
+    # possessive and bound to the start, so that a line of one endless word takes one pass
+    return F.when(bare.rlike(r"^(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){%d}[^\x20\x09-\x0D]" % (least_words - 1)), F.xxhash64(bare))
 
 
 def spread(lines: DataFrame, least_sites: int, scratch: Scratch) -> DataFrame:
@@ -52,14 +54,18 @@ def dedup(docs: DataFrame, *, text_col: str = "text", site_col: str = "source",
     scratch = Scratch(docs.sparkSession, "line-dedup")
     text = col(text_col).cast("string")
     own, sites = (free_name(docs, x) for x in ("row", "removed"))
-    lines = docs.select(col(site_col).cast("string").alias("site"), F.explode(F.array_distinct(F.transform(lines_of(text), lambda x: line_key(x, least_words)))).alias("key")).filter(F.col("key").isNotNull())
+    # equal texts lose equal lines, so that their hash is key enough to bring the places back
+    row = lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), F.length(x).alias("n"))
+    # texts are cut into lines once: what the steps share is a hash for each line
+    keyed = docs.select(col(site_col).cast("string").alias("site"), row(text).alias(own), F.transform(lines_of(text), lambda x: line_key(x, least_words)).alias("keys"))
+    keyed = scratch.save(keyed.filter(F.exists("keys", lambda x: x.isNotNull())))
+    lines = keyed.select("site", F.explode(F.array_distinct("keys")).alias("key")).filter(F.col("key").isNotNull())
     gone = spread(lines, least_sites, scratch)
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_LINES else gone
 
-    # equal texts lose equal lines, so that their hash is key enough to bring the places back
-    row = lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), F.length(x).alias("n"))
-    placed = docs.select(row(text).alias(own), F.posexplode(F.transform(lines_of(text), lambda x: line_key(x, least_words))).alias("at", "key")).filter(F.col("key").isNotNull())
+    placed = keyed.select(own, F.posexplode("keys").alias("at", "key")).filter(F.col("key").isNotNull())
     places = scratch.save(placed.join(gone, "key", "left_semi").groupBy(own).agg(F.collect_set("at").alias(sites)))
+    scratch.drop_but(places)
     found = places.select(*[col(own)[k].alias(f"{own}_{k}") for k in ("a", "b", "n")], col(sites))
     keyed = docs.withColumns({f"{own}_{k}": row(text)[k] for k in ("a", "b", "n")})
     joined = keyed.join(found, [f"{own}_{k}" for k in ("a", "b", "n")], "left")
