@@ -166,3 +166,14 @@ def test_license_edges(spark, docs, empty):
     with_path = lambda df: df.withColumn("path", F.concat(F.lit("x/"), F.col("doc_id").cast("string")))
     assert licenses.scan(with_path(empty)).count() == 0
     assert licenses.scan(with_path(docs)).filter("license is not null").count() == 0
+
+
+def test_whole_licence_texts_are_holders(spark):
+    texts = dict(licenses.licence_texts())
+    mine = texts["MIT"].replace("<year> <copyright holders>", "2019 Some Person and the other authors of this")
+    files = [(f"{name}/LICENSE", mine if name == "MIT" else text) for name, text in texts.items()] + [(f"{name}/src/x.py", "code") for name in texts]
+    # prose that holds a licence text as a small part has a license of its own at most
+    files += [("prose/README", mine + " ".join(f"word{k} of the" for k in range(600))), ("prose/x.py", "code")]
+    found = {r["path"]: (r["license"], r["found_in"]) for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert all(found[f"{x}/LICENSE"] == (x, f"{x}/LICENSE") and found[f"{x}/src/x.py"] == (x, x) for x in texts)
+    assert found["prose/x.py"] == (None, None)

@@ -1,9 +1,12 @@
 """License scans, in DataFrame expressions only.
 
-A header segment is a line with a license cue; a licence file is a file that consists of such lines mostly. Segments and
-templates become sparse TF-IDF vectors (document frequencies over all segments) and a segment takes the template of the
-highest cosine, if that is ``least_cosine`` or more. A file takes its best segment's license. A file without one inherits
-from the nearest ancestor directory that holds a licence file, found by joining directories with their ancestors.
+A header segment is a line with a license cue. Segments and templates become sparse TF-IDF vectors (document frequencies
+over all segments) and a segment takes the template of the highest cosine, if that is ``least_cosine`` or more. Each text
+with a cue is also compared as a whole with whole licence texts, as TF-IDF vectors of word pairs (document frequencies over
+the licence texts, so that a file's cosine does not depend on the other files). A file that is a licence text takes that
+license, else its best segment's. A licence file is a licence text or a file that consists of such segments mostly. A file
+without a license inherits from the nearest ancestor directory that holds a licence file, found by joining directories with
+their ancestors.
 
 Edge cases: a null or empty text has no segment. A null path is in no directory and inherits nothing. Files that repeat
 are judged alike. Of equal cosines the template first by name wins; of several licence files in a directory the license
@@ -13,6 +16,8 @@ input columns named license, cosine or found_in are replaced.
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +63,34 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(plain, TOKEN), lambda x: x != "")
 
 
+def licence_texts() -> list[tuple[str, str]]:
+    """(name, text) of the whole licence texts that come with the package."""
+    found = [x for x in resources.files("twinfold.llm").joinpath("licence_texts").iterdir() if x.name.endswith(".txt")]
+    return sorted((x.name.removesuffix(".txt"), x.read_text(encoding="utf-8")) for x in found)
+
+
+def pairs(words: Column) -> Column:
+    """Each word with the next one."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def whole_texts(files: DataFrame, key: str, text_col: str, least_cosine: float, texts: list[tuple[str, str]]) -> DataFrame:
+    """key, whole (name, cosine): the files that are a licence text as a whole."""
+    spark = files.sparkSession
+    bags = spark.createDataFrame(texts, "name string, words string").select("name", pairs(tokens(F.col("words"))).alias("tokens"))
+    seen = bags.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    idf, rare = F.broadcast(seen.select("token", (F.log((1 + F.lit(len(texts))) / (1 + F.col("df"))) + 1).alias("idf"))), F.log(1 + F.lit(float(len(texts)))) + 1
+    known = weighed(bags, ["name"], idf, rare).groupBy("token").agg(*[F.sum(F.when(F.col("name") == n, F.col("weight")).otherwise(0.0)).alias(f"t{k}") for k, (n, _) in enumerate(texts)])
+    # dealt by file first, so that a file's pairs are counted and summed where they are
+    dealt = files.repartition(col(key)).select(col(key), F.explode(pairs(tokens(col(text_col)))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
+    raw = dealt.join(F.broadcast(known), "token", "left").join(idf, "token", "left").withColumn("weight", F.col("tf") * F.coalesce("idf", rare))
+    sums = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), *[F.sum(F.col("weight") * F.col(f"t{k}")).alias(f"t{k}") for k in range(len(texts))])
+    each = [F.struct((-F.round(F.coalesce(F.col(f"t{k}"), F.lit(0.0)) / F.col("norm"), 9)).alias("far"), F.lit(n).alias("name")) for k, (n, _) in enumerate(texts)]
+    best = sums.select(col(key), F.array_min(F.array(*each)).alias("best")).filter(-F.col("best.far") >= least_cosine)
+    return best.select(col(key), F.struct(F.col("best.name").alias("name"), (-F.col("best.far")).alias("cosine")).alias("whole"))
+
+
 def segments(files: DataFrame, key: str, text_col: str) -> DataFrame:
     """key, at, words, tokens: the lines with a cue."""
     lines = files.select(col(key), F.posexplode(F.split(col(text_col).cast("string"), "\n")).alias("at", "line")).filter(F.col("line").rlike(CUE))
@@ -86,7 +119,8 @@ def scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text", le
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
     # equal texts have equal segments, so that they are scanned once and joined by hash
     files = files.withColumn(key, F.sha2(text.cast("binary"), 256))
-    cut = scratch.save(segments(files.select(col(key), text.alias("text")).filter(F.col("text").rlike(CUE)).dropDuplicates([key]), key, "text"))
+    cued = scratch.save(files.select(col(key), text.alias("text")).filter(F.col("text").rlike(CUE)).dropDuplicates([key]))
+    cut = scratch.save(segments(cued, key, "text"))
 
     # a line that repeats across texts is compared once
     distinct = cut.select(F.array_join("tokens", " ").alias("segment"), "tokens").groupBy("segment").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens"))
@@ -102,11 +136,16 @@ def scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text", le
     best = dots.groupBy("segment").agg(F.min_by(F.struct("name", "cosine"), F.struct(-F.round("cosine", 9), "name")).alias("best")).filter(F.col("best.cosine") >= least_cosine)
     best = scratch.save(best.select("segment", "best.name", "best.cosine"))
     judged = cut.withColumn("segment", F.array_join("tokens", " ")).join(best, "segment")
-    per_text = judged.groupBy(key).agg(F.min_by(F.struct("name", "cosine"), F.struct(-F.round("cosine", 9), "name")).alias(own), F.sum("words").alias("words"))
+    per_text = judged.groupBy(key).agg(F.min_by(F.struct("name", "cosine"), F.struct(-F.round("cosine", 9), "name")).alias("header"), F.sum("words").alias("words"))
+    per_text = per_text.join(cued.select(col(key), F.size(tokens(F.col("text"))).alias("all")), key)
+    whole = whole_texts(cued, key, "text", least_cosine, licence_texts())
+    per_text = per_text.join(whole, key, "full").select(
+        col(key), F.coalesce("whole", "header").alias(own), (F.col("whole").isNotNull() | F.coalesce(F.col("words") >= LICENCE_FILE * F.col("all"), F.lit(False))).alias("holds")
+    )
     per_text = scratch.save(per_text)
 
-    slim = files.select(col(path_col).cast("string").alias("path"), col(key), F.size(tokens(text)).alias("all"))
-    holders = slim.join(per_text, key).filter((F.col("words") >= LICENCE_FILE * F.col("all")) & F.col("path").isNotNull())
+    slim = files.select(col(path_col).cast("string").alias("path"), col(key))
+    holders = slim.join(per_text.filter("holds"), key).filter(F.col("path").isNotNull())
     by_dir = holders.groupBy(directory(F.col("path")).alias("dir"), F.col(f"`{own}`.name").alias("name")).agg(F.count("*").alias("n"), F.max(F.col(f"`{own}`.cosine")).alias("cosine"))
     by_dir = by_dir.groupBy("dir").agg(F.min_by(F.struct("name", "cosine"), F.struct(-F.col("n"), "name")).alias("held"))
     by_dir = scratch.save(by_dir)
