@@ -177,3 +177,24 @@ def test_whole_licence_texts_are_holders(spark):
     found = {r["path"]: (r["license"], r["found_in"]) for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
     assert all(found[f"{x}/LICENSE"] == (x, f"{x}/LICENSE") and found[f"{x}/src/x.py"] == (x, x) for x in texts)
     assert found["prose/x.py"] == (None, None)
+
+
+def test_wrapped_and_surrounded_notices(spark):
+    gnu = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU {}General Public License as published by\n# the Free Software Foundation, either version {} of the License, or\n# (at your option) any later version.\n"
+    prose = " ".join(f"word{k}" for k in range(20))
+    texts = {
+        "mpl": ("MPL-2.0", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\n"),
+        "gpl2": ("GPL-2.0", gnu.format("", "2")), "gpl3": ("GPL-3.0", gnu.format("", "3")), "lgpl": ("LGPL-3.0", gnu.format("Lesser ", "3")), "agpl": ("AGPL-3.0", gnu.format("Affero ", "3")),
+        "one": ("MIT", f"{prose} Released under the MIT License. {prose} {prose}"),
+        "cue": ("Unlicense", "# This is free and unencumbered software released into the public\n# domain.\n"),
+        "none": (None, f"{prose} the license of the mit is general and public {prose}"),
+    }
+    files = [(name, text + "code and words " * 60) for name, (_, text) in texts.items()]
+    found = {r["path"]: r["license"] for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert found == {name: x for name, (x, _) in texts.items()}
+
+
+def test_covered_words_are_counted_once(spark):
+    spans = [(3, 5), (0, 4), (4, 2), (20, 1), (20, 1)]
+    df = spark.createDataFrame([(spans,)], "s array<struct<start:int, words:int>>")
+    assert df.select(licenses.covered(F.col("s"))).first()[0] == len({k for a, n in spans for k in range(a, a + n)})

@@ -1,7 +1,9 @@
 """License scans, in DataFrame expressions only.
 
 A header segment is a line with a license cue. Segments and templates become sparse TF-IDF vectors (document frequencies
-over all segments) and a segment takes the template of the highest cosine, if that is ``least_cosine`` or more. Each text
+over all segments) and a segment takes the template of the highest cosine, if that is ``least_cosine`` or more. So that neither a line break nor prose around a notice hides it, windows
+of the text are segments too: around each word that a template has for a cue, as far before and after as the template goes.
+A window meets templates of its own length only; one within a line of a single word more is left to the line. Each text
 with a cue is also compared as a whole with whole licence texts, as TF-IDF vectors of word pairs (document frequencies over
 the licence texts, so that a file's cosine does not depend on the other files). A file that is a licence text takes that
 license, else its best segment's. A licence file is a licence text or a file that consists of such segments mostly. A file
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 from importlib import resources
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinfold.llm.frames import Scratch, col, free_name
@@ -39,6 +41,11 @@ TEMPLATES = (
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("GPL-2.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("GPL-3.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("LGPL-2.1", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("LGPL-3.0", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("AGPL-3.0", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
     ("MIT", "Released under the MIT License"),
@@ -48,7 +55,10 @@ TEMPLATES = (
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
-CUE = r"(?i)licen[cs]e|spdx|copyright|permission (is hereby|to use)|public domain|all rights reserved"
+#: Between two words of a cue a line may end and a comment's mark may stand.
+CUE = r"(?i)licen[cs]e|spdx|copyright|permission[^a-z0-9]+(is[^a-z0-9]+hereby|to[^a-z0-9]+use)|public[^a-z0-9]+domain|all[^a-z0-9]+rights[^a-z0-9]+reserved"
+#: Words that windows are laid around.
+ANCHOR = r"licen[cs]e|spdx|copyright|^permission$|^domain$"
 TOKEN = r"[^a-z0-9.+]+"
 LEAST_COSINE = 0.7
 #: Share of a file's words in segments from which it is a licence file.
@@ -91,10 +101,47 @@ def whole_texts(files: DataFrame, key: str, text_col: str, least_cosine: float,
     return best.select(col(key), F.struct(F.col("best.name").alias("name"), (-F.col("best.far")).alias("cosine")).alias("whole"))
 
 
-def segments(files: DataFrame, key: str, text_col: str) -> DataFrame:
-    """key, at, words, tokens: the lines with a cue."""
-    lines = files.select(col(key), F.posexplode(F.split(col(text_col).cast("string"), "\n")).alias("at", "line")).filter(F.col("line").rlike(CUE))
-    return lines.select(col(key), "at", tokens(F.col("line")).alias("tokens")).withColumn("words", F.size("tokens")).filter("words > 0")
+def lines_in(files: DataFrame, key: str, text_col: str) -> DataFrame:
+    """key, start, words, cue, tokens: the lines that have words; start is the place of the first among the text's words."""
+    lines = files.select(col(key), F.posexplode(F.split(col(text_col).cast("string"), "\n")).alias("at", "line"))
+    lines = lines.select(col(key), "at", F.col("line").rlike(CUE).alias("cue"), tokens(F.col("line")).alias("tokens")).withColumn("words", F.size("tokens")).filter("words > 0")
+    before = Window.partitionBy(col(key)).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    return lines.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0)).cast("int")).select(col(key), "start", "words", "cue", "tokens")
+
+
+def anchored(words: Column) -> Column:
+    """Places of the words that windows are laid around."""
+    return F.filter(F.transform(words, lambda x, i: F.when(x.rlike(ANCHOR), i)), lambda i: i.isNotNull())
+
+
+def windows(files: DataFrame, lines: DataFrame, key: str, text_col: str, bags: DataFrame) -> DataFrame:
+    """key, place, start, words, tokens: the windows around each anchor of the texts; ``bags`` are the templates."""
+    reach = bags.select(F.explode(anchored(F.col("tokens"))).alias("b"), F.size("tokens").alias("n")).distinct().collect()  # bounded by the templates
+    if not reach:
+        return lines.select(col(key), F.lit(0).alias("place"), "start", "words", "tokens").limit(0)
+    far = max(r["n"] for r in reach)
+    reach = F.array(*[F.struct(F.lit(r["b"]).alias("b"), F.lit(r["n"]).alias("n")) for r in sorted(reach)])
+    stream = files.select(col(key), tokens(col(text_col)).alias("all")).withColumn("size", F.size("all"))
+    around = lambda i: F.struct(i.alias("place"), F.slice("all", F.greatest(i - far, F.lit(0)) + 1, F.lit(2 * far + 1)).alias("near"))
+    stream = stream.select(col(key), "size", F.explode(F.transform(anchored(F.col("all")), around)).alias("x")).select(col(key), "size", "x.place", "x.near")
+    owner = lines.select(col(key), F.explode(anchored(F.col("tokens"))).alias("i"), F.col("start").alias("line"), F.col("words").alias("wide")).withColumn("place", F.col("line") + F.col("i")).drop("i")
+    each = stream.join(owner, [key, "place"]).select("*", F.explode(reach).alias("r")).withColumns({"start": F.col("place") - F.col("r.b"), "words": F.col("r.n")})
+    each = each.filter((F.col("start") >= 0) & (F.col("start") + F.col("words") <= F.col("size")))
+    within = (F.col("start") >= F.col("line")) & (F.col("start") + F.col("words") <= F.col("line") + F.col("wide"))
+    each = each.filter(~within | (F.col("wide") >= F.col("words") + 2))
+    first = F.col("start") - F.greatest(F.col("place") - far, F.lit(0)) + 1
+    return each.select(col(key), "place", "start", "words", F.slice("near", first, F.col("words")).alias("tokens"))
+
+
+def covered(spans: Column) -> Column:
+    """How many words the spans (start, words) cover together."""
+    none = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("sum"))
+
+    def add(acc: Column, x: Column) -> Column:
+        end = F.greatest(acc["end"], (x["start"] + x["words"]).cast("long"))
+        return F.struct(end.alias("end"), (acc["sum"] + end - F.greatest(acc["end"], F.least(x["start"].cast("long"), end))).alias("sum"))
+
+    return F.aggregate(F.array_sort(spans), none, add)["sum"]
 
 
 def weighed(bags: DataFrame, by: list[str], idf: DataFrame, rare: Column) -> DataFrame:
@@ -120,7 +167,8 @@ def scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text", le
     # equal texts have equal segments, so that they are scanned once and joined by hash
     files = files.withColumn(key, F.sha2(text.cast("binary"), 256))
     cued = scratch.save(files.select(col(key), text.alias("text")).filter(F.col("text").rlike(CUE)).dropDuplicates([key]))
-    cut = scratch.save(segments(cued, key, "text"))
+    lines = scratch.save(lines_in(cued, key, "text").filter(F.col("cue") | F.exists("tokens", lambda x: x.rlike(ANCHOR))))
+    cut = lines.filter("cue")
 
     # a line that repeats across texts is compared once
     distinct = cut.select(F.array_join("tokens", " ").alias("segment"), "tokens").groupBy("segment").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens"))
@@ -133,10 +181,20 @@ def scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text", le
     rare = F.log(1 + F.lit(float(total))) + 1
     known = weighed(bags.select("template", "name", "tokens"), ["template", "name"], idf, rare).withColumnRenamed("weight", "their")
     dots = weighed(distinct, ["segment"], idf, rare).join(F.broadcast(known), "token").groupBy("segment", "template", "name").agg(F.sum(F.col("weight") * F.col("their")).alias("cosine"))
-    best = dots.groupBy("segment").agg(F.min_by(F.struct("name", "cosine"), F.struct(-F.round("cosine", 9), "name")).alias("best")).filter(F.col("best.cosine") >= least_cosine)
+    first = F.struct(-F.round("cosine", 9), "name")
+    best = dots.groupBy("segment").agg(F.min_by(F.struct("name", "cosine"), first).alias("best")).filter(F.col("best.cosine") >= least_cosine)
     best = scratch.save(best.select("segment", "best.name", "best.cosine"))
-    judged = cut.withColumn("segment", F.array_join("tokens", " ")).join(best, "segment")
-    per_text = judged.groupBy(key).agg(F.min_by(F.struct("name", "cosine"), F.struct(-F.round("cosine", 9), "name")).alias("header"), F.sum("words").alias("words"))
+    judged = cut.withColumn("segment", F.array_join("tokens", " ")).join(best, "segment").select(col(key), "start", "words", "name", "cosine")
+
+    laid = scratch.save(windows(cued, lines, key, "text", bags).withColumn("segment", F.array_join("tokens", " ")))
+    sized = known.join(bags.select("template", F.size("tokens").alias("words")), "template")
+    shapes = laid.groupBy("segment").agg(F.first("tokens").alias("tokens"), F.first("words").alias("words"))
+    dots = weighed(shapes, ["segment", "words"], idf, rare).join(F.broadcast(sized), ["token", "words"]).groupBy("segment", "template", "name").agg(F.sum(F.col("weight") * F.col("their")).alias("cosine"))
+    fits = dots.groupBy("segment").agg(F.min_by(F.struct("name", "cosine"), first).alias("best")).filter(F.col("best.cosine") >= least_cosine)
+    fits = laid.join(scratch.save(fits.select("segment", "best.name", "best.cosine")), "segment")
+    # of the windows around one word, the best one is the notice
+    fits = fits.groupBy(key, "place").agg(F.min_by(F.struct("start", "words", "name", "cosine"), F.struct(-F.round("cosine", 9), "name", "start")).alias("x")).select(col(key), "x.*")
+    per_text = judged.unionByName(fits).groupBy(key).agg(F.min_by(F.struct("name", "cosine"), first).alias("header"), covered(F.collect_list(F.struct("start", "words"))).alias("words"))
     per_text = per_text.join(cued.select(col(key), F.size(tokens(F.col("text"))).alias("all")), key)
     whole = whole_texts(cued, key, "text", least_cosine, licence_texts())
     per_text = per_text.join(whole, key, "full").select(
