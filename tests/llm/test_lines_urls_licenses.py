@@ -198,3 +198,15 @@ def test_covered_words_are_counted_once(spark):
     spans = [(3, 5), (0, 4), (4, 2), (20, 1), (20, 1)]
     df = spark.createDataFrame([(spans,)], "s array<struct<start:int, words:int>>")
     assert df.select(licenses.covered(F.col("s"))).first()[0] == len({k for a, n in spans for k in range(a, a + n)})
+
+
+def test_hosts_without_labels_have_a_prior(spark):
+    # hosts of a domain are alike, domains differ
+    outcomes = [(f"http://h{k}.{d}.example.net/", good) for k in range(8) for d, good in (("bad", 0), ("fine", 1), ("good", 1)) for _ in range(40)]
+    outcomes += [(f"http://h{k}.site{k}.com/", 1) for k in range(8) for _ in range(5)] + [("http://h.site.bad/", 0)] * 5
+    outcomes = spark.createDataFrame(outcomes, "url string, good int")
+    urls = ["http://new.bad.example.net/x", "http://h1.bad.example.net/x", "http://new.good.example.net/x", "http://new.unseen.example.net/x", "http://new.site1.com/x", "http://a.b.unseen/x", "none", None]
+    found = {r["url"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame([(u,) for u in urls], "url string"), outcomes).collect()}
+    assert found == {u: "block" if u and "bad.example" in u else "allow" for u in urls}
+    nothing = url_filter.judge(spark.createDataFrame([(urls[0],)], "url string"), outcomes.limit(0)).collect()
+    assert nothing[0]["verdict"] == "allow"

@@ -2,11 +2,12 @@
 
 Labelled outcomes of pages are counted by host, registered domain and suffix. Each level's good share is shrunk towards
 that of the level above, as a beta-binomial posterior whose prior weight is estimated from how much the shares of that
-level spread. A host is blocked where even the upper bound of its posterior is below ``least``; a host nobody labelled
-has its domain's prior, wide enough not to be blocked for it.
+level spread. A host is blocked where even the upper bound of its posterior is below ``least``. A host nobody labelled has
+its domain's prior, or that of its suffix or of all where these have no labels either, as wide as the spreads of the levels
+between them and the host make it.
 
-Edge cases: a null URL or one without ``://`` has an empty host and path, fits no rule and is allowed, as are all hosts
-without labels. Labels other than 0 and 1 are not counted. Repeated rows are judged one by one. Input columns named
+Edge cases: a null URL or one without ``://`` has an empty host and path, fits no rule and is allowed. Without any label all
+are allowed that no rule blocks. Labels other than 0 and 1 are not counted. Repeated rows are judged one by one. Input columns named
 host, path, rule or verdict are replaced, other columns pass through.
 """
 
@@ -77,26 +78,57 @@ def prior_weight(counts: DataFrame, mean: str) -> float:
     return min(max(1 / r - 1, PRIOR_WEIGHT[0]), PRIOR_WEIGHT[1]) if r > 0 else PRIOR_WEIGHT[1]
 
 
-def reputations(outcomes: DataFrame, suffixes=SUFFIXES) -> DataFrame:
-    """host, n, good, mean, upper for each host with outcomes (host, good 0 or 1)."""
-    scratch = Scratch(outcomes.sparkSession, "url-filter")
+def levels(outcomes: DataFrame, suffixes, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
+    """Posteriors of hosts, domains and suffixes with outcomes (host, good 0 or 1), and of all: share and weights by level."""
     hosts = outcomes.filter(F.col("good").isin(0, 1) & (F.col("host") != "")).groupBy("host").agg(F.count("*").alias("n"), F.sum("good").cast("long").alias("good"))
-    hosts = scratch.save(hosts.withColumn("suffix", suffix_of(F.col("host"), suffixes)).withColumn("domain", domain_of(F.col("host"), F.col("suffix"))))
+    hosts = scratch.save(named(hosts, suffixes))
     sums = hosts.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
-    share = ((sums["good"] or 0) + 1) / ((sums["n"] or 0) + 2)
+    top = {"n": sums["n"] or 0, "share": ((sums["good"] or 0) + 1) / ((sums["n"] or 0) + 2)}
 
-    def level(counts: DataFrame, prior: str) -> DataFrame:
+    def level(name: str, counts: DataFrame, prior: str) -> DataFrame:
         """mean: the posterior mean under the prior mean in that column."""
-        weight = prior_weight(counts, prior)
-        return counts.withColumn("weight", F.lit(weight)).withColumn("mean", (F.col("good") + F.col("weight") * F.col(prior)) / (F.col("n") + F.col("weight")))
+        top[name] = prior_weight(counts, prior)
+        return counts.withColumn("weight", F.lit(top[name])).withColumn("mean", (F.col("good") + F.col("weight") * F.col(prior)) / (F.col("n") + F.col("weight")))
 
     count = lambda by: hosts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    suffix = level(count(["suffix"]).withColumn("prior", F.lit(share)), "prior").select("suffix", F.col("mean").alias("prior"))
-    domain = level(count(["suffix", "domain"]).join(suffix, "suffix"), "prior").select("domain", F.col("mean").alias("prior"))
-    host = level(hosts.join(domain, "domain"), "prior")
+    suffix = level("suffix", count(["suffix"]).withColumn("prior", F.lit(top["share"])), "prior").select("suffix", F.col("mean").alias("prior"))
+    domain = level("domain", count(["suffix", "domain"]).join(suffix, "suffix"), "prior").select("domain", F.col("mean").alias("prior"))
+    host = level("host", hosts.join(domain, "domain"), "prior")
     a, total = F.col("mean") * (F.col("n") + F.col("weight")), F.col("n") + F.col("weight")
     spread = F.sqrt(a * (total - a) / (total * total * (total + 1)))
-    return scratch.save(host.select("host", "n", "good", "mean", (F.col("mean") + DEVIATIONS * spread).alias("upper")))
+    host = scratch.save(host.select("host", "n", "good", "mean", (F.col("mean") + DEVIATIONS * spread).alias("upper")))
+    return host, domain, suffix, top
+
+
+def named(hosts: DataFrame, suffixes) -> DataFrame:
+    return hosts.withColumn("suffix", suffix_of(F.col("host"), suffixes)).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
+
+
+def reputations(outcomes: DataFrame, suffixes=SUFFIXES) -> DataFrame:
+    """host, n, good, mean, upper for each host with outcomes (host, good 0 or 1)."""
+    return levels(outcomes, suffixes, Scratch(outcomes.sparkSession, "url-filter"))[0]
+
+
+def bounds(hosts: DataFrame, outcomes: DataFrame, suffixes=SUFFIXES) -> DataFrame:
+    """host, upper for each of the distinct hosts, with outcomes or without."""
+    scratch = Scratch(outcomes.sparkSession, "url-filter")
+    known, domain, suffix, top = levels(outcomes, suffixes, scratch)
+    if not top["n"]:
+        return known.select("host", "upper")
+    rest = named(hosts.filter(F.col("host") != "").join(known, "host", "left_anti"), suffixes)
+    rest = rest.join(domain.withColumnRenamed("prior", "of_domain"), "domain", "left").join(suffix.withColumnRenamed("prior", "of_suffix"), "suffix", "left")
+    mean = F.coalesce("of_domain", "of_suffix", F.lit(top["share"]))
+
+    def spread(*names: str) -> float:
+        """Of a rate that is drawn around the mean level by level, the variance as a share of mean (1 - mean)."""
+        left = 1.0
+        for x in names:
+            left *= 1 - 1 / (top[x] + 1)
+        return 1 - left
+
+    part = F.when(F.col("of_domain").isNotNull(), spread("host")).when(F.col("of_suffix").isNotNull(), spread("domain", "host")).otherwise(spread("suffix", "domain", "host"))
+    rest = rest.select("host", (mean + DEVIATIONS * F.sqrt(mean * (1 - mean) * part)).alias("upper"))
+    return known.select("host", "upper").unionByName(rest)
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, *, url_col: str = "url", rules=RULES, suffixes=SUFFIXES, least: float = LEAST) -> DataFrame:
@@ -104,7 +136,9 @@ def judge(pages: DataFrame, outcomes: DataFrame, *, url_col: str = "url", rules=
     pages = pages.drop("host", "path", "rule", "verdict")
     rule, host, upper, salt = (free_name(pages, x) for x in ("rule", "host", "upper", "salt"))
     url = col(url_col).cast("string")
-    known = reputations(outcomes.select(host_of(F.col("url")).alias("host"), F.col("good").cast("int").alias("good")), suffixes).filter(F.col("upper") < least).select(F.col("host").alias(host), F.col("upper").alias(upper))
+    seen = pages.select(host_of(url).alias("host")).distinct()
+    known = bounds(seen, outcomes.select(host_of(F.col("url")).alias("host"), F.col("good").cast("int").alias("good")), suffixes).filter(F.col("upper") < least).select(F.col("host").alias(host), F.col("upper").alias(upper))
+    known = Scratch(pages.sparkSession, "url-filter").save(known)
     pages = pages.withColumn("host", host_of(url)).withColumn("path", path_of(url))
     if known.count() <= BROADCAST_HOSTS:
         pages = pages.join(F.broadcast(known), col("host") == col(host), "left")
