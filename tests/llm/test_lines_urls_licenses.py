@@ -210,3 +210,9 @@ def test_hosts_without_labels_have_a_prior(spark):
     assert found == {u: "block" if u and "bad.example" in u else "allow" for u in urls}
     nothing = url_filter.judge(spark.createDataFrame([(urls[0],)], "url string"), outcomes.limit(0)).collect()
     assert nothing[0]["verdict"] == "allow"
+
+
+def test_short_lines_count_on_demand(spark):
+    rows = [(k, f"s{k}", f"All rights reserved.\nMore\n\nown {k}") for k in range(10)] + [(10, "s0", "seldom")]
+    out = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, source string, text string"), least_words=1)
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {k: f"\nown {k}" for k in range(10)} | {10: "seldom"}
