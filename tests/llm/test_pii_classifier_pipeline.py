@@ -56,6 +56,13 @@ def test_added_spans_and_masks():
     assert not any(pii.spans_of("plain text on accountancy, 12 items", pii.anchors()).values())
 
 
+def test_cues_in_every_spelling():
+    for cue in ("Customer ID", "User ID", "Tax ID", "tax Id", "aCCount", "TAX ID", "Iban"):
+        text = f"\u0130\u00c9 {cue}: 12345678 X@Y.org"
+        found = pii.spans_of(text, pii.anchors())
+        assert [text[a:b] for a, b in found["account"]] == ["12345678"] and [text[a:b] for a, b in found["email"]] == ["X@Y.org"]
+
+
 def test_pii_query_against_patterns(spark, docs, corpus, tables):
     texts = [r[1] for r in corpus] + [f"é {CARD} me@x.org 10.0.0.1 10.0.0.256 +49 (30) 1234567", "9" * 5000, "a@" * 2000, "1." * 3000]
     sf = tables(documents=spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))

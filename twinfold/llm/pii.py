@@ -49,12 +49,16 @@ def anchors() -> ahocorasick.Automaton:
     for word in ("@", "+", "://", *_DIGITS):
         found.add_word(word, (word if word in ("@", "+", "://") else "0", len(word)))
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-            found.add_word(form, ("cue", len(form)))
+        found.add_word(cue, ("cue", len(cue)))
     found.make_automaton()
     return found
 
 
+def folded(text: str) -> str:
+    """A to Z in lower case, so that cues are found in every spelling; places stay."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, d in enumerate(reversed(digits)):
@@ -130,7 +134,7 @@ class Parser:
 
 def spans_of(text: str, found: ahocorasick.Automaton) -> dict[str, list[Span]]:
     parser = Parser(text)
-    for last, (kind, length) in found.iter(text):
+    for last, (kind, length) in found.iter(folded(text)):
         if kind == "0":
             if last >= parser.run_end:
                 parser.number(last)
