@@ -41,6 +41,18 @@ def test_rules_keep_prose_and_drop_noise(spark):
     assert all(kept[k] for k in range(60)) and not any(kept[k] for k in range(60, 80))
 
 
+def test_few_distinct_words_at_any_length(spark):
+    import random
+
+    r = random.Random(3)
+    small = [" ".join(f"w{r.randrange(20)}" for _ in range(n)) for n in (5000, 5001, 40_000)]
+    # a quarter of the words distinct is few in 6,000 words, not in 40,000
+    large = [" ".join(f"w{k % (n // 4)}" for k in range(n)) for n in (6000, 40_000)]
+    df = quality_rules.statistics(spark.createDataFrame(list(enumerate(small + large)), "doc_id long, text string"), "s")
+    rows = df.select("doc_id", quality_rules.votes(F.col("s"))["distinct_words"].alias("vote")).orderBy("doc_id").collect()
+    assert [x["vote"] for x in rows] == [-1, -1, -1, 0, 1]
+
+
 def test_rules_edges(spark, docs, empty):
     assert quality_rules.judge(empty, "seen").count() == 0
     clash = docs.withColumn("__words", F.lit("mine")).withColumn("__stats", F.lit(1)).withColumn("symbols", F.lit(2))

@@ -21,6 +21,8 @@ from twinfold.llm.frames import Scratch, col, free_name
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
+#: Words from which the share of distinct ones is measured against a text's length.
+LONG_TEXT = 5000
 ROUNDS = 40
 #: Added to each count of votes, so that a vote which was never seen on a class is unlikely there but possible.
 SMOOTHING = 0.5
@@ -99,6 +101,8 @@ def votes(s: Column) -> dict[str, Column]:
 
     per_word = lambda name: s[name] / F.greatest(n, F.lit(1))
     length = per_word("word_chars")
+    # longer texts have fewer distinct words for their length, about as the square root of it
+    distinct = per_word("n_distinct_words") * F.sqrt(F.greatest(n, F.lit(LONG_TEXT)) / F.lit(LONG_TEXT))
     return {
         "symbols": rule(per_word("n_symbols"), 0.05, 0.2),
         "marks": rule(per_word("n_marks"), 0.3, 0.45, n >= 20),
@@ -106,7 +110,7 @@ def votes(s: Column) -> dict[str, Column]:
         "shouts": rule(per_word("n_shouts"), 0.1, 0.5),
         "repeated_words": rule(per_word("n_repeat_words"), 0.1, 0.3),
         "repeated_lines": rule(s["n_dup_lines"] / F.greatest(s["n_lines"], F.lit(1)), 0.2, 0.5, s["n_lines"] >= 3),
-        "distinct_words": rule(1 - per_word("n_distinct_words"), 0.5, 0.75, (n >= 20) & (n <= 5000)),
+        "distinct_words": rule(1 - distinct, 0.5, 0.75, n >= 20),
         "word_length": F.when(n == 0, 0).when((length >= 2.5) & (length <= 10), 1).when((length < 1.5) | (length > 20), -1).otherwise(0),
     }
 
