@@ -1,9 +1,9 @@
 """Quality rules as weak supervision, in DataFrame expressions only.
 
 Each rule votes for a text (1), against it (-1) or abstains (0). The votes of all documents are counted by pattern; on
-these counts (at most 3 to the number of rules, whatever the corpus) expectation-maximisation estimates each rule's
-accuracy on good and on bad texts and the share of good ones, without labels. The posterior probability of being good, compiled into one column
-expression, replaces all-must-pass filtering.
+these counts (at most 3 to the number of rules, whatever the corpus) expectation-maximisation with priors estimates each
+rule's accuracy on good and on bad texts and the share of good ones, without labels. The posterior probability of being
+good, compiled into one column expression, replaces all-must-pass filtering.
 
 Edge cases: a null text counts as empty; without words every rule abstains, and the posterior is the estimated share.
 Other columns pass through. Repeated rows are judged one by one. An empty table gives an empty table.
@@ -24,8 +24,10 @@ WINDOW = 5
 #: Words from which the share of distinct ones is measured against a text's length.
 LONG_TEXT = 5000
 ROUNDS = 40
-#: Added to each count of votes, so that a vote which was never seen on a class is unlikely there but possible.
-SMOOTHING = 0.5
+#: Weight of the priors, in sizes of the corpus; and of votes that were never seen on a class, so that they are possible.
+FAITH, RARE = 0.05, 1e-4
+#: The prior's share of good texts.
+GOOD = 0.9
 SHARE = (0.02, 0.98)
 
 
@@ -120,26 +122,29 @@ def base_failed(s: Column) -> Column:
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], width: int, rounds: int = ROUNDS) -> tuple[float, list[dict[int, tuple[float, float]]]]:
-    """Share of good texts, and for each rule how likely each vote is on a good and on a bad text.
-
-    By expectation-maximisation over vote patterns and their counts; rules are taken as independent given the truth. A
-    rule thus has an accuracy for each class: one that seldom objects, and then rightly, weighs much when it does and
-    little when it does not. It starts from distrust of texts that some rule objects to; rules overlap, so that what one
-    objects to alone can be found good after all.
+    """Share of good texts, and for each rule how likely each vote is on a good and on a bad text, where it votes at all.
+
+    The maximum a posteriori, by expectation-maximisation over vote patterns and their counts; rules are taken as
+    independent given the truth, and whether a rule abstains as independent of it. The priors are shares of the corpus, so
+    that only the mix of patterns counts and not how many texts there are: for each rule, FAITH more good texts to which it
+    did not object and a few of each other kind, and for the share, FAITH more texts of which GOOD are good. So a rule that objects
+    alone is believed unless other rules, which object together elsewhere, speak against it. A rule that comes out no
+    better than chance has no say. It starts from distrust of texts that some rule objects to.
     """
-    clamp = lambda x: min(max(x, SHARE[0]), SHARE[1])
     belief = [0.05 if -1 in pattern else 0.95 for pattern, _ in patterns]
-    share, likely = 0.5, [dict.fromkeys((-1, 0, 1), (1 / 3, 1 / 3)) for _ in range(width)]
-    for _ in range(rounds if patterns else 0):
-        total = sum(count for _, count in patterns)
-        good = sum(count * p for (_, count), p in zip(patterns, belief, strict=True))
-        share = clamp(good / total)
+    share, likely = 0.5, [{v: (1.0, 1.0) for v in (-1, 0, 1)} for _ in range(width)]
+    total = sum(count for _, count in patterns)
+    for _ in range(rounds if total else 0):
+        good = sum(count * p for (_, count), p in zip(patterns, belief, strict=True)) / total
+        share = min(max((good + FAITH * GOOD) / (1 + FAITH), SHARE[0]), SHARE[1])
         for j in range(width):
-            seen = {v: [SMOOTHING, SMOOTHING] for v in (-1, 0, 1)}
+            seen = {-1: [RARE, RARE], 1: [FAITH, RARE]}
             for (pattern, count), p in zip(patterns, belief, strict=True):
-                seen[pattern[j]][0] += count * p
-                seen[pattern[j]][1] += count * (1 - p)
-            likely[j] = {v: (g / (good + 3 * SMOOTHING), b / (total - good + 3 * SMOOTHING)) for v, (g, b) in seen.items()}
+                if pattern[j]:
+                    seen[pattern[j]][0] += count / total * p
+                    seen[pattern[j]][1] += count / total * (1 - p)
+            on_good, on_bad = (seen[-1][c] / (seen[-1][c] + seen[1][c]) for c in (0, 1))
+            likely[j] = {-1: (on_good, on_bad), 0: (1.0, 1.0), 1: (1 - on_good, 1 - on_bad)} if on_good < on_bad else {v: (0.5, 0.5) for v in (-1, 0, 1)}
         belief = [1 / (1 + math.exp(-min(max(log_odds(pattern, share, likely), -700), 700))) for pattern, _ in patterns]
     return share, likely
 
