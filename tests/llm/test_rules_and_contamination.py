@@ -2,12 +2,13 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from twinfold.llm import decontaminate, quality_rules
 from twinfold.llm.queries import QUERIES
-from twinfold.llm.wu_manber import WordSearch
+from twinfold.llm.wu_manber import Items, WordSearch
 
 
 def rule_counts(text):
@@ -74,6 +75,42 @@ def test_accuracies_are_estimated():
     assert quality_rules.estimate([], 0) == (0.5, [])
 
 
+@pytest.mark.parametrize("times", [1, 100, 10_000])
+def test_verdicts_do_not_depend_on_the_size_of_the_corpus(times):
+    clean, noise = (1, 0, 1, 1, 1, 0, 0, 1), (-1, 0, 1, 1, 1, 0, 0, 1)
+    for n in (1, 20, 60, 120):
+        share, likely = quality_rules.estimate([(noise, n * times), (clean, 60 * times)], 8)
+        assert quality_rules.log_odds(noise, share, likely) < 0 < quality_rules.log_odds(clean, share, likely)
+
+
+def em_by_documents(ballots):
+    """The posterior of each document, by maximisation over documents instead of patterns and with arrays of votes."""
+    votes = np.array(ballots)
+    against, voted = votes == -1, votes != 0
+    p = np.where(against.any(axis=1), 0.05, 0.95)
+    for _ in range(40):
+        pi = min(max((p.mean() + 0.05 * 0.9) / 1.05, 0.02), 0.98)
+        odds = np.full(len(votes), np.log(pi / (1 - pi)))
+        for j in range(votes.shape[1]):
+            bad_vote = [(against[:, j] * w).mean() + 1e-4 for w in (p, 1 - p)]
+            good_vote = [((votes[:, j] == 1) * p).mean() + 0.05, ((votes[:, j] == 1) * (1 - p)).mean() + 1e-4]
+            g, b = (bad_vote[c] / (bad_vote[c] + good_vote[c]) for c in (0, 1))
+            if g < b:
+                odds += np.where(~voted[:, j], 0, np.where(against[:, j], np.log(g / b), np.log((1 - g) / (1 - b))))
+        p = 1 / (1 + np.exp(-odds))
+    return p
+
+
+def test_posterior_and_verdict_against_brute_force(spark, docs, corpus, tables):
+    rows = quality_rules.judge(docs, "seen").select("doc_id", "seen.*").collect()
+    names = list(rows[0]["votes"].asDict())
+    expected = em_by_documents([[r["votes"][k] for k in names] for r in rows])
+    assert [r["posterior"] for r in rows] == pytest.approx(list(expected), abs=1e-9)
+    found = {r["doc_id"]: (r["posterior"], r["kept"]) for r in QUERIES["op3_quality_rules"](spark, tables(documents=docs)).collect()}
+    failed = {r[0]: rule_counts(r[1])[-1] for r in corpus}
+    assert found == {r["doc_id"]: (pytest.approx(p, abs=1e-6), bool(p >= 0.5 and not failed[r["doc_id"]])) for r, p in zip(rows, expected, strict=True)}
+
+
 def item_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
 
@@ -116,6 +153,32 @@ def test_blocks_of_items_agree_with_one(spark, corpus, items):
     assert rows() == rows(block_bytes=1)
 
 
+def test_a_large_benchmark_in_passes(spark):
+    """Each pass has its own tables; what the passes find together is what one finds."""
+    import random
+
+    r = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    items = [(f"i{k}", " ".join(r.choices(vocabulary, k=r.choice([5, 13, 200])))) for k in range(400)]
+    texts = [" ".join(r.choices(vocabulary, k=300)) + " " + r.choice(items)[1] + " " + " ".join(r.choices(vocabulary, k=20_000 if k == 0 else 30)) for k in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    seen = lambda **o: {x["doc_id"]: tuple(x["seen"]) for x in decontaminate.annotate(df, bench, "seen", **o).collect()}
+    some = {k: contamination(t, items)[:4] for k, t in enumerate(texts) if k in (0, 7, 21)}
+    found = seen()
+    assert found == seen(block_bytes=60_000) and {k: found[k] for k in some} == some
+
+
+def test_tables_of_a_benchmark_are_compact():
+    import pickle
+    import random
+
+    r = random.Random(7)
+    items = [(k, [b"w%d" % r.randrange(20_000) for _ in range(200)]) for k in range(1000)]
+    size = sum(len(w) + 1 for _, words in items for w in words)
+    assert len(pickle.dumps(Items(items, 13))) < 10 * size
+
+
 def test_contamination_edges(spark, docs, empty, items):
     bench = spark.createDataFrame(items, "item_id long, text string")
     clash = docs.withColumn("__report", F.lit(1)).withColumn("n_hit", F.lit("x")).withColumn("__hits", F.lit(0))

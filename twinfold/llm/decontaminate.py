@@ -1,8 +1,10 @@
 """Benchmark decontamination by Wu-Manber search of word windows.
 
 Items are cut into windows of ``window`` words (a shorter item is one window) and searched for in every whole text. The
-benchmark reaches the workers in blocks of at most ``block_bytes`` of text; a larger benchmark takes more passes over
-the same rows, each adding its hits to those of the pass before, so the broadcast stays bounded whatever its size.
+benchmark comes in blocks of at most ``block_bytes`` of text (or one item), each of which is one pass over the rows with its
+own tables: about seven bytes for each byte of the block, on the driver and in each worker. Between passes the rows are
+written with the hits so far, and the tables of the pass before are destroyed, so that neither broadcasts nor workers grow
+with the benchmark; a larger one takes more passes.
 
 Edge cases: a null text has no words and is never contaminated. An item without words has no window. Windows of an
 item whose id is null count as hits but not as an item. Rows that repeat are judged one by one; other columns pass
@@ -11,40 +13,18 @@ through whatever their names are. An empty benchmark contaminates nothing.
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.llm.frames import col, free_name, small_batches, texts_of
-from twinfold.llm.wu_manber import WordSearch
+from twinfold.llm import contamination
+from twinfold.llm.frames import Scratch, col, free_name, small_batches
+from twinfold.llm.wu_manber import Items
 
 WINDOW = 13
-BLOCK_WORDS = 3
-BLOCK_BYTES = 8 << 20
-
-#: A-Z lower-cased; what is not a letter, a digit or beyond ASCII becomes a space.
-_TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
-
-_STATE = "struct<marks:binary, items:array<string>>"
-_REPORT = "struct<n_words:bigint, n_hit:bigint, n_items:bigint, items_sha256:string>"
-
-
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_TO_WORDS).split()
-
-
-def windows_of(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> list[tuple[tuple, frozenset]]:
-    """Distinct windows with the ids of the items that have them."""
-    owners: dict[tuple, set] = defaultdict(set)
-    for item_id, text in items:
-        words = words_of((text or "").encode())
-        for start in range(max(1, len(words) - window + 1)) if words else ():
-            owners[tuple(words[start : start + window])].update([item_id] if item_id is not None else [])
-    return [(w, frozenset(o)) for w, o in owners.items()]
+BLOCK_BYTES = 16 << 20
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
@@ -57,66 +37,45 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: i
             block, size = [], 0
         block.append((item_id, text))
         size += more
-    if block:
-        yield block
-
-
-def _pass(windows, first: bool):
-    """A UDF that adds the hits of one block of windows to the state."""
+    yield block
 
-    def states(texts: pa.Array, before: list) -> pa.Array:
-        marks, items = [], []
-        for text, state in zip(texts_of(texts), before, strict=True):
-            hit, found = search().hits(words_of(text))
-            if state is not None:
-                hit = (int.from_bytes(hit, "big") | int.from_bytes(state["marks"], "big")).to_bytes(len(hit), "big")
-                found = found | set(state["items"])
-            marks.append(bytes(hit))
-            items.append(sorted(found))
-        return pa.StructArray.from_arrays([pa.array(marks, pa.binary()), pa.array(items, pa.list_(pa.string()))], ["marks", "items"])
 
-    cache: list[WordSearch] = []
-
-    def search() -> WordSearch:
-        if not cache:
-            cache.append(WordSearch(windows.value, BLOCK_WORDS))
-        return cache[0]
-
-    def start(texts: pa.Array) -> pa.Array:
-        return states(texts, [None] * len(texts))
-
-    def further(texts: pa.Array, before: pa.Array) -> pa.Array:
-        return states(texts, before.to_pylist())
-
-    return F.arrow_udf(start if first else further, _STATE)
-
-
-def _report(marks: pa.Array, items: pa.Array) -> pa.Array:
-    marks, items = marks.to_pylist(), items.to_pylist()
-    return pa.StructArray.from_arrays(
-        [
-            pa.array([len(m) for m in marks], pa.int64()),
-            pa.array([m.count(1) for m in marks], pa.int64()),
-            pa.array([len(i) for i in items], pa.int64()),
-            pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items], pa.string()),
-        ],
-        ["n_words", "n_hit", "n_items", "items_sha256"],
-    )
+def tables_of(block: list[tuple], window: int) -> tuple[Items, list[str | None]]:
+    """Search tables and ids of the items; items with one id count once."""
+    return Items(((k, contamination.words_of((text or "").encode())) for k, (_, text) in enumerate(block)), window), [i for i, _ in block]
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, into: str, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with a struct column ``into``: n_words, n_hit, n_items, items_sha256."""
     spark = docs.sparkSession
     small_batches(spark)
-    state = free_name(docs, "hits")
-    marked = docs
-    for k, block in enumerate(item_blocks(benchmark, item_col, item_text_col, block_bytes)):
-        add = _pass(spark.sparkContext.broadcast(windows_of(block, window)), first=k == 0)
-        text = col(text_col).cast("string")
-        marked = marked.withColumn(state, add(text) if k == 0 else add(text, col(state)))
-    if marked is docs:
-        marked = marked.withColumn(state, _pass(spark.sparkContext.broadcast([]), first=True)(col(text_col).cast("string")))
-    return marked.withColumn(into, F.arrow_udf(_report, _REPORT)(col(state)["marks"], col(state)["items"])).drop(state)
+    state, scratch = free_name(docs, "hits"), Scratch(spark, "decontaminate")
+    text, before = col(text_col).cast("string"), []
+    blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes)
+    block, rows = next(blocks), docs
+    while True:
+        following = next(blocks, None)
+        sent = spark.sparkContext.broadcast(tables_of(block, window))
+        found = _search(sent, contamination.as_report if following is None else contamination.as_state, bool(before))
+        column = F.arrow_udf(found, contamination.REPORT if following is None else contamination.STATE)(text, *before)
+        if following is None:
+            return rows.withColumn(into, column).drop(state)
+        written = scratch.save(rows.withColumn(state, column))
+        scratch.drop_but(written)
+        sent.destroy()
+        block, rows, before = following, written, [col(state)]
+
+
+def _search(sent, as_column, further: bool):
+    """The Arrow function of one pass."""
+
+    def start(texts: pa.Array) -> pa.Array:
+        return as_column(contamination.one_pass(texts, None, *sent.value))
+
+    def add(texts: pa.Array, before: pa.Array) -> pa.Array:
+        return as_column(contamination.one_pass(texts, before, *sent.value))
+
+    return add if further else start
 
 
 def is_contaminated(report: Column) -> Column:

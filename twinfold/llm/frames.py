@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 #: Rows and bytes of one Arrow batch, so that a worker holds a few MB of text whatever the table's size.
 BATCH_ROWS = 256
 BATCH_BYTES = 16 << 20
+#: Bytes of a row group of a scratch table, so that a task that writes one holds no more.
+ROW_GROUP = 32 << 20
 #: Whether a query's shuffle files go when it ends; else they stay until the driver happens to collect garbage.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -22,10 +26,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_out(scan: DataFrame) -> DataFrame:
+    """A table as it was read, dealt out where its files give fewer tasks than there are cores."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound the batches that Python workers get; texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """Bound the batches that Python workers get; texts can be long.
+
+    Results are lazy and batches are cut when they run, so the bounds stay set in the session; smaller ones are left alone.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(name), re.IGNORECASE)
+        if not (now and 0 < int(now[1]) <= most):
+            spark.conf.set(name, most)
+
+
+#: Scratch folders of this driver, deleted when it ends.
+_ROOTS: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def _clean(spark: SparkSession) -> None:
+    for root in _ROOTS:
+        with contextlib.suppress(Exception):  # the JVM may have gone first
+            _delete(spark, root)
+
+
+#: Folders of local sessions that name none, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,23 +70,30 @@ def shared_folder(spark: SparkSession) -> str:
     except PySparkException:
         root = None
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="twinfold-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if context.applicationId not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="twinfold-")
+        root = _LOCAL_FOLDERS[context.applicationId]
     return root.rstrip("/")
 
 
 class Scratch:
-    """Parquet tables in the shared folder that cut lineage: a lost executor costs one table's recomputation at most.
+    """Tables that the steps of one run share.
 
-    ``drop`` and ``drop_but`` delete tables that no result reads any more; the rest stay until the folder is cleaned, as
-    results are lazy. The shuffle files of the query that wrote a table go with its end.
+    ``save`` writes Parquet in the shared folder and so cuts lineage: a lost executor costs one table's recomputation at
+    most. ``keep`` holds a narrow table on the executors' disks; it is made again from the saved ones where an executor is
+    lost. ``drop`` and ``drop_but`` delete tables that no result reads any more; the rest go when the driver
+    ends, as results are lazy. The shuffle files of the query that wrote a table go with its end.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.count = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
         self.tables: dict[int, DataFrame] = {}
+        if not _ROOTS:
+            atexit.register(_clean, spark)
+        _ROOTS.add(self.root)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.count += 1
@@ -59,7 +101,7 @@ class Scratch:
         before = self.spark.conf.get(FREE_SHUFFLES, "false")
         self.spark.conf.set(FREE_SHUFFLES, "true")
         try:
-            df.write.parquet(path)
+            df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
         finally:
             self.spark.conf.set(FREE_SHUFFLES, before)
         kept = self.spark.read.schema(df.schema).parquet(path)
@@ -67,15 +109,21 @@ class Scratch:
         self.tables[self.count] = kept
         return kept
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        self.tables[self.count] = kept = df.persist(StorageLevel.DISK_ONLY)
+        return kept
+
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            if hasattr(t, "scratch_path"):
+                _delete(self.spark, t.scratch_path)
+            else:
+                t.unpersist()
         self.tables = {k: t for k, t in self.tables.items() if not any(t is x for x in tables)}
 
     def drop_but(self, *kept: DataFrame | None, since: int = 0) -> None:
-        """Drop the tables that were saved when the count was over ``since``, other than those kept."""
+        """Drop the tables that were made when the count was over ``since``, other than those kept."""
         self.drop(*[t for k, t in self.tables.items() if k > since and not any(t is x for x in kept)])
 
 
@@ -90,12 +138,3 @@ def free_name(df: DataFrame, stem: str) -> str:
 def col(name: str):
     """The column of exactly this name, dots and spaces included."""
     return F.col("`" + name.replace("`", "``") + "`")
-
-
-def texts_of(column: pa.Array) -> list[bytes]:
-    """UTF-8 bytes of each text of a batch; a null text is empty."""
-    return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
-
-
-def rows_in_bytes(column: pa.Array) -> Iterator[bytes]:
-    yield from texts_of(column)
