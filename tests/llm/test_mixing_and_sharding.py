@@ -70,11 +70,18 @@ def test_mix_edges(spark, docs, empty):
     clash = docs.withColumn("__rate", F.lit(1)).withColumn("copy_no", F.lit("x")).withColumn("rate", F.lit(0))
     assert mixing.mix(clash).columns == [c for c in clash.columns if c != "copy_no"] + ["copy_no", "mix_key"]
     blank = spark.createDataFrame([(1, None, "a"), (2, "", "b")], "doc_id long, text string, source string")
-    assert mixing.mix(blank).count() >= 0
+    assert mixing.mix(blank).count() == drawn(1, 1.0) + drawn(2, 1.0)
     again = spark.createDataFrame([(5, "t", "s")] * 3, "doc_id long, text string, source string")
     assert mixing.mix(again, size=3.0).count() == 3 * drawn(5, 3.0)
 
 
+def test_rows_without_ids_draw_by_their_texts(spark):
+    df = spark.createDataFrame([(None, f"text {k % 1000:04d}", "s") for k in range(2000)], "doc_id long, text string, source string")
+    n = Counter(r["text"] for r in mixing.mix(df).select("text").collect())
+    assert sum(n.values()) == pytest.approx(2000, rel=0.1) and all(v % 2 == 0 for v in n.values())
+    assert 0.3 < 1 - len(n) / 1000 < 0.45  # exp(-1) of the texts are drawn no time
+
+
 def law(rows, shards=8):
     """rows: (doc_id, text). The shard and slot of each place in the order of text hash and id."""
     order = sorted(rows, key=lambda r: (hashlib.md5((r[1] or "").encode()).hexdigest(), -(2**63) if r[0] is None else r[0]))
@@ -106,6 +113,13 @@ def test_overfull_ranges_are_split(spark, monkeypatch):
     assert sorted(((r["doc_id"], r["shard"], r["slot"]) for r in found), key=str) == sorted(((i, s, n) for i, _, _, s, n in law(rows, 4)), key=str)
 
 
+def test_ids_of_any_type(spark):
+    rows = [("a", "one"), ("12", "one"), (None, "one"), ("b", "two"), ("a", "one")]
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id string, text string"), shards=2).collect()
+    assert len(found) == 5 and sorted((r["shard"], r["slot"]) for r in found) in ([(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)], [(0, 0), (0, 1), (1, 0), (1, 1), (1, 2)])
+    assert sharding.shard(spark.createDataFrame([(1.5, "x"), (2.5, "y")], "doc_id double, text string"), shards=2).count() == 2
+
+
 def test_shard_edges(spark, docs, empty, tmp_path):
     assert sharding.shard(empty).count() == 0 and sharding.shard(empty).columns[-2:] == ["shard", "slot"]
     one = spark.createDataFrame([(1, "a")], "doc_id long, text string")

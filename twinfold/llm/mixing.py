@@ -6,7 +6,8 @@ lost executor, draws the same. Documents are exploded by their counts, and the c
 of seed, id, text and copy number: a global shuffle.
 
 Edge cases: a null source is a source of its own. A null text has no bytes; a source without bytes has rate 0 unless
-every source is without, when all rates are 1. Rows with one id draw the same count. An empty table gives an empty one.
+every source is without, when all rates are 1. Rows with one id draw the same count; rows without an id draw by their
+texts, so that only equal ones share a count. An empty table gives an empty one.
 Other columns pass through; an input column named copy_no or mix_key is replaced.
 """
 
@@ -25,9 +26,10 @@ BROADCAST_SOURCES = 20_000
 SALTS = 32
 
 
-def uniform(seed: int, record_id: Column) -> Column:
-    """52 bits of a hash, as a number in [0, 1)."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(record_id.cast("string"), F.lit(""))))
+def uniform(seed: int, record_id: Column, text: Column) -> Column:
+    """52 bits of a hash of the id, or of the text where that is null, as a number in [0, 1)."""
+    unnamed = F.concat(F.lit("text "), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(record_id.cast("string"), unnamed)))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
@@ -72,7 +74,7 @@ def mix(docs: DataFrame, *, source_col: str = "source", text_col: str = "text",
     else:
         dealt = docs.withColumn(salt, F.pmod(F.xxhash64(col(id_col), col(text_col)), F.lit(SALTS)))
         rated = dealt.join(by_source.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))).withColumnRenamed(salt, salt + "_"), same() & (col(salt) == col(salt + "_")), "inner").drop(salt, salt + "_")
-    counted = rated.withColumn(count, poisson(col(rate), uniform(seed, col(id_col)))).filter(col(count) > 0).drop(source, rate)
+    counted = rated.withColumn(count, poisson(col(rate), uniform(seed, col(id_col), col(text_col).cast("string")))).filter(col(count) > 0).drop(source, rate)
     copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), col(count)))).drop(count)
     text_hash = F.md5(F.coalesce(col(text_col).cast("string"), F.lit("")).cast("binary"))
     keyed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(col(id_col).cast("string"), F.lit("")), F.col("copy_no").cast("string"), text_hash)))

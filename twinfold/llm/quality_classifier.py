@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.llm.frames import col, free_name, small_batches, texts_of
+from twinfold.llm.batches import texts_of
+from twinfold.llm.frames import col, free_name, small_batches
 
 #: Labelled rows that are learnt from at most.
 SAMPLE = 8_000
@@ -187,9 +188,11 @@ def held_out(record_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, text_col: str, id_col: str, label_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and labels of at most SAMPLE rows, chosen by a hash of their ids."""
+    """Statistics and labels of at most SAMPLE documents, chosen by a hash of their ids."""
     label = labels.select(col(id_col).alias("id"), col(label_col).cast("double").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0.0, 1.0) & ~held_out(F.col("id")))
-    chosen = label.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(SAMPLE)
+    # only labels of documents that are there count, so that others take no place in the sample
+    there = docs.select(col(id_col).alias("id")).join(label, "id").groupBy("id").agg(F.max("y").alias("y"))
+    chosen = there.orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(SAMPLE)
     texts = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
     joined = texts.join(F.broadcast(chosen), "id").select("id", "y", statistics(F.col("text")).alias("s"))
     rows = joined.groupBy("id").agg(F.first("y").alias("y"), F.min("s").alias("s")).select("id", "y", "s.*").orderBy("id").collect()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinfold.llm import decontaminate, licenses, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding, url_filter
-from twinfold.llm.frames import table
+from twinfold.llm.frames import spread_out, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -18,7 +18,7 @@ def query(f):
 
 @query
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.classes(table(spark, sf_dir, "documents"))
+    return near_dedup.classes(spread_out(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 ORACLES["op1_near_dedup"] = r"""
@@ -50,7 +50,7 @@ WITH sources AS (SELECT source, sum(strlen(coalesce(text, '')))::DOUBLE AS bytes
 ), rated AS (SELECT source, pow(bytes, {mixing.TEMPERATURE}) / weighed * total / bytes AS rate FROM sources, sums WHERE bytes > 0
 ), terms AS (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::INT)) AS j FROM rated
 ), cdf AS (SELECT source, sum(exp(j * ln(rate) - rate - lgamma(j + 1.0))) OVER (PARTITION BY source ORDER BY j) AS c FROM terms
-), drawn AS (SELECT d.*, ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents d
+), drawn AS (SELECT d.*, ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, '')))), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents d
 ), counted AS (SELECT d.*, (SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM d.source AND c <= u) AS n FROM drawn d
 ), copies AS (SELECT *, unnest(range(1, n + 1)) AS k FROM counted)
 SELECT doc_id, source, lang, n_chars, text, k::INT AS copy_no, md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || k || ':' || md5(coalesce(text, ''))) AS mix_key FROM copies
@@ -59,7 +59,7 @@ SELECT doc_id, source, lang, n_chars, text, k::INT AS copy_no, md5('{mixing.SEED
 
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread_out(table(spark, sf_dir, "documents").select("doc_id", "text"))
     # the texts end here: what is written beside the statistics is the id
     seen = quality_rules.judge(docs, "seen", keep=["doc_id"])
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -142,9 +142,9 @@ FROM cut LEFT JOIN words USING (r) LEFT JOIN owners USING (r)
 @query
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
-    # a page's outcome is its label: good quality and not toxic
+    # a page's outcome is its label: good quality and not toxic; unknown where the labels do not decide it
     good = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    outcomes = pages.join(good, pages["page_id"] == good["doc_id"]).select("url", F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0).alias("good"))
+    outcomes = pages.join(good, pages["page_id"] == good["doc_id"]).select("url", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good"))
     return url_filter.judge(pages.select("page_id", "url"), outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -162,12 +162,12 @@ def _level(name: str, source: str, by: str, prior: str) -> str:
 ORACLES["op7_url_filter"] = f"""
 WITH parts AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
 ), labelled AS (SELECT doc_id, max(quality) AS q, max(toxic) AS t FROM labels GROUP BY doc_id
-), hosts AS (
-  SELECT host, count(*)::DOUBLE AS n, sum(CASE WHEN q = 1 AND t = 0 THEN 1 ELSE 0 END)::DOUBLE AS good,
-    coalesce(regexp_extract(host, '(?:^|\\.)({"|".join(s.replace(".", "\\.") for s in url_filter.SUFFIXES)})$', 1), '') AS known
-  FROM parts JOIN labelled ON page_id = doc_id WHERE host <> '' GROUP BY host
-), named AS (SELECT *, CASE WHEN known <> '' THEN known ELSE regexp_extract(host, '[^.]*$') END AS suffix FROM hosts
-), domained AS (SELECT *, CASE WHEN host = suffix THEN host ELSE regexp_extract(substr(host, 1, length(host) - length(suffix) - 1), '[^.]*$') || '.' || suffix END AS domain FROM named
+), outcomes AS (SELECT host, (q = 1 AND t = 0)::INT AS good FROM parts JOIN labelled ON page_id = doc_id WHERE host <> ''
+), seen AS (SELECT DISTINCT host, coalesce(regexp_extract(host, '(?:^|\\.)({"|".join(s.replace(".", "\\.") for s in sorted(url_filter.SUFFIXES, key=len, reverse=True))})$', 1), '') AS known FROM parts WHERE host <> ''
+), suffixed AS (SELECT *, CASE WHEN known <> '' THEN known ELSE regexp_extract(host, '[^.]*$') END AS suffix FROM seen
+), named AS (SELECT *, CASE WHEN host = suffix THEN host ELSE regexp_extract(substr(host, 1, length(host) - length(suffix) - 1), '[^.]*$') || '.' || suffix END AS domain FROM suffixed
+), counts AS (SELECT host, count(*)::DOUBLE AS n, sum(good)::DOUBLE AS good FROM outcomes WHERE good IS NOT NULL GROUP BY host
+), domained AS (SELECT * FROM named JOIN counts USING (host)
 ), overall AS (SELECT (sum(good) + 1) / (sum(n) + 2) AS p FROM domained
 ), s0 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, any_value(p) AS p FROM domained, overall GROUP BY suffix
 ), {_level("s1", "s0", "suffix", "p")}
@@ -175,7 +175,15 @@ WITH parts AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '^(?s
 ), {_level("d1", "d0", "domain", "p")}
 , h0 AS (SELECT host, h.n, h.good, d1.mean AS p FROM domained h JOIN d1 USING (domain)
 ), {_level("h1", "h0", "host", "p")}
-, blocked AS (SELECT host FROM h1 WHERE mean + {url_filter.DEVIATIONS} * sqrt(mean * (1 - mean) / (n + k + 1)) < {url_filter.LEAST}
+, ws AS (SELECT (SELECT k FROM s1 LIMIT 1) AS ks, (SELECT k FROM d1 LIMIT 1) AS kd, (SELECT k FROM h1 LIMIT 1) AS kh, p FROM overall
+), bare AS (
+  SELECT host, coalesce(d1.mean, s1.mean, p) AS m,
+    1 - (1 - 1 / (kh + 1)) * CASE WHEN d1.mean IS NULL THEN 1 - 1 / (kd + 1) ELSE 1 END * CASE WHEN d1.mean IS NULL AND s1.mean IS NULL THEN 1 - 1 / (ks + 1) ELSE 1 END AS part
+  FROM named x CROSS JOIN ws LEFT JOIN d1 ON d1.domain = x.domain LEFT JOIN s1 ON s1.suffix = x.suffix WHERE x.host NOT IN (SELECT host FROM counts)
+), uppers AS (
+  SELECT host, mean + {url_filter.DEVIATIONS} * sqrt(mean * (1 - mean) / (n + k + 1)) AS upper FROM h1
+  UNION ALL SELECT host, m + {url_filter.DEVIATIONS} * sqrt(m * (1 - m) * part) FROM bare
+), blocked AS (SELECT host FROM uppers WHERE upper < {url_filter.LEAST}
 ), rules(v, rule, name, start) AS (VALUES {_rule_rows()}
 ), fits AS (SELECT page_id, url, max_by(v, length(rule)) AS v, max_by(rule, length(rule)) AS rule FROM parts JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY page_id, url
 )
@@ -205,5 +213,5 @@ def _path() -> Column:
 
 @query
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "documents").select("doc_id", _path().alias("path"), "text")
+    files = spread_out(table(spark, sf_dir, "documents").select("doc_id", _path().alias("path"), "text"))
     return licenses.scan(files).select("doc_id", "path", "license", "cosine", "found_in")

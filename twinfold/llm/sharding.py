@@ -6,7 +6,8 @@ drawn from it. Every range is small, so running sums within ranges plus the byte
 exact place in the whole order, and the record at byte position p goes to shard floor(shards * p / total). Shards thus
 differ by one record at most, whatever was drawn, and a slot is the record's rank in its shard.
 
-Edge cases: a null text has no bytes (size 1). A null id sorts first. Rows equal in text and id are interchangeable. A
+Edge cases: a null text has no bytes (size 1). A null id sorts first; ids may be
+of any type. Rows equal in text and id are interchangeable. A
 group of equal texts is cut where a shard boundary falls into it. An empty table gives an empty table. Input columns
 keep their names; an input column named shard or slot is replaced.
 """
@@ -39,9 +40,10 @@ def size_of(text: Column) -> Column:
 
 
 def key_of(text: Column, record_id: Column) -> Column:
-    """A string that sorts by text hash, then id."""
-    place = F.lpad(F.hex(record_id.cast("long").bitwiseXOR(F.lit(_LOWEST))), 16, "0")
-    return F.concat(F.md5(F.coalesce(text, F.lit("")).cast("binary")), F.coalesce(place, F.lit("")))
+    """A string that sorts by text hash, then id: by number where it is one, else by hash."""
+    place = F.lpad(F.hex(record_id.try_cast("long").bitwiseXOR(F.lit(_LOWEST))), 16, "0")
+    named = F.coalesce(place, F.substring(F.md5(record_id.cast("string").cast("binary")), 1, 16))
+    return F.concat(F.md5(F.coalesce(text, F.lit("")).cast("binary")), F.coalesce(named, F.lit("")))
 
 
 def draw(keys: DataFrame, n: int) -> list[str]:

@@ -7,7 +7,7 @@ its domain's prior, or that of its suffix or of all where these have no labels e
 between them and the host make it.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path, fits no rule and is allowed. Without any label all
-are allowed that no rule blocks. Labels other than 0 and 1 are not counted. Repeated rows are judged one by one. Input columns named
+are allowed that no rule blocks. Labels other than 0 and 1, null ones included, are not counted. Repeated rows are judged one by one. Input columns named
 host, path, rule or verdict are replaced, other columns pass through.
 """
 
@@ -20,8 +20,45 @@ from twinfold.llm.frames import Scratch, col, free_name
 
 #: (allow or block, rule): the rule's host, then the beginning of the path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Below these, a name is registered with one label more. Elsewhere the last label is the suffix.
-SUFFIXES = ("example.com", "example.net", "example.org")
+#: Suffixes of several labels below which names are registered, the common ones of country and hosting
+#: domains, and the names that are reserved for examples. Elsewhere the last label is the suffix.
+SUFFIXES = (
+    "example.com", "example.net", "example.org",
+    "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "nhs.uk", "org.uk", "plc.uk", "sch.uk",
+    "com.au", "edu.au", "gov.au", "id.au", "net.au", "org.au",
+    "ac.nz", "co.nz", "govt.nz", "net.nz", "org.nz",
+    "ac.jp", "ad.jp", "co.jp", "ed.jp", "go.jp", "gr.jp", "lg.jp", "ne.jp", "or.jp",
+    "ac.kr", "co.kr", "go.kr", "ne.kr", "or.kr", "re.kr",
+    "ac.cn", "com.cn", "edu.cn", "gov.cn", "net.cn", "org.cn",
+    "com.tw", "edu.tw", "gov.tw", "net.tw", "org.tw",
+    "com.hk", "edu.hk", "gov.hk", "net.hk", "org.hk",
+    "com.sg", "edu.sg", "gov.sg", "net.sg", "org.sg",
+    "com.my", "edu.my", "gov.my", "net.my", "org.my",
+    "ac.id", "co.id", "go.id", "or.id", "sch.id", "web.id",
+    "ac.th", "co.th", "go.th", "in.th", "or.th",
+    "com.vn", "edu.vn", "gov.vn", "net.vn", "org.vn",
+    "com.ph", "edu.ph", "gov.ph", "net.ph", "org.ph",
+    "ac.in", "co.in", "edu.in", "gov.in", "net.in", "nic.in", "org.in",
+    "com.pk", "edu.pk", "gov.pk", "net.pk", "org.pk",
+    "com.bd", "edu.bd", "gov.bd", "net.bd", "org.bd",
+    "ac.za", "co.za", "gov.za", "net.za", "org.za",
+    "ac.ke", "co.ke", "go.ke", "or.ke",
+    "com.ng", "edu.ng", "gov.ng", "org.ng",
+    "com.eg", "edu.eg", "gov.eg", "org.eg",
+    "ac.il", "co.il", "gov.il", "net.il", "org.il",
+    "com.tr", "edu.tr", "gov.tr", "net.tr", "org.tr",
+    "com.sa", "edu.sa", "gov.sa", "net.sa", "org.sa",
+    "com.ua", "edu.ua", "gov.ua", "net.ua", "org.ua",
+    "com.pl", "edu.pl", "gov.pl", "net.pl", "org.pl",
+    "com.gr", "edu.gr", "gov.gr", "org.gr",
+    "com.br", "edu.br", "gov.br", "net.br", "org.br",
+    "com.ar", "edu.ar", "gob.ar", "net.ar", "org.ar",
+    "com.mx", "edu.mx", "gob.mx", "net.mx", "org.mx",
+    "com.co", "edu.co", "gov.co", "net.co", "org.co",
+    "com.pe", "edu.pe", "gob.pe", "org.pe",
+    "com.ve", "edu.ve", "gob.ve", "org.ve",
+    "appspot.com", "blogspot.com", "github.io", "gitlab.io", "herokuapp.com", "netlify.app", "pages.dev", "vercel.app", "web.app", "wordpress.com",
+)
 LEAST, DEVIATIONS = 0.5, 2.0
 PRIOR_WEIGHT = (2.0, 1000.0)
 #: Hosts up to which their reputations are broadcast (some 100 bytes each).
