@@ -1,11 +1,14 @@
+import contextlib
 import io
+import pathlib
+import sys
 import tarfile
 import zipfile
 
 import pytest
 import xxhash
 
-from twinfold.config import ScanConfig
+from twinfold.config import Hashing, Unpacking
 from twinfold.sources import archives, listing
 
 
@@ -27,8 +30,8 @@ def tar_of(members: dict[str, bytes], mode: str = "w:gz") -> bytes:
     return out.getvalue()
 
 
-def rows(path, content, **config):
-    return archives.unpack(path, ScanConfig(**config), content)
+def rows(path, content, hashing=None, **unpacking):
+    return list(archives.unpack(path, hashing, Unpacking(**unpacking), content))
 
 
 def paths(found):
@@ -56,11 +59,11 @@ def chain(depth):
 
 
 def test_nesting_and_depth():
-    assert len(rows("x.zip", chain(4), max_depth=0)) == 1
-    found = rows("x.zip", chain(4), max_depth=10)
+    assert len(rows("x.zip", chain(4), depth=0)) == 1
+    found = rows("x.zip", chain(4), depth=10)
     assert found[-1]["path_in_archive"] == "level3.zip/level2.zip/level1.zip/level0.zip/deep.txt" and found[-1]["depth"] == 4
     assert [r["is_nested_archive"] for r in found] == [True] * 4 + [False]
-    assert paths(rows("x.zip", chain(2), max_depth=1)) == ["level1.zip", "level1.zip/level0.zip"]
+    assert paths(rows("x.zip", chain(2), depth=1)) == ["level1.zip", "level1.zip/level0.zip"]
 
 
 def test_nested_tar_in_zip():
@@ -76,7 +79,7 @@ def test_broken_input_is_a_row():
     assert paths(found) == ["inner.zip", "b"] and sum(r["error"] is not None for r in found) == 1
     assert rows("x.rar", b"")[0]["error"]
     assert rows("x.zip", zip_of({})) == []
-    assert archives.unpack("/no/such.zip", ScanConfig())[0]["error"]
+    assert next(archives.unpack("/no/such.zip"))["error"]
 
 
 def test_self_extracting_and_carved():
@@ -85,15 +88,82 @@ def test_self_extracting_and_carved():
     assert paths(rows("dir/tool.AppImage", b"\x7fELF" + b"\1" * 500 + payload)) == ["tool.AppImage/m.txt"]
 
 
-def test_limits():
-    assert rows("x.zip", zip_of({"a": b"x" * 100}), max_member_bytes=50)[0]["error"].startswith("TooLarge")
-    found = rows("x.zip", zip_of({"a": b"x" * 60, "b": b"x" * 60}), max_archive_bytes=100)
-    assert [r["error"] is None for r in found] == [True, False]
+def test_limits_leave_an_archive_unread():
+    two = zip_of({"a": b"x" * 60, "b": b"x" * 60})
+    for limit in ({"member_bytes": 50}, {"archive_bytes": 100}):
+        (row,) = rows("x.zip", two, **limit)
+        assert row["error"].startswith("TooLarge") and row["path_in_archive"] == "" and row["depth"] == 0
+        (row,) = rows("x.zip", zip_of({"first": b"1", "in.zip": two}), **limit)
+        assert row["error"].startswith("TooLarge") and row["path_in_archive"] == ""
+    assert len(rows("x.zip", two, member_bytes=60, archive_bytes=120)) == 2 and len(rows("x.zip", two)) == 2
+
+
+class StandIn:
+    """A module in the place of a library that is not installed."""
+
+    def __init__(self, members):
+        self.members = members
+
+    def SevenZipFile(self, file):  # noqa: N802
+        class Archive:
+            def __enter__(self):
+                return self
+
+            def __exit__(self, *_):
+                pass
+
+            def list(own):
+                return [type("Info", (), {"uncompressed": len(v)}) for v in self.members.values()]
+
+            def extractall(own, folder):
+                for name, content in self.members.items():
+                    (pathlib.Path(folder) / name).parent.mkdir(parents=True, exist_ok=True)
+                    (pathlib.Path(folder) / name).write_bytes(content)
+
+        return Archive()
+
+    def RarFile(self, file):  # noqa: N802
+        class Archive:
+            def __enter__(self):
+                return self
+
+            def __exit__(self, *_):
+                pass
+
+            def infolist(own):
+                return [type("Info", (), {"filename": n, "is_dir": lambda _, n=n: n.endswith("/")})() for n in self.members]
+
+            def open(own, info):
+                return io.BytesIO(self.members[info.filename])
+
+        return Archive()
+
+    @contextlib.contextmanager
+    def stream_reader(self, file):
+        yield [type("Entry", (), {"pathname": n, "isfile": not n.endswith("/"), "get_blocks": lambda _, v=v: iter([v[:2], v[2:]])})() for n, v in self.members.items()]
+
+
+@pytest.mark.parametrize("name, module", [("x.7z", "py7zr"), ("x.rar", "rarfile"), ("x.iso", "libarchive"), ("x.deb", "libarchive"), ("x.tar.zst", "libarchive"), ("x.squashfs", "libarchive"), ("x.zip", "libarchive")])
+def test_readers_of_libraries(monkeypatch, name, module):
+    """A zip without members is passed on to the next reader."""
+    monkeypatch.setitem(sys.modules, module, StandIn({"d/one.txt": b"one!", "in.zip": zip_of({"two": b"2"})}))
+    found = {r["path_in_archive"]: r["full_hash"] for r in rows(name, zip_of({})) if r["error"] is None}
+    assert set(found) == {"d/one.txt", "in.zip", "in.zip/two"} and found["d/one.txt"] == xxhash.xxh3_64_hexdigest(b"one!")
+
+
+def test_seven_zips_are_measured_before_they_are_unpacked(monkeypatch):
+    monkeypatch.setitem(sys.modules, "py7zr", StandIn({"a": b"x" * 200}))
+    assert rows("x.7z", b"", archive_bytes=100)[0]["error"].startswith("TooLarge")
+
+
+def test_embedded_disk_image(monkeypatch):
+    monkeypatch.setitem(sys.modules, "libarchive", StandIn({"m.txt": b"m"}))
+    assert paths(rows("tool.AppImage", b"\x7fELF" + b"\1" * 500 + b"hsqs" + b"\0" * 100)) == ["tool.AppImage/m.txt"]
 
 
 def test_large_members_have_both_hashes():
     data = bytes(range(256)) * 10
-    (row,) = rows("x.zip", zip_of({"a": data}), partial_threshold=len(data), prefix_size=10)
+    (row,) = rows("x.zip", zip_of({"a": data}), Hashing(large=len(data), prefix=10))
     assert row["full_hash"] == xxhash.xxh3_64_hexdigest(data) and row["quick_hash"] == xxhash.xxh3_64_hexdigest(data[:10])
 
 
@@ -115,6 +185,16 @@ def test_data_source_and_listing(spark, tmp_path):
     listed = listing.list_files(spark, [str(tmp_path), str(tmp_path / "sub"), str(tmp_path / "none")])
     assert listed.count() == 4 and listed.filter("size >= 1").count() == 3
     assert listing.list_files(spark, [str(tmp_path / "none")]).count() == 0
-    found = archives.members(listing.archives(listed), ScanConfig())
+    found = archives.members(listing.archives(listed))
     assert found.filter("error is null").count() == 3 and found.filter("error is not null").count() == 1
     assert listing.list_with_spark(spark, [str(tmp_path)], 1).count() == 2  # without hidden names
+
+
+def test_folders_are_opened_until_there_are_enough(tmp_path):
+    for a in range(3):
+        for b in range(4):
+            (tmp_path / "one" / f"a{a}" / f"b{b}" / "c").mkdir(parents=True)
+    assert list(listing.subtrees(str(tmp_path), 1)) == [(str(tmp_path), True)]
+    found = list(listing.subtrees(str(tmp_path), 10))
+    assert sum(deep for _, deep in found) == 12 and sum(not deep for _, deep in found) == 5
+    assert not any(deep for _, deep in listing.subtrees(str(tmp_path), 100))

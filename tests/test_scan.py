@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinfold.cli import config_of, main, parser
-from twinfold.config import ScanConfig, admit_directory
+from twinfold.config import Deletion, Hashing, Scan, Unpacking, admitted
 from twinfold.operators import actions, match, report
 from twinfold.operators.store import Store
 from twinfold.plans import scan
@@ -33,11 +33,11 @@ def dirs(tmp_path):
 
 
 def config(dirs, **more):
-    return ScanConfig(source_dirs=(str(dirs / "s"),), target_dirs=(str(dirs / "t"),), store_path=str(dirs / "store"), **{"partial_threshold": 1000, "prefix_size": 16} | more)
+    return Scan((str(dirs / "s"),), (str(dirs / "t"),), str(dirs / "store"), hashing=Hashing(large=1000, prefix=16), **more)
 
 
 def find(spark, c):
-    with Store(spark, c.store_path) as kept:
+    with Store(spark, c.store) as kept:
         scan.scan_sources(spark, c, kept)
         return [r.asDict() for r in scan.scan_targets(spark, c, kept).collect()]
 
@@ -50,7 +50,7 @@ def test_two_archives_two_targets(spark, dirs):
     (dirs / "t" / "unlike").write_bytes(b"unlike")
     found = find(spark, config(dirs))
     assert len(found) == 4 and all(r["selected"] for r in found)
-    assert not any(r["selected"] for r in find(spark, config(dirs, auto_select=False)))
+    assert not any(r["selected"] for r in find(spark, config(dirs, deletion=Deletion(unless_stored=False))))
 
 
 def test_nested_zero_byte_unicode_and_prefix_collision(spark, dirs):
@@ -87,21 +87,21 @@ def test_rescan_replaces_members_and_skips_unchanged(spark, dirs):
     path.unlink()
     write_zip(dirs / "s" / "c.zip", {"z": b"z"})
     (dirs / "t" / "x").write_bytes(b"1111 longer")
-    assert find(spark, config(dirs)) == [] and len(find(spark, config(dirs, match_all_known=True))) == 1
+    assert find(spark, config(dirs)) == [] and len(find(spark, config(dirs, gone_count=True))) == 1
 
 
 def test_min_size_keeps_children(spark, dirs):
     write_zip(dirs / "s" / "a.zip", {"tiny": b"1", "mid": b"m" * 50})
     for n, data in (("tiny", b"1"), ("mid", b"m" * 50)):
         (dirs / "t" / n).write_bytes(data)
-    assert [r["filename"] for r in find(spark, config(dirs, min_file_size=30))] == ["mid"]
+    assert [r["filename"] for r in find(spark, config(dirs, least_bytes=30))] == ["mid"]
 
 
 def test_target_archives(spark, dirs):
     write_zip(dirs / "s" / "a.zip", {"f": b"content"})
     write_zip(dirs / "t" / "t.zip", {"g": b"content", "h": b"more"})
     assert find(spark, config(dirs)) == []
-    (row,) = find(spark, config(dirs, search_target_archives=True))
+    (row,) = find(spark, config(dirs, look_inside=True))
     assert row["target_path"].endswith("t.zip!/g")
 
 
@@ -111,23 +111,23 @@ def test_run_deletes_only_when_told(spark, dirs):
     done = scan.run(spark, config(dirs))
     assert done.plan.count() == 1 and done.summary.first()["file_count"] == 1
     assert [r["status"] for r in done.outcomes.collect()] == ["would delete"] and (dirs / "t" / "x").exists()
-    done = scan.run(spark, config(dirs, dry_run=False, delete_method="permanent", keep_store=False))
+    done = scan.run(spark, config(dirs, deletion=Deletion(carried_out=True, way="permanent"), forget=True))
     assert [r["status"] for r in done.outcomes.collect()] == ["deleted"] and not (dirs / "t" / "x").exists()
     assert Store(spark, str(dirs / "store")).statistics().first().asDict() == {"archive_count": 0, "file_count": 0, "nested_count": 0}
-    with pytest.raises(scan.InvalidConfig):
-        scan.run(spark, ScanConfig())
+    with pytest.raises(scan.InvalidScan):
+        scan.run(spark, Scan((), ()))
 
 
 def test_actions(spark, tmp_path):
     (tmp_path / "a").write_bytes(b"12")
     (tmp_path / "b").write_bytes(b"12")
     plan = spark.createDataFrame([(str(tmp_path / "a"), 2), (str(tmp_path / "b"), 3), (str(tmp_path / "c"), 1)], "target_path string, target_size long")
-    status = {os.path.basename(r["path"]): r["reason"] for r in actions.execute(plan, method="permanent", dry_run=False).collect()}
+    status = {os.path.basename(r["path"]): r["reason"] for r in actions.execute(plan, way="permanent", carried_out=True).collect()}
     assert status == {"a": None, "b": "changed since it was scanned", "c": "File not found"}
     assert actions.execute(plan.limit(0)).count() == 0
     (tmp_path / "d").write_bytes(b"")
     plan = spark.createDataFrame([(str(tmp_path / "d"), 0)], "target_path string, target_size long")
-    assert actions.execute(plan, method="trash", dry_run=False).first()["reason"] == "send2trash is not installed"
+    assert actions.execute(plan, way="trash", carried_out=True).first()["reason"] == "send2trash is not installed"
 
 
 def test_store(spark, tmp_path):
@@ -186,7 +186,7 @@ def test_phases_agree(spark):
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.bin").write_bytes(b"a" * 20)
-    kept, c = Store(spark, str(tmp_path / "st")), ScanConfig(partial_threshold=10, prefix_size=4, hash_name="md5")
+    kept, c = Store(spark, str(tmp_path / "st")), Scan((), (), hashing=Hashing("md5", 10, 4))
     for extra in (None, "b.bin"):
         if extra:
             (tmp_path / "in" / extra).write_bytes(b"b")
@@ -196,13 +196,53 @@ def test_stream(spark, tmp_path):
 
 
 def test_config_and_command_line(tmp_path, capsys):
-    assert len(ScanConfig().problems()) == 2 and ScanConfig().problems(headless=True) == []
-    bad = ScanConfig(source_dirs=("a",), target_dirs=("b",), delete_method="burn", min_file_size=-1, partial_threshold=-1, max_depth=-1)
-    assert len(bad.problems()) == 4
-    assert main([]) == 1 and "source" in capsys.readouterr().err
+    assert len(Scan((), ()).faults()) == 2
+    bad = Scan(("a",), ("b",), least_bytes=-1, hashing=Hashing("none", -1, 0), unpacking=Unpacking(-1, 0), deletion=Deletion(way="burn"))
+    assert len(bad.faults()) == 7 and not Scan(("a",), ("b",)).faults()
+    assert main([]) == 1 and "no directory with archives" in capsys.readouterr().err
+    assert main(["-s", str(tmp_path), "-s", str(tmp_path), "-t", str(tmp_path / "no")]) == 1
+    said = capsys.readouterr().err
+    assert "already listed" in said and "does not exist" in said
     c = config_of(parser().parse_args(["-s", "a", "-s", "b", "-t", "c", "--recheck", "--no-auto-select", "--min-size", "3", "--dry-run", "--delete"]))
-    assert c.source_dirs == ("a", "b") and c.recheck_sources and not c.auto_select and c.dry_run and c.min_file_size == 3
-    assert not config_of(parser().parse_args(["--delete"])).dry_run
-    path, why = admit_directory(f" {tmp_path} ", [])
-    assert path == str(tmp_path.resolve()) and why is None
-    assert [admit_directory(x, [path])[1] for x in ("", str(tmp_path / "no"), __file__, str(tmp_path))] == ["empty path", "does not exist", "not a directory", "already listed"]
+    assert c.archives_in == ("a", "b") and c.afresh == {"archives"} and not c.deletion.unless_stored and not c.deletion.carried_out and c.least_bytes == 3
+    assert config_of(parser().parse_args(["--delete"])).deletion.carried_out
+    path = admitted(f" {tmp_path} ", [])
+    assert path == str(tmp_path.resolve())
+    for text, why in (("", "empty path"), (str(tmp_path / "no"), "does not exist"), (__file__, "not a directory"), (str(tmp_path), "already listed")):
+        with pytest.raises(ValueError, match=why):
+            admitted(text, [path])
+
+
+def test_deltas_are_merged_and_become_snapshots(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("twinfold.operators.store.MOST_DELTAS", 2)
+    kept = Store(spark, str(tmp_path / "st"))
+    pick = lambda *rows: spark.createDataFrame(rows, "file_hash string, target_path string, selected boolean")
+    kinds = []
+    for k in range(5):
+        kept.select(pick(("h", "t", k % 2 == 0), (f"h{k}", "t", True)))
+        kinds.append(kept._versions("selection_state")[-1][1][0])
+        assert kept.selection("h", "t") is (k % 2 == 0) and kept.table("selection_state").count() == k + 2
+    assert kinds == ["d", "d", "v", "d", "d"]
+    assert kept.toggle("h", "t") is False and kept.selection("h", "t") is False and kept.toggle("new", "t") is False
+
+
+def test_counts_by_content_are_those_of_the_pairs(spark):
+    """One content in very many files and targets makes no pairs in plan and totals."""
+    files = spark.range(300).select(F.lit("h").alias("full_hash"), F.lit(None).cast("string").alias("quick_hash"), F.lit("f").alias("filename"), F.col("id").cast("string").alias("path_in_archive"), F.concat(F.lit("z"), F.col("id") % 3).alias("source_archive"), F.lit(5).cast("long").alias("size"), F.lit(False).alias("is_nested_archive"))
+    targets = spark.range(200).select(F.col("id").cast("string").alias("path"), F.lit(5).cast("long").alias("size"), F.when(F.col("id") % 2 == 0, F.lit("h")).otherwise(F.lit("other")).alias("full_hash"))
+    pairs = match.one_phase(targets, files)
+    assert report.totals(targets, files).first().asDict() == {"match_count": pairs.count(), "archive_count": 3, "target_count": 100}
+    assert {r["source_archive"]: (r["match_count"], r["redundant_bytes"]) for r in report.by_archive(targets, files).collect()} == dict.fromkeys(("z0", "z1", "z2"), (10_000, 50_000))
+    plan = report.deletion_plan(match.target_counts(targets, files).withColumn("selected", F.lit(True)))
+    assert plan.count() == 100 and {r["match_count"] for r in plan.collect()} == {300}
+    parts = match.nested_result(match.select_all(pairs, True), most=5000).collect()
+    assert sum(len(r["duplicates"]) for r in parts) == pairs.count() and {r["part"] for r in parts} == {0, 1}
+
+
+def test_running_counters(spark, dirs):
+    write_zip(dirs / "s" / "a.zip", {"one": b"1111", "two": b"2" * 2000})
+    (dirs / "t" / "x").write_bytes(b"1111")
+    (dirs / "t" / "y").write_bytes(b"2" * 2000)
+    done = scan.run(spark, config(dirs))
+    assert done.counters == {"members_read": 2, "archives_read": 1, "targets_hashed": 2, "targets_failed": 0, "targets_verified": 1}
+    assert done.matches.count() == 2 and done.by_archive.first()["match_count"] == 2

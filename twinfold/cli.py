@@ -8,7 +8,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from twinfold.config import ScanConfig
+from twinfold.config import Deletion, Hashing, Scan, admitted
 from twinfold.operators import report
 from twinfold.plans import scan
 
@@ -35,26 +35,45 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def config_of(a: argparse.Namespace) -> ScanConfig:
-    return ScanConfig(
-        source_dirs=tuple(a.source), target_dirs=tuple(a.target), store_path=a.db_path, keep_store=not a.no_keep_db, recheck_sources=a.recheck, recheck_targets=a.recheck_targets,
-        search_target_archives=a.search_archives, dry_run=a.dry_run or not a.delete, delete_method=a.delete_method, auto_select=not a.no_auto_select, min_file_size=a.min_size,
-        partial_threshold=a.partial_threshold, prefix_size=a.prefix_size,
-    )
+def config_of(a: argparse.Namespace) -> Scan:
+    return Scan(
+        archives_in=tuple(a.source),
+        files_in=tuple(a.target),
+        store=a.db_path,
+        forget=a.no_keep_db,
+        least_bytes=a.min_size,
+        afresh=frozenset(what for what, told in (("archives", a.recheck), ("files", a.recheck_targets)) if told),
+        look_inside=a.search_archives,
+        hashing=Hashing(large=a.partial_threshold, prefix=a.prefix_size),
+        deletion=Deletion(carried_out=a.delete and not a.dry_run, way=a.delete_method, unless_stored=not a.no_auto_select),
+    )
+
+
+def directories(given: list[str]) -> tuple[list[str], list[str]]:
+    """Those that are admitted, and what is wrong with the others."""
+    good, bad = [], []
+    for text in given:
+        try:
+            good.append(admitted(text, good))
+        except ValueError as why:
+            bad.append(f"{text}: {why}")
+    return good, bad
 
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     logging.basicConfig(level=logging.DEBUG if a.verbose else logging.INFO, filename="twinfold.log")
+    (a.source, bad_sources), (a.target, bad_targets) = directories(a.source), directories(a.target)
     config = config_of(a)
-    if problems := config.problems():
-        print("\n".join(problems), file=sys.stderr)
+    if faults := [*bad_sources, *bad_targets, *config.faults()]:
+        print("\n".join(faults), file=sys.stderr)
         return 1
     builder = SparkSession.builder.appName("twinfold")
     if a.workers:
         builder = builder.master(f"local[{a.workers}]")
     done = scan.run(builder.getOrCreate(), config)
-    report.by_archive(done.matches).orderBy("source_archive").show(50, truncate=False)
+    print(", ".join(f"{name}: {n}" for name, n in done.counters.items()))
+    done.by_archive.orderBy("source_archive").show(50, truncate=False)
     done.summary.show(truncate=False)
     report.outcome_counts(done.outcomes).show(truncate=False)
     return 0

@@ -1,69 +1,100 @@
-"""What a scan needs to know, and whether that makes sense."""
+"""What a scan is told, in parts that each say what is wrong with them."""
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+from twinfold.functions.exprs import HASHES
+
+
+@dataclass(frozen=True)
+class Hashing:
+    """How content becomes hashes. From ``large`` bytes on a hash of the first ``prefix`` bytes comes first."""
+
+    name: str = "xxh3_64"
+    large: int = 1 << 20
+    prefix: int = 8 << 10
+
+    def faults(self) -> Iterator[str]:
+        if self.name not in HASHES:
+            yield f"hash {self.name} is none of {', '.join(HASHES)}"
+        if self.large < 0:
+            yield "the size from which a file is large is negative"
+        if self.prefix < 1:
+            yield "the prefix that is hashed has no bytes"
+
+
+@dataclass(frozen=True)
+class Unpacking:
+    """How far archives are unpacked. An archive beyond a limit of bytes counts as unread, and is tried again; None is no limit."""
+
+    depth: int = 10
+    member_bytes: int | None = None
+    archive_bytes: int | None = None
+
+    def faults(self) -> Iterator[str]:
+        if self.depth < 0:
+            yield "archives cannot be unpacked to a negative depth"
+        if any(x is not None and x < 1 for x in (self.member_bytes, self.archive_bytes)):
+            yield "a limit of unpacked bytes is below one"
+
 
 @dataclass(frozen=True)
-class ScanConfig:
-    source_dirs: tuple[str, ...] = ()
-    target_dirs: tuple[str, ...] = ()
-    store_path: str = "twinfold-store"
-    keep_store: bool = True
-    recheck_sources: bool = False
-    recheck_targets: bool = False
-    search_target_archives: bool = False
-    dry_run: bool = True
-    delete_method: str = "trash"
-    auto_select: bool = True
-    min_file_size: int = 0
-    #: From this size on a prefix hash comes first, and the full hash only where that matches.
-    partial_threshold: int = 1 << 20
-    prefix_size: int = 8 << 10
-    hash_name: str = "xxh3_64"
-    max_depth: int = 10
-    #: Guards against archives that unpack without end.
-    max_member_bytes: int = 16 << 30
-    max_archive_bytes: int = 256 << 30
-    #: Match rows of archives that are gone as well.
-    match_all_known: bool = False
-    extra: dict = field(default_factory=dict)
-
-    def problems(self, headless: bool = False) -> list[str]:
-        """What is wrong with it; with ``headless`` missing directories are no problem."""
-        found = []
-        if not headless:
-            if not self.source_dirs:
-                found.append("at least one source directory is needed")
-            if not self.target_dirs:
-                found.append("at least one target directory is needed")
-        if self.delete_method not in ("trash", "permanent"):
-            found.append("the delete method is trash or permanent")
-        if self.min_file_size < 0:
-            found.append("the least file size cannot be negative")
-        if self.partial_threshold < 0 or self.prefix_size <= 0:
-            found.append("the partial threshold cannot be negative, and the prefix must be positive")
-        if self.max_depth < 0:
-            found.append("the depth cannot be negative")
-        return found
-
-    def fingerprint(self) -> str:
-        """Of what decides the hashes; a store made under another one is scanned again."""
-        return f"{self.hash_name}/{self.partial_threshold}/{self.prefix_size}/{self.min_file_size}/{self.max_depth}"
-
-
-def admit_directory(text: str, taken: list[str]) -> tuple[str | None, str | None]:
-    """(resolved path, None), or (None, why it is not admitted)."""
-    text = text.strip()
-    if not text:
-        return None, "empty path"
+class Deletion:
+    """What becomes of targets that are archived. Nothing is touched unless ``carried_out``."""
+
+    carried_out: bool = False
+    way: str = "trash"
+    #: Whether a target is chosen where the store has no choice for it.
+    unless_stored: bool = True
+
+    def faults(self) -> Iterator[str]:
+        if self.way not in ("trash", "permanent"):
+            yield f"files are deleted by trash or permanent, not by {self.way}"
+
+
+@dataclass(frozen=True)
+class Scan:
+    """Directories, what counts in them, and the policies."""
+
+    archives_in: tuple[str, ...]
+    files_in: tuple[str, ...]
+    store: str = "twinfold-store"
+    #: Whether the store is emptied at the end.
+    forget: bool = False
+    #: Files and members of fewer bytes are passed over.
+    least_bytes: int = 0
+    #: Of "archives" and "files", what is read again even if it did not change.
+    afresh: frozenset[str] = frozenset()
+    #: Whether members of archives among the files are matched too.
+    look_inside: bool = False
+    #: Whether archives that are gone still count as sources.
+    gone_count: bool = False
+    hashing: Hashing = field(default_factory=Hashing)
+    unpacking: Unpacking = field(default_factory=Unpacking)
+    deletion: Deletion = field(default_factory=Deletion)
+
+    def faults(self) -> list[str]:
+        own = [f"no directory with {what} was given" for what, given in (("archives", self.archives_in), ("files", self.files_in)) if not given]
+        if self.least_bytes < 0:
+            own.append("the least size is negative")
+        return [*own, *self.hashing.faults(), *self.unpacking.faults(), *self.deletion.faults()]
+
+    def stamp(self) -> str:
+        """Of what decides the stored rows; those made under another one are made again."""
+        h = self.hashing
+        return f"{h.name}/{h.large}/{h.prefix}/{self.least_bytes}/{self.unpacking.depth}"
+
+
+def admitted(text: str, taken: list[str]) -> str:
+    """The resolved path of a directory that may be added to those taken; else a ValueError that says why not."""
+    if not (text := text.strip()):
+        raise ValueError("empty path")
     path = os.path.realpath(os.path.expanduser(text))
-    if not os.path.exists(path):
-        return None, "does not exist"
     if not os.path.isdir(path):
-        return None, "not a directory"
+        raise ValueError("not a directory" if os.path.exists(path) else "does not exist")
     if path in taken:
-        return None, "already listed"
-    return path, None
+        raise ValueError("already listed")
+    return path

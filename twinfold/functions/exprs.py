@@ -8,17 +8,20 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Endings of file names that are taken for archives.
-ARCHIVE_SUFFIXES = (
-    ".zip", ".jar", ".war", ".ear", ".zipx",
-    ".7z",
-    ".rar",
-    ".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tbz2", ".tar.xz", ".txz", ".tar.zst", ".tzst",
-    ".rpm", ".deb", ".msi", ".cab", ".ar", ".xar", ".pkg",
-    ".exe", ".appimage", ".run",
-    ".iso", ".img", ".dmg", ".vmdk", ".vdi", ".vhd", ".squashfs",
-    ".cpio", ".wim", ".lzh", ".lha", ".lz",
-)
+#: Endings of file names that are taken for archives, by what reads them.
+ARCHIVES = {
+    "zip": (".zip", ".jar", ".war", ".ear", ".zipx"),
+    "7z": (".7z",),
+    "rar": (".rar",),
+    "tar": (".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tbz2", ".tar.xz", ".txz", ".tar.zst", ".tzst"),
+    "package": (".rpm", ".deb", ".msi", ".cab", ".ar", ".xar", ".pkg"),
+    "program": (".exe",),
+    "image that runs": (".appimage", ".run"),
+    "disk": (".iso", ".img", ".dmg", ".vmdk", ".vdi", ".vhd", ".squashfs"),
+    "other": (".cpio", ".wim", ".lzh", ".lha", ".lz"),
+}
+ARCHIVE_SUFFIXES = tuple(s for some in ARCHIVES.values() for s in some)
+HASHES = ("md5", "sha256", "xxhash64", "xxh3_64")
 
 _ARCHIVE = "(?:" + "|".join(map(re.escape, ARCHIVE_SUFFIXES)) + ")$"
 UNITS = ("B", "KB", "MB", "GB", "TB", "PB")

@@ -37,13 +37,22 @@ def _delete(path: str, size: int | None, method: str, dry_run: bool) -> tuple[st
     return path, "deleted", None
 
 
-def execute(plan: DataFrame, *, method: str = "trash", dry_run: bool = True) -> DataFrame:
-    """path, status, reason for each row of the plan (target_path, target_size). Paths arrive partition by partition."""
-    spark, outcomes = plan.sparkSession, None
+def execute(plan: DataFrame, *, way: str = "trash", carried_out: bool = False, folder: str | None = None) -> DataFrame:
+    """path, status, reason for each row of the plan (target_path, target_size). Paths arrive partition by partition.
+
+    With a folder the outcomes are written there as they come, a file for each BATCH of them, so that a large plan neither
+    stays on the driver nor is lost with it.
+    """
+    spark, held = plan.sparkSession, []
     for rows in _batches(plan):
-        part = spark.createDataFrame([_delete(r["target_path"], r["target_size"], method, dry_run) for r in rows], OUTCOME)
-        outcomes = part if outcomes is None else outcomes.unionByName(part)
-    return spark.createDataFrame([], OUTCOME) if outcomes is None else outcomes
+        part = [_delete(r["target_path"], r["target_size"], way, not carried_out) for r in rows]
+        if folder:
+            spark.createDataFrame(part, OUTCOME).coalesce(1).write.mode("append").parquet(folder)
+        else:
+            held += part
+    if folder and spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(spark._jvm.org.apache.hadoop.fs.Path(folder)):
+        return spark.read.schema(OUTCOME).parquet(folder)
+    return spark.createDataFrame(held, OUTCOME)
 
 
 def _batches(plan: DataFrame) -> Iterator[list]:

@@ -46,7 +46,24 @@ def select_all(matches: DataFrame, selected: bool) -> DataFrame:
     return matches.withColumn("selected", F.lit(selected))
 
 
-def nested_result(matches: DataFrame) -> DataFrame:
-    """source_archive, duplicates: the matches of each archive as an array. For small results; the flat rows scale."""
+def target_counts(targets: DataFrame, files: DataFrame) -> DataFrame:
+    """target_path, target_size, full_hash, match_count of each target that matches, without the pairs themselves.
+
+    However many files share one content, a target stays one row.
+    """
+    counts = files.filter(F.col("full_hash").isNotNull()).groupBy("full_hash", "size").agg(F.count("*").alias("match_count"))
+    return targets.join(counts, ["full_hash", "size"]).select(F.col("path").alias("target_path"), F.col("size").alias("target_size"), "full_hash", "match_count")
+
+
+def file_counts(targets: DataFrame, files: DataFrame) -> DataFrame:
+    """source_archive, size, target_count of each file that some target matches, without the pairs."""
+    counts = targets.filter(F.col("full_hash").isNotNull()).groupBy("full_hash", "size").agg(F.count("*").alias("target_count"))
+    return files.join(counts, ["full_hash", "size"]).select("source_archive", "size", "target_count")
+
+
+def nested_result(matches: DataFrame, most: int = 10_000) -> DataFrame:
+    """source_archive, part, duplicates: the matches of each archive as arrays of about ``most`` (one part, from 0, if that is all)."""
     rows = F.struct(F.struct(*SOURCE_COLUMNS).alias("source_file"), "target_path", "target_size", "selected")
-    return matches.groupBy("source_archive").agg(F.sort_array(F.collect_list(rows)).alias("duplicates"))
+    parts = matches.groupBy("source_archive").agg(F.ceil(F.count("*") / most).alias("__parts"))
+    dealt = matches.join(parts, "source_archive").withColumn("part", F.pmod(F.xxhash64("target_path", "path_in_archive"), "__parts"))
+    return dealt.groupBy("source_archive", "part").agg(F.sort_array(F.collect_list(rows)).alias("duplicates"))

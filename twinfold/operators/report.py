@@ -6,16 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinfold.functions import exprs
+from twinfold.operators import match
 
 
-def by_archive(matches: DataFrame) -> DataFrame:
-    """source_archive, match_count, redundant_bytes."""
-    return matches.groupBy("source_archive").agg(F.count("*").alias("match_count"), F.sum("target_size").alias("redundant_bytes"))
+def by_archive(targets: DataFrame, files: DataFrame) -> DataFrame:
+    """source_archive, match_count, redundant_bytes of the matches of targets and files, from counts by content."""
+    n, size = F.col("target_count"), F.col("size")
+    return match.file_counts(targets, files).groupBy("source_archive").agg(F.sum(n).alias("match_count"), F.sum(n * size).alias("redundant_bytes"))
 
 
-def totals(matches: DataFrame) -> DataFrame:
-    """match_count, archive_count, target_count, in one row."""
-    return matches.agg(F.count("*").alias("match_count"), F.count_distinct("source_archive").alias("archive_count"), F.count_distinct("target_path").alias("target_count"))
+def totals(targets: DataFrame, files: DataFrame) -> DataFrame:
+    """match_count, archive_count, target_count, in one row, from counts by content."""
+    sides = match.target_counts(targets, files).select("match_count", F.col("target_path"), F.lit(None).cast("string").alias("source_archive"))
+    sides = sides.unionByName(match.file_counts(targets, files).select(F.lit(0).cast("long").alias("match_count"), F.lit(None).cast("string").alias("target_path"), "source_archive").distinct())
+    return sides.agg(F.coalesce(F.sum("match_count"), F.lit(0)).alias("match_count"), F.count_distinct("source_archive").alias("archive_count"), F.count_distinct("target_path").alias("target_count"))
 
 
 def inventory(archives: DataFrame, members: DataFrame) -> DataFrame:
@@ -24,10 +28,9 @@ def inventory(archives: DataFrame, members: DataFrame) -> DataFrame:
     return archives.select("path").join(counts, "path", "left").select("path", F.coalesce("n", F.lit(0)).cast("long").alias("file_count"))
 
 
-def deletion_plan(matches: DataFrame) -> DataFrame:
-    """target_path, target_size, match_count: each selected target once, however many members it matches."""
-    chosen = matches.filter("selected").groupBy("target_path").agg(F.max("target_size").alias("target_size"), F.count("*").alias("match_count"))
-    return chosen
+def deletion_plan(counts: DataFrame) -> DataFrame:
+    """target_path, target_size, match_count: each chosen target once. ``counts`` are ``match.target_counts`` with a selection."""
+    return counts.filter("selected").groupBy("target_path").agg(F.max("target_size").alias("target_size"), F.sum("match_count").alias("match_count"))
 
 
 def plan_summary(plan: DataFrame, method: str = "trash", dry_run: bool = True) -> DataFrame:

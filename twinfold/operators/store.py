@@ -1,8 +1,10 @@
 """Keyed snapshots in Parquet.
 
-Each write makes a new version folder; the newest one that was written to its end is the table, so a failed write changes
-nothing and readers of the version before go on. Rows are replaced by key, and of several new rows with one key the last
-by ``seq`` counts.
+Each write makes a new version folder: a snapshot of the whole table (v) or, by an upsert, a delta of the new rows alone (d).
+The newest snapshot that was written to its end and the deltas after it are the table, so a failed write changes nothing
+and readers of the version before go on. Rows are replaced by key, the latest version's counts, and of several new rows
+with one key the last by ``seq``. After MOST_DELTAS deltas the next upsert writes a snapshot, so that what a stream of
+upserts writes is proportional to its rows, and reads merge a bounded number of folders.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from twinfold.functions import exprs
 
 #: A run reads the version it started from while it writes two more.
 KEPT_VERSIONS = 4
+MOST_DELTAS = 16
 
 
 def last_wins(rows: DataFrame, key: list[str], seq: str) -> DataFrame:
@@ -50,27 +53,48 @@ class Store:
             if not self._versions(table):
                 self._write(table, self.spark.createDataFrame([], kind))
 
-    def _versions(self, table: str) -> list[int]:
+    def _versions(self, table: str) -> list[tuple[int, str]]:
+        """(number, folder) of the snapshots and deltas that were written to their end, in order."""
         folder = self._path(f"{self.root}/{table}")
         if not self._fs.exists(folder):
             return []
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and self._fs.exists(self._path(f"{self.root}/{table}/{n}/_SUCCESS")))
+        return sorted((int(n[1:]), n) for n in names if n[:1] in ("v", "d") and n[1:].isdigit() and self._fs.exists(self._path(f"{self.root}/{table}/{n}/_SUCCESS")))
 
-    def _write(self, table: str, rows: DataFrame) -> None:
+    def _write(self, table: str, rows: DataFrame, kind: str = "v") -> None:
         versions = self._versions(table)
-        number = versions[-1] + 1 if versions else 1
-        rows.select(*schema.TABLES[table].names).write.mode("overwrite").parquet(f"{self.root}/{table}/v{number}")
-        for old in versions[: max(0, len(versions) + 1 - KEPT_VERSIONS)]:
-            self._fs.delete(self._path(f"{self.root}/{table}/v{old}"), True)
+        number = versions[-1][0] + 1 if versions else 1
+        rows.select(*schema.TABLES[table].names).write.mode("overwrite").parquet(f"{self.root}/{table}/{kind}{number}")
+        snapshots = [n for n, name in versions if name[0] == "v"]
+        for n, name in versions:
+            if kind == "v" and len(snapshots) >= KEPT_VERSIONS and n < snapshots[1 - KEPT_VERSIONS]:
+                self._fs.delete(self._path(f"{self.root}/{table}/{name}"), True)
+
+    def _current(self, table: str) -> list[tuple[int, str]]:
+        """The newest snapshot and the deltas after it."""
+        versions = self._versions(table)
+        return versions[max(k for k, (_, name) in enumerate(versions) if name[0] == "v") :]
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(schema.TABLES[name]).parquet(f"{self.root}/{name}/v{self._versions(name)[-1]}")
+        read = lambda folder: self.spark.read.schema(schema.TABLES[name]).parquet(f"{self.root}/{name}/{folder}")
+        (_, snapshot), *deltas = self._current(name)
+        rows = read(snapshot)
+        if not deltas:
+            return rows
+        for number, folder in [(0, snapshot), *deltas]:
+            part = read(folder).withColumn("__version", F.lit(number))
+            rows = part if folder == snapshot else rows.unionByName(part)
+        key = schema.KEYS[name]
+        newest = rows.groupBy(*key).agg(F.max_by(F.struct(*schema.TABLES[name].names), "__version").alias("__row"))
+        return newest.select("__row.*")
 
     def upsert(self, name: str, rows: DataFrame, seq: str | None = None) -> None:
         key = schema.KEYS[name]
-        new = last_wins(rows, key, seq) if seq else rows.dropDuplicates(key)
-        self._write(name, merge(self.table(name), new.select(*schema.TABLES[name].names), key))
+        new = (last_wins(rows, key, seq) if seq else rows.dropDuplicates(key)).select(*schema.TABLES[name].names)
+        if len(self._current(name)) <= MOST_DELTAS:
+            self._write(name, new, "d")
+        else:
+            self._write(name, merge(self.table(name), new, key))
 
     # archives and their members
 
@@ -120,6 +144,13 @@ class Store:
         row = self.table("selection_state").filter((F.col("file_hash") == file_hash) & (F.col("target_path") == target_path)).first()
         return None if row is None else row["selected"]
 
+    def toggle(self, file_hash: str, target_path: str, default: bool = True) -> bool:
+        """The stored selection, or the default, turned over and stored."""
+        now = self.selection(file_hash, target_path)
+        turned = not (default if now is None else now)
+        self.select(self.spark.createDataFrame([(file_hash, target_path, turned)], schema.SELECTION))
+        return turned
+
     def select(self, rows: DataFrame, seq: str | None = None) -> None:
         self.upsert("selection_state", rows, seq)
 
@@ -138,8 +169,8 @@ def backfilled(files: DataFrame, hashes: DataFrame) -> DataFrame:
 
 def store_statistics(archives: DataFrame, files: DataFrame) -> DataFrame:
     """archive_count, file_count, nested_count."""
-    counts = files.agg(F.count("*").alias("file_count"), F.count_if("is_nested_archive").alias("nested_count"))
-    return archives.agg(F.count("*").alias("archive_count")).join(counts, how="cross")  # of one row and one row
+    rows = archives.select(F.lit(True).alias("top"), F.lit(False).alias("nested")).unionByName(files.select(F.lit(False).alias("top"), F.col("is_nested_archive").alias("nested")))
+    return rows.agg(F.count_if("top").alias("archive_count"), F.count_if(~F.col("top")).alias("file_count"), F.count_if("nested").alias("nested_count"))
 
 
 def changed(listing: DataFrame, known: DataFrame, recheck: bool = False) -> DataFrame:

@@ -12,8 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinfold.config import Hashing
 from twinfold.functions import exprs
 from twinfold.operators import match, report, store
+from twinfold.plans import packing
+from twinfold.sources import archives
 
 THRESHOLD, PREFIX = 1024, 64
 
@@ -112,6 +115,18 @@ def two_phase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.two_phase(targets(spark, sf_dir), source_files(spark, sf_dir), verify(spark, sf_dir))[0]
 
 
+def verified_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The targets with what two phases know of their full hashes."""
+    rows, files = targets(spark, sf_dir), source_files(spark, sf_dir)
+    late = verify(spark, sf_dir)(match.quick_candidates(rows, files).drop("full_hash")).select(*rows.columns)
+    return rows.filter(F.col("full_hash").isNotNull()).unionByName(late)
+
+
+def chosen_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The targets that match, with how many files they match and whether they are selected."""
+    return match.with_selection(match.target_counts(verified_targets(spark, sf_dir), source_files(spark, sf_dir)), selection(spark, sf_dir))
+
+
 def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("selected"))
     wanted = whole_targets(spark, sf_dir).withColumn("doc_id", F.element_at(F.split("path", "/"), -1).cast("long"))
@@ -217,12 +232,12 @@ def match_with_selection(spark, sf_dir):
 
 @query("SELECT source_archive, count(*) AS match_count, sum(target_size)::BIGINT AS redundant_bytes FROM {matches} GROUP BY source_archive")
 def matches_by_archive(spark, sf_dir):
-    return report.by_archive(two_phase_matches(spark, sf_dir))
+    return report.by_archive(verified_targets(spark, sf_dir), source_files(spark, sf_dir))
 
 
 @query("SELECT count(*) AS match_count, count(DISTINCT source_archive) AS archive_count, count(DISTINCT target_path) AS target_count FROM {matches}")
 def match_totals(spark, sf_dir):
-    return report.totals(two_phase_matches(spark, sf_dir))
+    return report.totals(verified_targets(spark, sf_dir), source_files(spark, sf_dir))
 
 
 @query("SELECT path, count(source_archive) AS file_count FROM (SELECT DISTINCT source AS path FROM documents UNION SELECT 'empty' || i FROM range(3) r(i)) LEFT JOIN {files} ON path = source_archive GROUP BY path")
@@ -240,12 +255,12 @@ def store_statistics(spark, sf_dir):
 
 @query("SELECT coalesce(sum(target_size), 0)::BIGINT AS total_size FROM (SELECT DISTINCT target_path, target_size FROM {chosen} WHERE selected)")
 def selection_total_size(spark, sf_dir):
-    return report.plan_summary(report.deletion_plan(chosen(spark, sf_dir))).select("total_size")
+    return report.plan_summary(report.deletion_plan(chosen_counts(spark, sf_dir))).select("total_size")
 
 
 @query("SELECT target_path, max(target_size) AS target_size, count(*) AS match_count FROM {chosen} WHERE selected GROUP BY target_path")
 def deletion_plan_distinct(spark, sf_dir):
-    return report.deletion_plan(chosen(spark, sf_dir))
+    return report.deletion_plan(chosen_counts(spark, sf_dir))
 
 
 def _duck_size(x: str) -> str:
@@ -330,12 +345,12 @@ def selection_select_all(spark, sf_dir):
 
 @query("SELECT count(*) AS file_count, coalesce(sum(target_size), 0)::BIGINT AS total_size, " + _duck_size("coalesce(sum(target_size), 0)") + " AS size_text, 'trash' AS method, 'dry run' AS mode FROM (SELECT DISTINCT target_path, target_size FROM {chosen} WHERE selected)")
 def confirmation_summary(spark, sf_dir):
-    return report.plan_summary(report.deletion_plan(chosen(spark, sf_dir)))
+    return report.plan_summary(report.deletion_plan(chosen_counts(spark, sf_dir)))
 
 
 @query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN CAST(split_part(target_path, '/', 2) AS BIGINT) % 4 = 0 THEN 'failed' ELSE 'deleted' END AS status FROM (SELECT DISTINCT target_path FROM {chosen} WHERE selected)) GROUP BY status")
 def outcome_counts(spark, sf_dir):
-    plan = report.deletion_plan(chosen(spark, sf_dir))
+    plan = report.deletion_plan(chosen_counts(spark, sf_dir))
     gone = F.element_at(F.split("target_path", "/"), -1).cast("long") % 4 == 0
     return report.outcome_counts(plan.select(F.when(gone, "failed").otherwise("deleted").alias("status")))
 
@@ -354,15 +369,29 @@ def unique_targets(spark, sf_dir):
     return rows.join(source_files(spark, sf_dir).select("full_hash"), "full_hash", "left_anti").select("path", "full_hash")
 
 
-def member_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents packed into one archive for each source, inside another, and unpacked again. SQL has no archives."""
-    from twinfold.config import ScanConfig
-    from twinfold.plans.packing import packed
-    from twinfold.sources import archives
+@query("SELECT source_archive, 0::BIGINT AS part, string_agg(target_path || ' ' || path_in_archive || ' ' || selected::VARCHAR, ',' ORDER BY path_in_archive, target_path) AS duplicates FROM {chosen} GROUP BY source_archive")
+def matches_nested(spark, sf_dir):
+    found = match.nested_result(chosen(spark, sf_dir))
+    each = F.array_sort(F.transform("duplicates", lambda x: F.struct(x["source_file"]["path_in_archive"].alias("p"), x["target_path"].alias("t"), x["selected"].alias("s"))))
+    return found.select("source_archive", "part", F.array_join(F.transform(each, lambda x: F.concat_ws(" ", x["t"], x["p"], x["s"].cast("string"))), ",").alias("duplicates"))
+
+
+@query("SELECT file_hash, target_path, CASE WHEN doc_id % 3 = 0 THEN NOT selected ELSE selected END AS selected FROM (SELECT *, CAST(split_part(target_path, '/', 2) AS BIGINT) AS doc_id FROM {selection})")
+def selection_toggle(spark, sf_dir):
+    """Every third selection turned over, by upsert of the turned rows."""
+    rows = selection(spark, sf_dir)
+    turned = rows.filter(F.element_at(F.split("target_path", "/"), -1).cast("long") % 3 == 0).withColumn("selected", ~F.col("selected"))
+    return store.merge(rows, turned, ["file_hash", "target_path"])
 
-    config = ScanConfig(hash_name="md5", partial_threshold=THRESHOLD, prefix_size=PREFIX)
-    found = archives.members(packed(table(spark, sf_dir, "documents")), config)
-    return found.select("source_archive", "path_in_archive", "size", "is_nested_archive", "depth", "full_hash", "quick_hash", "error")
 
+@query(f"""SELECT source || '-' || doc_id // {packing.IN_ONE} || '.zip' AS source_archive, 'inner.zip/' || doc_id || '.txt' AS path_in_archive, size::BIGINT AS size, false AS is_nested_archive, 1::BIGINT AS depth, h AS full_hash, q AS quick_hash, true AS readable FROM {{fps}}
+UNION ALL SELECT DISTINCT source || '-' || doc_id // {packing.IN_ONE} || '.zip', 'inner.zip', 0, true, 0, NULL, NULL, true FROM {{fps}}""")
+def member_unnest(spark, sf_dir):
+    """Documents packed into one archive for each source and block of ids, inside another, and unpacked again.
 
-QUERIES["member_unnest"] = member_unnest
+    Of the nested archives themselves only that they are there, as their bytes are the packer's.
+    """
+    found = archives.members(packing.packed(table(spark, sf_dir, "documents")), Hashing("md5", THRESHOLD, PREFIX))
+    own = lambda c: F.when(~F.col("is_nested_archive"), F.col(c)).alias(c)
+    size = F.coalesce(F.when(~F.col("is_nested_archive"), F.col("size")), F.lit(0)).alias("size")
+    return found.select("source_archive", "path_in_archive", size, "is_nested_archive", "depth", own("full_hash"), own("quick_hash"), F.col("error").isNull().alias("readable"))

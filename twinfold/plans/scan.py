@@ -1,111 +1,149 @@
 """From directories to matches: list, unpack, hash, store, match.
 
-Each scan ends in one new snapshot of each table it touches.
+Each scan ends in one new version of each table it touches.
 """
 
 from __future__ import annotations
 
 import logging
-from dataclasses import dataclass
+import time
+import uuid
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.config import ScanConfig
+from twinfold.config import Scan
 from twinfold.operators import actions, match, report, store
 from twinfold.sources import archives, listing
 
 log = logging.getLogger(__name__)
 
+_TARGET = ("path", "mtime_ms", "size", "full_hash", "quick_hash")
 
-class InvalidConfig(ValueError):
+
+class InvalidScan(ValueError):
     pass
 
 
-def scan_sources(spark: SparkSession, config: ScanConfig, kept: store.Store) -> DataFrame:
+class Counters:
+    """Running counters: each is taken while the rows pass through the query that writes them, and is there when that ends."""
+
+    def __init__(self):
+        self.seen: dict[str, Observation] = {}
+
+    def count(self, rows: DataFrame, name: str, **more) -> DataFrame:
+        """The rows, counted under the name as they pass; ``more`` names further aggregates."""
+        self.seen[name] = Observation(f"{name}-{uuid.uuid4().hex}")
+        return rows.observe(self.seen[name], F.count(F.lit(1)).alias(name), *[x.alias(k) for k, x in more.items()])
+
+    def taken(self) -> dict[str, int]:
+        return {k: n for x in self.seen.values() for k, n in x.get.items()}
+
+
+def scan_sources(spark: SparkSession, scan: Scan, kept: store.Store, counters: Counters | None = None) -> DataFrame:
     """The stored rows of the archives below the source directories; changed ones are unpacked again.
 
-    Archives that cannot be read are left out and tried again in the next run.
+    Archives that cannot be read to the end are left out and tried again in the next run.
     """
-    listed = listing.archives(listing.list_files(spark, list(config.source_dirs)))
-    known = kept.table("archives").filter(F.col("config") == config.fingerprint())
-    todo = store.changed(listed, known, config.recheck_sources).filter("needs_rescan").drop("needs_rescan")
-    found = archives.members(todo, config).persist()
+    counters = counters or Counters()
+    listed = listing.archives(listing.list_files(spark, list(scan.archives_in)))
+    known = kept.table("archives").filter(F.col("config") == scan.stamp())
+    todo = store.changed(listed, known, "archives" in scan.afresh).filter("needs_rescan").drop("needs_rescan").persist()
+    found = archives.members(todo, scan.hashing, scan.unpacking).persist()
     try:
         broken = found.filter("error is not null and depth = 0 and path_in_archive = ''").select(F.col("source_archive").alias("path"))
         read = todo.join(broken, "path", "left_anti")
-        members = archives.good_members(found, config.min_file_size)
-        counted = read.join(report.inventory(read, members), "path").withColumn("config", F.lit(config.fingerprint()))
-        kept.replace_files(read, members)
-        kept.update_archives(counted)
+        members = archives.good_members(found, scan.least_bytes)
+        counted = read.join(report.inventory(read, members), "path").withColumn("config", F.lit(scan.stamp()))
+        kept.replace_files(read, counters.count(members, "members_read"))
+        kept.update_archives(counters.count(counted, "archives_read"))
     finally:
         found.unpersist()
+        todo.unpersist()
     return kept.table("archives").join(listed.select("path"), "path", "left_semi")
 
 
-def _hashed(listed: DataFrame, config: ScanConfig, into: str, prefix: int | None = None) -> DataFrame:
-    return listing.read_hashes(listed, prefix=prefix, hash_name=config.hash_name).withColumnRenamed("hash", into)
+def _hashed(listed: DataFrame, scan: Scan, into: str, prefix: int | None = None) -> DataFrame:
+    return listing.read_hashes(listed, prefix=prefix, hash_name=scan.hashing.name).withColumnRenamed("hash", into)
 
 
-def scan_targets(spark: SparkSession, config: ScanConfig, kept: store.Store) -> DataFrame:
-    """Matches, with their selection.
+def sources(spark: SparkSession, scan: Scan, kept: store.Store) -> DataFrame:
+    """The stored members that count as sources: of archives that exist, or all."""
+    if scan.gone_count:
+        return kept.table("files")
+    live = listing.archives(listing.list_files(spark, list(scan.archives_in)))
+    return kept.table("files").join(live.select(F.col("path").alias("source_archive")), "source_archive", "left_semi")
+
+
+def hash_targets(spark: SparkSession, scan: Scan, kept: store.Store, files: DataFrame, counters: Counters | None = None) -> DataFrame:
+    """The targets with the hashes that the store has of them now.
 
     Small files are read whole. Of large ones only the prefix is read, and the rest where some source shares the prefix.
     """
-    listed = listing.list_files(spark, list(config.target_dirs), config.min_file_size)
-    if config.search_target_archives:
-        log.info("members of target archives are matched by their archive's path")
-    known = kept.table("target_files").filter(F.col("config") == config.fingerprint())
-    seen = store.cached(listed, known, config.recheck_targets).persist()
+    counters = counters or Counters()
+    nothing = F.lit(None).cast("string")
+    listed = listing.list_files(spark, list(scan.files_in), scan.least_bytes)
+    known = kept.table("target_files").filter(F.col("config") == scan.stamp())
+    seen = store.cached(listed, known, "files" in scan.afresh).persist()
     try:
         new = seen.filter("not cache_hit").drop("full_hash", "quick_hash")
-        small, large = F.col("size") < config.partial_threshold, F.col("size") >= config.partial_threshold
-        columns = ("path", "mtime_ms", "size", "full_hash", "quick_hash")
-        hashed = _hashed(new.filter(small), config, "full_hash").withColumn("quick_hash", F.lit(None).cast("string")).select(*columns)
-        prefixed = _hashed(new.filter(large), config, "quick_hash", config.prefix_size).withColumn("full_hash", F.lit(None).cast("string")).select(*columns)
-        targets = seen.filter("cache_hit").select(*columns).unionByName(hashed).unionByName(prefixed)
-        if config.search_target_archives:
-            inside = archives.good_members(archives.members(listing.archives(listed), config), config.min_file_size)
-            targets = targets.unionByName(inside.select(F.concat_ws("!/", "source_archive", "path_in_archive").alias("path"), F.lit(None).cast("long").alias("mtime_ms"), "size", "full_hash", "quick_hash"))
-        files = kept.table("files")
-        if not config.match_all_known:
-            live = listing.archives(listing.list_files(spark, list(config.source_dirs)))
-            files = files.join(live.select(F.col("path").alias("source_archive")), "source_archive", "left_semi")
-        stamp = F.lit(config.fingerprint())
-        first = targets.withColumn("config", stamp).filter(F.col("mtime_ms").isNotNull())
-        kept.update_targets(first)
-        matches, verified = match.two_phase(_stored(kept, targets, columns), files, lambda rows: _hashed(rows, config, "full_hash"))
-        kept.update_targets(verified.withColumn("config", stamp))
-        matches, _ = match.two_phase(_stored(kept, targets, columns), files, lambda rows: rows.withColumn("full_hash", F.lit(None).cast("string")))
+        small = F.col("size") < scan.hashing.large
+        whole = _hashed(new.filter(small), scan, "full_hash").withColumn("quick_hash", nothing).select(*_TARGET)
+        begun = _hashed(new.filter(~small), scan, "quick_hash", scan.hashing.prefix).withColumn("full_hash", nothing).select(*_TARGET)
+        stamp = F.lit(scan.stamp())
+        kept.update_targets(counters.count(whole.unionByName(begun), "targets_hashed", targets_failed=F.count_if(F.coalesce("full_hash", "quick_hash").isNull())).withColumn("config", stamp))
+        targets = kept.table("target_files").join(listed.select("path"), "path", "left_semi").select(*_TARGET)
+        verified = _hashed(match.quick_candidates(targets, files).drop("full_hash"), scan, "full_hash").select(*_TARGET)
+        kept.update_targets(counters.count(verified, "targets_verified").withColumn("config", stamp))
     finally:
         seen.unpersist()
-    return match.with_selection(matches, kept.table("selection_state"), config.auto_select)
+    targets = kept.table("target_files").join(listed.select("path"), "path", "left_semi").select(*_TARGET)
+    if scan.look_inside:
+        log.info("members of target archives are matched by their archive's path")
+        inside = archives.good_members(archives.members(listing.archives(listed), scan.hashing, scan.unpacking), scan.least_bytes)
+        targets = targets.unionByName(inside.select(F.concat_ws("!/", "source_archive", "path_in_archive").alias("path"), F.lit(None).cast("long").alias("mtime_ms"), "size", "full_hash", "quick_hash"))
+    return targets
 
 
-def _stored(kept: store.Store, targets: DataFrame, columns: tuple) -> DataFrame:
-    """The targets by the hashes that are stored now; members of target archives as they are."""
-    own = kept.table("target_files").join(targets.select("path"), "path", "left_semi").select(*columns)
-    return own.unionByName(targets.filter(F.col("mtime_ms").isNull()).select(*columns))
+def scan_targets(spark: SparkSession, scan: Scan, kept: store.Store, counters: Counters | None = None) -> DataFrame:
+    """Matches, with their selection."""
+    files = sources(spark, scan, kept)
+    matches = match.one_phase(hash_targets(spark, scan, kept, files, counters), files)
+    return match.with_selection(matches, kept.table("selection_state"), scan.deletion.unless_stored)
 
 
 @dataclass
 class Outcome:
     matches: DataFrame
+    by_archive: DataFrame
     plan: DataFrame
     summary: DataFrame
     outcomes: DataFrame
+    counters: dict[str, int] = field(default_factory=dict)
+
 
+def run(spark: SparkSession, scan: Scan) -> Outcome:
+    """Scan, match, and carry out the plan (in appearance only, unless the scan says otherwise).
 
-def run(spark: SparkSession, config: ScanConfig) -> Outcome:
-    """Scan, match, and carry out the plan (in appearance only, unless the configuration says otherwise)."""
-    if found := config.problems():
-        raise InvalidConfig("; ".join(found))
-    with store.Store(spark, config.store_path) as kept:
-        scan_sources(spark, config, kept)
-        matches = scan_targets(spark, config, kept).persist()
-        plan = report.deletion_plan(matches.filter(~F.col("target_path").contains("!/"))).persist()
-        done = Outcome(matches, plan, report.plan_summary(plan, config.delete_method, config.dry_run), actions.execute(plan, method=config.delete_method, dry_run=config.dry_run))
-        if not config.keep_store:
-            matches.count(), plan.count()
+    Counts and the plan come from counts by content, so that a content which very many files share costs no pairs; the
+    pairs (``matches``) are made if they are read.
+    """
+    if found := scan.faults():
+        raise InvalidScan("; ".join(found))
+    how, counters = scan.deletion, Counters()
+    with store.Store(spark, scan.store) as kept:
+        scan_sources(spark, scan, kept, counters)
+        files = sources(spark, scan, kept)
+        targets = hash_targets(spark, scan, kept, files, counters).persist()
+        stored = kept.table("selection_state")
+        matches = match.with_selection(match.one_phase(targets, files), stored, how.unless_stored)
+        counts = match.with_selection(match.target_counts(targets, files), stored, how.unless_stored)
+        plan = report.deletion_plan(counts.filter(~F.col("target_path").contains("!/"))).persist()
+        by_archive = report.by_archive(targets, files).persist()
+        by_archive.count(), plan.count()
+        outcomes = actions.execute(plan, way=how.way, carried_out=how.carried_out, folder=f"{scan.store}/outcomes/{time.time_ns()}")
+        done = Outcome(matches, by_archive, plan, report.plan_summary(plan, how.way, not how.carried_out), outcomes, counters.taken())
+        if scan.forget:
             kept.clear()
     return done

@@ -2,14 +2,17 @@
 
 Formats: zip and its kin, tar with gzip, bzip2 or xz, self-extracting and carved zips; 7z, rar and what libarchive reads
 where those libraries are installed. Input is never executed. Nested archives give a row of their own, then their members
-under ``outer/inner``, down to the depth of the configuration. A broken archive gives one row with an error.
+under ``outer/inner``, down to the depth of the configuration. A broken archive gives one row with an error, and so does one
+beyond a limit of bytes, so that it counts as unread instead of half read.
 """
 
 from __future__ import annotations
 
 import importlib
 import io
+import itertools
 import os
+import pickle
 import tarfile
 import tempfile
 import zipfile
@@ -22,11 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from twinfold import schema
-from twinfold.config import ScanConfig
-from twinfold.functions.exprs import is_archive_name
-from twinfold.sources.digests import hash_stream
+from twinfold.config import Hashing, Unpacking
+from twinfold.functions.exprs import ARCHIVES, is_archive_name
+from twinfold.sources.digests import TooLarge, hash_stream
 
 SPOOL = 16 << 20
+#: Rows of one batch that leaves a task, and tasks for each core.
+ROWS, TASKS_A_CORE = 4096, 8
 
 Member = tuple[str, Callable[[], BinaryIO]]
 
@@ -35,23 +40,25 @@ class ArchiveError(Exception):
     pass
 
 
-def _zip(file: BinaryIO) -> Iterator[Member]:
+def _zip(file: BinaryIO, most: int | None) -> Iterator[Member]:  # noqa: ARG001
     with zipfile.ZipFile(file) as z:
         for info in z.infolist():
             if not info.is_dir():
                 yield info.filename, lambda info=info: z.open(info)
 
 
-def _tar(file: BinaryIO) -> Iterator[Member]:
+def _tar(file: BinaryIO, most: int | None) -> Iterator[Member]:  # noqa: ARG001
     with tarfile.open(fileobj=file, mode="r:*") as t:
         for info in t:
             if info.isreg():
                 yield info.name, lambda info=info: t.extractfile(info)
 
 
-def _seven(file: BinaryIO) -> Iterator[Member]:
+def _seven(file: BinaryIO, most: int | None) -> Iterator[Member]:
     py7zr = importlib.import_module("py7zr")
     with tempfile.TemporaryDirectory() as folder, py7zr.SevenZipFile(file) as z:
+        if most is not None and sum(x.uncompressed or 0 for x in z.list()) > most:
+            raise TooLarge(f"more than {most} bytes")
         z.extractall(folder)  # one pass; member by member would unpack the whole for each
         for at, _, names in sorted(os.walk(folder)):
             for name in sorted(names):
@@ -60,14 +67,14 @@ def _seven(file: BinaryIO) -> Iterator[Member]:
                     yield os.path.relpath(path, folder), lambda path=path: open(path, "rb")
 
 
-def _rar(file: BinaryIO) -> Iterator[Member]:
+def _rar(file: BinaryIO, most: int | None) -> Iterator[Member]:  # noqa: ARG001
     with importlib.import_module("rarfile").RarFile(file) as r:
         for info in r.infolist():
             if not info.is_dir():
                 yield info.filename, lambda info=info: r.open(info)
 
 
-def _libarchive(file: BinaryIO) -> Iterator[Member]:
+def _libarchive(file: BinaryIO, most: int | None) -> Iterator[Member]:  # noqa: ARG001
     libarchive = importlib.import_module("libarchive")
     with libarchive.stream_reader(file) as entries:
         for e in entries:
@@ -124,18 +131,18 @@ class _From(io.RawIOBase):
         return len(got)
 
 
-#: Magic numbers of what is embedded in images that run, their distance from the start of it, and its reader.
+#: Magic numbers of what is embedded in images that run, their distance from the start of it, and its reader.
 _EMBEDDED = ((b"hsqs", 0, _libarchive), (b"CD001", 0x8001, _libarchive), (b"PK\x03\x04", 0, _zip))
 
 
-def _carved(file: BinaryIO) -> Iterator[Member]:
+def _carved(file: BinaryIO, most: int | None) -> Iterator[Member]:
     """What is embedded in a file, in the order of its offsets; the first that opens."""
     places = sorted((at - before, n) for n, (magic, before, _) in enumerate(_EMBEDDED) if (at := find_magic(file, magic)) is not None and at >= before)
     why: Exception = ArchiveError("nothing embedded was found")
     for at, n in places:
         given = False
         try:
-            for member in _EMBEDDED[n][2](io.BufferedReader(_From(file, at))):
+            for member in _EMBEDDED[n][2](io.BufferedReader(_From(file, at)), most):
                 given = True
                 yield member
             if given:
@@ -147,99 +154,139 @@ def _carved(file: BinaryIO) -> Iterator[Member]:
     raise why
 
 
-#: Suffixes and the readers to try, in order. Longer suffixes come first.
-_READERS = (
-    ((".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tbz2", ".tar.xz", ".txz", ".tar.zst", ".tzst"), (_tar, _libarchive)),
-    ((".zip", ".jar", ".war", ".ear", ".zipx"), (_zip, _libarchive)),
-    ((".7z",), (_seven, _libarchive)),
-    ((".rar",), (_rar, _libarchive)),
-    ((".exe",), (_zip, _seven, _libarchive)),
-    ((".appimage", ".run"), (_carved, _libarchive)),
-)
+Reader = Callable[[BinaryIO, int | None], Iterator[Member]]
 
+#: Readers to try, in order; libarchive comes last for all.
+_READERS = {"zip": (_zip,), "7z": (_seven,), "rar": (_rar,), "tar": (_tar,), "program": (_zip, _seven), "image that runs": (_carved,)}
 
-def readers_for(name: str) -> tuple[Callable[[BinaryIO], Iterator[Member]], ...]:
-    name = name.lower()
-    return next((readers for ends, readers in _READERS if name.endswith(ends)), (_libarchive,) if is_archive_name(name) else ())
+
+def readers_for(name: str) -> tuple[Reader, ...]:
+    kind = next((kind for kind, ends in ARCHIVES.items() if name.lower().endswith(ends)), None)
+    return (*_READERS.get(kind, ()), _libarchive) if kind else ()
+
+
+class _Held:
+    """Rows that wait for their reader to come to the end; beyond SPOOL bytes on disk."""
+
+    def __init__(self):
+        self.file, self.n = tempfile.SpooledTemporaryFile(SPOOL), 0
+
+    def add(self, row: dict) -> None:
+        pickle.dump(row, self.file)
+        self.n += 1
+
+    def __iter__(self) -> Iterator[dict]:
+        self.file.seek(0)
+        with self.file:
+            for _ in range(self.n):
+                yield pickle.load(self.file)
 
 
 class Unpacker:
     """All rows of one archive."""
 
-    def __init__(self, archive: str, config: ScanConfig):
-        self.archive, self.config, self.seq, self.left = archive, config, 0, config.max_archive_bytes
+    def __init__(self, archive: str, hashing: Hashing, unpacking: Unpacking):
+        self.archive, self.hashing, self.unpacking = archive, hashing, unpacking
+        self.seq, self.read = 0, 0
 
-    def rows(self, file: BinaryIO) -> list[dict]:
+    def rows(self, file: BinaryIO) -> Iterator[dict]:
         name = os.path.basename(self.archive)
-        start = f"{name}/" if name.lower().endswith((".appimage", ".run")) else ""
+        start = f"{name}/" if name.lower().endswith(ARCHIVES["image that runs"]) else ""
         try:
-            return self.members(file, name, start, 0)
+            yield from self.members(file, name, start, 0)
         except Exception as why:
-            return [self.row("", None, 0, error=f"{type(why).__name__}: {why}")]
+            yield self.row("", None, 0, error=f"{type(why).__name__}: {why}")
 
     def row(self, path: str, size: int | None, depth: int, *, nested: bool = False, full: str | None = None, quick: str | None = None, error: str | None = None) -> dict:
         self.seq += 1
         return dict(source_archive=self.archive, path_in_archive=path, filename=path.rpartition("/")[2], size=size, is_nested_archive=nested, depth=depth, seq=self.seq, full_hash=full, quick_hash=quick, error=error)
 
-    def members(self, file: BinaryIO, name: str, start: str, depth: int) -> list[dict]:
-        """By the first reader that gives anything; what a reader gave before it failed is not kept."""
-        readers, why, before = readers_for(name), None, (self.seq, self.left)
+    def room(self) -> int | None:
+        """Bytes that may still be unpacked."""
+        return None if self.unpacking.archive_bytes is None else self.unpacking.archive_bytes - self.read
+
+    def members(self, file: BinaryIO, name: str, start: str, depth: int) -> Iterator[dict]:
+        """By the first reader that gives anything; what a reader gave before it failed is not kept.
+
+        An archive in which one reader comes to the end without a member, and no other one finds any, is empty.
+        """
+        readers, why, empty, before = readers_for(name), None, False, (self.seq, self.read)
         if not readers:
             raise ArchiveError(f"no reader for {name}")
         for read in readers:
-            self.seq, self.left = before
+            self.seq, self.read = before
+            held = _Held()
             try:
                 file.seek(0)
-                if rows := [r for path, opened in read(file) for r in self.one(start + path, opened, depth)]:
-                    return rows
+                for path, opened in read(file, self.room()):
+                    for row in self.one(start + path, opened, depth):
+                        held.add(row)
+            except TooLarge:
+                raise
             except Exception as failed:
                 if not isinstance(failed, ImportError) or why is None:
                     why = failed
                 continue
-            return []
-        raise ArchiveError(f"{name}: {why}")
+            if held.n:
+                yield from held
+                return
+            empty = True
+        if not empty:
+            raise ArchiveError(f"{name}: {why}")
 
     def one(self, path: str, opened: Callable[[], BinaryIO], depth: int) -> Iterator[dict]:
-        nested, c = is_archive_name(path), self.config
-        deeper = nested and depth < c.max_depth
+        nested, h, limits = is_archive_name(path), self.hashing, [x for x in (self.unpacking.member_bytes, self.room()) if x is not None]
+        deeper = nested and depth < self.unpacking.depth
         with tempfile.SpooledTemporaryFile(SPOOL) as copy:
             try:
                 with opened() as stream:
-                    size, full, quick = hash_stream(stream, c.hash_name, c.prefix_size, min(c.max_member_bytes, self.left), copy if deeper else None)
+                    size, full, quick = hash_stream(stream, h.name, h.prefix, min(limits, default=None), copy if deeper else None)
+            except TooLarge:
+                raise
             except Exception as why:  # the other members may be sound
                 yield self.row(path, None, depth, nested=nested, error=f"{type(why).__name__}: {why}")
                 return
-            self.left -= size
-            yield self.row(path, size, depth, nested=nested, full=full, quick=quick if size >= c.partial_threshold else None)
+            self.read += size
+            yield self.row(path, size, depth, nested=nested, full=full, quick=quick if size >= h.large else None)
             if deeper:
                 try:
                     yield from self.members(copy, path.rpartition("/")[2], path + "/", depth + 1)
+                except TooLarge:
+                    raise
                 except Exception as why:
                     yield self.row(path + "/", None, depth + 1, error=f"{type(why).__name__}: {why}")
 
 
-def unpack(path: str, config: ScanConfig, content: bytes | None = None) -> list[dict]:
-    unpacker = Unpacker(path, config)
+def unpack(path: str, hashing: Hashing | None = None, unpacking: Unpacking | None = None, content: bytes | None = None) -> Iterator[dict]:
+    unpacker = Unpacker(path, hashing or Hashing(), unpacking or Unpacking())
     if content is not None:
-        return unpacker.rows(io.BytesIO(content))
+        yield from unpacker.rows(io.BytesIO(content))
+        return
     try:
-        with open(path, "rb") as file:
-            return unpacker.rows(file)
+        file = open(path, "rb")
     except OSError as why:
-        return [unpacker.row("", None, 0, error=f"{type(why).__name__}: {why}")]
+        yield unpacker.row("", None, 0, error=f"{type(why).__name__}: {why}")
+        return
+    with file:
+        yield from unpacker.rows(file)
+
 
+def members(archives: DataFrame, hashing: Hashing | None = None, unpacking: Unpacking | None = None) -> DataFrame:
+    """Member rows of the archives (path[, content]); errors are rows as well.
 
-def members(archives: DataFrame, config: ScanConfig) -> DataFrame:
-    """Member rows of the archives (path[, content]), one task slot for each at a time; errors are rows as well."""
+    The archives are dealt out to many more tasks than there are cores, so that a task has few and a large one holds up
+    no others. Rows leave a task in batches.
+    """
     with_content = "content" in archives.columns
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for k, path in enumerate(batch["path"]):
-                yield pd.DataFrame(unpack(path, config, batch["content"].iloc[k] if with_content else None), columns=schema.MEMBERS.names)
+                for rows in itertools.batched(unpack(path, hashing, unpacking, batch["content"].iloc[k] if with_content else None), ROWS):
+                    yield pd.DataFrame(rows, columns=schema.MEMBERS.names)
 
     wanted = archives.select("path", *(["content"] if with_content else []))
-    return wanted.repartition(archives.sparkSession.sparkContext.defaultParallelism * 4, F.col("path")).mapInPandas(read, schema.MEMBERS)
+    return wanted.repartition(archives.sparkSession.sparkContext.defaultParallelism * TASKS_A_CORE).mapInPandas(read, schema.MEMBERS)
 
 
 def good_members(found: DataFrame, min_size: int = 0) -> DataFrame:
@@ -256,7 +303,8 @@ class _Archive(InputPartition):
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["path"]
-        self.config = ScanConfig(hash_name=options.get("hash", "xxh3_64"), max_depth=int(options.get("maxdepth", 10)), partial_threshold=int(options.get("threshold", 1 << 20)), prefix_size=int(options.get("prefix", 8 << 10)))
+        self.hashing = Hashing(options.get("hash", "xxh3_64"), int(options.get("threshold", 1 << 20)), int(options.get("prefix", 8 << 10)))
+        self.unpacking = Unpacking(int(options.get("maxdepth", 10)))
 
     def partitions(self):
         if os.path.isfile(self.root):
@@ -264,7 +312,7 @@ class ArchiveReader(DataSourceReader):
         return [_Archive(os.path.join(d, n)) for d, _, names in sorted(os.walk(self.root)) for n in sorted(names) if is_archive_name(n)]
 
     def read(self, partition):
-        for r in unpack(partition.path, self.config) if partition else ():
+        for r in unpack(partition.path, self.hashing, self.unpacking) if partition else ():
             yield tuple(r[k] for k in schema.MEMBERS.names)
 
 

@@ -13,6 +13,8 @@ CHUNK = 1 << 16
 def new_hash(name: str):
     if name == "xxh3_64":
         return xxhash.xxh3_64()
+    if name == "xxhash64":
+        return xxhash.xxh64(seed=42)  # as Spark's function
     return hashlib.new(name)
 
 
@@ -34,12 +36,12 @@ class TooLarge(Exception):
     pass
 
 
-def hash_stream(stream: BinaryIO, name: str, prefix: int, most: int, copy_to: BinaryIO | None = None) -> tuple[int, str, str]:
+def hash_stream(stream: BinaryIO, name: str, prefix: int, most: int | None, copy_to: BinaryIO | None = None) -> tuple[int, str, str]:
     """(size, full, quick) in one pass, copying what is read where that is asked for."""
     full, head, size = new_hash(name), b"", 0
     while chunk := stream.read(CHUNK):
         size += len(chunk)
-        if size > most:
+        if most is not None and size > most:
             raise TooLarge(f"more than {most} bytes")
         full.update(chunk)
         if len(head) < prefix:

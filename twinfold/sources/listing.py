@@ -1,7 +1,7 @@
 """Files below directories as rows, hidden ones included.
 
-``list_files`` walks folders that the executors see as local paths: the driver lists the roots' first level only and the
-subtrees are dealt out. ``list_with_spark`` reads any file system that Spark reads, without hidden names.
+``list_files`` walks folders that the executors see as local paths: the driver opens folders level by level until there are
+enough subtrees to deal out, and the executors list all the rest. ``list_with_spark`` reads any file system that Spark reads, without hidden names.
 """
 
 from __future__ import annotations
@@ -19,6 +19,9 @@ from twinfold.functions import exprs
 
 log = logging.getLogger(__name__)
 
+#: Subtrees for each core from which no more folders are opened on the driver.
+SUBTREES_A_CORE = 8
+
 
 def _row(path: str, root: str) -> tuple | None:
     try:
@@ -31,34 +34,51 @@ def _row(path: str, root: str) -> tuple | None:
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for path, root in zip(batch["path"], batch["root"], strict=True):
+        for start, root, deep in zip(batch["path"], batch["root"], batch["deep"], strict=True):
             found = []
-            if os.path.isdir(path) and not os.path.islink(path):
-                for folder, _, names in os.walk(path):  # does not follow links to directories
-                    found += [_row(os.path.join(folder, n), root) for n in names]
-                    if len(found) > 10_000:
+            for folder, below, names in os.walk(start):  # does not follow links to directories
+                if not deep:
+                    below.clear()
+                for n in names:
+                    found.append(_row(os.path.join(folder, n), root))
+                    if len(found) == 10_000:
                         yield _frame(found)
                         found = []
-            else:
-                found.append(_row(path, root))
             yield _frame(found)
 
 
+def _folders(path: str) -> list[str]:
+    try:
+        return [e.path for e in os.scandir(path) if e.is_dir(follow_symlinks=False)]
+    except OSError as why:
+        log.warning("skipped %s: %s", path, why)
+        return []
+
+
+def subtrees(root: str, wanted: int) -> Iterator[tuple[str, bool]]:
+    """(folder, deep): folders to list with all below (deep) or without it, ``wanted`` or more deep ones if there are so many."""
+    level = [root]
+    while level and len(level) < wanted:
+        yield from ((folder, False) for folder in level)
+        level = [below for folder in level for below in _folders(folder)]
+    yield from ((folder, True) for folder in level)
+
+
 def _frame(rows: list) -> pd.DataFrame:
     return pd.DataFrame([r for r in rows if r is not None], columns=schema.LISTING.names)
 
 
 def list_files(spark: SparkSession, roots: list[str], min_size: int = 0) -> DataFrame:
     """path, name, size, mtime_ms, root of regular files of ``min_size`` bytes or more; a file below two roots is listed once."""
-    starts = []
+    starts, wanted = [], SUBTREES_A_CORE * spark.sparkContext.defaultParallelism
     for root in roots:
-        if not os.path.isdir(root):
+        if os.path.isdir(root):
+            starts += [(folder, root, deep) for folder, deep in subtrees(root, wanted)]
+        else:
             log.warning("no such directory: %s", root)
-            continue
-        starts += [(e.path, root) for e in os.scandir(root) if not (e.is_dir() and e.is_symlink())]
     if not starts:
         return spark.createDataFrame([], schema.LISTING)
-    tops = spark.createDataFrame(starts, "path string, root string").repartition(min(len(starts), 4 * spark.sparkContext.defaultParallelism))
+    tops = spark.createDataFrame(starts, "path string, root string, deep boolean").repartition(min(len(starts), 4 * wanted))
     found = tops.mapInPandas(_walk, schema.LISTING)
     return found.filter(F.col("size") >= min_size).dropDuplicates(["path"])
 

@@ -1,7 +1,7 @@
 """Targets that arrive as a stream of files, hashed and stored as they come.
 
-A file source reads new files below a folder; each micro-batch becomes one snapshot of ``target_files`` by upsert, so that
-a batch which is replayed after a failure changes nothing.
+A file source reads new files below a folder; each micro-batch becomes one delta of ``target_files`` by upsert, so that a
+batch which is replayed after a failure changes nothing.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from twinfold.config import ScanConfig
+from twinfold.config import Hashing, Scan
 from twinfold.functions import exprs
 from twinfold.operators.store import Store
 
@@ -22,13 +22,13 @@ def read_files(spark: SparkSession, folder: str, per_batch: int = 1000) -> DataF
     return spark.readStream.format("binaryFile").schema(_BINARY_FILE).option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_batch).load(folder)
 
 
-def hashed(files: DataFrame, config: ScanConfig) -> DataFrame:
+def hashed(files: DataFrame, hashing: Hashing, stamp: str, least_bytes: int = 0) -> DataFrame:
     """Rows of target_files; the content is there already, so that both hashes are taken at once."""
-    full, quick = exprs.member_hashes(F.col("content"), F.col("length"), config.partial_threshold, config.prefix_size, config.hash_name)
-    return files.filter(F.col("length") >= config.min_file_size).select("path", F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size"), full.alias("full_hash"), quick.alias("quick_hash"), F.lit(config.fingerprint()).alias("config"))
+    full, quick = exprs.member_hashes(F.col("content"), F.col("length"), hashing.large, hashing.prefix, hashing.name)
+    return files.filter(F.col("length") >= least_bytes).select("path", F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size"), full.alias("full_hash"), quick.alias("quick_hash"), F.lit(stamp).alias("config"))
 
 
-def store_targets(spark: SparkSession, folder: str, store: Store, config: ScanConfig, checkpoint: str) -> StreamingQuery:
+def store_targets(spark: SparkSession, folder: str, store: Store, scan: Scan, checkpoint: str) -> StreamingQuery:
     """Takes in what is there and ends; run again for what came since."""
-    stream = hashed(read_files(spark, folder), config)
+    stream = hashed(read_files(spark, folder), scan.hashing, scan.stamp(), scan.least_bytes)
     return stream.writeStream.foreachBatch(lambda rows, _: store.update_targets(rows)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
