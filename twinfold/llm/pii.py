@@ -6,8 +6,9 @@ account number and validates it. The parsers reproduce leftmost, non-overlapping
 no further left than the end of the last match of its kind, whether that match was valid or not.
 
 Kinds: email, ip, card and phone, then account (a number after a cue such as ``account`` or ``IBAN``, holding a digit
-and six characters at least, or a whole IBAN with right check digits) and url (a scheme, ``://`` and what follows up to
-a blank, quote or bracket). Positions count code points; ends are exclusive.
+and six characters at least, or a whole IBAN with right check digits), url (a scheme, ``://`` and what follows up to
+a blank, quote or bracket) and secret (what is assigned to a cue such as ``token`` or ``password``, of eight characters at
+least with a digit among them; tokens of known forms; private keys from their first line to their last). Positions count code points; ends are exclusive.
 
 Edge cases: a null or empty text has no spans. Repeated rows are searched one by one. Other columns pass through. A
 text's spans are linear in its length.
@@ -26,8 +27,20 @@ from pyspark.sql import functions as F
 from twinfold.llm.frames import col, free_name, small_batches
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "account", "url")
+KINDS = (*BASE_KINDS, "account", "url", "secret")
 CUES = ("account", "acct", "iban", "ssn", "passport", "customer id", "user id", "tax id")
+SECRET_CUES = ("token", "secret", "password", "passwd", "passphrase", "pwd", "api key", "api_key", "api-key", "apikey", "access key", "access_key", "private key", "private_key", "credential", "bearer")
+#: How tokens of known issuers and encodings begin, and their forms.
+TOKENS = {
+    "akia": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
+    "ghp_": r"ghp_[0-9A-Za-z]{36}(?![0-9A-Za-z])",
+    "github_pat_": r"github_pat_[0-9A-Za-z_]{40,255}",
+    "glpat-": r"glpat-[0-9A-Za-z_-]{20,}",
+    "xox": r"xox[abprs]-[0-9A-Za-z-]{10,}",
+    "sk-": r"sk-[0-9A-Za-z_-]{20,}",
+    "eyj": r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
+    "-----begin": r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=:,\s-]{0,20000}?-----END [A-Z0-9 ]*PRIVATE KEY-----)?",
+}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGITS = frozenset("0123456789")
@@ -38,6 +51,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"(?:[\x20]?(?:no|number|nr)\.?)?[\x20:=#\"']{1,3}([A-Za-z0-9](?:[A-Za-z0-9-]|[\x20](?=[0-9])){4,40}[A-Za-z0-9])", re.IGNORECASE)
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_ASSIGNED = re.compile(r"[\"']?[\x20]{0,2}(?:=>|:=|[=:])[\x20]{0,2}[\"']?([A-Za-z0-9+/=_.~$!@#%^&*-]{8,256})")
+_BORNE = re.compile(r"[\x20]+([A-Za-z0-9+/=_.~-]{8,4096})")
+_TOKENS = {start: re.compile(form) for start, form in TOKENS.items()}
 _WEB = re.compile(r"[^\s\"'<>()\[\]{}]+")
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 
@@ -48,8 +64,9 @@ def anchors() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for word in ("@", "+", "://", *_DIGITS):
         found.add_word(word, (word if word in ("@", "+", "://") else "0", len(word)))
-    for cue in CUES:
-        found.add_word(cue, ("cue", len(cue)))
+    for kind, cues in (("cue", CUES), ("secret", SECRET_CUES), ("token", TOKENS)):
+        for cue in cues:
+            found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
 
@@ -122,6 +139,19 @@ class Parser:
         if start >= self.ends["account"] and (m := _NUMBER.match(self.text, end)) and any(c in _DIGITS for c in m[1]):
             self.keep("account", *m.span(1))
 
+    def secret(self, start: int, end: int) -> None:
+        """What is assigned to a cue, or follows it where it says who bears it."""
+        if start < self.ends["secret"] or (start and self.text[start - 1].isalnum()):
+            return
+        m = _ASSIGNED.match(self.text, end) or (folded(self.text[start:end]) == "bearer" and _BORNE.match(self.text, end))
+        if m and len(value := m[1].rstrip(".,;:!?")) >= 8 and any(c in _DIGITS for c in value):
+            self.keep("secret", m.start(1), m.start(1) + len(value))
+
+    def token(self, start: int, end: int) -> None:
+        """A secret known by its form alone."""
+        if start >= self.ends["secret"] and not (start and self.text[start - 1].isalnum()) and (m := _TOKENS[folded(self.text[start:end])].match(self.text, start)):
+            self.keep("secret", *m.span())
+
     def url(self, at: int) -> None:
         start, least = at, self.ends["url"]
         while start > least and self.text[start - 1] in _SCHEME:
@@ -144,6 +174,10 @@ def spans_of(text: str, found: ahocorasick.Automaton) -> dict[str, list[Span]]:
             parser.phone(last)
         elif kind == "cue":
             parser.account(last - length + 1, last + 1)
+        elif kind == "secret":
+            parser.secret(last - length + 1, last + 1)
+        elif kind == "token":
+            parser.token(last - length + 1, last + 1)
         else:
             parser.url(last - 2)
     return parser.spans
