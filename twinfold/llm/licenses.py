@@ -63,6 +63,8 @@ TOKEN = r"[^a-z0-9.+]+"
 LEAST_COSINE = 0.7
 #: Share of a file's words in segments from which it is a licence file.
 LICENCE_FILE = 0.5
+#: Words of segments up to which their weights are broadcast (some 50 bytes each).
+BROADCAST_WORDS = 200_000
 #: Directories up to which their licenses are broadcast (some 150 bytes each).
 BROADCAST_DIRECTORIES = 50_000
 
@@ -175,9 +177,9 @@ def scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text", le
     distinct = scratch.save(distinct)
     total = distinct.agg(F.sum("n")).first()[0] or 0
     bags = spark.createDataFrame([(k, name, words) for k, (name, words) in enumerate(templates)], "template int, name string, words string").select("template", "name", tokens(F.col("words")).alias("tokens"))
-    vocabulary = bags.select(F.explode("tokens").alias("token")).distinct()  # of the templates: bounded by them
-    seen = distinct.select("n", F.explode(F.array_distinct("tokens")).alias("token")).join(F.broadcast(vocabulary), "token").groupBy("token").agg(F.sum("n").alias("df"))
-    idf = F.broadcast(vocabulary.join(seen, "token", "left").select("token", (F.log((1 + F.lit(total)) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf")))
+    seen = distinct.select("n", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.sum("n").alias("df"))
+    idf = scratch.save(seen.select("token", (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1).alias("idf")))
+    idf = F.broadcast(idf) if idf.count() <= BROADCAST_WORDS else idf
     rare = F.log(1 + F.lit(float(total))) + 1
     known = weighed(bags.select("template", "name", "tokens"), ["template", "name"], idf, rare).withColumnRenamed("weight", "their")
     dots = weighed(distinct, ["segment"], idf, rare).join(F.broadcast(known), "token").groupBy("segment", "template", "name").agg(F.sum(F.col("weight") * F.col("their")).alias("cosine"))
