@@ -158,12 +158,11 @@ def test_cosines_against_brute_force(spark):
     texts = [(f"d{k}/f", f"{lines[k % 5]}\nand text of file {k} that is long enough to be none itself") for k in range(12)]
     toks = lambda s: [x for x in re.split(r"[^a-z0-9.+]+", re.sub(r"\.+(?=[^a-z0-9]|$)", "", s.lower())) if x]
     segments = [toks(t.split("\n")[0]) for _, t in texts]
-    vocab = {x for _, w in licenses.TEMPLATES for x in toks(w)}
     n, df = len(segments), defaultdict(int)
     for s in segments:
         for x in set(s):
             df[x] += 1
-    idf = lambda x: math.log((1 + n) / (1 + (df[x] if x in vocab else 0))) + 1
+    idf = lambda x: math.log((1 + n) / (1 + df.get(x, 0))) + 1
 
     def vector(s):
         w = {x: s.count(x) * idf(x) for x in set(s)}
@@ -179,6 +178,37 @@ def test_cosines_against_brute_force(spark):
     assert {r["path"]: (r["license"], r["cosine"]) for r in found} == expected
 
 
+def test_inheritance_against_brute_force(spark):
+    import random
+
+    r = random.Random(5)
+    notices = {"MIT": "Released under the MIT License", "Apache-2.0": "Licensed under the Apache License, Version 2.0", "ISC": dict(licenses.licence_texts())["ISC"], "BSD-3-Clause": dict(licenses.licence_texts())["BSD-3-Clause"]}
+    folders = [""] + ["/".join(r.choice("abc") for _ in range(r.randint(1, 5))) for _ in range(60)]
+    files = {}
+    for k in range(150):
+        name = r.choice([None, None, None, *notices])
+        path = "/".join(x for x in (r.choice(folders), f"LICENSE.{k}" if name else f"f{k}.py") if x)
+        files[path] = (name, notices[name] if name else "code of no licence at all")
+    held = defaultdict(list)
+    for path, (name, _) in files.items():
+        if name:
+            held[path.rpartition("/")[0]].append(name)
+
+    def inherited(path):
+        at = path.rpartition("/")[0]
+        while True:
+            if at in held:
+                return min(set(held[at]), key=lambda x: (-held[at].count(x), x)), at
+            if not at:
+                return None, None
+            at = at.rpartition("/")[0]
+
+    expected = {p: (name, p) if name else inherited(p) for p, (name, _) in files.items()}
+    found = licenses.scan(spark.createDataFrame([(p, t) for p, (_, t) in files.items()], "path string, text string")).collect()
+    assert {x["path"]: (x["license"], x["found_in"]) for x in found} == expected
+    assert len({v[1] for v in expected.values()}) > 10
+
+
 def test_license_edges(spark, docs, empty):
     with_path = lambda df: df.withColumn("path", F.concat(F.lit("x/"), F.col("doc_id").cast("string")))
     assert licenses.scan(with_path(empty)).count() == 0

@@ -194,7 +194,9 @@ SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host IN (SELECT host FRO
 @query
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), "found")
-    return found.select("doc_id", *[F.col(f"found.n_{k}") for k in pii.BASE_KINDS], "found.base_sha256", "found.spans", F.col("found.n_account"), F.col("found.n_url"))
+    counts = [F.col(f"found.n_{k}") for k in pii.KINDS]
+    n_private = sum((F.col(f"found.n_{k}") for k in pii.KINDS if k != "url"), F.lit(0).cast("long"))
+    return found.select("doc_id", *counts, "found.base_sha256", "found.spans", n_private.alias("n_private"))
 
 
 @query
