@@ -27,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread_out(scan: DataFrame) -> DataFrame:
-    """A table as it was read, dealt out where its files give fewer tasks than there are cores."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    """A table as it was read, dealt out where its few small files give fewer tasks than there are cores."""
+    spark = scan.sparkSession
+    cores, split = spark.sparkContext.defaultParallelism, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    small = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * split
+    return scan.repartition(cores) if small and len(scan.inputFiles()) < cores else scan
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -66,6 +66,56 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("doc_id", *[F.col("seen.statistics")[k].alias(k) for k in names], "seen.base_failed", "seen.kept", F.round("seen.posterior", 6).alias("posterior"))
 
 
+def _rounds_of_em() -> str:
+    """SQL of the vote patterns with their posteriors, one recursion a round."""
+    names, q = _RULES, quality_rules
+    sums, odds = [], []
+    for v in names:
+        at = lambda value, weight, v=v: f"coalesce(sum(CASE WHEN {v} = {value} THEN c * {weight} END) OVER (), 0) / sum(c) OVER ()"
+        sums += [f"{at(-1, 'p')} + {q.RARE} AS gn_{v}", f"{at(1, 'p')} + {q.FAITH} AS gp_{v}", f"{at(-1, '(1 - p)')} + {q.RARE} AS bn_{v}", f"{at(1, '(1 - p)')} + {q.RARE} AS bp_{v}"]
+        g, b = f"gn_{v} / (gn_{v} + gp_{v})", f"bn_{v} / (bn_{v} + bp_{v})"
+        odds.append(f"CASE WHEN {v} = 0 OR NOT {g} < {b} THEN 0 WHEN {v} = -1 THEN ln({g} / ({b})) ELSE ln((1 - {g}) / (1 - {b})) END")
+    share = f"least(greatest((sum(c * p) OVER () / sum(c) OVER () + {q.FAITH * q.GOOD}) / {1 + q.FAITH}, {q.SHARE[0]}), {q.SHARE[1]}) AS share"
+    listed = ", ".join(names)
+    return f"""em AS (
+  SELECT 0 AS k, {listed}, count(*)::DOUBLE AS c, CASE WHEN -1 IN ({listed}) THEN 0.05::DOUBLE ELSE 0.95::DOUBLE END AS p FROM ballots GROUP BY ALL
+  UNION ALL
+  SELECT k + 1, {listed}, c, 1 / (1 + exp(-(ln(share / (1 - share)) + {" + ".join(odds)}))) FROM (SELECT *, {share}, {", ".join(sums)} FROM em WHERE k < {q.ROUNDS})
+)"""
+
+
+_RULES = ("symbols", "marks", "capitals", "shouts", "repeated_words", "repeated_lines", "distinct_words", "word_length")
+
+ORACLES["op3_quality_rules"] = rf"""
+WITH RECURSIVE texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), cut AS (
+  SELECT r, doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM texts
+), runs AS (SELECT r, s, array_to_string(w[s : s + 4], ' ') AS g FROM cut, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS s) WHERE len(w) >= 5
+), often AS (SELECT r, s FROM runs QUALIFY count(*) OVER (PARTITION BY r, g) > 1
+), covered AS (SELECT r, count(DISTINCT i) AS n FROM (SELECT r, unnest(range(s, s + 5)) AS i FROM often) GROUP BY r
+), stats AS (
+  SELECT r, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+    coalesce(n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines, len(list_distinct(w)) AS n_distinct, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_capitals,
+    length(regexp_replace(t, '[^\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]', '', 'g')) AS n_marks, length(regexp_replace(t, '[^!]', '', 'g')) AS n_shouts
+  FROM cut LEFT JOIN covered USING (r)
+), shares AS (
+  SELECT *, greatest(n_words, 1)::DOUBLE AS n, 1 - n_distinct / greatest(n_words, 1)::DOUBLE * sqrt(greatest(n_words, {quality_rules.LONG_TEXT}) / {quality_rules.LONG_TEXT}::DOUBLE) AS few, word_chars / greatest(n_words, 1)::DOUBLE AS wide FROM stats
+), ballots AS (
+  SELECT r, CASE WHEN n_words = 0 THEN 0 WHEN n_symbols / n <= 0.05 THEN 1 WHEN n_symbols / n >= 0.2 THEN -1 ELSE 0 END AS symbols,
+    CASE WHEN n_words < 20 THEN 0 WHEN n_marks / n <= 0.3 THEN 1 WHEN n_marks / n >= 0.45 THEN -1 ELSE 0 END AS marks,
+    CASE WHEN n_words = 0 THEN 0 WHEN n_capitals / greatest(word_chars, 1)::DOUBLE <= 0.15 THEN 1 WHEN n_capitals / greatest(word_chars, 1)::DOUBLE >= 0.4 THEN -1 ELSE 0 END AS capitals,
+    CASE WHEN n_words = 0 THEN 0 WHEN n_shouts / n <= 0.1 THEN 1 WHEN n_shouts / n >= 0.5 THEN -1 ELSE 0 END AS shouts,
+    CASE WHEN n_words = 0 THEN 0 WHEN n_repeat_words / n <= 0.1 THEN 1 WHEN n_repeat_words / n >= 0.3 THEN -1 ELSE 0 END AS repeated_words,
+    CASE WHEN n_lines < 3 OR n_words = 0 THEN 0 WHEN n_dup_lines / n_lines::DOUBLE <= 0.2 THEN 1 WHEN n_dup_lines / n_lines::DOUBLE >= 0.5 THEN -1 ELSE 0 END AS repeated_lines,
+    CASE WHEN n_words < 20 THEN 0 WHEN few <= 0.5 THEN 1 WHEN few >= 0.75 THEN -1 ELSE 0 END AS distinct_words,
+    CASE WHEN n_words = 0 THEN 0 WHEN wide >= 2.5 AND wide <= 10 THEN 1 WHEN wide < 1.5 OR wide > 20 THEN -1 ELSE 0 END AS word_length
+  FROM shares
+), {_rounds_of_em()}, judged AS (SELECT r, p FROM ballots JOIN em USING ({", ".join(_RULES)}) WHERE k = {quality_rules.ROUNDS}
+), failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM stats)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= 0.5 AS kept, round(p, 6) AS posterior FROM failed JOIN judged USING (r)
+"""
+
+
 @query
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, text = table(spark, sf_dir, "documents"), F.col("text")
