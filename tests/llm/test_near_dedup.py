@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinfold.llm import near_dedup, setsketch
-from twinfold.llm.components import components
+from twinfold.llm.components import components, extended
 from twinfold.llm.frames import Scratch
 from twinfold.llm.queries import QUERIES
 
@@ -79,6 +79,71 @@ def test_repeated_rows_null_ids_and_empty_tables(spark, empty):
     assert near_dedup.classes(empty).count() == 0 and near_dedup.dedup(empty).columns == empty.columns
 
 
+def test_rows_with_one_id_are_judged_by_their_texts(spark):
+    rows = [(7, "one text of id seven here"), (7, "quite another text of that id"), (3, "Quite another text of THAT id"), (8, "one text of id seven here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__seal", F.lit(1)).withColumn("__like", F.lit("x"))
+    left = near_dedup.dedup(df)
+    assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == [(3, rows[2][1]), (7, rows[0][1])]
+    assert left.columns == df.columns
+
+
+@pytest.mark.parametrize("chain", [False, True])
+def test_one_bucket_of_thousands_takes_few_rounds(spark, chain):
+    """Every pair whose sizes allow a link meets once, unless links join its nodes already."""
+    r = np.random.default_rng(12)
+    n = 2500
+    sizes = np.exp(r.uniform(np.log(20), np.log(20_000), n)).astype(int)
+    nodes = [int(k).to_bytes(16, "big") for k in range(n)]
+    entries = spark.createDataFrame([(1, a, int(s), 0, n) for a, s in zip(nodes, sizes, strict=True)], "bucket long, node binary, n long, own long, size long")
+    search, seen = near_dedup.Search(spark.createDataFrame([], "id long, text string")), []
+    linked = lambda a, b: chain and a // 50 == b // 50
+
+    def confirmed(pairs):
+        found = [(int.from_bytes(x["a"], "big"), int.from_bytes(x["b"], "big")) for x in pairs.collect()]
+        seen.extend(tuple(sorted(p)) for p in found)
+        return spark.createDataFrame([(nodes[a], nodes[b]) for a, b in found if linked(a, b)], "a binary, b binary")
+
+    search.confirmed = confirmed
+    roots = {int.from_bytes(x["node"], "big"): int.from_bytes(x["root"], "big") for x in search.links(entries).collect()}
+    assert search.rounds <= 5 and len(seen) == len(set(seen))
+    low, high = np.minimum.outer(sizes, sizes), np.maximum.outer(sizes, sizes)
+    fits = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu((100 * low >= 80 * high) & (9 * low >= 4 * (low + high)), 1)), strict=True)}
+    assert set(seen) <= fits
+    if not chain:
+        assert set(seen) == fits and not roots
+        return
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in fits:
+        if linked(a, b):
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    assert {k: roots.get(k, k) for k in range(n)} == {k: find(k) for k in range(n)}
+    assert all(find(a) == find(b) for a, b in fits - set(seen))
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_components_grow(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr("twinfold.llm.components.BROADCAST_EDGES", -1)
+    r = np.random.default_rng(2)
+    edges = [tuple(map(int, e)) for e in r.integers(0, 250, (160, 2)) if e[0] != e[1]] + [(k, k + 1) for k in range(200, 240)]
+    frame = lambda some: spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in some], "a binary, b binary")
+    scratch = Scratch(spark, "t")
+    roots = extended(components(frame(edges[:90]), scratch), frame(edges[90:]), scratch)
+    least = list(range(250))
+    for _ in range(250):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    found = {x["node"][0]: x["root"][0] for x in roots.collect()}
+    assert {k: found.get(k, k) for k in range(250)} == dict(enumerate(least)) and all(k != v for k, v in found.items())
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 3), (3, 2), (2, 1), (9, 8), (20, 10), (20, 11), (20, 12)]
     df = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in edges], "a binary, b binary")
@@ -98,6 +163,19 @@ def test_registers_estimate_similarity(j):
     assert abs(np.mean(same) - j) < 0.04
 
 
+def test_texts_together_are_as_alone(monkeypatch):
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 50, n)).encode() for n in [0, 1, 2, 3, 4, 5, 40, 400, 3, 0, 9000, 12, 0, 70_000, 1]] + [b" \n ", b"", b"A\nb", b"a b"]
+    for piece, part in ((1 << 16, 1 << 14), (512, 64)):
+        monkeypatch.setattr(setsketch, "PIECE", piece)
+        monkeypatch.setattr(setsketch, "SLICE", part)
+        sets = setsketch.shingles_of(texts)
+        assert all((a == setsketch.shingles(t)).all() and len(a) == len(setsketch.shingles(t)) for a, t in zip(sets, texts, strict=True))
+        assert [len(x) for x in sets] == [len(shingles(t.decode())) for t in texts]
+        together = setsketch.sketches(sets)
+        assert all((together[k] == setsketch.sketch(x)).mean() > 0.99 for k, x in enumerate(sets))
+
+
 def test_sketches_merge_and_do_not_depend_on_order():
     r = np.random.default_rng(8)
     a, b = (np.unique(r.integers(0, 1 << 63, n).astype(np.uint64)) for n in (5, 900))

@@ -10,102 +10,60 @@
 4. In each bucket one node, the hub, is paired with those that are not yet in its component: the node whose buckets hold
    most others, which is the middle of a cloud of near copies. A pair is compared by sketch (likelihood) and, if it may be
    similar, on its whole sets. Links join components, and a bucket whose nodes are all in one component is done.
-5. This repeats with new hubs as long as too many pairs between different components are left; then these are compared one
-   by one. No pair of a shared bucket is left out unless a chain of confirmed links joins both already. So a group of n
-   copies costs about n pairs, not n * n.
+5. What is left goes on with GROWTH times as many hubs in each round, drawn by hash; hubs have met all others and leave. A
+   bucket of so few nodes, or so many hubs, that its pairs are PAIRS_PER_ENTRY a node or less is compared pair by pair and
+   done. So the number of rounds is at most the logarithm, to base GROWTH, of the largest bucket. Large buckets are dealt
+   out in blocks, each block of nodes with each block of hubs, so that no task has a whole one.
 
-Every step is a join or an aggregation on tables in the shared folder; the driver sees counts only.
+No pair of a shared bucket is left out unless a chain of confirmed links joins both already. A group of n copies costs
+about n pairs, not n * n. Every step is a join or an aggregation; the driver sees counts only.
 
 Edge cases: a null or empty text, or one without words, has an empty set and is alone. A text of fewer than 4 words is one
-shingle. Ids should be distinct: rows with one id count as one document of ``dedup``, and one of them stays. A null id
-takes part but never names a component that has ids. Other columns pass through. An empty table gives an empty one.
+shingle. A null id takes part but never names a component that has ids. Rows with one id and different texts are judged
+by their own texts; of rows with one id and no words, and of rows that are equal in id and text, ``dedup`` keeps one. Other
+columns pass through. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
+from collections.abc import Callable
 from functools import reduce
+from itertools import count
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.llm import setsketch
-from twinfold.llm.components import components
-from twinfold.llm.frames import Scratch, col, free_name, small_batches, texts_of
+from twinfold.llm import sketch_batches
+from twinfold.llm.components import components, extended
+from twinfold.llm.frames import Scratch, col, free_name, small_batches
 
-#: Pairs between components, for each entry of the shared buckets, up to which they are compared one by one.
+#: Pairs for each node of a bucket, up to which all of them are compared once its hubs have met the others.
 PAIRS_PER_ENTRY = 32
-#: Ids up to which they are broadcast (some 50 bytes each).
+#: How many times more hubs each round has.
+GROWTH = 8
+#: Nodes, or hubs, of one bucket in one block.
+BLOCK = 4096
+#: Ids, or pairs, up to which they are broadcast (some 100 bytes each).
 BROADCAST_IDS = 200_000
 
+_ODD = sketch_batches.ODD
 
-def _prints(texts: pa.Array) -> pa.Array:
-    ns, nodes, sketches = [], [], []
-    for text in texts_of(texts):
-        elements = setsketch.shingles(text)
-        ns.append(len(elements))
-        nodes.append(setsketch.fingerprint(elements) if len(elements) else None)
-        sketches.append(setsketch.sketch(elements).tobytes() if len(elements) else None)
-    return pa.StructArray.from_arrays([pa.array(ns, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sketches, pa.binary())], ["n", "node", "sketch"])
 
+def _fits(n: Column, own: Column, m: Column, their: Column) -> Column:
+    """Whether sets of sizes n and m may be similar, of which own and their elements are in no other set."""
+    return (100 * F.least(n, m) >= 80 * F.greatest(n, m)) & (9 * (n - own) >= 4 * (n + m)) & (9 * (m - their) >= 4 * (n + m))
 
-def _node(texts: pa.Array) -> pa.Array:
-    return pa.array([setsketch.fingerprint(e) if len(e := setsketch.shingles(x)) else None for x in texts_of(texts)], pa.binary())
 
-
-def _elements(texts: pa.Array) -> pa.Array:
-    return pa.array([setsketch.shingles(x).view(np.int64) for x in texts_of(texts)], pa.list_(pa.int64()))
-
-
-def _parities(texts: pa.Array) -> pa.Array:
-    rows = np.array([setsketch.parities(setsketch.shingles(x)) for x in texts_of(texts)], np.int64).reshape(-1, len(_ODD))
-    return pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(len(_ODD))], _ODD)
-
-
-_ODD = [f"p{k}" for k in range(setsketch.PARITIES // 64)]
-_ODD_TYPE = "struct<" + ", ".join(f"{p}:bigint" for p in _ODD) + ">"
-
-
-def _bands(sketches: pa.Array) -> pa.Array:
-    rows = [setsketch.bands(np.frombuffer(x, "<u2")) for x in sketches.to_pylist()]
-    flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * setsketch.BANDS), pa.array(flat))
-
-
-def _may_link(n_a: pa.Array, n_b: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
-    if not len(n_a):
-        return pa.array([], pa.bool_())
-    rows = lambda x: np.frombuffer(b"".join(x.to_pylist()), "<u2").reshape(-1, setsketch.REGISTERS)
-    sizes = lambda x: x.to_numpy(zero_copy_only=False).astype(np.float64)
-    return pa.array(setsketch.candidates(sizes(n_a), sizes(n_b), rows(a), rows(b)))
-
-
-def _are_linked(a: pa.Array, b: pa.Array) -> pa.Array:
-    recent: OrderedDict[bytes, np.ndarray] = OrderedDict()
-
-    def elements(text: bytes) -> np.ndarray:
-        if text not in recent:
-            recent[text] = setsketch.shingles(text)
-            if len(recent) > 64:
-                recent.popitem(last=False)
-        return recent[text]
-
-    return pa.array([setsketch.linked(elements(x), elements(y)) for x, y in zip(texts_of(a), texts_of(b), strict=True)], pa.bool_())
-
-
-def may_be_similar(n: Column, own: Column, odd: Column, m: Column, their: Column, their_odd: Column) -> Column:
-    """By sizes n and m, the elements of each that no other node has, and parity bits."""
-    differ = reduce(lambda x, y: x + y, [F.bit_count(odd[p].bitwiseXOR(their_odd[p])) for p in _ODD])
-    return (100 * F.least(n, m) >= 80 * F.greatest(n, m)) & (9 * (n - own) >= 4 * (n + m)) & (9 * (m - their) >= 4 * (n + m)) & (9 * differ <= n + m)
+def _seal(text: Column) -> Column:
+    """128 bits of a text."""
+    return F.struct(F.xxhash64(text).alias("x"), F.xxhash64(F.lit(1), text).alias("y"))
 
 
 class Search:
-    """One run over a table of (id, text)."""
+    """One run over a table of (id, text). ``rounds`` counts those it took."""
 
     def __init__(self, docs: DataFrame):
-        self.docs, self.scratch = docs, Scratch(docs.sparkSession, "near-dedup")
+        self.docs, self.scratch, self.rounds = docs, Scratch(docs.sparkSession, "near-dedup"), 0
         small_batches(docs.sparkSession)
 
     @classmethod
@@ -113,132 +71,156 @@ class Search:
         return cls(docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")))
 
     def run(self) -> DataFrame:
-        """id, n, component: one row for each row of the table."""
+        """id, seal, n, root, component: one row for each row of the table."""
         scratch = self.scratch
-        prints = self.docs.select("id", F.arrow_udf(_prints, "struct<n:bigint, node:binary, sketch:binary>")("text").alias("p")).select("id", "p.*")
-        prints = scratch.save(prints)
-        nodes = scratch.save(prints.filter("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-        entries = self.shared(nodes)
-        near = entries.select("node").distinct()
-        self.nodes = scratch.save(nodes.join(near, "node", "left_semi"))
+        prints = scratch.save(self.docs.select("id", _seal(F.col("text")).alias("seal"), F.arrow_udf(sketch_batches.prints, sketch_batches.PRINT)("text").alias("p")).select("id", "seal", "p.*"))
+        some = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "seal")).alias("some")  # a row that has the text
+        nodes = scratch.save(prints.filter("n > 0").groupBy("node").agg(some, F.first("n").alias("n"), F.first("sketch").alias("sketch"), *[F.first(p).alias(p) for p in _ODD]))
+        shared = self.shared(nodes)
+        self.nodes = scratch.save(nodes.join(shared.select("node").distinct(), "node", "left_semi"))
         self.texts = self.texts_of_nodes()
-        hopeful = self.hopeful(entries)
-        scratch.drop(entries)
+        hopeful = self.hopeful(shared)
+        scratch.drop(shared)
         roots = self.links(hopeful)
-        ranked = nodes.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-        named = scratch.save(ranked.groupBy("root").agg(F.min("rep").alias("component")))
-        named = scratch.save(ranked.join(named, "root").select("node", "component"))
+        ranked = scratch.keep(nodes.select("node", F.col("some.id").alias("rep")).join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root")))
+        named = scratch.keep(ranked.groupBy("root").agg(F.min("rep").alias("component")))
+        named = scratch.save(ranked.join(named, "root").select("node", "root", "component"))
         scratch.drop_but(prints, named)
-        return prints.select("id", "n", "node").join(named, "node", "left").select("id", "n", "node", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+        found = prints.select("id", "seal", "n", "node").join(named, "node", "left")
+        return found.select("id", "seal", "n", "root", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
 
     def shared(self, nodes: DataFrame) -> DataFrame:
-        """bucket, node: of buckets with two nodes or more."""
-        entries = self.scratch.save(nodes.select("node", F.explode(F.arrow_udf(_bands, "array<bigint>")("sketch")).alias("bucket")))
-        several = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-        several = self.scratch.save(several)
-        kept = self.scratch.save(entries.join(several, "bucket", "left_semi").select("bucket", "node"))
+        """bucket, node, n: of buckets with two nodes or more."""
+        entries = self.scratch.save(nodes.select("node", "n", F.explode(F.arrow_udf(sketch_batches.bands, "array<bigint>")("sketch")).alias("bucket")))
+        several = self.scratch.keep(entries.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket"))
+        kept = self.scratch.save(entries.join(several, "bucket", "left_semi").select("bucket", "node", "n"))
         self.scratch.drop(entries, several)
         return kept
 
     def texts_of_nodes(self) -> DataFrame:
         """node, text: one text for each node that shares a bucket."""
-        wanted = self.nodes.select("node", F.col("rep").alias("rep"))
-        wanted = F.broadcast(wanted) if self.nodes.count() <= BROADCAST_IDS else wanted
-        found = self.docs.join(wanted, self.docs["id"].eqNullSafe(wanted["rep"])).select("node", "text")
-        return self.scratch.save(found.filter(F.arrow_udf(_node, "binary")("text") == F.col("node")).dropDuplicates(["node"]))
-
-    def hopeful(self, entries: DataFrame) -> DataFrame:
-        """bucket, node, n, own, odd: the entries that some other node of the bucket may be similar to."""
+        wanted, n = self.nodes.select("node", "some.id", "some.seal"), self.nodes.count()
+        wanted = wanted.select("node", F.col("id").alias("of"), F.col("seal").alias("like"))
+        wanted = F.broadcast(wanted) if n <= BROADCAST_IDS else wanted
+        texts = self.docs.withColumn("seal", _seal(F.col("text")))
+        found = self.scratch.save(texts.join(wanted, F.col("id").eqNullSafe(F.col("of")) & (F.col("seal") == F.col("like"))).select("node", "text"))
+        return found if found.count() == n else self.scratch.save(found.dropDuplicates(["node"]))  # rows that repeat
+
+    def hopeful(self, shared: DataFrame) -> DataFrame:
+        """bucket, node, n, own, size: the entries that some other node of the bucket may be similar to; size is the bucket's."""
         start = self.scratch.count
-        elements = self.texts.select(F.xxhash64("node").alias("of"), F.explode(F.arrow_udf(_elements, "array<bigint>")("text")).alias("element"))
+        elements = self.texts.select(F.xxhash64("node").alias("of"), F.explode(F.arrow_udf(sketch_batches.elements, "array<bigint>")("text")).alias("element"))
         alone = elements.groupBy("element").agg(F.count("*").alias("n"), F.min("of").alias("of")).filter("n = 1")
-        own = self.scratch.save(alone.groupBy("of").agg(F.count("*").alias("own")))
-        sized = self.nodes.select("node", "n", F.xxhash64("node").alias("of")).join(own, "of", "left").select("node", "n", F.coalesce("own", F.lit(0)).alias("own"))
-        odd = self.scratch.save(self.texts.select("node", F.arrow_udf(_parities, _ODD_TYPE)("text").alias("odd")))
-        sized = self.scratch.save(sized.filter("5 * own <= n").join(odd, "node"))  # else not even a subset of 4/5 is left
-        left = self.scratch.save(entries.join(sized, "node").select("bucket", "node", "n", "own", "odd"))
-        least = self.scratch.save(left.groupBy("bucket").agg(F.min("n").alias("least"), F.count("*").alias("size")).filter("size > 1"))
-        hopeful = self.scratch.save(left.join(least, "bucket").filter("9 * (n - own) >= 4 * (n + least)").select("bucket", "node", "n", "own", "odd"))
+        own = self.scratch.keep(alone.groupBy("of").agg(F.count("*").alias("own")))
+        sized = shared.withColumn("of", F.xxhash64("node")).join(own, "of", "left").select("bucket", "node", "n", F.coalesce("own", F.lit(0)).alias("own"))
+        left = self.scratch.save(sized.filter("5 * own <= n"))  # else not even a subset of 4/5 is left
+        least = self.scratch.keep(left.groupBy("bucket").agg(F.min("n").alias("least"), F.count("*").alias("size")).filter("size > 1"))
+        hopeful = self.scratch.save(left.join(least, "bucket").filter("9 * (n - own) >= 4 * (n + least)").select("bucket", "node", "n", "own", "size"))
         self.scratch.drop_but(hopeful, since=start)
         return hopeful
 
+    @staticmethod
+    def sides(pairs: DataFrame, of: Callable[[str], DataFrame]) -> DataFrame:
+        """The pairs with what ``of`` has for a and for b. Few pairs go to the table, many meet it by key."""
+        if pairs.count() > BROADCAST_IDS:
+            return pairs.join(of("a"), "a").join(of("b"), "b")
+        sent = F.broadcast(pairs)
+        return of("a").join(sent, "a").join(of("b").join(sent, "b"), ["a", "b"])
+
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Of the pairs (a, b), those that are linked."""
-        side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+        side = lambda x: self.nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sketch", *_ODD)])
         text = lambda x: self.texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
-        half = self.scratch.save(pairs.join(side("a"), "a"))
-        likely = self.scratch.save(half.join(side("b"), "b").filter(F.arrow_udf(_may_link, "boolean")("n_a", "n_b", "sketch_a", "sketch_b")).select("a", "b"))
-        with_a = self.scratch.save(likely.join(text("a"), "a"))
-        found = self.scratch.save(with_a.join(text("b"), "b").filter(F.arrow_udf(_are_linked, "boolean")("text_a", "text_b")).select("a", "b"))
-        self.scratch.drop(half, likely, with_a)
+        differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in _ODD])
+        close = self.sides(pairs, side).filter(9 * differ <= F.col("n_a") + F.col("n_b"))
+        likely = self.scratch.save(close.filter(F.arrow_udf(sketch_batches.may_link, "boolean")("n_a", "n_b", "sketch_a", "sketch_b")).select("a", "b"))
+        found = self.scratch.save(self.sides(likely, text).filter(F.arrow_udf(sketch_batches.are_linked, "boolean")("text_a", "text_b")).select("a", "b"))
+        self.scratch.drop(likely)
         return found
 
+    def by_centres(self, live: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs (a, b) of each bucket's centre with the others, and the entries without the centres."""
+        scratch, start = self.scratch, self.scratch.count
+        weight = scratch.keep(live.groupBy("node").agg(F.sum("size").alias("weight")))
+        hubs = live.join(weight, "node").groupBy("bucket").agg(F.max_by(F.struct("node", "n", "own"), F.struct("weight", "node")).alias("h"))
+        hubs = scratch.keep(hubs.select("bucket", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.own").alias("hub_own")))
+        met = live.join(hubs, "bucket").filter(F.col("node") != F.col("hub"))
+        met = scratch.save(met.select("bucket", "node", "n", "own", "hub", _fits(*map(F.col, ("n", "own", "hub_n", "hub_own"))).alias("fits")))
+        pairs = scratch.save(met.filter("fits").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+        scratch.drop_but(met, pairs, since=start)
+        return pairs, met.select("bucket", "node", "n", "own")
+
+    def by_hubs(self, live: DataFrame, hubs: int) -> tuple[DataFrame, DataFrame]:
+        """Pairs (a, b) of that many hubs a bucket, or all, with the others, and the entries of nodes that were no hubs."""
+        size, node = F.col("size"), F.col("node")
+        drawn = F.shiftrightunsigned(F.xxhash64(F.lit(hubs), node), 11) / float(1 << 53) < hubs / size
+        live = live.withColumn("hub", (size - 1 <= 2 * PAIRS_PER_ENTRY) | (size <= hubs) | drawn)
+        place = lambda blocks: F.pmod(F.xxhash64(F.lit("block"), node), blocks)
+        each = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+        blocks = F.ceil(size / F.lit(BLOCK))
+        few = F.when(size - 1 <= 2 * PAIRS_PER_ENTRY, 1).otherwise(F.ceil(F.least(size, F.lit(hubs)) / F.lit(BLOCK))).cast("long")
+        met = live.withColumns({"i": place(blocks), "few": few}).withColumn("j", each(F.col("few"))).drop("few", "size")
+        own = ("node", "n", "own", "label")
+        hub = live.filter("hub").select("bucket", *[F.col(c).alias(f"hub_{c}") for c in own], place(few).alias("j"), each(blocks).alias("i"))
+        once = ~F.col("hub") | (node < F.col("hub_node"))
+        fits = (F.col("label") != F.col("hub_label")) & once & _fits(*map(F.col, ("n", "own", "hub_n", "hub_own")))
+        pairs = met.join(hub, ["bucket", "i", "j"]).filter(fits).select(F.col("node").alias("a"), F.col("hub_node").alias("b")).distinct()
+        return self.scratch.save(pairs), live.filter("not hub").select("bucket", "node", "n", "own")
+
     def links(self, entries: DataFrame) -> DataFrame:
         """node, root of each node that is linked to a smaller one."""
-        scratch = self.scratch
-        start, limit = scratch.count, PAIRS_PER_ENTRY * entries.count()
-        left = entries.withColumn("label", F.col("node"))
-        links = roots = None
-        own, other = ("bucket", "node", "n", "own", "odd", "label"), ("bucket", "hub", "hub_n", "hub_own", "hub_odd", "hub_label")
-        as_other = [F.col(x).alias(y) for x, y in zip(own, other, strict=True)]
-        fits = may_be_similar(*map(F.col, ("n", "own", "odd", "hub_n", "hub_own", "hub_odd"))) & (F.col("label") != F.col("hub_label"))
-        while True:
-            sizes = left.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("size"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
-            sizes = scratch.save(sizes.filter("pairs > 0"))
-            pairs_left = sizes.agg(F.sum("pairs")).first()[0] or 0
-            if pairs_left == 0:
+        scratch, start = self.scratch, self.scratch.count
+        roots, left, live = None, entries, entries
+        for self.rounds in count():
+            if self.rounds:
+                label = F.coalesce("root", "node") if roots is not None else F.col("node")
+                labelled = scratch.save((left.join(roots, "node", "left") if roots is not None else left).select(*left.columns, label.alias("label")))
+                hashes = F.xxhash64("label"), F.xxhash64(F.lit(1), "label")
+                differ = reduce(lambda x, y: x | y, [F.min(h) != F.max(h) for h in hashes])
+                sizes = scratch.save(labelled.groupBy("bucket").agg(F.count("*").alias("size"), differ.alias("open")).filter("open").select("bucket", "size"))
+                live = scratch.save(labelled.join(sizes, "bucket"))
+                scratch.drop_but(roots, live, since=start)
+            if live.isEmpty():
                 return roots if roots is not None else entries.select("node", F.col("node").alias("root")).limit(0)
-            left = scratch.save(left.join(sizes.select("bucket", "size"), "bucket"))
-            last = pairs_left <= limit
-            if last:
-                # nodes that share several buckets meet in the first of them; a node has BANDS buckets at most
-                places = scratch.save(left.groupBy("node").agg(F.collect_set("bucket").alias("places")))
-                left = scratch.save(left.join(places, "node"))
-                meet = F.array_min(F.array_intersect("places", "their_places")) == F.col("bucket")
-                pairs = left.join(left.select(*as_other, F.col("places").alias("their_places")), "bucket").filter(fits & (F.col("node") < F.col("hub")) & meet)
-            else:
-                weight = scratch.save(left.groupBy("node").agg(F.sum("size").alias("weight")))
-                weighed = scratch.save(left.join(weight, "node"))
-                hubs = weighed.groupBy("bucket").agg(F.max_by(F.struct(*own[1:]), F.struct("weight", "node")).alias("h"))
-                hubs = scratch.save(hubs.select("bucket", *[F.col(f"h.{x}").alias(y) for x, y in zip(own[1:], other[1:], strict=True)]))
-                met = scratch.save(left.join(hubs, "bucket"))
-                pairs = met.filter(fits)
-            more = self.confirmed(scratch.save(pairs.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()))
-            links = more if links is None else scratch.save(links.unionByName(more))
-            roots = scratch.save(components(links, scratch))
-            if last:
-                return roots
-            # a hub has met all others of its bucket
-            left = met.filter(F.col("node") != F.col("hub")).select(*own[:5]).join(roots, "node", "left")
-            left = scratch.save(left.select(*own[:5], F.coalesce("root", "node").alias("label")))
-            scratch.drop_but(links, roots, left, since=start)
+            pairs, left = self.by_hubs(live, GROWTH**self.rounds) if self.rounds else self.by_centres(live)
+            more = self.confirmed(pairs)
+            if not more.isEmpty():
+                roots = components(more, scratch) if roots is None else extended(roots, more, scratch)
 
 
 def classes(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id, n_shingles, component_id, kept: one row for each document."""
-    return _judged(Search.of(docs, text_col, id_col)).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
-
-
-def _judged(search: Search) -> DataFrame:
-    found = search.run()
-    return found.withColumn("kept", F.col("id").eqNullSafe(F.col("component")))
+    found = Search.of(docs, text_col, id_col).run()
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def dedup(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One document of each class, with its own columns."""
-    name, node = free_name(docs, "kept"), free_name(docs, "node")
+    """One document of each class, with its own columns.
+
+    Rows are known by id and text. Of each class one such key stays, and the others go; a key that stays and has several
+    rows loses all but one.
+    """
     scratch, search = Scratch(docs.sparkSession, "near-dedup-kept"), Search.of(docs, text_col, id_col)
-    judged = scratch.save(_judged(search).filter("kept").groupBy("id", "node").agg(F.count("*").alias("n")))
+    found = search.run()
+    # rows without words are in no class: those with an id stay once, the others all
+    alone = F.when(F.col("n") == 0, F.struct("id"))
+    keys = found.filter("n > 0 or id is not null").groupBy("id", "seal", "root", alone.alias("alone"), "component").agg(F.count("*").alias("rows"))
+    keys = scratch.save(keys)
     search.scratch.drop_but()
-    ids = scratch.save(judged.filter("id is not null").groupBy(F.col("id").alias(name)).agg(F.sum("n").alias("n")))
-    left = lambda some: docs.join(some.select(name), col(id_col) == col(name), "left_semi")
-    again = ids.filter("n > 1")
-    out = left(ids) if again.isEmpty() else left(ids.filter("n = 1")).unionByName(left(again).dropDuplicates([id_col]))
-    unnamed = judged.filter("id is null")
-    if unnamed.isEmpty():
-        return out
-    # rows without an id are told apart by their sets; those without words all stay
-    rows = docs.filter(col(id_col).isNull()).withColumn(node, F.arrow_udf(_node, "binary")(col(text_col).cast("string")))
-    nodes = unnamed.select(F.col("node").alias(name))
-    one = rows.filter(col(node).isNotNull()).join(nodes, col(node) == col(name), "left_semi").dropDuplicates([node])
-    return out.unionByName(one.drop(node)).unionByName(rows.filter(col(node).isNull()).drop(node))
+    first = scratch.save(keys.filter(F.col("id").eqNullSafe(F.col("component"))).groupBy("root", "alone").agg(F.min(F.struct("id", "seal")).alias("first")))
+    # one row of each class is left in ``first``; the keys that go are those that are first of no class
+    named = first.select(F.col("first.id").alias("id"), F.col("first.seal").alias("seal"), F.lit(True).alias("stays"))
+    judged = keys.select("id", "seal", "rows").alias("k").join(named.alias("f"), F.expr("k.id <=> f.id and k.seal = f.seal"), "left")
+    judged = scratch.save(judged.select("k.id", "k.seal", "k.rows", F.col("stays").isNotNull().alias("stays")).filter("not stays or rows > 1"))
+    own, seal, like, stays = (free_name(docs, x) for x in ("id", "seal", "like", "stays"))
+    n = judged.count()
+    scratch.drop(keys, first)
+    gone = judged.select(F.col("id").alias(own), F.col("seal").alias(like), F.col("stays").alias(stays))
+    gone = F.broadcast(gone) if n <= BROADCAST_IDS else gone
+    sealed = docs.withColumn(seal, _seal(col(text_col).cast("string")))
+    out = sealed.join(gone, col(id_col).eqNullSafe(col(own)) & (col(seal) == col(like)), "left")
+    kept = out.filter(col(stays).isNull()).select(*[col(c) for c in docs.columns])
+    if judged.filter("stays").isEmpty():
+        return kept
+    again = out.filter(col(stays)).dropDuplicates([id_col, seal]).select(*[col(c) for c in docs.columns])
+    return kept.unionByName(again)

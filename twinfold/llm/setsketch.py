@@ -13,6 +13,7 @@ element costs few points, not one for each register.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 
@@ -24,8 +25,9 @@ PARITIES = 512
 SIMILAR = 0.8
 #: A pair whose likelihood at SIMILAR is this far (in log) below its best is no candidate: less than one in a million true pairs.
 DOUBT = 14.0
-#: Bytes of a text that are hashed at once.
-PIECE = 1 << 20
+#: Bytes of a text that are hashed at once, and elements that are sketched at once.
+PIECE = 1 << 16
+SLICE = 1 << 14
 
 _U = np.uint64
 _rng = np.random.default_rng(20)
@@ -53,7 +55,7 @@ _UP = _powers(_BASE_WORD, PIECE + 1)
 _DOWN = _powers(pow(_BASE_WORD, -1, 1 << 64), PIECE + 1)
 
 
-def _word_hashes(piece: bytes) -> np.ndarray:
+def _word_hashes(piece: bytes, with_starts: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
     if len(piece) > PIECE:  # words that are longer than a piece
         return np.concatenate([np.frombuffer(hashlib.blake2b(w, digest_size=8).digest(), _U) for w in piece.split()] or [np.empty(0, _U)])
     codes = np.frombuffer(piece, np.uint8)
@@ -63,7 +65,8 @@ def _word_hashes(piece: bytes) -> np.ndarray:
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     sums = np.zeros(len(codes) + 1, _U)
     np.cumsum(_BYTE[codes] * _UP[: len(codes)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * _DOWN[starts] + (ends - starts).astype(_U))
+    words = mixed((sums[ends] - sums[starts]) * _DOWN[starts] + (ends - starts).astype(_U))
+    return (words, starts) if with_starts else words
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -86,17 +89,52 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _runs(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of so many words."""
+    n = max(0, len(words) - width + 1)
+    h = np.full(n, _U(width))
+    for k in range(width):
+        h = mixed(h * _STEP + words[k : k + n])
+    return h
+
+
 def shingles(text: bytes) -> np.ndarray:
     """Sorted hashes of the distinct runs of WORDS words; of the whole sequence if it is shorter."""
     words = word_hashes(text)
     width = min(WORDS, len(words))
-    if not width:
-        return words
-    n = len(words) - width + 1
-    h = np.full(n, _U(width))
-    for k in range(width):
-        h = mixed(h * _STEP + words[k : k + n])
-    return np.unique(h)
+    return np.unique(_runs(words, width)) if width else words
+
+
+def shingles_of(texts: Sequence[bytes]) -> list[np.ndarray]:
+    """``shingles`` of each text; short texts are hashed together, a piece at a time."""
+    out: list[np.ndarray] = []
+    group: list[bytes] = []
+    size = 0
+    for text in texts:
+        if group and size + len(text) + 1 > PIECE:
+            out += _shingles_of_group(group)
+            group, size = [], 0
+        if len(text) >= PIECE:
+            out.append(shingles(text))
+        else:
+            group.append(text)
+            size += len(text) + 1
+    return out + (_shingles_of_group(group) if group else [])
+
+
+def _shingles_of_group(texts: list[bytes]) -> list[np.ndarray]:
+    joined = b"\n".join(texts).lower()
+    words, starts = _word_hashes(joined, with_starts=True)
+    ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+    hashes = _runs(words, WORDS)
+    out, first = [], 0
+    for end in ends.tolist():
+        if end - first >= WORDS:
+            out.append(np.unique(hashes[first : end - WORDS + 1]))
+        else:
+            out.append(_runs(words[first:end], end - first) if end > first else words[:0])
+        first = end
+    return out
 
 
 def fingerprint(elements: np.ndarray) -> bytes:
@@ -104,20 +142,50 @@ def fingerprint(elements: np.ndarray) -> bytes:
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
-    """REGISTERS values of 16 bits."""
-    least = np.full(REGISTERS, np.inf)
-    active, x, round_no = elements, np.zeros(len(elements)), 0
-    rounds = max(1, -(-7 * REGISTERS // max(1, len(elements))))
+    """REGISTERS values of 16 bits. Elements come in slices, each bounded by the least values of those before it."""
+    least = np.full((1, REGISTERS), np.inf)
+    for at in range(0, len(elements), SLICE):
+        part = elements[at : at + SLICE]
+        _draw(part, np.zeros(len(part), np.int64), least)
+    return _registers(least)[0]
+
+
+def sketches(sets: Sequence[np.ndarray]) -> np.ndarray:
+    """``sketch`` of each set, in rows; small sets are drawn together."""
+    out = np.empty((len(sets), REGISTERS), "<u2")
+    at = 0
+    while at < len(sets):
+        end, n = at, 0
+        while end < len(sets) and (n + len(sets[end]) <= SLICE or end == at):
+            n += len(sets[end])
+            end += 1
+        if n > SLICE:
+            out[at] = sketch(sets[at])
+        else:
+            least = np.full((end - at, REGISTERS), np.inf)
+            _draw(np.concatenate(sets[at:end]), np.repeat(np.arange(end - at), [len(x) for x in sets[at:end]]), least)
+            out[at:end] = _registers(least)
+        at = end
+    return out
+
+
+def _draw(active: np.ndarray, owner: np.ndarray, least: np.ndarray) -> None:
+    """Lower the least values (a row for each owner) by the points of the elements."""
+    flat, x, round_no, rounds = least.reshape(-1), np.zeros(len(active)), 0, 1
     while len(active):
+        rounds = min(max(rounds, SLICE // len(active)), 16)
         drawn = mixed(active[:, None] + (np.arange(round_no, round_no + rounds, dtype=_U) + _U(1))[None, :] * _STEP)
         points = x[:, None] + np.cumsum(-np.log(((drawn >> _U(12)) + 0.5) / float(1 << 52)), axis=1) / REGISTERS
-        marks = (mixed(drawn ^ _STEP) >> _U(33)) % _U(REGISTERS)
-        np.minimum.at(least, marks.ravel().astype(np.int64), points.ravel())
+        marks = ((mixed(drawn ^ _STEP) >> _U(33)) % _U(REGISTERS)).astype(np.int64) + owner[:, None] * REGISTERS
+        np.minimum.at(flat, marks.ravel(), points.ravel())
         x, round_no = points[:, -1], round_no + rounds
-        more = x < least.max()
-        active, x = active[more], x[more]
-        rounds = max(1, REGISTERS // max(1, len(active)))
-    return np.clip(np.floor(1 - np.log(least / RATE) / np.log(BASE)), 0, LIMIT + 1).astype("<u2")
+        more = x < least.max(axis=1)[owner]
+        active, owner, x = active[more], owner[more], x[more]
+
+
+def _registers(least: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.clip(np.floor(1 - np.log(least / RATE) / np.log(BASE)), 0, LIMIT + 1).astype("<u2")
 
 
 def parities(elements: np.ndarray) -> np.ndarray:
