@@ -104,6 +104,7 @@ def test_one_bucket_of_thousands_takes_few_rounds(spark, chain):
         return spark.createDataFrame([(nodes[a], nodes[b]) for a, b in found if linked(a, b)], "a binary, b binary")
 
     search.confirmed = confirmed
+    search.nodes = entries.select("node", *[F.lit(0).cast("long").alias(p) for p in near_dedup._ODD])
     roots = {int.from_bytes(x["node"], "big"): int.from_bytes(x["root"], "big") for x in search.links(entries).collect()}
     assert search.rounds <= 5 and len(seen) == len(set(seen))
     low, high = np.minimum.outer(sizes, sizes), np.maximum.outer(sizes, sizes)

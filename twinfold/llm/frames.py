@@ -8,7 +8,6 @@ import re
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,12 +81,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables that the steps of one run share.
+    """Parquet tables in the shared folder that cut lineage: a lost executor costs one table's recomputation at most.
 
-    ``save`` writes Parquet in the shared folder and so cuts lineage: a lost executor costs one table's recomputation at
-    most. ``keep`` holds a narrow table on the executors' disks; it is made again from the saved ones where an executor is
-    lost. ``drop`` and ``drop_but`` delete tables that no result reads any more; the rest go when the driver
-    ends, as results are lazy. The shuffle files of the query that wrote a table go with its end.
+    ``drop`` and ``drop_but`` delete tables that no result reads any more; the rest go when the driver ends, as results are
+    lazy. The shuffle files of the query that wrote a table go with its end.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -111,17 +108,9 @@ class Scratch:
         self.tables[self.count] = kept
         return kept
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        self.count += 1
-        self.tables[self.count] = kept = df.persist(StorageLevel.DISK_ONLY)
-        return kept
-
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            if hasattr(t, "scratch_path"):
-                _delete(self.spark, t.scratch_path)
-            else:
-                t.unpersist()
+            _delete(self.spark, t.scratch_path)
         self.tables = {k: t for k, t in self.tables.items() if not any(t is x for x in tables)}
 
     def drop_but(self, *kept: DataFrame | None, since: int = 0) -> None:

@@ -49,6 +49,11 @@ BROADCAST_IDS = 200_000
 _ODD = sketch_batches.ODD
 
 
+def _differ(a: str, b: str) -> Column:
+    """Parity bits in which two sides differ, given how their columns are named."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(a.format(p)).bitwiseXOR(F.col(b.format(p)))) for p in _ODD])
+
+
 def _fits(n: Column, own: Column, m: Column, their: Column) -> Column:
     """Whether sets of sizes n and m may be similar, of which own and their elements are in no other set."""
     return (100 * F.least(n, m) >= 80 * F.greatest(n, m)) & (9 * (n - own) >= 4 * (n + m)) & (9 * (m - their) >= 4 * (n + m))
@@ -82,8 +87,8 @@ class Search:
         hopeful = self.hopeful(shared)
         scratch.drop(shared)
         roots = self.links(hopeful)
-        ranked = scratch.keep(nodes.select("node", F.col("some.id").alias("rep")).join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root")))
-        named = scratch.keep(ranked.groupBy("root").agg(F.min("rep").alias("component")))
+        ranked = scratch.save(nodes.select("node", F.col("some.id").alias("rep")).join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root")))
+        named = scratch.save(ranked.groupBy("root").agg(F.min("rep").alias("component")))
         named = scratch.save(ranked.join(named, "root").select("node", "root", "component"))
         scratch.drop_but(prints, named)
         found = prints.select("id", "seal", "n", "node").join(named, "node", "left")
@@ -92,7 +97,7 @@ class Search:
     def shared(self, nodes: DataFrame) -> DataFrame:
         """bucket, node, n: of buckets with two nodes or more."""
         entries = self.scratch.save(nodes.select("node", "n", F.explode(F.arrow_udf(sketch_batches.bands, "array<bigint>")("sketch")).alias("bucket")))
-        several = self.scratch.keep(entries.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket"))
+        several = self.scratch.save(entries.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket"))
         kept = self.scratch.save(entries.join(several, "bucket", "left_semi").select("bucket", "node", "n"))
         self.scratch.drop(entries, several)
         return kept
@@ -111,10 +116,10 @@ class Search:
         start = self.scratch.count
         elements = self.texts.select(F.xxhash64("node").alias("of"), F.explode(F.arrow_udf(sketch_batches.elements, "array<bigint>")("text")).alias("element"))
         alone = elements.groupBy("element").agg(F.count("*").alias("n"), F.min("of").alias("of")).filter("n = 1")
-        own = self.scratch.keep(alone.groupBy("of").agg(F.count("*").alias("own")))
+        own = self.scratch.save(alone.groupBy("of").agg(F.count("*").alias("own")))
         sized = shared.withColumn("of", F.xxhash64("node")).join(own, "of", "left").select("bucket", "node", "n", F.coalesce("own", F.lit(0)).alias("own"))
         left = self.scratch.save(sized.filter("5 * own <= n"))  # else not even a subset of 4/5 is left
-        least = self.scratch.keep(left.groupBy("bucket").agg(F.min("n").alias("least"), F.count("*").alias("size")).filter("size > 1"))
+        least = self.scratch.save(left.groupBy("bucket").agg(F.min("n").alias("least"), F.count("*").alias("size")).filter("size > 1"))
         hopeful = self.scratch.save(left.join(least, "bucket").filter("9 * (n - own) >= 4 * (n + least)").select("bucket", "node", "n", "own", "size"))
         self.scratch.drop_but(hopeful, since=start)
         return hopeful
@@ -131,8 +136,7 @@ class Search:
         """Of the pairs (a, b), those that are linked."""
         side = lambda x: self.nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sketch", *_ODD)])
         text = lambda x: self.texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
-        differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in _ODD])
-        close = self.sides(pairs, side).filter(9 * differ <= F.col("n_a") + F.col("n_b"))
+        close = self.sides(pairs, side).filter(9 * _differ("{}_a", "{}_b") <= F.col("n_a") + F.col("n_b"))
         likely = self.scratch.save(close.filter(F.arrow_udf(sketch_batches.may_link, "boolean")("n_a", "n_b", "sketch_a", "sketch_b")).select("a", "b"))
         found = self.scratch.save(self.sides(likely, text).filter(F.arrow_udf(sketch_batches.are_linked, "boolean")("text_a", "text_b")).select("a", "b"))
         self.scratch.drop(likely)
@@ -141,9 +145,9 @@ class Search:
     def by_centres(self, live: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Pairs (a, b) of each bucket's centre with the others, and the entries without the centres."""
         scratch, start = self.scratch, self.scratch.count
-        weight = scratch.keep(live.groupBy("node").agg(F.sum("size").alias("weight")))
+        weight = scratch.save(live.groupBy("node").agg(F.sum("size").alias("weight")))
         hubs = live.join(weight, "node").groupBy("bucket").agg(F.max_by(F.struct("node", "n", "own"), F.struct("weight", "node")).alias("h"))
-        hubs = scratch.keep(hubs.select("bucket", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.own").alias("hub_own")))
+        hubs = scratch.save(hubs.select("bucket", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.own").alias("hub_own")))
         met = live.join(hubs, "bucket").filter(F.col("node") != F.col("hub"))
         met = scratch.save(met.select("bucket", "node", "n", "own", "hub", _fits(*map(F.col, ("n", "own", "hub_n", "hub_own"))).alias("fits")))
         pairs = scratch.save(met.filter("fits").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
@@ -160,10 +164,10 @@ class Search:
         blocks = F.ceil(size / F.lit(BLOCK))
         few = F.when(size - 1 <= 2 * PAIRS_PER_ENTRY, 1).otherwise(F.ceil(F.least(size, F.lit(hubs)) / F.lit(BLOCK))).cast("long")
         met = live.withColumns({"i": place(blocks), "few": few}).withColumn("j", each(F.col("few"))).drop("few", "size")
-        own = ("node", "n", "own", "label")
+        own = ("node", "n", "own", "label", *_ODD)
         hub = live.filter("hub").select("bucket", *[F.col(c).alias(f"hub_{c}") for c in own], place(few).alias("j"), each(blocks).alias("i"))
         once = ~F.col("hub") | (node < F.col("hub_node"))
-        fits = (F.col("label") != F.col("hub_label")) & once & _fits(*map(F.col, ("n", "own", "hub_n", "hub_own")))
+        fits = (F.col("label") != F.col("hub_label")) & once & _fits(*map(F.col, ("n", "own", "hub_n", "hub_own"))) & (9 * _differ("{}", "hub_{}") <= F.col("n") + F.col("hub_n"))
         pairs = met.join(hub, ["bucket", "i", "j"]).filter(fits).select(F.col("node").alias("a"), F.col("hub_node").alias("b")).distinct()
         return self.scratch.save(pairs), live.filter("not hub").select("bucket", "node", "n", "own")
 
@@ -178,7 +182,8 @@ class Search:
                 hashes = F.xxhash64("label"), F.xxhash64(F.lit(1), "label")
                 differ = reduce(lambda x, y: x | y, [F.min(h) != F.max(h) for h in hashes])
                 sizes = scratch.save(labelled.groupBy("bucket").agg(F.count("*").alias("size"), differ.alias("open")).filter("open").select("bucket", "size"))
-                live = scratch.save(labelled.join(sizes, "bucket"))
+                open_ = scratch.save(labelled.join(sizes, "bucket"))
+                live = scratch.save(open_.join(self.nodes.select("node", *_ODD), "node"))  # few are left by now, and the bits rule most pairs out
                 scratch.drop_but(roots, live, since=start)
             if live.isEmpty():
                 return roots if roots is not None else entries.select("node", F.col("node").alias("root")).limit(0)
