@@ -45,7 +45,7 @@ def poisson(rate: Column, u: Column) -> Column:
     return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step, lambda a: a["k"])).otherwise(F.lit(0))
 
 
-def rates(docs: DataFrame, *, source_col: str, text_col: str, weights: dict[str, float] | None, temperature: float, size: float) -> DataFrame:
+def rates(docs: DataFrame, *, source_col: str, text_col: str, weights: dict[str, float] | None, temperature: float, size: float, scratch: Scratch) -> DataFrame:
     """source, rate: one row for each source. ``size`` is that of the mix, in sizes of the corpus."""
     n = F.coalesce(F.octet_length(col(text_col).cast("string")), F.lit(0)).cast("long")
     found = docs.groupBy(col(source_col).cast("string").alias("source")).agg(F.sum(n).cast("double").alias("bytes"))
@@ -55,7 +55,7 @@ def rates(docs: DataFrame, *, source_col: str, text_col: str, weights: dict[str,
         given = docs.sparkSession.createDataFrame(list(weights.items()), "source string, weight double")
         found = found.join(given, found["source"].eqNullSafe(given["source"]), "left").select(found["*"], F.coalesce("weight", F.lit(0.0)).alias("weight"))
         weight = F.when(F.col("bytes") > 0, F.col("weight")).otherwise(0.0)
-    found = found.withColumn("weight", weight)
+    found = scratch.save(found.withColumn("weight", weight))  # the texts are measured once
     sums = found.agg(F.sum("bytes").alias("bytes"), F.sum("weight").alias("weight")).first()
     total, weighed = sums["bytes"] or 0.0, sums["weight"] or 0.0
     rate = F.lit(1.0) if not total else F.when((F.col("bytes") > 0) & F.lit(weighed > 0), F.col("weight") / F.lit(weighed or 1.0) * F.lit(total * size) / F.col("bytes")).otherwise(0.0)
@@ -65,7 +65,7 @@ def rates(docs: DataFrame, *, source_col: str, text_col: str, weights: dict[str,
 def mix(docs: DataFrame, *, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, size: float = 1.0, seed: int = SEED) -> DataFrame:
     """Copies of the documents with columns copy_no (from 1) and mix_key, in the order of mix_key within partitions."""
     docs = docs.drop("copy_no", "mix_key")
-    by_source = Scratch(docs.sparkSession, "mixing").save(rates(docs, source_col=source_col, text_col=text_col, weights=weights, temperature=temperature, size=size))
+    by_source = rates(docs, source_col=source_col, text_col=text_col, weights=weights, temperature=temperature, size=size, scratch=Scratch(docs.sparkSession, "mixing"))
     source, rate, salt, count = (free_name(docs, x) for x in ("source", "rate", "salt", "count"))
     by_source = by_source.select(F.col("source").alias(source), F.col("rate").alias(rate))
     same = lambda: col(source_col).cast("string").eqNullSafe(col(source))
