@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import decontaminate, licenses, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding, url_filter
+from twinfold.llm import decontaminate, licenses, line_dedup, mined, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding, url_filter
 from twinfold.llm.frames import spread_out, table
 
-QUERIES, ORACLES = {}, {}
+QUERIES, ORACLES = dict(mined.QUERIES), dict(mined.ORACLES)
 
 
 def query(f):
