@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import importance
+from twinfold.llm import importance, phrases, suffix_dedup
 from twinfold.llm.frames import spread_out, table
 
 QUERIES, ORACLES = {}, {}
@@ -19,6 +19,49 @@ def query(f):
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+@query
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(spread_out(table(spark, sf_dir, "documents").select("lang", "text")))
+
+
+ORACLES["op11_phrases"] = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+), cut AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM cut GROUP BY lang
+), runs AS (SELECT lang, w[s : s + d - 1] AS ws FROM cut, (SELECT unnest(range(1, {phrases.LONGEST + 1})) AS d), LATERAL (SELECT unnest(range(1, len(w) - d + 2)) AS s) WHERE len(w) >= d
+), counts AS (SELECT lang, ws, array_to_string(ws, ' ') AS g, count(*)::HUGEINT AS f FROM runs GROUP BY lang, ws HAVING count(*) >= {phrases.LEAST}
+), long_ones AS (SELECT * FROM counts WHERE len(ws) > 1
+), free AS (SELECT * FROM long_ones c WHERE NOT EXISTS (SELECT 1 FROM long_ones o WHERE o.lang = c.lang AND len(o.ws) > len(c.ws) AND 100 * o.f >= {phrases.COVERED} * c.f AND contains(' ' || o.g || ' ', ' ' || c.g || ' '))
+), cuts AS (SELECT lang, g, f AS a, k, array_to_string(ws[1 : k], ' ') AS x, array_to_string(ws[k + 1 :], ' ') AS y FROM free, LATERAL (SELECT unnest(range(1, len(ws))) AS k)
+), scored AS (SELECT c.lang, c.g, c.a, k, x.f AS l, y.f AS r, n, 1000 * c.a * n // (x.f * y.f) AS score FROM cuts c JOIN counts x ON x.lang = c.lang AND x.g = c.x JOIN counts y ON y.lang = c.lang AND y.g = c.y JOIN totals t ON t.lang = c.lang
+), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM lowest)
+SELECT lang, rank, g AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= {phrases.TOP}
+"""
+
+
+@query
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = suffix_dedup.annotate(spread_out(table(spark, sf_dir, "documents").select("doc_id", "text")), "seen")
+    return seen.select("doc_id", "seen.n_bytes", "seen.n_removed", "seen.n_spans", F.sha2("seen.kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op12_suffix_dedup"] = f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), places AS (SELECT r, p, md5(b[p : p + {suffix_dedup.LENGTH - 1}]) AS h FROM texts, LATERAL (SELECT unnest(range(1, octet_length(b) - {suffix_dedup.LENGTH - 2})) AS p) WHERE octet_length(b) >= {suffix_dedup.LENGTH}
+), twice AS (SELECT h FROM places GROUP BY h HAVING count(*) > 1
+), starts AS (SELECT r, p FROM places WHERE h IN (SELECT h FROM twice)
+), marked AS (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= {suffix_dedup.LENGTH} THEN 0 ELSE 1 END AS fresh FROM starts
+), grouped AS (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS g FROM marked
+), runs AS (SELECT r, min(p) AS s, max(p) + {suffix_dedup.LENGTH} AS e FROM grouped GROUP BY r, g
+), gaps AS (
+  SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 1) AS a, s AS z FROM runs UNION ALL SELECT r, max(e), octet_length(any_value(b)) + 1 FROM runs JOIN texts USING (r) GROUP BY r
+), kept AS (SELECT r, unhex(string_agg(CASE WHEN z > a THEN hex(b[a : z - 1]) ELSE '' END, '' ORDER BY a)) AS k FROM gaps JOIN texts USING (r) GROUP BY r
+), sums AS (SELECT r, sum(e - s) AS n, count(*) AS spans FROM runs GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(coalesce(k, b)) AS kept_sha256 FROM texts LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 @query
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
