@@ -8,10 +8,11 @@ no further left than the end of the last match of its kind, whether that match w
 Kinds: email, ip, card and phone, then account (a number after a cue such as ``account`` or ``IBAN``, holding a digit
 and six characters at least, or a whole IBAN with right check digits), url (a scheme, ``://`` and what follows up to
 a blank, quote or bracket) and secret (what is assigned to a cue such as ``token`` or ``password``, of eight characters at
-least with a digit among them; tokens of known forms; private keys from their first line to their last). Positions count code points; ends are exclusive.
+least with a digit among them; tokens of known forms; private keys from their first line to their last, or the first line
+alone where there is no last one). No value has a greatest length. Positions count code points; ends are exclusive.
 
-Edge cases: a null or empty text has no spans. Repeated rows are searched one by one. Other columns pass through. A
-text's spans are linear in its length.
+Edge cases: a null or empty text has no spans. Repeated rows are searched one by one. Other columns pass through. Work is
+linear in a text's length: where a run of characters ends is remembered for the anchors that lie within it.
 """
 
 from __future__ import annotations
@@ -34,12 +35,12 @@ SECRET_CUES = ("token", "secret", "password", "passwd", "passphrase", "pwd", "ap
 TOKENS = {
     "akia": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
     "ghp_": r"ghp_[0-9A-Za-z]{36}(?![0-9A-Za-z])",
-    "github_pat_": r"github_pat_[0-9A-Za-z_]{40,255}",
+    "github_pat_": r"github_pat_[0-9A-Za-z_]{40,}",
     "glpat-": r"glpat-[0-9A-Za-z_-]{20,}",
     "xox": r"xox[abprs]-[0-9A-Za-z-]{10,}",
     "sk-": r"sk-[0-9A-Za-z_-]{20,}",
     "eyj": r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
-    "-----begin": r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=:,\s-]{0,20000}?-----END [A-Z0-9 ]*PRIVATE KEY-----)?",
+    "-----begin": r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=:,\s-]*?-----END [A-Z0-9 ]*PRIVATE KEY-----)?",
 }
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -49,17 +50,49 @@ _RUN = re.compile(r"[0-9]+")
 _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_NUMBER = re.compile(r"(?:[\x20]?(?:no|number|nr)\.?)?[\x20:=#\"']{1,3}([A-Za-z0-9](?:[A-Za-z0-9-]|[\x20](?=[0-9])){4,40}[A-Za-z0-9])", re.IGNORECASE)
+_NUMBER = re.compile(r"(?:[\x20]?(?:no|number|nr)\.?)?[\x20:=#\"']{1,3}([A-Za-z0-9](?:[A-Za-z0-9-]|[\x20](?=[0-9]))*+)", re.IGNORECASE)
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_ASSIGNED = re.compile(r"[\"']?[\x20]{0,2}(?:=>|:=|[=:])[\x20]{0,2}[\"']?([A-Za-z0-9+/=_.~$!@#%^&*-]{8,256})")
-_BORNE = re.compile(r"[\x20]+([A-Za-z0-9+/=_.~-]{8,4096})")
+_ASSIGNED = re.compile(r"[\"']?[\x20]{0,2}(?:=>|:=|[=:])[\x20]{0,2}[\"']?(?=[A-Za-z0-9+/=_.~$!@#%^&*-])")
+_BORNE = re.compile(r"[\x20]+(?=[A-Za-z0-9+/=_.~-])")
 _TOKENS = {start: re.compile(form) for start, form in TOKENS.items()}
+_KEY_BEGINS, _KEY_ENDS = (re.compile(rf"-----{x} [A-Z0-9 ]*PRIVATE KEY-----") for x in ("BEGIN", "END"))
 _WEB = re.compile(r"[^\s\"'<>()\[\]{}]+")
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 
 Span = tuple[int, int]
 
 
+class _Run:
+    """Where the run of some characters ends that a place lies in; each run of a text is looked at once."""
+
+    def __init__(self, text: str, characters: str):
+        self.text, self.all_of = text, re.compile(f"[{characters}]*+")
+        self.start = self.stop = 0
+
+    def end(self, at: int) -> int:
+        if not self.start <= at < self.stop:
+            self.start, self.stop = at, self.all_of.match(self.text, at).end()
+        return self.stop
+
+
+class _Values(_Run):
+    """Runs as values: without marks at their ends, and with the place of their last digit."""
+
+    def __init__(self, text: str, characters: str):
+        super().__init__(text, characters)
+        self.known, self.stripped, self.digit = -1, 0, -1
+
+    def value(self, at: int) -> tuple[int, bool]:
+        """(end, whether a digit is among it) of the value from a place on."""
+        stop = self.end(at)
+        if self.known != stop:
+            self.known, self.stripped = stop, stop
+            while self.stripped > self.start and self.text[self.stripped - 1] in ".,;:!?":
+                self.stripped -= 1
+            self.digit = max(self.text.rfind(d, self.start, self.stripped) for d in _DIGITS)
+        return self.stripped, self.digit >= at
+
+
 def anchors() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for word in ("@", "+", "://", *_DIGITS):
@@ -101,6 +134,10 @@ class Parser:
         self.text, self.spans = text, {k: [] for k in KINDS}
         self.ends = dict.fromkeys(KINDS, 0)
         self.run_end = 0
+        self.assigned, self.borne = _Values(text, "A-Za-z0-9+/=_.~$!@#%^&*-"), _Values(text, "A-Za-z0-9+/=_.~-")
+        # the parts of a token in three, and what may stand between the lines of a key
+        (self.first, self.second, self.third), self.between = (_Run(text, "0-9A-Za-z_-") for _ in range(3)), _Run(text, r"A-Za-z0-9+/=:,\s-")
+        self.key_end: tuple[int, int, int] | None = None
 
     def keep(self, kind: str, start: int, end: int, valid: bool = True) -> None:
         self.ends[kind] = end
@@ -136,21 +173,56 @@ class Parser:
         """After a cue."""
         if start and self.text[start - 1].isalnum():
             return
-        if start >= self.ends["account"] and (m := _NUMBER.match(self.text, end)) and any(c in _DIGITS for c in m[1]):
-            self.keep("account", *m.span(1))
+        if start >= self.ends["account"] and (m := _NUMBER.match(self.text, end)):
+            number = m[1].rstrip("-")
+            if len(number) >= 6 and any(c in _DIGITS for c in number):
+                self.keep("account", m.start(1), m.start(1) + len(number))
 
     def secret(self, start: int, end: int) -> None:
         """What is assigned to a cue, or follows it where it says who bears it."""
         if start < self.ends["secret"] or (start and self.text[start - 1].isalnum()):
             return
-        m = _ASSIGNED.match(self.text, end) or (folded(self.text[start:end]) == "bearer" and _BORNE.match(self.text, end))
-        if m and len(value := m[1].rstrip(".,;:!?")) >= 8 and any(c in _DIGITS for c in value):
-            self.keep("secret", m.start(1), m.start(1) + len(value))
+        for lead, values in ((_ASSIGNED, self.assigned), (_BORNE, self.borne)):
+            if (lead is _ASSIGNED or folded(self.text[start:end]) == "bearer") and (m := lead.match(self.text, end)):
+                if values.end(m.end()) - m.end() < 8:
+                    continue
+                stop, digit = values.value(m.end())
+                if stop - m.end() >= 8 and digit:
+                    self.keep("secret", m.end(), stop)
+                return
 
     def token(self, start: int, end: int) -> None:
         """A secret known by its form alone."""
-        if start >= self.ends["secret"] and not (start and self.text[start - 1].isalnum()) and (m := _TOKENS[folded(self.text[start:end])].match(self.text, start)):
-            self.keep("secret", *m.span())
+        if start < self.ends["secret"] or (start and self.text[start - 1].isalnum()):
+            return
+        cue = folded(self.text[start:end])
+        stop = self.three_parts(start) if cue == "eyj" else self.key(start) if cue == "-----begin" else (m := _TOKENS[cue].match(self.text, start)) and m.end()
+        if stop:
+            self.keep("secret", start, stop)
+
+    def three_parts(self, start: int) -> int | None:
+        """The end of a token of three parts of eight characters at least, of which the first begins with eyJ."""
+        text = self.text
+        if not text.startswith("eyJ", start):
+            return None
+        one = self.first.end(start)
+        if one - start < 11 or not text.startswith(".", one):
+            return None
+        two = self.second.end(one + 1)
+        if two - one < 9 or not text.startswith(".", two):
+            return None
+        three = self.third.end(two + 1)
+        return three if three - two >= 9 else None
+
+    def key(self, start: int) -> int | None:
+        """The end of a private key's last line, if nothing but a key's characters stands before it; else of its first line."""
+        if not (m := _KEY_BEGINS.match(self.text, start)):
+            return None
+        if self.key_end is None or not self.key_end[0] <= m.end() <= self.key_end[1]:
+            found = _KEY_ENDS.search(self.text, m.end())
+            self.key_end = (m.end(), found.start(), found.end()) if found else (m.end(), len(self.text) + 1, 0)
+        _, last, stop = self.key_end
+        return stop if stop and self.between.end(m.end()) >= last else m.end()
 
     def url(self, at: int) -> None:
         start, least = at, self.ends["url"]
