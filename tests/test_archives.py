@@ -198,3 +198,114 @@ def test_folders_are_opened_until_there_are_enough(tmp_path):
     found = list(listing.subtrees(str(tmp_path), 10))
     assert sum(deep for _, deep in found) == 12 and sum(not deep for _, deep in found) == 5
     assert not any(deep for _, deep in listing.subtrees(str(tmp_path), 100))
+
+
+def tar_zst_of(members):
+    import pyarrow as pa
+
+    plain = io.BytesIO()
+    with tarfile.open(fileobj=plain, mode="w") as t:
+        for name, content in members.items():
+            info = tarfile.TarInfo(name)
+            info.size = len(content)
+            t.addfile(info, io.BytesIO(content))
+    out = pa.BufferOutputStream()
+    with pa.CompressedOutputStream(out, "zstd") as z:
+        z.write(plain.getvalue())
+    return out.getvalue().to_pybytes()
+
+
+def test_tar_of_zstd():
+    members = {"a/1": b"one" * 100_000, "empty": b"", "in.tar.gz": tar_of({"deep": b"d"}), "in.tzst": tar_zst_of({"x": b"x", "y.zip": zip_of({"z": b"z"})})}
+    told = lambda found: [{k: v for k, v in r.items() if k != "source_archive"} for r in found]
+    as_gzip = told(rows("x.tar.gz", tar_of(members)))
+    assert told(rows("x.tar.zst", tar_zst_of(members))) == as_gzip == told(rows("x.TZST", tar_zst_of(members)))
+    assert paths(rows("x.tar.zst", tar_zst_of(members))) == ["a/1", "empty", "in.tar.gz", "in.tar.gz/deep", "in.tzst", "in.tzst/x", "in.tzst/y.zip", "in.tzst/y.zip/z"]
+    assert rows("x.tar.zst", tar_zst_of(members)[:40])[0]["error"] and rows("x.tar.zst", b"\x28\xb5\x2f\xfd")[0]["error"] and rows("x.tzst", tar_zst_of({})) == []
+    assert paths(rows("y.tar.zst", tar_of({"plain": b"p"}))) == ["plain"]  # only the name says zstd
+
+
+def superblock(magic):
+    order = "little" if magic == b"hsqs" else "big"
+    return magic + b"\0" * 8 + (1 << 17).to_bytes(4, order) + b"\0" * 6 + (17).to_bytes(2, order) + b"\0" * 4 + (4).to_bytes(2, order) + b"\0" * 66
+
+
+def test_decoys_before_the_image_are_passed_over(monkeypatch):
+    seen = []
+
+    def stand_in(file, most):
+        at = file.read(4)
+        seen.append(at)
+        if at == b"hsqs" or at == b"sqsh":
+            yield "inside", lambda: io.BytesIO(b"data")
+        else:
+            raise ValueError("no image")
+
+    monkeypatch.setattr(archives, "_libarchive", stand_in)
+    decoys = b"\x7fELF hsqs stray, PK\x03\x04 and more: hsqs" + b"\1" * 300 + b"CD001x"
+    for magic in (b"hsqs", b"sqsh"):
+        seen.clear()
+        assert paths(rows("tool.run", decoys + superblock(magic))) == ["tool.run/inside"] and seen == [magic]
+    # a zip after stray headers, and an ISO at each of its fixed places
+    assert paths(rows("tool.AppImage", decoys + zip_of({"m": b"m", "n": b"n"}))) == ["tool.AppImage/m", "tool.AppImage/n"]
+    for before in (0x8001, 0x8801, 0x9001):
+        data = b"\x7fELF" + b"\1" * 100 + b"\0" * before + b"CD001\1"
+        assert (104, archives._libarchive) in list(archives.embedded(io.BytesIO(data)))
+    assert rows("none.run", decoys)[0]["error"]
+
+
+def test_all_magics_of_one_pass():
+    data, magics = b"..hsqs..PKhsPK" + b"hsqsq", (b"hsqs", b"PK")
+    expected = [(2, b"hsqs"), (8, b"PK"), (12, b"PK"), (14, b"hsqs")]
+    for chunk in (1, 2, 3, 5, 8, 100):
+        assert list(archives.find_magics(io.BytesIO(data), magics, chunk=chunk)) == expected
+
+
+def test_filters_reach_the_archives(spark, tmp_path, monkeypatch):
+    for k in range(6):
+        (tmp_path / f"d{k % 2}").mkdir(exist_ok=True)
+        (tmp_path / f"d{k % 2}" / f"a{k}.zip").write_bytes(zip_of({"small": b"s", "large": b"l" * 5000, "in.zip": zip_of({"deep.zip": zip_of({"deepest": b"d" * 5000})})}))
+    archives.register(spark)
+    every = spark.read.format("archive_members").load(str(tmp_path))
+    rows_of = lambda df: sorted((r["source_archive"], r["path_in_archive"]) for r in df.collect())
+    held = every.toPandas()
+    assert len(held) == 30 and list(every.columns) == [f.name for f in archives.schema.MEMBERS.fields]
+    one = str(tmp_path / "d1" / "a3.zip")
+    cases = {
+        f"source_archive = '{one}'": held["source_archive"] == one,
+        f"source_archive IN ('{one}', '/none.zip')": held["source_archive"] == one,
+        f"source_archive LIKE '{tmp_path}/d0/%' AND size > 4000": held["source_archive"].str.startswith(f"{tmp_path}/d0/") & (held["size"] > 4000),
+        "depth < 1": held["depth"] < 1,
+        "depth <= 1 AND size < 3": (held["depth"] <= 1) & (held["size"] < 3),
+        "depth = 2": held["depth"] == 2,
+        "size >= 5000 AND filename = 'large'": (held["size"] >= 5000) & (held["filename"] == "large"),
+    }
+    for condition, wanted in cases.items():
+        expected = sorted(zip(held[wanted]["source_archive"], held[wanted]["path_in_archive"], strict=True))
+        assert rows_of(every.filter(condition)) == expected and expected, condition
+    # only the archive that is asked for is opened
+    from pyspark.sql.datasource import EqualTo, GreaterThan, LessThanOrEqual
+
+    reader = archives.ArchiveReader({"path": str(tmp_path)})
+    left = list(reader.pushFilters([EqualTo(("source_archive",), one), LessThanOrEqual(("depth",), 0), GreaterThan(("size",), 10), EqualTo(("filename",), "large")]))
+    assert [f.attribute for f in left] == [("filename",)]
+    opened, real = [], archives.unpack
+    monkeypatch.setattr(archives, "unpack", lambda path, h, u: opened.append((path, u.depth)) or real(path, h, u))
+    (pack,) = reader.partitions()
+    (batch,) = list(reader.read(pack))
+    assert opened == [(one, 0)] and batch.column("path_in_archive").to_pylist() == ["large", "in.zip"]
+
+
+def test_partitions_by_size(tmp_path):
+    sizes = [(f"a{k}", s) for k, s in enumerate([5, 100, 1, 3, 40, 60, 2])]
+    packs = archives.packed(sizes, 100)
+    assert sorted(p for pack in packs for p in pack) == [f"a{k}" for k in range(7)]
+    assert all(sum(dict(sizes)[p] for p in pack) <= 100 for pack in packs) and len(packs) == 3
+    for k in range(5):
+        (tmp_path / f"d{k}").mkdir()
+        (tmp_path / f"d{k}" / "a.zip").write_bytes(zip_of({"m": b"m"}))
+    reader = archives.ArchiveReader({"path": str(tmp_path), "mostlisted": "6"})
+    packs = reader.partitions()
+    assert sum(len(p.folders) for p in packs) == 4 and sum(len(p.paths) for p in packs) == 1
+    assert sorted(x for p in packs for b in reader.read(p) for x in b.column("source_archive").to_pylist()) == sorted(str(tmp_path / f"d{k}" / "a.zip") for k in range(5))
+    assert len(archives.ArchiveReader({"path": str(tmp_path), "partitionbytes": "1"}).partitions()) == 5

@@ -246,3 +246,65 @@ def test_running_counters(spark, dirs):
     done = scan.run(spark, config(dirs))
     assert done.counters == {"members_read": 2, "archives_read": 1, "targets_hashed": 2, "targets_failed": 0, "targets_verified": 1}
     assert done.matches.count() == 2 and done.by_archive.first()["match_count"] == 2
+
+
+def test_changed_files_survive(spark, tmp_path):
+    """Another time or other bytes of the same size: what is not what was scanned stays."""
+    import xxhash
+
+    paths = [tmp_path / n for n in ("same", "touched", "other", "unknown", "gone")]
+    for p in paths[:4]:
+        p.write_bytes(b"12345")
+    told = [(str(p), 5, p.stat().st_mtime_ns // 1_000_000 if p.exists() else 1, xxhash.xxh3_64_hexdigest(b"12345")) for p in paths]
+    told[3] = (told[3][0], None, None, None)
+    plan = spark.createDataFrame(told, "target_path string, target_size long, mtime_ms long, target_hash string")
+    os.utime(paths[1], (1, 1))
+    before = paths[2].stat().st_mtime_ns
+    paths[2].write_bytes(b"54321")
+    os.utime(paths[2], ns=(before, before))  # rewritten in place, with its size and time
+    look = lambda **how: {os.path.basename(r["path"]): (r["status"], r["reason"]) for r in actions.execute(plan, **how).collect()}
+    assert look()["same"] == ("would delete", None) and look()["touched"][0] == "failed"
+    assert look(way="permanent", carried_out=True, folder=str(tmp_path / "out")) == {
+        "same": ("deleted", None), "touched": ("failed", "changed since it was scanned"), "other": ("failed", "changed since it was scanned"), "unknown": ("deleted", None), "gone": ("failed", "File not found")}
+    assert [p.exists() for p in paths] == [False, True, True, False, False]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+    assert actions._delete(str(paths[0]), (5, None, None), "permanent", False, "xxh3_64", True)[1] == "gone"
+
+
+def test_a_target_that_changes_between_scan_and_deletion(spark, dirs, monkeypatch):
+    write_zip(dirs / "s" / "a.zip", {"one": b"1111"})
+    (dirs / "t" / "x").write_bytes(b"1111")
+    real = actions.execute
+
+    def late(plan, **how):
+        now = (dirs / "t" / "x").stat().st_mtime_ns
+        (dirs / "t" / "x").write_bytes(b"2222")
+        os.utime(dirs / "t" / "x", ns=(now, now))
+        return real(plan, **how)
+
+    monkeypatch.setattr(actions, "execute", late)
+    done = scan.run(spark, config(dirs, deletion=Deletion(carried_out=True, way="permanent")))
+    assert [r["reason"] for r in done.outcomes.collect()] == ["changed since it was scanned"] and (dirs / "t" / "x").exists()
+
+
+def test_what_could_not_be_read_is_told_and_tried_again(spark, dirs):
+    write_zip(dirs / "s" / "good.zip", {"one": b"1111"})
+    (dirs / "s" / "bad.zip").write_bytes(b"PK not really")
+    write_zip(dirs / "s" / "nested.zip", {"in.zip": b"no archive", "two": b"2222"})
+    broken = zip_bytes({"a": b"a" * 50, "b": b"b" * 50})
+    (dirs / "s" / "crc.zip").write_bytes(broken.replace(b"a" * 50, b"a" * 49 + b"z", 1))
+    done = scan.run(spark, config(dirs))
+    told = sorted((os.path.basename(r["source_archive"]), r["path_in_archive"]) for r in done.unread.collect())
+    assert told == [("bad.zip", ""), ("crc.zip", "a"), ("nested.zip", "in.zip/")]
+    with Store(spark, str(dirs / "store")) as kept:
+        due = {os.path.basename(r["path"]): r["last_scanned"] is None for r in kept.archives().collect()}
+        assert due == {"good.zip": False, "nested.zip": False, "crc.zip": True}
+        assert {r["path_in_archive"] for r in kept.files_by_archive(str(dirs / "s" / "crc.zip")).collect()} == {"b"}
+    now = (dirs / "s" / "crc.zip").stat().st_mtime_ns
+    (dirs / "s" / "crc.zip").write_bytes(broken)  # mended, with its size and time
+    os.utime(dirs / "s" / "crc.zip", ns=(now, now))
+    done = scan.run(spark, config(dirs))
+    assert sorted(os.path.basename(r["source_archive"]) for r in done.unread.collect()) == ["bad.zip", "nested.zip"]
+    assert done.counters["archives_read"] == 1 and done.counters["members_read"] == 2
+    (dirs / "s" / "bad.zip").unlink()
+    assert [os.path.basename(r["source_archive"]) for r in scan.run(spark, config(dirs)).unread.collect()] == ["nested.zip"]

@@ -73,6 +73,9 @@ def main(argv: list[str] | None = None) -> int:
         builder = builder.master(f"local[{a.workers}]")
     done = scan.run(builder.getOrCreate(), config)
     print(", ".join(f"{name}: {n}" for name, n in done.counters.items()))
+    if unread := done.unread.count():
+        print(f"could not be read: {unread}")
+        done.unread.orderBy("source_archive", "path_in_archive").show(50, truncate=False)
     done.by_archive.orderBy("source_archive").show(50, truncate=False)
     done.summary.show(truncate=False)
     report.outcome_counts(done.outcomes).show(truncate=False)

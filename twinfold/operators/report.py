@@ -29,8 +29,12 @@ def inventory(archives: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def deletion_plan(counts: DataFrame) -> DataFrame:
-    """target_path, target_size, match_count: each chosen target once. ``counts`` are ``match.target_counts`` with a selection."""
-    return counts.filter("selected").groupBy("target_path").agg(F.max("target_size").alias("target_size"), F.sum("match_count").alias("match_count"))
+    """target_path, target_size, match_count: each chosen target once. ``counts`` are ``match.target_counts`` with a selection.
+
+    Counts that have mtime_ms give mtime_ms and target_hash as well, by which a file is known again before it goes.
+    """
+    known = [F.max("mtime_ms").alias("mtime_ms"), F.max("full_hash").alias("target_hash")] if "mtime_ms" in counts.columns else []
+    return counts.filter("selected").groupBy("target_path").agg(F.max("target_size").alias("target_size"), F.sum("match_count").alias("match_count"), *known)
 
 
 def plan_summary(plan: DataFrame, method: str = "trash", dry_run: bool = True) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinfold import shared
 from twinfold.config import Hashing
 from twinfold.functions import exprs
 from twinfold.operators import match, report, store
@@ -384,14 +385,61 @@ def selection_toggle(spark, sf_dir):
     return store.merge(rows, turned, ["file_hash", "target_path"])
 
 
-@query(f"""SELECT source || '-' || doc_id // {packing.IN_ONE} || '.zip' AS source_archive, 'inner.zip/' || doc_id || '.txt' AS path_in_archive, size::BIGINT AS size, false AS is_nested_archive, 1::BIGINT AS depth, h AS full_hash, q AS quick_hash, true AS readable FROM {{fps}}
-UNION ALL SELECT DISTINCT source || '-' || doc_id // {packing.IN_ONE} || '.zip', 'inner.zip', 0, true, 0, NULL, NULL, true FROM {{fps}}""")
+def _unnested(kind: str) -> str:
+    """SQL of what comes out of archives of a kind inside archives of that kind."""
+    return f"""SELECT source || '-' || doc_id // {packing.IN_ONE} || '.{kind}' AS source_archive, 'inner.{kind}/' || doc_id || '.txt' AS path_in_archive, size::BIGINT AS size, false AS is_nested_archive, 1::BIGINT AS depth, h AS full_hash, q AS quick_hash, true AS readable FROM {{fps}}
+UNION ALL SELECT DISTINCT source || '-' || doc_id // {packing.IN_ONE} || '.{kind}', 'inner.{kind}', 0, true, 0, NULL, NULL, true FROM {{fps}}"""
+
+
+def _members_of_packed(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    found = archives.members(packing.packed(table(spark, sf_dir, "documents"), kind), Hashing("md5", THRESHOLD, PREFIX))
+    own = lambda c: F.when(~F.col("is_nested_archive"), F.col(c)).alias(c)
+    size = F.coalesce(F.when(~F.col("is_nested_archive"), F.col("size")), F.lit(0)).alias("size")
+    return found.select("source_archive", "path_in_archive", size, "is_nested_archive", "depth", own("full_hash"), own("quick_hash"), F.col("error").isNull().alias("readable"))
+
+
+@query(_unnested("zip"))
 def member_unnest(spark, sf_dir):
     """Documents packed into one archive for each source and block of ids, inside another, and unpacked again.
 
     Of the nested archives themselves only that they are there, as their bytes are the packer's.
     """
-    found = archives.members(packing.packed(table(spark, sf_dir, "documents")), Hashing("md5", THRESHOLD, PREFIX))
-    own = lambda c: F.when(~F.col("is_nested_archive"), F.col(c)).alias(c)
-    size = F.coalesce(F.when(~F.col("is_nested_archive"), F.col("size")), F.lit(0)).alias("size")
-    return found.select("source_archive", "path_in_archive", size, "is_nested_archive", "depth", own("full_hash"), own("quick_hash"), F.col("error").isNull().alias("readable"))
+    return _members_of_packed(spark, sf_dir, "zip")
+
+
+@query(_unnested("tar.zst"))
+def member_unnest_tar_zst(spark, sf_dir):
+    """The same by tar archives under zstd, which are read as streams."""
+    return _members_of_packed(spark, sf_dir, "tar.zst")
+
+
+@query("SELECT path, size, quick_hash FROM {targets} t WHERE full_hash IS NULL AND EXISTS (SELECT 1 FROM {files} f WHERE f.quick_hash = t.quick_hash)")
+def quick_hash_candidates_prefiltered(spark, sf_dir):
+    """The candidates of the first phase, the files' side thinned by a bitmap of the targets' prefix hashes."""
+    return match.quick_candidates_prefiltered(targets(spark, sf_dir), source_files(spark, sf_dir)).select("path", "size", "quick_hash")
+
+
+@query("""SELECT source_archive, path_in_archive, size,
+  CASE WHEN source_archive = 'src3' AND id % 10 = 0 THEN 'late' WHEN source_archive NOT IN ('src1', 'src3') AND id % 5 = 0 THEN md5(full_hash || '2') ELSE full_hash END AS full_hash
+FROM (SELECT *, CAST(replace(filename, '.txt', '') AS BIGINT) AS id FROM {files}) WHERE NOT (source_archive IN ('src1', 'src3') AND id % 2 = 1)""")
+def store_merge_on_read(spark, sf_dir):
+    """A store's base, an upsert, two archives scanned again with fewer members, and a late upsert, merged as they are read."""
+    files = source_files(spark, sf_dir)
+    number = F.regexp_extract("filename", r"^(\d+)", 1).cast("long")
+    kept = store.Store(spark, shared.folder(spark, "store"))
+    kept.add_files(files)
+    kept.compact("files")
+    kept.add_files(files.filter(number % 5 == 0).withColumn("full_hash", F.md5(F.concat("full_hash", F.lit("2")).cast("binary"))))
+    again = files.filter(F.col("source_archive").isin("src1", "src3"))
+    kept.replace_files(again.select(F.col("source_archive").alias("path")), again.filter(number % 2 == 0).withColumn("seq", F.lit(1)))
+    kept.add_files(again.filter((F.col("source_archive") == "src3") & (number % 10 == 0)).withColumn("full_hash", F.lit("late")))
+    return kept.table("files").select("source_archive", "path_in_archive", "size", "full_hash")
+
+
+def xxh3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hashes that a scan takes unless told otherwise; DuckDB has no XXH3, so they are compared with the library's in tests."""
+    full, quick = exprs.member_hashes(F.col("content"), _size(), THRESHOLD, PREFIX, "xxh3_64")
+    return documents(spark, sf_dir).select("doc_id", "size", full.alias("full_hash"), quick.alias("quick_hash"))
+
+
+QUERIES["xxh3_fingerprints"] = xxh3_fingerprints

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import io
+import tarfile
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,15 +23,28 @@ def _zip(names: list[str], contents: list[bytes]) -> bytes:
     return out.getvalue()
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """path, content: zips in zips of the documents, by source and block of ids."""
+def _tar_zst(names: list[str], contents: list[bytes]) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.CompressedOutputStream(out, "zstd") as z, tarfile.open(fileobj=z, mode="w|") as t:
+        for name, content in zip(names, contents, strict=True):
+            info = tarfile.TarInfo(name)
+            info.size = len(content)
+            t.addfile(info, io.BytesIO(content))
+    return out.getvalue().to_pybytes()
+
+
+#: How archives are made, by the ending of their names.
+MAKERS = {"zip": _zip, "tar.zst": _tar_zst}
+
+
+def packed(docs: DataFrame, kind: str = "zip") -> DataFrame:
+    """path, content: archives of a kind, in one another, of the documents, by source and block of ids."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id")
-        inner = _zip([f"{i}.txt" for i in pdf["doc_id"]], [(t or "").encode() for t in pdf["text"]])
-        path = f"{pdf['source'].iloc[0]}-{pdf['block'].iloc[0]}.zip"
-        return pd.DataFrame({"path": [path], "content": [_zip(["inner.zip"], [inner])]})
+        pdf, make = pdf.sort_values("doc_id"), MAKERS[kind]
+        inner = make([f"{i}.txt" for i in pdf["doc_id"]], [(t or "").encode() for t in pdf["text"]])
+        path = f"{pdf['source'].iloc[0]}-{pdf['block'].iloc[0]}.{kind}"
+        return pd.DataFrame({"path": [path], "content": [make([f"inner.{kind}"], [inner])]})
 
     blocks = docs.select("doc_id", "source", "text", F.floor(F.col("doc_id") / IN_ONE).alias("block"))
     return blocks.groupBy("source", "block").applyInPandas(pack, "path string, content binary")
-

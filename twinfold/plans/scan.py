@@ -44,7 +44,8 @@ class Counters:
 def scan_sources(spark: SparkSession, scan: Scan, kept: store.Store, counters: Counters | None = None) -> DataFrame:
     """The stored rows of the archives below the source directories; changed ones are unpacked again.
 
-    Archives that cannot be read to the end are left out and tried again in the next run.
+    Archives that cannot be read to the end are left out; those of which some member cannot be read are stored with the others,
+    but as incomplete. Both are tried again in the next run, and what was not read is in the store's table ``unread``.
     """
     counters = counters or Counters()
     listed = listing.archives(listing.list_files(spark, list(scan.archives_in)))
@@ -55,9 +56,13 @@ def scan_sources(spark: SparkSession, scan: Scan, kept: store.Store, counters: C
         broken = found.filter("error is not null and depth = 0 and path_in_archive = ''").select(F.col("source_archive").alias("path"))
         read = todo.join(broken, "path", "left_anti")
         members = archives.good_members(found, scan.least_bytes)
-        counted = read.join(report.inventory(read, members), "path").withColumn("config", F.lit(scan.stamp()))
+        errors = found.filter(F.col("error").isNotNull()).select("source_archive", "path_in_archive", "error")
+        # a nested archive that opens in no reader will not do so next time; a member whose bytes are broken may be mended
+        failed = errors.filter(~F.col("path_in_archive").endswith("/")).select(F.col("source_archive").alias("path"), F.lit(True).alias("incomplete")).distinct()
+        counted = read.join(report.inventory(read, members), "path").join(failed, "path", "left").withColumn("config", F.lit(scan.stamp()))
         kept.replace_files(read, counters.count(members, "members_read"))
         kept.update_archives(counters.count(counted, "archives_read"))
+        kept.replace_unread(todo, errors)
     finally:
         found.unpersist()
         todo.unpersist()
@@ -120,6 +125,8 @@ class Outcome:
     plan: DataFrame
     summary: DataFrame
     outcomes: DataFrame
+    #: What of the archives could not be read: source_archive, path_in_archive (empty: the archive itself), error.
+    unread: DataFrame
     counters: dict[str, int] = field(default_factory=dict)
 
 
@@ -142,8 +149,9 @@ def run(spark: SparkSession, scan: Scan) -> Outcome:
         plan = report.deletion_plan(counts.filter(~F.col("target_path").contains("!/"))).persist()
         by_archive = report.by_archive(targets, files).persist()
         by_archive.count(), plan.count()
-        outcomes = actions.execute(plan, way=how.way, carried_out=how.carried_out, folder=f"{scan.store}/outcomes/{time.time_ns()}")
-        done = Outcome(matches, by_archive, plan, report.plan_summary(plan, how.way, not how.carried_out), outcomes, counters.taken())
+        outcomes = actions.execute(plan, way=how.way, carried_out=how.carried_out, folder=f"{scan.store}/outcomes/{time.time_ns()}", hash_name=scan.hashing.name)
+        unread = kept.table("unread").join(listing.archives(listing.list_files(spark, list(scan.archives_in))).select(F.col("path").alias("source_archive")), "source_archive", "left_semi")
+        done = Outcome(matches, by_archive, plan, report.plan_summary(plan, how.way, not how.carried_out), outcomes, unread, counters.taken())
         if scan.forget:
             kept.clear()
     return done

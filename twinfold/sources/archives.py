@@ -1,7 +1,7 @@
 """Members of archives as rows of hashes; contents never leave the task that unpacks them.
 
-Formats: zip and its kin, tar with gzip, bzip2 or xz, self-extracting and carved zips; 7z, rar and what libarchive reads
-where those libraries are installed. Input is never executed. Nested archives give a row of their own, then their members
+Formats: zip and its kin, tar with gzip, bzip2, xz or zstd, self-extracting and carved zips; 7z, rar and what libarchive
+reads where those libraries are installed. Input is never executed. Nested archives give a row of their own, then their members
 under ``outer/inner``, down to the depth of the configuration. A broken archive gives one row with an error, and so does one
 beyond a limit of bytes, so that it counts as unread instead of half read.
 """
@@ -11,18 +11,23 @@ from __future__ import annotations
 import importlib
 import io
 import itertools
+import operator
 import os
 import pickle
+import re
 import tarfile
 import tempfile
 import zipfile
+from collections import deque
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 from typing import BinaryIO
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
 
 from twinfold import schema
 from twinfold.config import Hashing, Unpacking
@@ -48,7 +53,14 @@ def _zip(file: BinaryIO, most: int | None) -> Iterator[Member]:  # noqa: ARG001
 
 
 def _tar(file: BinaryIO, most: int | None) -> Iterator[Member]:  # noqa: ARG001
-    with tarfile.open(fileobj=file, mode="r:*") as t:
+    if file.read(len(_ZSTD)) == _ZSTD:
+        # decompressed as it is read, and never sought in: its members come one after the other
+        stream = pa.CompressedInputStream(pa.PythonFile(_At(file, 0), "r"), "zstd")
+        opened = tarfile.open(fileobj=stream, mode="r|")
+    else:
+        file.seek(0)
+        opened = tarfile.open(fileobj=file, mode="r:*")
+    with opened as t:
         for info in t:
             if info.isreg():
                 yield info.name, lambda info=info: t.extractfile(info)
@@ -90,20 +102,29 @@ def _blocks(entry) -> BinaryIO:
     return out
 
 
+def find_magics(file: BinaryIO, magics: tuple[bytes, ...], start: int = 0, chunk: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
+    """(offset, magic) of all occurrences from ``start`` on, in order, by one pass over the file."""
+    pattern, keep = re.compile(b"|".join(map(re.escape, sorted(set(magics), key=len, reverse=True)))), max(map(len, magics)) - 1
+    at, held, done = start, b"", False
+    while not done:
+        file.seek(at + len(held))
+        block = file.read(chunk)
+        done, held, pos = not block, held + block, 0
+        # a magic that begins in the last ``keep`` bytes may be the start of a longer one, so that it waits
+        sure = len(held) if done else max(0, len(held) - keep)
+        while (found := pattern.search(held, pos)) and found.start() < sure:
+            yield at + found.start(), found[0]
+            pos = found.start() + 1
+        cut = max(pos, sure)
+        at, held = at + cut, held[cut:]
+
+
 def find_magic(file: BinaryIO, magic: bytes, start: int = 0, chunk: int = 1 << 20) -> int | None:
     """Offset of the first occurrence from ``start`` on."""
-    file.seek(start)
-    at, held = start, b""
-    while block := file.read(chunk):
-        held += block
-        if (found := held.find(magic)) >= 0:
-            return at + found
-        keep = len(magic) - 1
-        at, held = at + len(held) - min(keep, len(held)), held[len(held) - min(keep, len(held)) :]
-    return None
-
-
-class _From(io.RawIOBase):
+    return next((at for at, _ in find_magics(file, (magic,), start, chunk)), None)
+
+
+class _At(io.RawIOBase):
     """A file from an offset on."""
 
     def __init__(self, file: BinaryIO, offset: int):
@@ -131,18 +152,54 @@ class _From(io.RawIOBase):
         return len(got)
 
 
-#: Magic numbers of what is embedded in images that run, their distance from the start of it, and its reader.
-_EMBEDDED = ((b"hsqs", 0, _libarchive), (b"CD001", 0x8001, _libarchive), (b"PK\x03\x04", 0, _zip))
+#: Fixed value: how a zstd frame begins.
+_ZSTD = b"\x28\xb5\x2f\xfd"
+#: Magic numbers of what is embedded in images that run, and how far from the start of it they may stand.
+_SQUASHFS, _ISO, _ZIP = (b"hsqs", b"sqsh"), b"CD001", b"PK\x03\x04"
+_ISO_PLACES = (0x8001, 0x8801, 0x9001)
+#: Offset and value of the major version in a squashfs superblock, offset of its block size's logarithm.
+_SQUASHFS_MAJOR, _SQUASHFS_VERSION, _SQUASHFS_LOG = 28, 4, 22
+#: Methods of compression that a local zip header may name.
+_ZIP_METHODS = frozenset((0, 1, 6, 8, 9, 12, 14, 19, 93, 95, 96, 97, 98, 99))
+
+
+def _superblock(head: bytes, magic: bytes) -> bool:
+    """Whether a squashfs superblock makes sense: its version, and a block size that is the power of two it names."""
+    order = "little" if magic == b"hsqs" else "big"
+    number = lambda at, n: int.from_bytes(head[at : at + n], order)
+    return len(head) >= 32 and number(_SQUASHFS_MAJOR, 2) == _SQUASHFS_VERSION and number(12, 4) == 1 << min(number(_SQUASHFS_LOG, 2), 31)
+
+
+def _local_header(head: bytes) -> bool:
+    """Whether a local zip header makes sense: a known method and a name."""
+    return len(head) >= 30 and int.from_bytes(head[8:10], "little") in _ZIP_METHODS and int.from_bytes(head[26:28], "little") > 0
+
+
+def embedded(file: BinaryIO) -> Iterator[tuple[int, Reader]]:
+    """(offset, reader) of what may be embedded in a file, in order; stray magics are passed over by what follows them.
+
+    Members of one zip each have a header, but it is opened by the directory at its end; so only the first sound one counts.
+    """
+    zipped = False
+    for at, magic in find_magics(file, (*_SQUASHFS, _ISO, _ZIP)):
+        file.seek(at)
+        head = file.read(64)
+        if magic in _SQUASHFS and _superblock(head, magic):
+            yield at, _libarchive
+        elif magic == _ISO and head[5:6] in (b"\x01", b"\x02"):
+            yield from ((at - before, _libarchive) for before in _ISO_PLACES if at >= before)
+        elif magic == _ZIP and not zipped and _local_header(head):
+            zipped = True
+            yield at, _zip
 
 
 def _carved(file: BinaryIO, most: int | None) -> Iterator[Member]:
     """What is embedded in a file, in the order of its offsets; the first that opens."""
-    places = sorted((at - before, n) for n, (magic, before, _) in enumerate(_EMBEDDED) if (at := find_magic(file, magic)) is not None and at >= before)
     why: Exception = ArchiveError("nothing embedded was found")
-    for at, n in places:
+    for at, read in sorted(embedded(file), key=lambda x: x[0]):
         given = False
         try:
-            for member in _EMBEDDED[n][2](io.BufferedReader(_From(file, at)), most):
+            for member in read(io.BufferedReader(_At(file, at)), most):
                 given = True
                 yield member
             if given:
@@ -294,30 +351,133 @@ def good_members(found: DataFrame, min_size: int = 0) -> DataFrame:
     return found.filter(F.col("error").isNull() & (F.col("size") >= min_size))
 
 
-class _Archive(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
+#: Bytes of archives that one partition holds, and what an archive counts at least; folders' entries from which the driver leaves the rest to tasks.
+PARTITION_BYTES, LEAST_BYTES, MOST_LISTED = 256 << 20, 1 << 20, 100_000
+
+
+class _Pack(InputPartition):
+    """Archives to read, and folders of which a task lists and reads all archives below."""
+
+    def __init__(self, paths: list[str], folders: list[str]):
+        super().__init__(len(paths) + len(folders))
+        self.paths, self.folders = paths, folders
+
+
+def packed(sizes: list[tuple[str, int]], most: int) -> list[list[str]]:
+    """Paths in packs of ``most`` bytes or one archive: the largest first, each into the last pack or a new one."""
+    out, held = [], 0
+    for path, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
+        if not out or held + size > most:
+            out.append([])
+            held = 0
+        out[-1].append(path)
+        held += size
+    return out
+
+
+class _Wanted:
+    """What filters on source_archive, size and depth leave to be read.
+
+    An archive is opened only if its path passes. A bound on depth is kept as archives are unpacked; sizes are tested
+    before rows leave the task. Filters of other kinds and columns are left to Spark.
+    """
+
+    def __init__(self):
+        self.paths: set[str] | None = None
+        self.starts: list[str] = []
+        self.depth: int | None = None
+        self.sizes: list[tuple[str, int]] = []
+
+    def take(self, f: Filter) -> bool:
+        """Whether the filter is kept here to the letter."""
+        column = getattr(f, "attribute", None)
+        value = getattr(f, "value", None)
+        if column == ("source_archive",) and isinstance(f, EqualTo) and isinstance(value, str):
+            self._only({value})
+        elif column == ("source_archive",) and isinstance(f, In):
+            self._only(set(f.value))
+        elif column == ("source_archive",) and isinstance(f, StringStartsWith):
+            self.starts.append(value)
+        elif column == ("size",) and isinstance(f, GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual | EqualTo):
+            self.sizes.append((type(f).__name__, value))
+        elif column == ("depth",) and isinstance(f, LessThan | LessThanOrEqual | EqualTo):
+            most = value - isinstance(f, LessThan)
+            self.depth = most if self.depth is None else min(self.depth, most)
+            return not isinstance(f, EqualTo)
+        else:
+            return False
+        return True
+
+    def _only(self, paths: set[str]) -> None:
+        self.paths = paths if self.paths is None else self.paths & paths
+
+    def opens(self, path: str) -> bool:
+        return (self.paths is None or path in self.paths) and all(path.startswith(x) for x in self.starts) and (self.depth is None or self.depth >= 0)
+
+    def passes(self, size: int | None) -> bool:
+        tests = {"GreaterThan": operator.gt, "GreaterThanOrEqual": operator.ge, "LessThan": operator.lt, "LessThanOrEqual": operator.le, "EqualTo": operator.eq}
+        return all(size is not None and tests[kind](size, bound) for kind, bound in self.sizes)
 
 
 class ArchiveReader(DataSourceReader):
+    """Archives in partitions of about PARTITION_BYTES; rows as Arrow batches."""
+
     def __init__(self, options: dict):
         self.root = options["path"]
         self.hashing = Hashing(options.get("hash", "xxh3_64"), int(options.get("threshold", 1 << 20)), int(options.get("prefix", 8 << 10)))
         self.unpacking = Unpacking(int(options.get("maxdepth", 10)))
+        self.bytes, self.listed = int(options.get("partitionbytes", PARTITION_BYTES)), int(options.get("mostlisted", MOST_LISTED))
+        self.wanted = _Wanted()
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if not self.wanted.take(f):
+                yield f
 
     def partitions(self):
         if os.path.isfile(self.root):
-            return [_Archive(self.root)]
-        return [_Archive(os.path.join(d, n)) for d, _, names in sorted(os.walk(self.root)) for n in sorted(names) if is_archive_name(n)]
+            return [_Pack([self.root], [])] if self.wanted.opens(self.root) else []
+        if self.wanted.paths is not None:  # named archives are looked for where they are
+            below = os.path.join(self.root, "")
+            named = [p for p in self.wanted.paths if p.startswith(below) and is_archive_name(os.path.basename(p)) and os.path.isfile(p) and self.wanted.opens(p)]
+            return [_Pack(paths, []) for paths in packed([(p, max(os.path.getsize(p), LEAST_BYTES)) for p in named], self.bytes)]
+        found, folders, seen = [], deque([self.root]), 0
+        while folders and seen < self.listed:
+            try:
+                with os.scandir(folders.popleft()) as entries:
+                    for e in entries:
+                        seen += 1
+                        if e.is_dir(follow_symlinks=False):
+                            folders.append(e.path)
+                        elif is_archive_name(e.name) and e.is_file() and self.wanted.opens(e.path):
+                            found.append((e.path, max(e.stat().st_size, LEAST_BYTES)))
+            except OSError:
+                continue
+        return [*(_Pack(paths, []) for paths in packed(found, self.bytes)), *(_Pack([], [folder]) for folder in folders)]
+
+    def _paths(self, pack: _Pack) -> Iterator[str]:
+        yield from pack.paths
+        for folder in pack.folders:
+            for at, _, names in os.walk(folder):
+                yield from (os.path.join(at, n) for n in sorted(names) if is_archive_name(n) and os.path.isfile(os.path.join(at, n)) and self.wanted.opens(os.path.join(at, n)))
 
     def read(self, partition):
-        for r in unpack(partition.path, self.hashing, self.unpacking) if partition else ():
-            yield tuple(r[k] for k in schema.MEMBERS.names)
+        unpacking = self.unpacking if self.wanted.depth is None else replace(self.unpacking, depth=min(self.unpacking.depth, self.wanted.depth))
+        rows = (r for path in (self._paths(partition) if partition else ()) for r in unpack(path, self.hashing, unpacking) if self.wanted.passes(r["size"]))
+        for some in itertools.batched(rows, ROWS):
+            yield pa.RecordBatch.from_pylist(list(some), schema=_ARROW)
+
+
+#: MEMBERS as Arrow has them.
+_ARROW = pa.schema([(f.name, {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}[f.dataType.simpleString()]) for f in schema.MEMBERS.fields])
 
 
 class ArchiveSource(DataSource):
-    """``spark.read.format("archive_members").load(folder or archive)``."""
+    """``spark.read.format("archive_members").load(folder or archive)``.
+
+    Filters on source_archive (=, in, starting with), size and depth are pushed down. Options: hash, threshold, prefix,
+    maxdepth, partitionbytes, and mostlisted: the entries that the driver lists before it leaves subtrees to tasks.
+    """
 
     @classmethod
     def name(cls):
@@ -331,4 +491,6 @@ class ArchiveSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the source known, and lets Spark hand filters to sources in Python."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ArchiveSource)
