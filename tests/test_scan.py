@@ -308,3 +308,89 @@ def test_what_could_not_be_read_is_told_and_tried_again(spark, dirs):
     assert done.counters["archives_read"] == 1 and done.counters["members_read"] == 2
     (dirs / "s" / "bad.zip").unlink()
     assert [os.path.basename(r["source_archive"]) for r in scan.run(spark, config(dirs)).unread.collect()] == ["nested.zip"]
+
+
+def test_review_of_very_many_copies(spark):
+    """1e5 x 1e5 copies of one content: one row, and pages of pairs in order."""
+    files = spark.range(100_000).select(F.lit("h").alias("full_hash"), F.lit("z").alias("source_archive"), F.format_string("m%06d", "id").alias("path_in_archive"), F.lit(5).cast("long").alias("size"))
+    files = files.unionByName(files.limit(2).withColumn("source_archive", F.lit("y")))
+    targets = spark.range(100_000).select(F.format_string("t%06d", "id").alias("path"), F.lit(5).cast("long").alias("size"), F.lit("h").alias("full_hash"))
+    stored = spark.createDataFrame([("h", "t000003", False)], "file_hash string, target_path string, selected boolean")
+    rows = {r["source_archive"]: r for r in report.review_classes(targets, files, stored).collect()}
+    assert (rows["z"]["pairs"], rows["z"]["chosen"], rows["y"]["members"], rows["z"]["first_target"]) == (10**10, 99_999, 2, "t000000")
+    page = lambda archive, after, n: report.review_page(targets, files, archive, ("h", 5), after, n)
+    assert page("z", None, 3) == [("t000000", f"m{k:06d}") for k in range(3)]
+    assert page("z", ("t000000", "m099998"), 3) == [("t000000", "m099999"), ("t000001", "m000000"), ("t000001", "m000001")]
+    seen, after = [], None
+    for _ in range(4):
+        seen += page("y", after, 3)
+        after = seen[-1]
+    assert seen == [(f"t{k // 2:06d}", f"m{k % 2:06d}") for k in range(12)]
+    assert page("z", ("t099999", "m099999"), 3) == [] and page("none", None, 3) == []
+
+
+def test_progress_rises_while_it_runs(spark, dirs):
+    for k in range(40):
+        write_zip(dirs / "s" / f"a{k}.zip", {f"m{j}": bytes(200_000) + bytes([k, j]) for j in range(20)})
+    (dirs / "t" / "x").write_bytes(b"1")
+    told = []
+    done = scan.run(spark, config(dirs), told.append, every=0.02)
+    unpacking = [t["archives_done"] for t in told if t["phase"] == "unpacking"]
+    assert unpacking == sorted(unpacking) and len({n for n in unpacking if 0 < n < 40}) >= 2
+    assert told[-1]["archives_done"] == told[-1]["archives_found"] == 40 and told[-1]["members_done"] == 800 and told[-1]["percent"] == 100.0 and told[-1]["targets_done"] == 1
+    assert done.counters["members_read"] == 800
+    assert scan.run(spark, config(dirs), told.append).counters["members_read"] == 0 and told[-1]["percent"] == 100.0
+
+
+def test_archives_as_a_stream_equal_a_scan(spark, dirs):
+    write_zip(dirs / "elsewhere.zip", {})
+    kept, c = Store(spark, str(dirs / "stream")), config(dirs)
+    content = {"a.zip": {"1": b"one", "in.zip": zip_bytes({"2": b"two"})}, "b.zip": {}, "c.zip": {"3": b"three" * 500, "4": b"one"}}
+    kept.update_targets(spark.createDataFrame([("t1", 1, 3, xxh3(b"one"), None, "x"), ("t2", 1, 9, "none", None, "x")], "path string, mtime_ms long, size long, full_hash string, quick_hash string, config string"))
+
+    def take():
+        incremental.store_archives(spark, str(dirs / "s"), kept, c, str(dirs / "cp"), str(dirs / "matches")).awaitTermination()
+
+    for k, (name, members) in enumerate(content.items()):
+        write_zip(dirs / "s" / name, members)
+        os.utime(dirs / "s" / name, (1000 + k, 1000 + k))
+        take()
+    (dirs / "s" / "bad.zip").write_bytes(b"PK no")
+    take()
+    take()  # nothing new
+    with Store(spark, str(dirs / "scan")) as other:
+        scan.scan_sources(spark, Scan(c.archives_in, c.files_in, str(dirs / "scan"), hashing=c.hashing), other)
+        same = lambda store, table, *drop: sorted(map(tuple, store.table(table).drop(*drop).collect()), key=repr)
+        assert same(kept, "files") == same(other, "files") and len(same(kept, "files")) == 5
+        assert same(kept, "archives", "last_scanned") == same(other, "archives", "last_scanned")
+        assert same(kept, "unread") == same(other, "unread") and len(same(kept, "unread")) == 1
+    found = lambda: sorted((r["path_in_archive"], r["target_path"]) for r in spark.read.parquet(str(dirs / "matches")).collect())
+    assert found() == [("1", "t1"), ("4", "t1")]
+    # a rewritten archive comes again and replaces its rows; a replay of its batch changes nothing
+    write_zip(dirs / "s" / "a.zip", {"5": b"five"})
+    take()
+    before = same(kept, "files")
+    assert len(before) == 3
+    last = max((dirs / "cp" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    take()
+    assert same(kept, "files") == before and found()[-1] == ("4", "t1")
+
+
+def xxh3(data):
+    import xxhash
+
+    return xxhash.xxh3_64_hexdigest(data)
+
+
+def test_packed_and_default_hashes_as_queries(spark, tmp_path):
+    from twinfold.plans import catalogue
+
+    texts = {k: f"text {k} " * (k % 7 * 60) for k in range(60)}
+    spark.createDataFrame([(k, f"src{k % 4}", t) for k, t in texts.items()], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in catalogue.QUERIES["xxh3_fingerprints"](spark, str(tmp_path)).collect():
+        data = texts[r["doc_id"]].encode()
+        assert r["full_hash"] == xxh3(data) and r["quick_hash"] == (xxh3(data[: catalogue.PREFIX]) if len(data) >= catalogue.THRESHOLD else None)
+    names = lambda kind: {(r["source_archive"], r["path_in_archive"], r["full_hash"]) for r in catalogue.QUERIES[kind](spark, str(tmp_path)).collect()}
+    assert {tuple(x and x.replace("tar.zst", "zip") for x in r) for r in names("member_unnest_tar_zst")} == names("member_unnest")

@@ -32,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--prefix-size", type=int, default=8 << 10)
     p.add_argument("--workers", type=int, help="tasks at a time (local sessions)")
     p.add_argument("-v", "--verbose", action="store_true")
+    p.add_argument("--progress", action="store_true", help="say every second how far the scan is")
     return p
 
 
@@ -71,7 +72,8 @@ def main(argv: list[str] | None = None) -> int:
     builder = SparkSession.builder.appName("twinfold")
     if a.workers:
         builder = builder.master(f"local[{a.workers}]")
-    done = scan.run(builder.getOrCreate(), config)
+    told = (lambda now: print(f"{now['phase']}: {now['archives_done']} of {now['archives_found'] or 0} archives, {now['members_done']} members, {now['targets_done']} targets", file=sys.stderr)) if a.progress else None
+    done = scan.run(builder.getOrCreate(), config, told)
     print(", ".join(f"{name}: {n}" for name, n in done.counters.items()))
     if unread := done.unread.count():
         print(f"could not be read: {unread}")

@@ -54,5 +54,37 @@ def review(matches: DataFrame) -> DataFrame:
     return rows.select("source_archive", (~header).alias("is_detail"), "target_path", "path_in_archive", label.alias("label"), size.alias("size_text"))
 
 
+def review_classes(targets: DataFrame, files: DataFrame, selection: DataFrame, default: bool = True) -> DataFrame:
+    """A row for each archive and content that some target has too, instead of one for each pair.
+
+    source_archive, full_hash, size, members (of the archive), targets, chosen (of the targets), pairs, and the first of each by
+    name. Members and targets are counted before they meet, so that m members and n targets of a content are one row.
+    """
+    stored = selection.select(F.col("file_hash").alias("full_hash"), F.col("target_path").alias("path"), F.col("selected").alias("__stored"))
+    own = targets.filter(F.col("full_hash").isNotNull()).select("path", "size", "full_hash").join(stored, ["full_hash", "path"], "left")
+    by_content = own.groupBy("full_hash", "size").agg(F.count("*").alias("targets"), F.count_if(F.coalesce("__stored", F.lit(default))).alias("chosen"), F.min("path").alias("first_target"))
+    by_archive = files.filter(F.col("full_hash").isNotNull()).groupBy("source_archive", "full_hash", "size").agg(F.count("*").alias("members"), F.min("path_in_archive").alias("first_member"))
+    found = by_archive.join(by_content, ["full_hash", "size"])
+    return found.select("source_archive", "full_hash", "size", "members", "targets", "chosen", (F.col("members") * F.col("targets")).alias("pairs"), "first_member", "first_target")
+
+
+def review_page(targets: DataFrame, files: DataFrame, archive: str, content: tuple[str, int], after: tuple[str, str] | None = None, rows: int = 100) -> list[tuple[str, str]]:
+    """The next pairs (target_path, path_in_archive) of an archive and content (full_hash, size) after one, in order.
+
+    At most ``rows`` of each side are taken in order from where the page starts, whatever their number; pairs are made of these.
+    """
+    (full_hash, size), (at, member) = content, after or (None, None)
+    same = (F.col("full_hash") == full_hash) & (F.col("size") == size)
+    ours = files.filter(same & (F.col("source_archive") == archive)).select("path_in_archive")
+    theirs = targets.filter(same).select("path")
+    first = lambda df, c, n: [r[0] for r in df.orderBy(c).limit(n).collect()]
+    rest = first(ours.filter(F.col("path_in_archive") > member), "path_in_archive", rows) if after else []
+    page = [(at, m) for m in rest]
+    if len(page) < rows and (every := first(ours, "path_in_archive", rows)):
+        wanted = -(-(rows - len(page)) // len(every))
+        page += [(t, m) for t in first(theirs.filter(F.col("path") > at) if after else theirs, "path", wanted) for m in every]
+    return page[:rows]
+
+
 def outcome_counts(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("status").agg(F.count("*").alias("n"))

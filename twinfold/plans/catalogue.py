@@ -78,6 +78,32 @@ def _size() -> Column:
     return F.col("size")
 
 
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, size, is_source, full_hash, quick_hash of all documents, written once for all that a query makes of them.
+
+    Large targets have the hash of their prefix only, as their whole contents are for the second phase.
+    """
+    full, quick = exprs.member_hashes(F.col("content"), _size(), THRESHOLD, PREFIX)
+    known = F.when(F.col("is_source") | (_size() < THRESHOLD), full)
+    return written(documents(spark, sf_dir).select("doc_id", "source", "size", "is_source", known.alias("full_hash"), quick.alias("quick_hash")))
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder."""
+    path = shared.folder(rows.sparkSession, "catalogue")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def files_of(prints: DataFrame) -> DataFrame:
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    return prints.filter("is_source").select("full_hash", "quick_hash", name.alias("filename"), F.concat(F.lit("d/"), name).alias("path_in_archive"), F.col("source").alias("source_archive"), "size", F.lit(False).alias("is_nested_archive"))
+
+
+def targets_of(prints: DataFrame) -> DataFrame:
+    return prints.filter("not is_source").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "size", "full_hash", "quick_hash")
+
+
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     full, quick = exprs.member_hashes(F.col("content"), _size(), THRESHOLD, PREFIX)
     name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
@@ -113,19 +139,21 @@ def verify(spark: SparkSession, sf_dir: str) -> Callable[[DataFrame], DataFrame]
 
 
 def two_phase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.two_phase(targets(spark, sf_dir), source_files(spark, sf_dir), verify(spark, sf_dir))[0]
+    prints = fingerprints(spark, sf_dir)
+    return match.two_phase(targets_of(prints), files_of(prints), verify(spark, sf_dir))[0]
 
 
-def verified_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The targets with what two phases know of their full hashes."""
-    rows, files = targets(spark, sf_dir), source_files(spark, sf_dir)
+def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The targets with what two phases know of their full hashes, and the source files; both are written."""
+    prints = fingerprints(spark, sf_dir)
+    rows, files = targets_of(prints), files_of(prints)
     late = verify(spark, sf_dir)(match.quick_candidates(rows, files).drop("full_hash")).select(*rows.columns)
-    return rows.filter(F.col("full_hash").isNotNull()).unionByName(late)
+    return written(rows.filter(F.col("full_hash").isNotNull()).unionByName(late)), files
 
 
 def chosen_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The targets that match, with how many files they match and whether they are selected."""
-    return match.with_selection(match.target_counts(verified_targets(spark, sf_dir), source_files(spark, sf_dir)), selection(spark, sf_dir))
+    return match.with_selection(match.target_counts(*sides(spark, sf_dir)), selection(spark, sf_dir))
 
 
 def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,12 +261,12 @@ def match_with_selection(spark, sf_dir):
 
 @query("SELECT source_archive, count(*) AS match_count, sum(target_size)::BIGINT AS redundant_bytes FROM {matches} GROUP BY source_archive")
 def matches_by_archive(spark, sf_dir):
-    return report.by_archive(verified_targets(spark, sf_dir), source_files(spark, sf_dir))
+    return report.by_archive(*sides(spark, sf_dir))
 
 
 @query("SELECT count(*) AS match_count, count(DISTINCT source_archive) AS archive_count, count(DISTINCT target_path) AS target_count FROM {matches}")
 def match_totals(spark, sf_dir):
-    return report.totals(verified_targets(spark, sf_dir), source_files(spark, sf_dir))
+    return report.totals(*sides(spark, sf_dir))
 
 
 @query("SELECT path, count(source_archive) AS file_count FROM (SELECT DISTINCT source AS path FROM documents UNION SELECT 'empty' || i FROM range(3) r(i)) LEFT JOIN {files} ON path = source_archive GROUP BY path")
@@ -416,7 +444,8 @@ def member_unnest_tar_zst(spark, sf_dir):
 @query("SELECT path, size, quick_hash FROM {targets} t WHERE full_hash IS NULL AND EXISTS (SELECT 1 FROM {files} f WHERE f.quick_hash = t.quick_hash)")
 def quick_hash_candidates_prefiltered(spark, sf_dir):
     """The candidates of the first phase, the files' side thinned by a bitmap of the targets' prefix hashes."""
-    return match.quick_candidates_prefiltered(targets(spark, sf_dir), source_files(spark, sf_dir)).select("path", "size", "quick_hash")
+    prints = fingerprints(spark, sf_dir)
+    return match.quick_candidates_prefiltered(targets_of(prints), files_of(prints)).select("path", "size", "quick_hash")
 
 
 @query("""SELECT source_archive, path_in_archive, size,
@@ -424,7 +453,7 @@ def quick_hash_candidates_prefiltered(spark, sf_dir):
 FROM (SELECT *, CAST(replace(filename, '.txt', '') AS BIGINT) AS id FROM {files}) WHERE NOT (source_archive IN ('src1', 'src3') AND id % 2 = 1)""")
 def store_merge_on_read(spark, sf_dir):
     """A store's base, an upsert, two archives scanned again with fewer members, and a late upsert, merged as they are read."""
-    files = source_files(spark, sf_dir)
+    files = files_of(fingerprints(spark, sf_dir))
     number = F.regexp_extract("filename", r"^(\d+)", 1).cast("long")
     kept = store.Store(spark, shared.folder(spark, "store"))
     kept.add_files(files)
@@ -436,6 +465,13 @@ def store_merge_on_read(spark, sf_dir):
     return kept.table("files").select("source_archive", "path_in_archive", "size", "full_hash")
 
 
+@query("""SELECT m.source_archive, m.full_hash, m.size, count(DISTINCT m.path_in_archive) AS members, count(DISTINCT m.target_path) AS targets, count(DISTINCT m.target_path) FILTER (m.selected) AS chosen,
+  count(*) AS pairs, min(m.path_in_archive) AS first_member, min(m.target_path) AS first_target FROM {chosen} m GROUP BY m.source_archive, m.full_hash, m.size""")
+def review_classes(spark, sf_dir):
+    """The review as one row for each archive and content, without the pairs."""
+    return report.review_classes(*sides(spark, sf_dir), selection(spark, sf_dir))
+
+
 def xxh3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hashes that a scan takes unless told otherwise; DuckDB has no XXH3, so they are compared with the library's in tests."""
     full, quick = exprs.member_hashes(F.col("content"), _size(), THRESHOLD, PREFIX, "xxh3_64")

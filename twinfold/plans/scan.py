@@ -8,6 +8,7 @@ from __future__ import annotations
 import logging
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from twinfold.config import Scan
 from twinfold.operators import actions, match, report, store
+from twinfold.plans.progress import Progress
 from twinfold.sources import archives, listing
 
 log = logging.getLogger(__name__)
@@ -41,7 +43,7 @@ class Counters:
         return {k: n for x in self.seen.values() for k, n in x.get.items()}
 
 
-def scan_sources(spark: SparkSession, scan: Scan, kept: store.Store, counters: Counters | None = None) -> DataFrame:
+def scan_sources(spark: SparkSession, scan: Scan, kept: store.Store, counters: Counters | None = None, progress: Progress | None = None) -> DataFrame:
     """The stored rows of the archives below the source directories; changed ones are unpacked again.
 
     Archives that cannot be read to the end are left out; those of which some member cannot be read are stored with the others,
@@ -51,7 +53,9 @@ def scan_sources(spark: SparkSession, scan: Scan, kept: store.Store, counters: C
     listed = listing.archives(listing.list_files(spark, list(scan.archives_in)))
     known = kept.table("archives").filter(F.col("config") == scan.stamp())
     todo = store.changed(listed, known, "archives" in scan.afresh).filter("needs_rescan").drop("needs_rescan").persist()
-    found = archives.members(todo, scan.hashing, scan.unpacking).persist()
+    if progress:
+        progress.begin("unpacking", todo.count())
+    found = archives.members(todo, scan.hashing, scan.unpacking, progress and progress.counts).persist()
     try:
         broken = found.filter("error is not null and depth = 0 and path_in_archive = ''").select(F.col("source_archive").alias("path"))
         read = todo.join(broken, "path", "left_anti")
@@ -69,8 +73,8 @@ def scan_sources(spark: SparkSession, scan: Scan, kept: store.Store, counters: C
     return kept.table("archives").join(listed.select("path"), "path", "left_semi")
 
 
-def _hashed(listed: DataFrame, scan: Scan, into: str, prefix: int | None = None) -> DataFrame:
-    return listing.read_hashes(listed, prefix=prefix, hash_name=scan.hashing.name).withColumnRenamed("hash", into)
+def _hashed(listed: DataFrame, scan: Scan, into: str, prefix: int | None = None, progress: Progress | None = None) -> DataFrame:
+    return listing.read_hashes(listed, prefix=prefix, hash_name=scan.hashing.name, done=progress and progress.counts["targets_done"]).withColumnRenamed("hash", into)
 
 
 def sources(spark: SparkSession, scan: Scan, kept: store.Store) -> DataFrame:
@@ -81,12 +85,14 @@ def sources(spark: SparkSession, scan: Scan, kept: store.Store) -> DataFrame:
     return kept.table("files").join(live.select(F.col("path").alias("source_archive")), "source_archive", "left_semi")
 
 
-def hash_targets(spark: SparkSession, scan: Scan, kept: store.Store, files: DataFrame, counters: Counters | None = None) -> DataFrame:
+def hash_targets(spark: SparkSession, scan: Scan, kept: store.Store, files: DataFrame, counters: Counters | None = None, progress: Progress | None = None) -> DataFrame:
     """The targets with the hashes that the store has of them now.
 
     Small files are read whole. Of large ones only the prefix is read, and the rest where some source shares the prefix.
     """
     counters = counters or Counters()
+    if progress:
+        progress.begin("hashing")
     nothing = F.lit(None).cast("string")
     listed = listing.list_files(spark, list(scan.files_in), scan.least_bytes)
     known = kept.table("target_files").filter(F.col("config") == scan.stamp())
@@ -94,8 +100,8 @@ def hash_targets(spark: SparkSession, scan: Scan, kept: store.Store, files: Data
     try:
         new = seen.filter("not cache_hit").drop("full_hash", "quick_hash")
         small = F.col("size") < scan.hashing.large
-        whole = _hashed(new.filter(small), scan, "full_hash").withColumn("quick_hash", nothing).select(*_TARGET)
-        begun = _hashed(new.filter(~small), scan, "quick_hash", scan.hashing.prefix).withColumn("full_hash", nothing).select(*_TARGET)
+        whole = _hashed(new.filter(small), scan, "full_hash", progress=progress).withColumn("quick_hash", nothing).select(*_TARGET)
+        begun = _hashed(new.filter(~small), scan, "quick_hash", scan.hashing.prefix, progress).withColumn("full_hash", nothing).select(*_TARGET)
         stamp = F.lit(scan.stamp())
         kept.update_targets(counters.count(whole.unionByName(begun), "targets_hashed", targets_failed=F.count_if(F.coalesce("full_hash", "quick_hash").isNull())).withColumn("config", stamp))
         targets = kept.table("target_files").join(listed.select("path"), "path", "left_semi").select(*_TARGET)
@@ -130,25 +136,29 @@ class Outcome:
     counters: dict[str, int] = field(default_factory=dict)
 
 
-def run(spark: SparkSession, scan: Scan) -> Outcome:
+def run(spark: SparkSession, scan: Scan, told: Callable[[dict], None] | None = None, every: float = 1.0) -> Outcome:
     """Scan, match, and carry out the plan (in appearance only, unless the scan says otherwise).
 
+    ``told`` is called with the state of the run (``Progress.state``) every so many seconds.
+
     Counts and the plan come from counts by content, so that a content which very many files share costs no pairs; the
     pairs (``matches``) are made if they are read.
     """
     if found := scan.faults():
         raise InvalidScan("; ".join(found))
     how, counters = scan.deletion, Counters()
-    with store.Store(spark, scan.store) as kept:
-        scan_sources(spark, scan, kept, counters)
+    with store.Store(spark, scan.store) as kept, Progress(spark, told, every) as progress:
+        scan_sources(spark, scan, kept, counters, progress)
         files = sources(spark, scan, kept)
-        targets = hash_targets(spark, scan, kept, files, counters).persist()
+        targets = hash_targets(spark, scan, kept, files, counters, progress).persist()
+        progress.begin("matching")
         stored = kept.table("selection_state")
         matches = match.with_selection(match.one_phase(targets, files), stored, how.unless_stored)
         counts = match.with_selection(match.target_counts(targets, files), stored, how.unless_stored)
         plan = report.deletion_plan(counts.filter(~F.col("target_path").contains("!/"))).persist()
         by_archive = report.by_archive(targets, files).persist()
         by_archive.count(), plan.count()
+        progress.begin("deleting" if how.carried_out else "listing what would be deleted")
         outcomes = actions.execute(plan, way=how.way, carried_out=how.carried_out, folder=f"{scan.store}/outcomes/{time.time_ns()}", hash_name=scan.hashing.name)
         unread = kept.table("unread").join(listing.archives(listing.list_files(spark, list(scan.archives_in))).select(F.col("path").alias("source_archive")), "source_archive", "left_semi")
         done = Outcome(matches, by_archive, plan, report.plan_summary(plan, how.way, not how.carried_out), outcomes, unread, counters.taken())

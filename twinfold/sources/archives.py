@@ -27,7 +27,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
 
 from twinfold import schema
 from twinfold.config import Hashing, Unpacking
@@ -328,9 +329,11 @@ def unpack(path: str, hashing: Hashing | None = None, unpacking: Unpacking | Non
         yield from unpacker.rows(file)
 
 
-def members(archives: DataFrame, hashing: Hashing | None = None, unpacking: Unpacking | None = None) -> DataFrame:
+def members(archives: DataFrame, hashing: Hashing | None = None, unpacking: Unpacking | None = None, counts: dict | None = None) -> DataFrame:
     """Member rows of the archives (path[, content]); errors are rows as well.
 
+    ``counts`` are accumulators to which tasks add archives_done, members_done and bytes_done.
+
     The archives are dealt out to many more tasks than there are cores, so that a task has few and a large one holds up
     no others. Rows leave a task in batches.
     """
@@ -340,7 +343,12 @@ def members(archives: DataFrame, hashing: Hashing | None = None, unpacking: Unpa
         for batch in batches:
             for k, path in enumerate(batch["path"]):
                 for rows in itertools.batched(unpack(path, hashing, unpacking, batch["content"].iloc[k] if with_content else None), ROWS):
+                    if counts is not None:
+                        counts["members_done"].add(sum(r["error"] is None for r in rows))
+                        counts["bytes_done"].add(sum(r["size"] or 0 for r in rows))
                     yield pd.DataFrame(rows, columns=schema.MEMBERS.names)
+                if counts is not None:
+                    counts["archives_done"].add(1)
 
     wanted = archives.select("path", *(["content"] if with_content else []))
     return wanted.repartition(archives.sparkSession.sparkContext.defaultParallelism * TASKS_A_CORE).mapInPandas(read, schema.MEMBERS)
@@ -490,7 +498,75 @@ class ArchiveSource(DataSource):
         return ArchiveReader({k.lower(): v for k, v in self.options.items()})
 
 
+#: MEMBERS, and the time of the archive's file in the row of the archive itself (depth -1).
+ARRIVALS = T.StructType([*schema.MEMBERS.fields, T.StructField("mtime_ms", T.LongType())])
+_ARROW_ARRIVALS = _ARROW.append(pa.field("mtime_ms", pa.int64()))
+
+
+class _Arrived(InputPartition):
+    def __init__(self, files: list[tuple[str, int, int]]):
+        super().__init__(len(files))
+        self.files = files
+
+
+class ArrivalReader(DataSourceStreamReader):
+    """Archives below a folder in the order of their times and paths, which are the offsets.
+
+    A batch has the archives after its start up to its end; they are listed again when it is replayed. An archive that comes
+    with a time before the last offset (moved in, or unpacked with its time) is not seen; a scan of the folder finds it.
+    """
+
+    def __init__(self, options: dict):
+        self.root, self.bytes = options["path"], int(options.get("partitionbytes", PARTITION_BYTES))
+        self.hashing = Hashing(options.get("hash", "xxh3_64"), int(options.get("threshold", 1 << 20)), int(options.get("prefix", 8 << 10)))
+        self.unpacking = Unpacking(int(options.get("maxdepth", 10)))
+
+    def _listed(self) -> Iterator[tuple[str, int, int]]:
+        for at, _, names in os.walk(self.root):
+            for n in names:
+                path = os.path.join(at, n)
+                if is_archive_name(n) and os.path.isfile(path):
+                    s = os.stat(path)
+                    yield path, s.st_size, s.st_mtime_ns
+
+    def initialOffset(self):
+        return {"mtime_ns": -1, "path": ""}
+
+    def latestOffset(self):
+        mtime, path = max(((m, p) for p, _, m in self._listed()), default=(-1, ""))
+        return {"mtime_ns": mtime, "path": path}
+
+    def partitions(self, start, end):
+        after, last = ((x["mtime_ns"], x["path"]) for x in (start, end))
+        found = {p: (size, m) for p, size, m in self._listed() if after < (m, p) <= last}
+        return [_Arrived([(p, *found[p]) for p in paths]) for paths in packed([(p, max(size, LEAST_BYTES)) for p, (size, _) in found.items()], self.bytes)]
+
+    def read(self, partition):
+        for path, size, mtime in partition.files:
+            mine = {"source_archive": path, "path_in_archive": "", "filename": os.path.basename(path), "size": size, "is_nested_archive": False, "depth": -1, "seq": 0, "mtime_ms": mtime // 1_000_000}
+            for some in itertools.batched(itertools.chain([mine], unpack(path, self.hashing, self.unpacking)), ROWS):
+                yield pa.RecordBatch.from_pylist(list(some), schema=_ARROW_ARRIVALS)
+
+    def commit(self, end):
+        pass
+
+
+class ArrivalSource(DataSource):
+    """``spark.readStream.format("archive_arrivals").load(folder)``: archives as they come, each with a row of its own."""
+
+    @classmethod
+    def name(cls):
+        return "archive_arrivals"
+
+    def schema(self):
+        return ARRIVALS
+
+    def streamReader(self, schema):  # noqa: ARG002
+        return ArrivalReader({k.lower(): v for k, v in self.options.items()})
+
+
 def register(spark: SparkSession) -> None:
-    """Makes the source known, and lets Spark hand filters to sources in Python."""
+    """Makes the sources known, and lets Spark hand filters to sources in Python."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ArchiveSource)
+    spark.dataSource.register(ArrivalSource)

@@ -94,15 +94,17 @@ def archives(listing: DataFrame) -> DataFrame:
     return listing.filter(exprs.is_archive(F.col("name")))
 
 
-def read_hashes(listing: DataFrame, *, prefix: int | None = None, hash_name: str = "xxh3_64") -> DataFrame:
+def read_hashes(listing: DataFrame, *, prefix: int | None = None, hash_name: str = "xxh3_64", done=None) -> DataFrame:
     """The listing with a column hash: of whole files, or of their first ``prefix`` bytes, which is all that is read then.
 
-    What cannot be read has a null hash.
+    What cannot be read has a null hash. ``done`` is an accumulator of files that were read.
     """
     from twinfold.sources.digests import hash_file
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if done is not None:
+                done.add(len(batch))
             yield batch.assign(hash=[hash_file(p, hash_name, prefix) for p in batch["path"]])
 
     return listing.mapInPandas(hashed, ", ".join(f"`{n}` {t}" for n, t in listing.dtypes) + ", hash string")
