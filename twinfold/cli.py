@@ -32,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--prefix-size", type=int, default=8 << 10)
     p.add_argument("--workers", type=int, help="tasks at a time (local sessions)")
     p.add_argument("-v", "--verbose", action="store_true")
+    p.add_argument("--trust-folders", action="store_true", help="pass over folders of targets whose time did not change (files rewritten in place are not seen)")
     p.add_argument("--progress", action="store_true", help="say every second how far the scan is")
     return p
 
@@ -44,6 +45,7 @@ def config_of(a: argparse.Namespace) -> Scan:
         forget=a.no_keep_db,
         least_bytes=a.min_size,
         afresh=frozenset(what for what, told in (("archives", a.recheck), ("files", a.recheck_targets)) if told),
+        trust_folders=a.trust_folders,
         look_inside=a.search_archives,
         hashing=Hashing(large=a.partial_threshold, prefix=a.prefix_size),
         deletion=Deletion(carried_out=a.delete and not a.dry_run, way=a.delete_method, unless_stored=not a.no_auto_select),

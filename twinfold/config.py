@@ -68,6 +68,8 @@ class Scan:
     least_bytes: int = 0
     #: Of "archives" and "files", what is read again even if it did not change.
     afresh: frozenset[str] = frozenset()
+    #: Whether folders of targets whose time did not change are taken as they were stored, without a look at their files.
+    trust_folders: bool = False
     #: Whether members of archives among the files are matched too.
     look_inside: bool = False
     #: Whether archives that are gone still count as sources.

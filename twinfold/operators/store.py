@@ -40,7 +40,7 @@ MOST_DELTAS = 16
 BROADCAST_ROWS = 200_000
 ROWS_A_BUCKET, SPREAD, ROWS_A_FILE = 4_000_000, 32, 1_000_000
 #: The column by which rows of a table can be declared gone.
-GONE_BY = {"files": "source_archive", "unread": "source_archive"}
+GONE_BY = {"files": "source_archive", "unread": "source_archive", "target_files": "path"}
 #: Columns that are looked up by value, with Bloom filters in the base's files.
 LOOKED_UP = {"files": ("full_hash", "quick_hash"), "target_files": ("full_hash",)}
 
@@ -363,6 +363,10 @@ class Store:
     def update_targets(self, rows: DataFrame) -> None:
         self.upsert("target_files", rows)
 
+    def forget_targets(self, gone: DataFrame) -> None:
+        """Of targets that are not there any more (path)."""
+        self._change("target_files", self._read("target_files", []), gone.select("path").distinct())
+
     def selection(self, file_hash: str, target_path: str) -> bool | None:
         row = self.table("selection_state", file_hash).filter(F.col("target_path") == target_path).first()
         return None if row is None else row["selected"]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from twinfold.config import Scan
 from twinfold.operators import actions, match, report, store
 from twinfold.plans.progress import Progress
-from twinfold.sources import archives, listing
+from twinfold.sources import archives, folders, listing
 
 log = logging.getLogger(__name__)
 
@@ -94,8 +94,9 @@ def hash_targets(spark: SparkSession, scan: Scan, kept: store.Store, files: Data
     if progress:
         progress.begin("hashing")
     nothing = F.lit(None).cast("string")
-    listed = listing.list_files(spark, list(scan.files_in), scan.least_bytes)
     known = kept.table("target_files").filter(F.col("config") == scan.stamp())
+    walked = folders.walk(spark, list(scan.files_in), kept.table("folders").filter(F.col("config") == scan.stamp()), "files" not in scan.afresh) if scan.trust_folders else None
+    listed = folders.list_changed(walked, known, scan.least_bytes) if walked else listing.list_files(spark, list(scan.files_in), scan.least_bytes)
     seen = store.cached(listed, known, "files" in scan.afresh).persist()
     try:
         new = seen.filter("not cache_hit").drop("full_hash", "quick_hash")
@@ -107,6 +108,9 @@ def hash_targets(spark: SparkSession, scan: Scan, kept: store.Store, files: Data
         targets = kept.table("target_files").join(listed.select("path"), "path", "left_semi").select(*_TARGET)
         verified = _hashed(match.quick_candidates(targets, files).drop("full_hash"), scan, "full_hash").select(*_TARGET)
         kept.update_targets(counters.count(verified, "targets_verified").withColumn("config", stamp))
+        if walked:  # after the files, so that what fails before is listed again
+            kept.forget_targets(folders.gone(walked, known, seen))
+            kept.upsert("folders", folders.digests(walked).withColumn("config", stamp))
     finally:
         seen.unpersist()
     targets = kept.table("target_files").join(listed.select("path"), "path", "left_semi").select(*_TARGET)
