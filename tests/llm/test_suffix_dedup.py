@@ -74,7 +74,7 @@ def test_levels_merge_geometrically(spark):
     family = suffix_dedup.Family(Scratch(spark, "test"))
     sizes = []
     for k in range(6):
-        family.add(spark.createDataFrame([(b"%d" % k, 10 * k, 1, 1), (b"%d" % k, 7, k, 1)], suffix_batches.SUFFIXES))
+        family.add(spark.createDataFrame([(k, 10 * k, 1, 1), (k, 7, k, 1)], suffix_batches.SUFFIXES))
         sizes.append([n for n, _ in family.levels])
     assert sizes == [[1], [2], [2, 1], [4], [4, 1], [4, 2]]
     assert {(r["head"], r["stretch"]) for r in family.repeated().collect()} == {(7, k) for k in range(6)}
@@ -90,12 +90,29 @@ def test_blocks_of_a_long_text(spark, monkeypatch):
     assert [[s for s in suffix_batches.stretches(b, 40)] for b in data][0][-1][1] == len(data[0]) - 40
     starts = [{p for p in range(len(b) - 39) if sum(c.count(b[p : p + 40]) for c in data) > 1} for b in data]
     for b, s, e in zip(data, starts, expected, strict=True):
-        spans = suffix_batches.spans(b, None, list(s), 40)
+        parts = [{"stretch": suffix_batches.stretch(b, first, last, 40), "low": place - p, "high": place - p} for first, last, place in suffix_batches.stretches(b, 40) for p in range(first, last + 1) if p in s]
+        spans = suffix_batches.spans(b, None, parts, 40)
         assert (len(b), sum(y - x for x, y in spans), len(spans)) == e
         covered = [p for first, last, _ in suffix_batches.stretches(b, 40) for p in range(first, last + 1)]
         assert covered == list(range(len(b) - 39))
 
 
+def test_groups_hold_their_windows():
+    r = random.Random(8)
+    text = bytes(r.choice(b"abcd") for _ in range(2000))
+    for first, last, place in suffix_batches.stretches(text, 400):
+        seen = []
+        for core, hull, low, high in suffix_batches.groups_of(text, first, last, place, 400):
+            g = low // suffix_batches.GROUP
+            assert g == high // suffix_batches.GROUP
+            inside = text[place - g * 16 : place - (g + 1) * 16 + 401]
+            assert len(inside) == 385 and core == suffix_batches._signed(suffix_batches.xxhash.xxh3_64_intdigest(inside, g))
+            assert hull == suffix_batches.xxhash.xxh3_128_digest(text[place - high : place - low + 400], high)
+            assert all(inside in text[place - o : place - o + 400] for o in range(low, high + 1))
+            seen += range(low, high + 1)
+        assert sorted(place - o for o in seen) == list(range(first, last + 1))
+
+
 def test_equal_windows_have_equal_places():
     r = random.Random(2)
     window = bytes(r.choice(b"abcd") for _ in range(400))

@@ -20,6 +20,8 @@ from twinfold.llm.batches import texts_of
 BLOCK = 1 << 20
 #: Texts that a task remembers, to pass over further copies.
 REMEMBERED = 100_000
+#: Windows of a stretch that are compared together first, by what all of them hold and by what any of them holds.
+GROUP = 16
 ROWS = 1 << 16
 _A, _B, _C, _LOW = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xFFFFFFFF)
 _HALF, _KEPT = np.uint64(32), np.uint64(33)
@@ -73,18 +75,30 @@ def stretch(text: bytes, first: int, last: int, length: int) -> int:
 
 
 class _Seen:
-    """How often the keys of late were met."""
+    """How often the texts of late were met."""
 
     def __init__(self):
-        self.keys: OrderedDict[bytes, int] = OrderedDict()
+        self.known: OrderedDict[tuple[int, int], int] = OrderedDict()
 
-    def times(self, key: bytes) -> int:
-        n = self.keys[key] = self.keys.pop(key, 0) + 1
-        if len(self.keys) > REMEMBERED:
-            self.keys.popitem(last=False)
+    def times(self, key: int, text: bytes) -> int:
+        told = (key, hash(text))
+        n = self.known[told] = self.known.pop(told, 0) + 1
+        if len(self.known) > REMEMBERED:
+            self.known.popitem(last=False)
         return n
 
 
+SUFFIXES = "key bigint, head bigint, stretch bigint, n bigint"
+GROUPS = "core bigint, hull binary, key bigint, stretch bigint, only boolean, low bigint, high bigint"
+WINDOWS = "window binary, key bigint, stretch bigint, only boolean, low bigint"
+_KINDS = {"bigint": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+
+def _batch(rows: list[tuple], kind: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in kind.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], _KINDS[t]) for k, t in enumerate(kinds)], list(names))
+
+
 def suffixes(length: int):
     """key, head, stretch, n of (key, text): the sampled suffixes of each text. A text's third copy says nothing new."""
 
@@ -92,59 +106,87 @@ def suffixes(length: int):
         seen, rows = _Seen(), []
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                if len(text) >= length and seen.times(key) <= 2:
+                if len(text) >= length and seen.times(key, text) <= 2:
                     found = Counter((head(text, place, length), stretch(text, first, last, length)) for first, last, place in stretches(text, length))
                     rows += [(key, h, s, n) for (h, s), n in found.items()]
                 if len(rows) >= ROWS:
-                    yield _batch(rows)
+                    yield _batch(rows, SUFFIXES)
                     rows = []
-        yield _batch(rows)
+        yield _batch(rows, SUFFIXES)
 
     return sample
 
 
-SUFFIXES = "key binary, head bigint, stretch bigint, n bigint"
-WINDOWS = "window binary, stretch bigint, key binary, start bigint"
+def groups_of(text: bytes, first: int, last: int, place: int, length: int) -> Iterator[tuple[int, bytes, int, int]]:
+    """(core, hull, low, high) of groups of windows that start low to high bytes before the place.
+
+    Windows are grouped by that distance, GROUP at a time, alike in all stretches. The core is what all windows of a whole group
+    share, so that it lies within each; the hull is what the group's windows in this stretch cover.
+    """
+    for g in range((place - last) // GROUP, (place - first) // GROUP + 1):
+        low, high = max(g * GROUP, place - last), min((g + 1) * GROUP - 1, place - first)
+        core = text[place - g * GROUP : place - (g + 1) * GROUP + 1 + length]
+        hull = text[place - high : place - low + length]
+        yield _signed(xxhash.xxh3_64_intdigest(core, g)), xxhash.xxh3_128_digest(hull, high), low, high
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["key", "head", "stretch", "n"])
+def groups(length: int):
+    """The groups of windows of the stretches asked for: (key, text, asked) with asked: stretch, only (it stands here alone)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, rows = _Seen(), []
+        for batch in batches:
+            for key, text, asked in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                if seen.times(key, text) > 1:
+                    continue
+                wanted = {a["stretch"]: a["only"] for a in asked}
+                for first, last, place in stretches(text, length):
+                    if (s := stretch(text, first, last, length)) in wanted:
+                        rows += [(core, hull, key, s, wanted[s], low, high) for core, hull, low, high in groups_of(text, first, last, place, length)]
+                    if len(rows) >= ROWS:
+                        yield _batch(rows, GROUPS)
+                        rows = []
+        yield _batch(rows, GROUPS)
+
+    return each
 
 
 def windows(length: int):
-    """Every window of the stretches asked for: (key, text, asked) with asked: stretch, and whether it stands here only."""
+    """Every window of the groups asked for: (key, text, asked) with asked: stretch, only, low, high."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, rows = _Seen(), []
         for batch in batches:
             for key, text, asked in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                if seen.times(key) > 1:
+                if seen.times(key, text) > 1:
                     continue
-                wanted = {a["stretch"]: a["only"] for a in asked}
-                for first, last, _ in stretches(text, length):
+                wanted: dict[int, list] = {}
+                for a in asked:
+                    wanted.setdefault(a["stretch"], []).append((a["only"], a["low"], a["high"]))
+                for first, last, place in stretches(text, length):
                     s = stretch(text, first, last, length)
-                    if s in wanted:
-                        owner = key if wanted[s] else None
-                        rows += [(xxhash.xxh3_128_digest(text[p : p + length]), s, owner, p) for p in range(first, last + 1)]
+                    for only, low, high in wanted.pop(s, ()):
+                        rows += [(xxhash.xxh3_128_digest(text[place - o : place - o + length], o), key, s, only, o) for o in range(low, high + 1)]
                     if len(rows) >= ROWS:
-                        yield _window_batch(rows)
+                        yield _batch(rows, WINDOWS)
                         rows = []
-        yield _window_batch(rows)
+        yield _batch(rows, WINDOWS)
 
     return each
 
 
-def _window_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["window", "stretch", "key", "start"])
-
+def spans(text: bytes, whole: list[int] | None, parts: list[dict] | None, length: int) -> list[tuple[int, int]]:
+    """The maximal runs of bytes (start, end) that repeated windows cover.
 
-def spans(text: bytes, whole: list[int] | None, starts: list[int] | None, length: int) -> list[tuple[int, int]]:
-    """The maximal runs of bytes (start, end) that repeated windows cover."""
-    repeated, known = [(p, p) for p in sorted(starts or ())], set(whole or ())
-    if known:
-        repeated += [(first, last) for first, last, _ in stretches(text, length) if stretch(text, first, last, length) in known]
+    ``whole`` are stretches whose windows all repeat, ``parts`` (stretch, low, high) windows by their distance from the place.
+    """
+    known, some = set(whole or ()), {}
+    for p in parts or ():
+        some.setdefault(p["stretch"], []).append((p["low"], p["high"]))
+    repeated = []
+    for first, last, place in stretches(text, length):
+        s = stretch(text, first, last, length)
+        repeated += [(first, last)] if s in known else [(place - high, place - low) for low, high in some.get(s, ())]
     out: list[tuple[int, int]] = []
     for first, last in sorted(repeated):
         if out and first <= out[-1][1]:
@@ -166,10 +208,10 @@ REPORT = "struct<n_bytes:bigint, n_removed:bigint, n_spans:bigint, spans:array<s
 
 
 def report(length: int):
-    def judge(texts: pa.Array, whole: pa.Array, starts: pa.Array) -> pa.Array:
+    def judge(texts: pa.Array, whole: pa.Array, parts: pa.Array) -> pa.Array:
         rows = []
-        for text, w, s in zip(texts_of(texts), whole.to_pylist(), starts.to_pylist(), strict=True):
-            removed = spans(text, w, s, length) if w or s else []
+        for text, w, p in zip(texts_of(texts), whole.to_pylist(), parts.to_pylist(), strict=True):
+            removed = spans(text, w, p, length) if w or p else []
             rows.append({"n_bytes": len(text), "n_removed": sum(e - b for b, e in removed), "n_spans": len(removed), "spans": [{"start": b, "end": e} for b, e in removed], "kept": without(text, removed)})
         one = pa.struct([("start", pa.int64()), ("end", pa.int64())])
         return pa.array(rows, pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(one)), ("kept", pa.binary())]))

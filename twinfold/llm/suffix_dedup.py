@@ -9,10 +9,14 @@ bytes would. A new batch gets its array, which is merge-scanned against every le
 equal size are merged, so that a family of n batches has log2(n) + 1 levels at most and a suffix is rewritten log2(n) times.
 
 A head that the family has once rules all windows of its stretch out. What repeats as a whole stretch repeats in all of its
-windows. What is left are stretches that share a head and differ around it, which happens at the ends of repeated passages:
-of these, one text of each sends all windows as fingerprints of 128 bits, and windows of two stretches are repeated.
-
-Copies: a task passes over a text from its third copy on, as counts matter up to two. Rows are dealt out by fingerprints,
+windows. What is left are stretches that share a head and differ around it, which happens at the ends of repeated passages.
+Their windows are compared in groups of 16 that start next to each other: where what all of a group share stands in no other
+stretch, none of them is repeated; where all that they cover does, all are. The windows of the other groups are compared one
+by one. Of a stretch one text sends its groups and windows, as fingerprints; those that say that something repeats have 128
+bits (a stretch has them together with its head).
+
+Texts are told apart by 64 bits; marks name stretches by what they hold, so that texts that share a number do not share
+marks. A task passes over a text from its third copy on, as counts matter up to two. Rows are dealt out by fingerprints,
 never by source; a head, stretch or window that very many texts share is counted by partial aggregates, and joined with one
 row of the other side, so that adaptive execution can split it. Nothing is collected; a text's marks grow with its length.
 
@@ -73,7 +77,7 @@ class Family:
 
 
 def marks(texts: DataFrame, scratch: Scratch, *, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
-    """key, whole (stretches that repeat), starts (windows that repeat besides) of texts (key, text)."""
+    """key, whole (stretches that repeat), parts (windows of others that repeat: stretch, low, high) of texts (key, text)."""
     suffixes = scratch.save(texts.mapInArrow(suffix_batches.suffixes(length), suffix_batches.SUFFIXES))
     family = Family(scratch)
     for k in range(batches):
@@ -83,26 +87,43 @@ def marks(texts: DataFrame, scratch: Scratch, *, length: int = LENGTH, batches:
     whole = suffixes.join(repeated.filter(F.col("n") > 1).select("head", "stretch"), ["head", "stretch"], "left_semi").groupBy("key").agg(F.collect_set("stretch").alias("whole"))
 
     mixed = repeated.groupBy("head").agg(F.count("*").alias("stretches")).filter(F.col("stretches") > 1).select("head")
-    asked = repeated.join(mixed, "head", "left_semi").groupBy("key").agg(F.collect_list(F.struct("stretch", (F.col("n") == 1).alias("only"))).alias("asked"))
-    windows = scratch.save(texts.join(asked, "key").select("key", "text", "asked").mapInArrow(suffix_batches.windows(length), suffix_batches.WINDOWS))
-    twice = windows.groupBy("window").agg(F.min("stretch").alias("one"), F.max("stretch").alias("other")).filter(F.col("one") < F.col("other")).select("window")
-    starts = windows.filter(F.col("key").isNotNull()).join(twice, "window", "left_semi").groupBy("key").agg(F.collect_set("start").alias("starts"))
-    found = scratch.save(whole.join(starts, "key", "full"))
-    scratch.drop(suffixes, repeated, windows)
+    asked = repeated.join(mixed, "head", "left_semi").select("key", "stretch", (F.col("n") == 1).alias("only"))
+    groups = scratch.save(_asked(texts, asked, ["stretch", "only"]).mapInArrow(suffix_batches.groups(length), suffix_batches.GROUPS))
+    cores, hulls = _of_several(groups, "core"), _of_several(groups, "hull").withColumn("all_repeat", F.lit(True))
+    near = scratch.save(groups.join(cores, "core", "left_semi").join(hulls, "hull", "left").drop("hull"))
+    done = near.filter("only and all_repeat").select("key", "stretch", "low", "high")
+
+    open_cores = near.filter("only and all_repeat is null").select("core").distinct()
+    left = near.join(open_cores, "core", "left_semi").drop("core")
+    windows = scratch.save(_asked(texts, left, ["stretch", "only", "low", "high"]).mapInArrow(suffix_batches.windows(length), suffix_batches.WINDOWS))
+    single = windows.filter("only").join(_of_several(windows, "window"), "window", "left_semi").select("key", "stretch", "low", F.col("low").alias("high"))
+    parts = done.unionByName(single).distinct().groupBy("key").agg(F.collect_list(F.struct("stretch", "low", "high")).alias("parts"))
+    found = scratch.save(whole.join(parts, "key", "full"))
+    scratch.drop(suffixes, repeated, groups, near, windows)
     return found
 
 
+def _asked(texts: DataFrame, rows: DataFrame, names: list[str]) -> DataFrame:
+    """key, text, asked: the texts that rows (key and the names) ask something of. A text's rows follow from its length."""
+    return texts.join(rows.groupBy("key").agg(F.collect_list(F.struct(*names)).alias("asked")), "key").select("key", "text", "asked")
+
+
+def _of_several(rows: DataFrame, what: str) -> DataFrame:
+    """What stands in two stretches or more."""
+    return rows.groupBy(what).agg(F.min("stretch").alias("one"), F.max("stretch").alias("other")).filter(F.col("one") < F.col("other")).select(what)
+
+
 def annotate(docs: DataFrame, into: str, *, text_col: str = "text", **options) -> DataFrame:
     """The documents with a struct ``into``: n_bytes, n_removed, n_spans, spans (start, end in bytes) and kept (bytes)."""
     small_batches(docs.sparkSession)
     scratch, key = Scratch(docs.sparkSession, "suffixes"), free_name(docs, "key")
     text = F.coalesce(col(text_col).cast("string"), F.lit("")).cast("binary")
-    digest = F.unhex(F.md5(text))
+    digest = F.xxhash64(text)
     found = marks(docs.select(digest.alias("key"), text.alias("text")), scratch, **options)
-    whole, starts = free_name(docs, "whole"), free_name(docs, "starts")
-    found = found.select(F.col("key").alias(key + "_of"), F.col("whole").alias(whole), F.col("starts").alias(starts))
-    marked = docs.withColumn(key, digest).join(found, col(key) == col(key + "_of"), "left")
-    report = F.arrow_udf(suffix_batches.report(options.get("length", LENGTH)), suffix_batches.REPORT)(text, col(whole), col(starts))
+    whole, parts, of = (free_name(docs, x) for x in ("whole", "parts", "key_of"))
+    found = found.select(F.col("key").alias(of), F.col("whole").alias(whole), F.col("parts").alias(parts))
+    marked = docs.withColumn(key, digest).join(found, col(key) == col(of), "left")
+    report = F.arrow_udf(suffix_batches.report(options.get("length", LENGTH)), suffix_batches.REPORT)(text, col(whole), col(parts))
     return marked.withColumn(into, report).select(*[col(c) for c in docs.columns if c != into], col(into))
 
 
