@@ -99,10 +99,10 @@ def dedup(docs: DataFrame, *, text_col: str = "text", site_col: str = "source",
         places = scratch.save(placed.join(gone, "key", "left_semi").groupBy(own).agg(F.collect_set("at").alias("places")))
         scratch.drop_but(places)
         sums = places.agg(F.count("*").alias("texts"), F.coalesce(F.sum(F.size("places")), F.lit(0)).alias("places")).first()
-        named = [f"{own}_{k}" for k in ("a", "b", "n")]
-        found = places.select(*[col(own)[k].alias(f"{own}_{k}") for k in ("a", "b", "n")], F.col("places").alias(seen))
+        named = {k: free_name(docs, f"row_{k}") for k in ("a", "b", "n")}
+        found = places.select(*[col(own)[k].alias(name) for k, name in named.items()], F.col("places").alias(seen))
         found = F.broadcast(found) if sums["texts"] <= BROADCAST_TEXTS and sums["places"] <= BROADCAST_PLACES else found
-        joined = docs.withColumns({f"{own}_{k}": row(text)[k] for k in ("a", "b", "n")}).join(found, named, "left")
+        joined = docs.withColumns({name: row(text)[k] for k, name in named.items()}).join(found, list(named.values()), "left")
         n_left = F.size(lines_of(text)) - F.coalesce(F.size(col(seen)), F.lit(0))
         cleaned = F.when(col(seen).isNull(), text).otherwise(without(lines_of(text), col(seen)))
     if report is not None:

@@ -66,14 +66,14 @@ def mix(docs: DataFrame, *, source_col: str = "source", text_col: str = "text",
     """Copies of the documents with columns copy_no (from 1) and mix_key, in the order of mix_key within partitions."""
     docs = docs.drop("copy_no", "mix_key")
     by_source = rates(docs, source_col=source_col, text_col=text_col, weights=weights, temperature=temperature, size=size, scratch=Scratch(docs.sparkSession, "mixing"))
-    source, rate, salt, count = (free_name(docs, x) for x in ("source", "rate", "salt", "count"))
+    source, rate, salt, other, count = (free_name(docs, x) for x in ("source", "rate", "salt", "salt_of", "count"))
     by_source = by_source.select(F.col("source").alias(source), F.col("rate").alias(rate))
     same = lambda: col(source_col).cast("string").eqNullSafe(col(source))
     if by_source.count() <= BROADCAST_SOURCES:
         rated = docs.join(F.broadcast(by_source), same(), "inner")
     else:
         dealt = docs.withColumn(salt, F.pmod(F.xxhash64(col(id_col), col(text_col)), F.lit(SALTS)))
-        rated = dealt.join(by_source.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))).withColumnRenamed(salt, salt + "_"), same() & (col(salt) == col(salt + "_")), "inner").drop(salt, salt + "_")
+        rated = dealt.join(by_source.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))).withColumnRenamed(salt, other), same() & (col(salt) == col(other)), "inner").drop(salt, other)
     counted = rated.withColumn(count, poisson(col(rate), uniform(seed, col(id_col), col(text_col).cast("string")))).filter(col(count) > 0).drop(source, rate)
     copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), col(count)))).drop(count)
     text_hash = F.md5(F.coalesce(col(text_col).cast("string"), F.lit("")).cast("binary"))

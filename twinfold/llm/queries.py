@@ -211,10 +211,11 @@ def _level(name: str, source: str, by: str, prior: str) -> str:
 
 ORACLES["op7_url_filter"] = f"""
 WITH parts AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
+), own AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@|:[0-9]*$', '', 'g'), '(.)\\.$', '\\1') AS whose FROM parts
 ), labelled AS (SELECT doc_id, max(quality) AS q, max(toxic) AS t FROM labels GROUP BY doc_id
-), outcomes AS (SELECT host, (q = 1 AND t = 0)::INT AS good FROM parts JOIN labelled ON page_id = doc_id WHERE host <> ''
-), seen AS (SELECT DISTINCT host, coalesce(regexp_extract(host, '(?:^|\\.)({"|".join(s.replace(".", "\\.") for s in sorted(url_filter.SUFFIXES, key=len, reverse=True))})$', 1), '') AS known FROM parts WHERE host <> ''
-), suffixed AS (SELECT *, CASE WHEN known <> '' THEN known ELSE regexp_extract(host, '[^.]*$') END AS suffix FROM seen
+), outcomes AS (SELECT whose AS host, (q = 1 AND t = 0)::INT AS good FROM own JOIN labelled ON page_id = doc_id WHERE whose <> ''
+), seen AS (SELECT DISTINCT whose AS host, coalesce(regexp_extract(whose, '(?:^|\\.)({"|".join(s.replace(".", "\\.") for s in sorted(url_filter.SUFFIXES, key=len, reverse=True))})$', 1), '') AS known FROM own WHERE whose <> ''
+), suffixed AS (SELECT *, CASE WHEN regexp_matches(host, '^([0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+|\\[.*\\])$') THEN host WHEN known <> '' THEN known ELSE regexp_extract(host, '[^.]*$') END AS suffix FROM seen
 ), named AS (SELECT *, CASE WHEN host = suffix THEN host ELSE regexp_extract(substr(host, 1, length(host) - length(suffix) - 1), '[^.]*$') || '.' || suffix END AS domain FROM suffixed
 ), counts AS (SELECT host, count(*)::DOUBLE AS n, sum(good)::DOUBLE AS good FROM outcomes WHERE good IS NOT NULL GROUP BY host
 ), domained AS (SELECT * FROM named JOIN counts USING (host)
@@ -237,7 +238,7 @@ WITH parts AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '^(?s
 ), rules(v, rule, name, start) AS (VALUES {_rule_rows()}
 ), fits AS (SELECT page_id, url, max_by(v, length(rule)) AS v, max_by(rule, length(rule)) AS rule FROM parts JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY page_id, url
 )
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM parts LEFT JOIN fits USING (page_id, url)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN whose IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM own LEFT JOIN fits USING (page_id, url)
 """
 
 

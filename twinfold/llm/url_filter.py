@@ -77,11 +77,21 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _AFTER, 2), F.lit(""))
 
 
+#: Addresses by number: four parts, or one in brackets.
+_ADDRESS = r"^(?:[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|\[.*\])$"
+
+
+def reputation_host(host: Column) -> Column:
+    """What a reputation belongs to: the host without user and port, and without a dot at its end."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@|:[0-9]*$", ""), r"(?<=.)\.$", "")
+
+
 def suffix_of(host: Column, suffixes=SUFFIXES) -> Column:
-    known = F.lit(None)
-    for s in sorted(suffixes, key=len):
-        known = F.when((host == s) | host.endswith("." + s), F.lit(s)).otherwise(known)
-    return F.coalesce(known, F.substring_index(host, ".", -1))
+    """The longest known suffix, else the last label; an address is its own."""
+    labels = F.split(host, r"\.")
+    tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    known = F.get(F.filter(tails, lambda t: t.isin(sorted(suffixes))), F.lit(0))
+    return F.when(host.rlike(_ADDRESS), host).otherwise(F.coalesce(known, F.substring_index(host, ".", -1)))
 
 
 def domain_of(host: Column, suffix: Column) -> Column:
@@ -171,17 +181,17 @@ def bounds(hosts: DataFrame, outcomes: DataFrame, suffixes=SUFFIXES) -> DataFram
 def judge(pages: DataFrame, outcomes: DataFrame, *, url_col: str = "url", rules=RULES, suffixes=SUFFIXES, least: float = LEAST) -> DataFrame:
     """The pages with columns host, path, rule and verdict. ``outcomes``: url, good (0 or 1)."""
     pages = pages.drop("host", "path", "rule", "verdict")
-    rule, host, upper, salt = (free_name(pages, x) for x in ("rule", "host", "upper", "salt"))
+    rule, host, upper, salt, other, whose = (free_name(pages, x) for x in ("rule", "host", "upper", "salt", "salt_of", "whose"))
     url = col(url_col).cast("string")
-    seen = pages.select(host_of(url).alias("host")).distinct()
-    known = bounds(seen, outcomes.select(host_of(F.col("url")).alias("host"), F.col("good").cast("int").alias("good")), suffixes).filter(F.col("upper") < least).select(F.col("host").alias(host), F.col("upper").alias(upper))
+    seen = pages.select(reputation_host(host_of(url)).alias("host")).distinct()
+    known = bounds(seen, outcomes.select(reputation_host(host_of(F.col("url"))).alias("host"), F.col("good").cast("int").alias("good")), suffixes).filter(F.col("upper") < least).select(F.col("host").alias(host), F.col("upper").alias(upper))
     known = Scratch(pages.sparkSession, "url-filter").save(known)
-    pages = pages.withColumn("host", host_of(url)).withColumn("path", path_of(url))
+    pages = pages.withColumn("host", host_of(url)).withColumn("path", path_of(url)).withColumn(whose, reputation_host(F.col("host")))
     if known.count() <= BROADCAST_HOSTS:
-        pages = pages.join(F.broadcast(known), col("host") == col(host), "left")
+        pages = pages.join(F.broadcast(known), col(whose) == col(host), "left")
     else:
         dealt = known.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-        pages = pages.withColumn(salt + "_", F.pmod(F.xxhash64(url), F.lit(SALTS))).join(dealt, (col("host") == col(host)) & (col(salt) == col(salt + "_")), "left").drop(salt, salt + "_")
+        pages = pages.withColumn(other, F.pmod(F.xxhash64(url), F.lit(SALTS))).join(dealt, (col(whose) == col(host)) & (col(salt) == col(other)), "left").drop(salt, other)
     pages = pages.withColumn(rule, rule_for(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(col(rule)["verdict"], F.when(col(upper).isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
-    return pages.withColumn("rule", col(rule)["rule"]).withColumn("verdict", verdict).drop(rule, host, upper)
+    return pages.withColumn("rule", col(rule)["rule"]).withColumn("verdict", verdict).drop(rule, host, upper, whose)
