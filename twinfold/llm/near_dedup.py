@@ -114,10 +114,11 @@ class Search:
     def hopeful(self, shared: DataFrame) -> DataFrame:
         """bucket, node, n, own, size: the entries that some other node of the bucket may be similar to; size is the bucket's."""
         start = self.scratch.count
-        elements = self.texts.select(F.xxhash64("node").alias("of"), F.explode(F.arrow_udf(sketch_batches.elements, "array<bigint>")("text")).alias("element"))
-        alone = elements.groupBy("element").agg(F.count("*").alias("n"), F.min("of").alias("of")).filter("n = 1")
-        own = self.scratch.save(alone.groupBy("of").agg(F.count("*").alias("own")))
-        sized = shared.withColumn("of", F.xxhash64("node")).join(own, "of", "left").select("bucket", "node", "n", F.coalesce("own", F.lit(0)).alias("own"))
+        # a node by two hashes, which can be told apart where one of them could not, and fit aggregates of whole numbers
+        elements = self.texts.select(F.xxhash64("node").alias("of"), F.xxhash64("node", F.lit(1)).alias("and_of"), F.explode(F.arrow_udf(sketch_batches.elements, "array<bigint>")("text")).alias("element"))
+        alone = elements.groupBy("element").agg(F.count("*").alias("n"), F.min("of").alias("of"), F.min("and_of").alias("and_of")).filter("n = 1")
+        own = self.scratch.save(alone.groupBy("of", "and_of").agg(F.count("*").alias("own")))
+        sized = shared.withColumn("of", F.xxhash64("node")).withColumn("and_of", F.xxhash64("node", F.lit(1))).join(own, ["of", "and_of"], "left").select("bucket", "node", "n", F.coalesce("own", F.lit(0)).alias("own"))
         left = self.scratch.save(sized.filter("5 * own <= n"))  # else not even a subset of 4/5 is left
         least = self.scratch.save(left.groupBy("bucket").agg(F.min("n").alias("least"), F.count("*").alias("size")).filter("size > 1"))
         hopeful = self.scratch.save(left.join(least, "bucket").filter("9 * (n - own) >= 4 * (n + least)").select("bucket", "node", "n", "own", "size"))

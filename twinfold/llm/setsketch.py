@@ -30,9 +30,7 @@ PIECE = 1 << 16
 SLICE = 1 << 14
 
 _U = np.uint64
-_rng = np.random.default_rng(20)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
-_STEP = _U(0x9E3779B97F4A7C15)
+_STEP, _PLACE = _U(0x9E3779B97F4A7C15), _U(0xD1B54A32D192ED03)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(b" \t\n\r\x0b\x0c")] = True
 
@@ -44,17 +42,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, _U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_BASE_WORD = 0x5851F42D4C957F2D
-_UP = _powers(_BASE_WORD, PIECE + 1)
-_DOWN = _powers(pow(_BASE_WORD, -1, 1 << 64), PIECE + 1)
-
-
 def _word_hashes(piece: bytes, with_starts: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
     if len(piece) > PIECE:  # words that are longer than a piece
         return np.concatenate([np.frombuffer(hashlib.blake2b(w, digest_size=8).digest(), _U) for w in piece.split()] or [np.empty(0, _U)])
@@ -63,9 +50,14 @@ def _word_hashes(piece: bytes, with_starts: bool = False) -> np.ndarray | tuple[
     inside[1:-1] = ~_IS_SPACE[codes]
     edges = np.diff(inside)
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    # each byte counts by a mix of itself and its place in the word, which no structure of words can cancel as it can powers
+    at = np.arange(len(codes), dtype=_U)
+    first = np.zeros(len(codes), _U)
+    first[starts] = at[starts]
+    np.maximum.accumulate(first, out=first)
     sums = np.zeros(len(codes) + 1, _U)
-    np.cumsum(_BYTE[codes] * _UP[: len(codes)], out=sums[1:])
-    words = mixed((sums[ends] - sums[starts]) * _DOWN[starts] + (ends - starts).astype(_U))
+    np.cumsum(mixed((((at - first) << _U(8)) | codes) * _STEP + _PLACE), out=sums[1:])
+    words = mixed(sums[ends] - sums[starts] + (ends - starts).astype(_U) * _STEP)
     return (words, starts) if with_starts else words
 
 

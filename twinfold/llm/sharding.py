@@ -32,6 +32,8 @@ MOST_RANGES = 1 << 16
 #: Keys drawn for each range that is wanted.
 DRAWN = 8
 OVERFULL = 3.0
+#: Bytes of a key: hashes of text and id, and the id's place between them.
+KEY = "S64"
 _LOWEST = -(1 << 63)
 
 
@@ -40,10 +42,11 @@ def size_of(text: Column) -> Column:
 
 
 def key_of(text: Column, record_id: Column) -> Column:
-    """A string that sorts by text hash, then id: by number where it is one, else by hash."""
+    """A string that sorts by text hash, then id: by number where it is one, then by hash, so that no two ids have one key."""
     place = F.lpad(F.hex(record_id.try_cast("long").bitwiseXOR(F.lit(_LOWEST))), 16, "0")
     named = F.coalesce(place, F.substring(F.md5(record_id.cast("string").cast("binary")), 1, 16))
-    return F.concat(F.md5(F.coalesce(text, F.lit("")).cast("binary")), F.coalesce(named, F.lit("")))
+    told = F.substring(F.md5(record_id.cast("string").cast("binary")), 1, 16)
+    return F.concat(F.md5(F.coalesce(text, F.lit("")).cast("binary")), F.coalesce(named, F.lit("")), F.coalesce(told, F.lit("")))
 
 
 def draw(keys: DataFrame, n: int) -> list[str]:
@@ -59,12 +62,12 @@ def quantiles(keys: list[str], parts: int) -> list[str]:
 
 def in_range(key: Column, splitters: list[str], spark) -> Column:
     """The number of splitters at or below the key."""
-    sent = spark.sparkContext.broadcast(np.array(splitters, dtype="S48"))
+    sent = spark.sparkContext.broadcast(np.array(splitters, dtype=KEY))
 
     def find(keys: pa.Array) -> pa.Array:
         if not len(sent.value):
             return pa.array(np.zeros(len(keys), np.int32))
-        return pa.array(np.searchsorted(sent.value, np.array(keys.to_pylist(), dtype="S48"), side="right").astype(np.int32))
+        return pa.array(np.searchsorted(sent.value, np.array(keys.to_pylist(), dtype=KEY), side="right").astype(np.int32))
 
     return F.arrow_udf(find, "int")(key)
 
