@@ -1,4 +1,5 @@
 import contextlib
+import hashlib
 import io
 import pathlib
 import sys
@@ -309,3 +310,47 @@ def test_partitions_by_size(tmp_path):
     assert sum(len(p.folders) for p in packs) == 4 and sum(len(p.paths) for p in packs) == 1
     assert sorted(x for p in packs for b in reader.read(p) for x in b.column("source_archive").to_pylist()) == sorted(str(tmp_path / f"d{k}" / "a.zip") for k in range(5))
     assert len(archives.ArchiveReader({"path": str(tmp_path), "partitionbytes": "1"}).partitions()) == 5
+
+
+def ar_of(members, long_names=b""):
+    out = b"!<arch>\n"
+    if long_names:
+        out += b"%-16s%-32s%-10d`\n" % (b"//", b"0", len(long_names)) + long_names + b"\n" * (len(long_names) % 2)
+    for name, content in members:
+        out += b"%-16s%-12s%-6s%-6s%-8s%-10d`\n" % (name, b"0", b"0", b"0", b"100644", len(content)) + content + b"\n" * (len(content) % 2)
+    return out
+
+
+def cpio_of(members):
+    out = b""
+    for k, (name, mode, content) in enumerate([*members, ("TRAILER!!!", 0, b"")]):
+        raw = name.encode() + b"\0"
+        head = b"070701" + b"".join(b"%08X" % n for n in (k, mode, 0, 0, 1, 0, len(content), 0, 0, 0, 0, len(raw), 0))
+        out += head + raw
+        out += b"\0" * (-len(out) % 4) + content
+        out += b"\0" * (-len(out) % 4)
+    return out
+
+
+def test_ar_deb_and_cpio():
+    deb = ar_of([(b"debian-binary", b"2.0\n"), (b"control.tar.gz/", tar_of({"control": b"c"})), (b"data.tar.zst/", tar_zst_of({"usr/bin/x": b"x" * 999}))])
+    assert paths(rows("p.deb", deb)) == ["debian-binary", "control.tar.gz", "control.tar.gz/control", "data.tar.zst", "data.tar.zst/usr/bin/x"]
+    data = bytes(range(256))
+    found = rows("lib.ar", ar_of([(b"/", b"symbols"), (b"/0", data), (b"#1/8", b"bsd.o\0\0\0" + b"odd"), (b"e/", b"")], b"a-very-long-name-of-an-object.o/\n"))
+    assert [(r["path_in_archive"], r["size"]) for r in found] == [("a-very-long-name-of-an-object.o", 256), ("bsd.o", 3), ("e", 0)]
+    assert found[0]["full_hash"] == xxhash.xxh3_64_hexdigest(data)
+    found = rows("c.cpio", cpio_of([("d", 0o040755, b""), ("d/one", 0o100644, b"1" * 5), ("link", 0o120777, b"d/one"), ("d/in.zip", 0o100644, zip_of({"z": b"z"}))]))
+    assert [(r["path_in_archive"], r["size"]) for r in found if r["path_in_archive"] != "d/in.zip"] == [("d/one", 5), ("d/in.zip/z", 1)]
+    for name, broken in (("x.deb", deb[:100]), ("x.deb", b"!<arch>\nno header"), ("x.deb", b"PK"), ("x.cpio", b"070701"), ("x.cpio", b""), ("x.ar", ar_of([(b"a", b"b" * 50)])[:-20])):
+        assert any(r["error"] for r in rows(name, broken)), (name, broken)
+    assert rows("x.ar", ar_of([])) == [] and rows("x.cpio", cpio_of([])) == []
+
+
+def test_hashes_by_spark(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.bin").write_bytes(b"a" * 100)
+    (tmp_path / "sub" / "b.bin").write_bytes(b"b")
+    whole = {r["name"]: r["hash"] for r in listing.hashes_with_spark(spark, [str(tmp_path)]).collect()}
+    assert whole == {"a.bin": xxhash.xxh3_64_hexdigest(b"a" * 100), "b.bin": xxhash.xxh3_64_hexdigest(b"b")}
+    (row,) = listing.hashes_with_spark(spark, [str(tmp_path)], 2, prefix=3, hash_name="md5").collect()
+    assert (row["name"], row["size"], row["hash"]) == ("a.bin", 100, hashlib.md5(b"aaa").hexdigest())

@@ -1,7 +1,7 @@
 """Members of archives as rows of hashes; contents never leave the task that unpacks them.
 
-Formats: zip and its kin, tar with gzip, bzip2, xz or zstd, self-extracting and carved zips; 7z, rar and what libarchive
-reads where those libraries are installed. Input is never executed. Nested archives give a row of their own, then their members
+Formats: zip and its kin, tar with gzip, bzip2, xz or zstd, ar (so deb packages, with the tars in them), cpio, self-extracting
+and carved zips; 7z, rar and what else libarchive reads where those libraries are installed. Input is never executed. Nested archives give a row of their own, then their members
 under ``outer/inner``, down to the depth of the configuration. A broken archive gives one row with an error, and so does one
 beyond a limit of bytes, so that it counts as unread instead of half read.
 """
@@ -87,6 +87,73 @@ def _rar(file: BinaryIO, most: int | None) -> Iterator[Member]:  # noqa: ARG001
                 yield info.filename, lambda info=info: r.open(info)
 
 
+class _Part(io.RawIOBase):
+    """Bytes of a file from an offset on, so many of them."""
+
+    def __init__(self, file: BinaryIO, offset: int, size: int):
+        self.file, self.at, self.end = file, offset, offset + size
+
+    def readable(self):
+        return True
+
+    def readinto(self, out):
+        self.file.seek(self.at)
+        got = self.file.read(min(len(out), self.end - self.at))
+        if not got and self.at < self.end:
+            raise ArchiveError("cut short")
+        out[: len(got)] = got
+        self.at += len(got)
+        return len(got)
+
+
+#: How ar and cpio archives begin, and the name of the last cpio entry.
+_AR, _CPIO, _CPIO_END = b"!<arch>\n", (b"070701", b"070702"), "TRAILER!!!"
+
+
+def _ar(file: BinaryIO, most: int | None) -> Iterator[Member]:  # noqa: ARG001
+    """Entries have a header of 60 bytes and begin at even offsets; long names are in an entry ``//``, or before the content."""
+    if file.read(len(_AR)) != _AR:
+        raise ArchiveError("no ar archive")
+    at, long_names = len(_AR), b""
+    while True:
+        file.seek(at)
+        header = file.read(60)
+        if not header:
+            return
+        if len(header) < 60 or header[58:] != b"`\n":
+            raise ArchiveError("broken entry")
+        name, size, start = header[:16].rstrip(b" "), int(header[48:58]), at + 60
+        at = start + size + size % 2
+        if name == b"//":
+            long_names = file.read(size)
+        elif name not in (b"/", b"/SYM64/"):
+            if name.startswith(b"/"):
+                name = long_names[int(name[1:]) :].partition(b"\n")[0]
+            elif name.startswith(b"#1/"):
+                n = int(name[3:])
+                name, start, size = file.read(n).rstrip(b"\0"), start + n, size - n
+            yield name.removesuffix(b"/").decode("utf-8", "replace"), lambda start=start, size=size: io.BufferedReader(_Part(file, start, size))
+
+
+def _cpio(file: BinaryIO, most: int | None) -> Iterator[Member]:  # noqa: ARG001
+    """Entries of the portable format: 13 hexadecimal numbers, the name, the content, each from a multiple of four on."""
+    at = 0
+    while True:
+        file.seek(at)
+        header = file.read(110)
+        if header[:6] not in _CPIO or len(header) < 110:
+            raise ArchiveError("no portable cpio archive")
+        numbers = [int(header[k : k + 8], 16) for k in range(6, 110, 8)]
+        mode, size, length = numbers[1], numbers[6], numbers[11]
+        name = file.read(length).rstrip(b"\0").decode("utf-8", "replace")
+        if name == _CPIO_END:
+            return
+        start = -(-(at + 110 + length) // 4) * 4
+        at = -(-(start + size) // 4) * 4
+        if mode & 0o170000 == 0o100000:
+            yield name, lambda start=start, size=size: io.BufferedReader(_Part(file, start, size))
+
+
 def _libarchive(file: BinaryIO, most: int | None) -> Iterator[Member]:  # noqa: ARG001
     libarchive = importlib.import_module("libarchive")
     with libarchive.stream_reader(file) as entries:
@@ -215,7 +282,7 @@ def _carved(file: BinaryIO, most: int | None) -> Iterator[Member]:
 Reader = Callable[[BinaryIO, int | None], Iterator[Member]]
 
 #: Readers to try, in order; libarchive comes last for all.
-_READERS = {"zip": (_zip,), "7z": (_seven,), "rar": (_rar,), "tar": (_tar,), "program": (_zip, _seven), "image that runs": (_carved,)}
+_READERS = {"zip": (_zip,), "7z": (_seven,), "rar": (_rar,), "tar": (_tar,), "program": (_zip, _seven), "image that runs": (_carved,), "package": (_ar,), "other": (_cpio,)}
 
 
 def readers_for(name: str) -> tuple[Reader, ...]:
