@@ -441,6 +441,49 @@ def member_unnest_tar_zst(spark, sf_dir):
     return _members_of_packed(spark, sf_dir, "tar.zst")
 
 
+_NAMED = f"source || '-' || doc_id // {packing.IN_ONE}"
+
+
+@query(f"SELECT {_NAMED} || '.appimage' AS source_archive, {_NAMED} || '.appimage/inner.appimage/' || doc_id || '.txt' AS path_in_archive, size::BIGINT AS size, h AS full_hash FROM {{fps}}")
+def members_of_images(spark, sf_dir):
+    """Images that run: what is embedded in them is found behind decoys, and in images inside them."""
+    found = _members_of_packed(spark, sf_dir, "appimage")
+    return found.filter("depth = 1").select("source_archive", "path_in_archive", "size", "full_hash")
+
+
+@query(f"""SELECT {_NAMED} || '.deb' AS source_archive, 'data.tar.zst/inner.deb/data.tar.zst/' || doc_id || '.txt' AS path_in_archive, size::BIGINT AS size, h AS full_hash, 3::BIGINT AS depth FROM {{fps}}
+UNION ALL SELECT DISTINCT {_NAMED} || '.deb', v, 4, md5('2.0' || chr(10)), d FROM {{fps}}, (VALUES ('debian-binary', 0::BIGINT), ('data.tar.zst/inner.deb/debian-binary', 2::BIGINT)) x(v, d)""")
+def members_of_packages(spark, sf_dir):
+    """Packages in packages: archives by ar, whose data is a tar under zstd."""
+    found = _members_of_packed(spark, sf_dir, "deb")
+    return found.filter("not is_nested_archive").select("source_archive", "path_in_archive", "size", "full_hash", "depth")
+
+
+@query(f"SELECT {_NAMED} || '.zip' AS source_archive, 'inner.zip/' || doc_id || '.txt' AS path_in_archive, size::BIGINT AS size FROM {{fps}} WHERE size >= 500")
+def members_of_min_size(spark, sf_dir):
+    """The least size counts after unpacking, so that large members of small archives stay."""
+    found = archives.members(packing.packed(table(spark, sf_dir, "documents")), Hashing("md5", THRESHOLD, PREFIX))
+    return archives.good_members(found, 500).filter("depth = 1").select("source_archive", "path_in_archive", "size")
+
+
+@query(f"SELECT DISTINCT {_NAMED} || '.zip' AS source_archive, '' AS path_in_archive FROM {{fps}} WHERE CAST(substr(source, 4) AS INT) % 3 = 0")
+def unread_archives(spark, sf_dir):
+    """Archives of every third source come cut short, and are told as unread."""
+    packs = packing.packed(table(spark, sf_dir, "documents"))
+    broken = F.regexp_extract("path", r"^src([0-9]+)-", 1).cast("int") % 3 == 0
+    cut = packs.withColumn("content", F.when(broken, F.substring("content", F.lit(1), (F.octet_length("content") / 2).cast("int"))).otherwise(F.col("content")))
+    return archives.members(cut, Hashing("md5", THRESHOLD, PREFIX)).filter("error is not null").select("source_archive", "path_in_archive")
+
+
+@query("SELECT path_in_archive, size, full_hash FROM {files} WHERE source_archive = 'src3' ORDER BY path_in_archive")
+def store_files_by_archive(spark, sf_dir):
+    """A store's rows of one archive, for which one bucket of the base is read."""
+    kept = store.Store(spark, shared.folder(spark, "store"))
+    kept.add_files(files_of(fingerprints(spark, sf_dir)))
+    kept.compact("files")
+    return kept.files_by_archive("src3").select("path_in_archive", "size", "full_hash")
+
+
 @query("SELECT path, size, quick_hash FROM {targets} t WHERE full_hash IS NULL AND EXISTS (SELECT 1 FROM {files} f WHERE f.quick_hash = t.quick_hash)")
 def quick_hash_candidates_prefiltered(spark, sf_dir):
     """The candidates of the first phase, the files' side thinned by a bitmap of the targets' prefix hashes."""

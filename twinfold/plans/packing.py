@@ -33,8 +33,19 @@ def _tar_zst(names: list[str], contents: list[bytes]) -> bytes:
     return out.getvalue().to_pybytes()
 
 
+def _image(names: list[str], contents: list[bytes]) -> bytes:
+    """A zip behind a program that names magic numbers of other formats."""
+    return b"\x7fELF" + bytes(200) + b"looks for hsqs, sqsh, CD001 or PK\x03\x04" + bytes(300) + _zip(names, contents)
+
+
+def _deb(names: list[str], contents: list[bytes]) -> bytes:
+    """A package: its version, and the files in a tar under zstd."""
+    parts = (("debian-binary", b"2.0\n"), ("data.tar.zst", _tar_zst(names, contents)))
+    return b"!<arch>\n" + b"".join(b"%-16s%-12s%-6s%-6s%-8s%-10d`\n" % (n.encode(), b"0", b"0", b"0", b"100644", len(c)) + c + b"\n" * (len(c) % 2) for n, c in parts)
+
+
 #: How archives are made, by the ending of their names.
-MAKERS = {"zip": _zip, "tar.zst": _tar_zst}
+MAKERS = {"zip": _zip, "tar.zst": _tar_zst, "appimage": _image, "deb": _deb}
 
 
 def packed(docs: DataFrame, kind: str = "zip") -> DataFrame:
