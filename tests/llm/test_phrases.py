@@ -68,6 +68,8 @@ def test_tiny_bounds_change_nothing(spark, texts, monkeypatch):
     assert found(phrases.collocations(df, least=10, top=50)) == expected
     # a table of 2 ** 15 bits at most, in which bits of many paths fall together
     assert found(phrases.collocations(df, least=10, top=50, filter_bits=15)) == expected
+    # words by their ids instead of their places
+    assert found(phrases.collocations(df, least=10, top=50, filter_bits=15, most_coded=0)) == expected
 
 
 def test_tasks_hand_on_what_grows(monkeypatch):
@@ -82,13 +84,28 @@ def test_tasks_hand_on_what_grows(monkeypatch):
             words[row["word"]] += row["n"]
     assert words == Counter(w for t in texts for w in t.split())
     full = np.full(1 << 12, 255, np.uint8)
-    for b in phrase_batches.count_paths(3, lambda: full, 0)(iter(batches)):
+    monkeypatch.setattr(phrase_batches, "LINE", 16)
+    lines = list(phrase_batches.lines(lambda: full, False, 0)(iter(batches)))
+    assert sum(map(len, lines)) > len(batches)
+    for b in phrase_batches.count_paths(3, lambda: full, False)(iter(lines)):
         for row in b.to_pylist():
             paths[row["w1"], row["w2"], row["w3"]] += row["n"]
     number = {w: phrase_batches.word_id("x", w.encode(), 0) for w in words}
     assert paths == Counter(tuple(number[w] for w in t.split()[s : s + 3]) for t in texts for s in range(28))
 
 
+def test_lines_keep_runs_of_frequent_words():
+    table = np.zeros(1 << 12, np.uint8)
+    for n in (5, -7):
+        at = int(phrase_batches.node([np.array([n], np.int64)])[0]) >> (64 - 15)
+        table[at >> 3] |= 1 << (at & 7)
+    ids, none = np.array([0, 9, 5, -7, 0, 0, 11, 12, 5, 0], np.int64), np.empty(0, np.int64)
+    assert phrase_batches.squeezed(phrase_batches.frequent(ids, table)).tolist() == [0, 5, -7, 0, 5, 0]
+    assert phrase_batches.squeezed(phrase_batches.codes(ids, np.array([-7, 5]))).tolist() == [0, 2, 1, 0, 2, 0]
+    assert len(phrase_batches.squeezed(phrase_batches.frequent(none, table))) == len(phrase_batches.codes(none, none)) == 0
+    assert phrase_batches.codes(ids, none).tolist() == [0] * 10
+
+
 def test_words_that_share_a_number_are_numbered_anew(spark):
     def clashing(words, langs, seed):
         return phrase_batches.ids(words, langs, seed) if seed else pa.array([1] * len(words), pa.int64())

@@ -20,6 +20,8 @@ _FOLDED = bytes(c + 32 if 65 <= c <= 90 else 255 if c in _ENDS else 32 if c in _
 #: Paths, or words, that a task holds before it hands some on; positions that it sorts at once.
 MOST_HELD, MOST_SORTED = 400_000, 1_000_000
 ROWS = 1 << 16
+#: Ids of one row of a line, so that rows stay small for readers that hold thousands.
+LINE = 1024
 _MIX, _FOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 
 
@@ -126,11 +128,15 @@ def names(depth: int) -> list[str]:
     return [f"w{k + 1}" for k in range(depth)]
 
 
-def count_paths(depth: int, table: Callable[[], np.ndarray], seed: int):
-    """Counts of the paths of a depth whose first and last depth - 1 words are in the table of the depth before."""
+def lines(known_words: Callable[[], np.ndarray], coded: bool, seed: int):
+    """Numbers of the words of (lang, text), batch by batch, as rows of binary; one 0 stands for whatever is no frequent word.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, known, trie = table(), {}, _Trie(depth)
+    ``known_words`` are the frequent words' ids in order (``coded``: a word's number is its place from 1, of 32 bits), or a
+    table of bits of them (its number is its id).
+    """
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, known = known_words(), {}
         for batch in batches:
             flat = []
             for lang, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
@@ -139,11 +145,55 @@ def count_paths(depth: int, table: Callable[[], np.ndarray], seed: int):
                 flat.append(map(known[lang].__getitem__, tokens(text)))
                 flat.append((0,))
             line = np.fromiter(chain.from_iterable(flat), np.int64)
-            rows = extended(line, depth, bits)
-            if len(rows):
-                trie.add(rows)
+            rows = cut(squeezed(codes(line, table) if coded else frequent(line, table)))
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary())], ["line"])
             if sum(map(len, known.values())) > MOST_HELD:
                 known.clear()
+
+    return encode
+
+
+def codes(line: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """The places, from 1, of the ids among the ordered ones, or 0."""
+    if not len(ordered):
+        return np.zeros(len(line), np.int32)
+    at = np.minimum(np.searchsorted(ordered, line), len(ordered) - 1)
+    return np.where((line != 0) & (ordered[at] == line), at + 1, 0).astype(np.int32)
+
+
+def frequent(line: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The line with 0 for words that are not in the table of bits."""
+    return np.where((line != 0) & in_table(bits, node([line])), line, 0)
+
+
+def squeezed(line: np.ndarray) -> np.ndarray:
+    """The line with one 0 for a run of them."""
+    return line[(line != 0) | np.concatenate([[True], line[:-1] != 0])] if len(line) else line
+
+
+def cut(line: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows of about LINE ids, each of which ends with a 0."""
+    ends, start = np.flatnonzero(line == 0), 0
+    while start < len(line):
+        at = np.searchsorted(ends, start + LINE)
+        stop = int(ends[at]) + 1 if at < len(ends) else len(line)
+        yield line[start:stop]
+        start = stop
+
+
+def count_paths(depth: int, table: Callable[[], np.ndarray] | None, coded: bool):
+    """Counts of the paths of a depth, in lines, whose first and last depth - 1 words are in the table of the depth before.
+
+    Without a table all that stands between zeros counts.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, trie = table and table(), _Trie(depth)
+        for batch in batches:
+            line = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32 if coded else np.int64)
+            rows = extended(line.astype(np.int64), depth, bits)
+            if len(rows):
+                trie.add(rows)
             if len(trie.rows) > MOST_HELD:
                 yield from trie.flushed()
         yield from trie.flushed()
@@ -151,14 +201,15 @@ def count_paths(depth: int, table: Callable[[], np.ndarray], seed: int):
     return count
 
 
-def extended(line: np.ndarray, depth: int, bits: np.ndarray) -> np.ndarray:
+def extended(line: np.ndarray, depth: int, bits: np.ndarray | None) -> np.ndarray:
     """The paths of the depth along a line of ids (0: an end) whose two parts of depth - 1 are in the table."""
     n = len(line) - depth + 2
     if n < 2:
         return np.empty((0, depth), np.int64)
     columns = [line[k : k + n] for k in range(depth - 1)]
     sound = np.logical_and.reduce([c != 0 for c in columns])
-    at = np.flatnonzero(sound)
-    sound[at] = in_table(bits, node([c[at] for c in columns]))
+    if bits is not None:
+        at = np.flatnonzero(sound)
+        sound[at] = in_table(bits, node([c[at] for c in columns]))
     starts = np.flatnonzero(sound[:-1] & sound[1:])
     return line[starts[:, None] + np.arange(depth)]

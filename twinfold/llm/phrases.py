@@ -3,12 +3,12 @@
 A trie has a node for each run of words, with its count. It is built one depth at a time: each task counts the paths of a
 depth in its own share of the texts, as sorted arrays that it hands on whenever they grow beyond a bound; equal paths of all
 tasks are then merged by Spark's exchange. Paths are dealt out by a hash of the whole path, so that a frequent prefix is no
-hot range. A path is only counted where its first and its last depth - 1 words are frequent themselves (a phrase is no more
+hot range. Texts are read twice, to count words and to write their numbers, in lines of frequent words. A path is only counted where its first and its last depth - 1 words are frequent themselves (a phrase is no more
 frequent than its parts), which a table of bits tells: at most 2 ** FILTER_BITS of them (32 MB) whatever the corpus. Bits of
 several paths may fall together, so that some rare paths are counted in vain, and dropped by their exact counts.
 
 In the merged trie a phrase's left part is found on the walk to it, and its right part along suffix links: both are
-joins of paths with the nodes. Words are numbers in it, 64 bits hashed from language and word; if a frequent word shared
+joins of paths with the nodes. Words are numbers in it: 64 bits hashed from language and word, or, up to MOST_CODED frequent words, their places in order; if a frequent word shared
 its number with any other word, all would be numbered anew with another seed, so that counts are exact.
 
 Cut after its first k words, a phrase of count a scores floor(1000 a n / (l r)), n being all words of its language, l and r
@@ -22,6 +22,7 @@ phrases. A language without frequent phrases has no rows, and so has an empty ta
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ from twinfold.llm.frames import Scratch, col, small_batches
 
 LEAST, LONGEST, TOP, COVERED = 100, 5, 2000, 100
 FILTER_BITS = 28
+#: Frequent words up to which their ids are sent to all tasks (8 bytes each), and stand as places of 32 bits in what is written.
+MOST_CODED = 4_000_000
 #: Bits of one part of a table, as Spark's bitmaps have them.
 _PART = 32_768
 UNKNOWN = "und"
@@ -58,7 +61,7 @@ def table_of_bits(paths: DataFrame, depth: int, most_bits: int) -> np.ndarray:
     return table
 
 
-def trie(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, filter_bits: int = FILTER_BITS, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+def trie(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, filter_bits: int = FILTER_BITS, most_coded: int = MOST_CODED, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes: path and count f of all frequent paths; words: lang, word, id; totals: lang, n)."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -67,13 +70,26 @@ def trie(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", lea
     all_words = scratch.save(counted)
     words, seed = numbered(all_words, least, scratch)
     totals = scratch.save(all_words.groupBy("lang").agg(F.sum("n").alias("n")))
+    coded = words.count() <= most_coded
+    if coded:
+        ordered = np.sort(np.array([r["id"] for r in words.select("id").toLocalIterator()], np.int64))
+        sent = spark.sparkContext.broadcast(ordered)
+        place = F.arrow_udf(lambda ids: pa.array(phrase_batches.codes(ids.to_numpy(zero_copy_only=False), sent.value).astype(np.int64)), "bigint")
+        words = scratch.save(words.withColumn("id", place("id")))
+    else:
+        sent = spark.sparkContext.broadcast(table_of_bits(words.select(F.col("id").alias("w1")), 1, filter_bits))
     levels = [words.select(F.col("id").alias("w1"), "n")]
+    # the words' numbers are written once; later depths read no texts
+    lines = scratch.save(texts.mapInArrow(phrase_batches.lines(lambda: sent.value, coded, seed), "line binary"))
+    sent.destroy()
     for depth in range(2, longest + 1):
-        sent = spark.sparkContext.broadcast(table_of_bits(levels[-1], depth - 1, filter_bits))
+        bits = spark.sparkContext.broadcast(table_of_bits(levels[-1], depth - 1, filter_bits)) if depth > 2 else None
         names = phrase_batches.names(depth)
-        counts = texts.mapInArrow(phrase_batches.count_paths(depth, lambda sent=sent: sent.value, seed), ", ".join(f"{w} bigint" for w in names) + ", n bigint")
+        counts = lines.mapInArrow(phrase_batches.count_paths(depth, bits and (lambda bits=bits: bits.value), coded), ", ".join(f"{w} bigint" for w in names) + ", n bigint")
         levels.append(scratch.save(counts.groupBy(*names).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)))
-        sent.destroy()
+        if bits:
+            bits.destroy()
+    scratch.drop(lines)
     nodes = None
     for depth, level in enumerate(levels, 1):
         paths = level.select(F.array(*phrase_batches.names(depth)).alias("path"), F.col("n").alias("f"))
