@@ -9,7 +9,7 @@ from twinfold.cli import config_of, main, parser
 from twinfold.config import Deletion, Hashing, Scan, Unpacking, admitted
 from twinfold.operators import actions, match, report
 from twinfold.operators.store import Store
-from twinfold.plans import scan
+from twinfold.plans import catalogue, scan
 from twinfold.streaming import incremental
 
 
@@ -239,6 +239,28 @@ def test_counts_by_content_are_those_of_the_pairs(spark):
     assert sum(len(r["duplicates"]) for r in parts) == pairs.count() and {r["part"] for r in parts} == {0, 1}
 
 
+def test_parts_in_order(spark):
+    """In order, parts hold ranges of an archive's matches that grow with the part's number."""
+    hashed = spark.range(90).select(F.lit("h").alias("full_hash"), F.lit(None).cast("string").alias("quick_hash"), F.lit("f").alias("filename"), F.col("id").cast("string").alias("path_in_archive"), F.concat(F.lit("z"), F.col("id") % 2).alias("source_archive"), F.lit(5).cast("long").alias("size"), F.lit(False).alias("is_nested_archive"))
+    targets = spark.range(40).select(F.col("id").cast("string").alias("path"), F.lit(5).cast("long").alias("size"), F.lit("h").alias("full_hash"))
+    pairs = match.select_all(match.one_phase(targets, hashed), True)
+    found = match.nested_result(pairs, most=100, in_order=("path_in_archive", "target_path")).collect()
+    for archive in ("z0", "z1"):
+        parts = [[(x["source_file"]["path_in_archive"], x["target_path"]) for x in r["duplicates"]] for r in sorted(found, key=lambda r: r["part"]) if r["source_archive"] == archive]
+        assert max(map(len, parts)) <= 100 and len(parts) >= 18
+        assert [x for p in parts for x in sorted(p)] == sorted((str(f), str(t)) for f in range(90) if archive == f"z{f % 2}" for t in range(40))
+
+
+def test_nested_query_has_one_row_an_archive(spark, tmp_path):
+    """However many matches it has: 12,200 of src1 here, more than one part's."""
+    source = F.when(F.col("id") < 122, "src1").when(F.col("id") < 125, "src2").otherwise("src10")
+    spark.range(225).select(F.col("id").alias("doc_id"), source.alias("source"), F.lit("one text").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(130, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    line = lambda files: ",".join(f"src10/{t} d/{f}.txt {str(t != 130).lower()}" for f in sorted(files, key=lambda f: f"d/{f}.txt") for t in range(125, 225))
+    got = sorted(tuple(r) for r in catalogue.QUERIES["matches_nested"](spark, str(tmp_path)).collect())
+    assert got == [("src1", 0, line(range(122))), ("src2", 0, line(range(122, 125)))]
+
+
 def test_running_counters(spark, dirs):
     write_zip(dirs / "s" / "a.zip", {"one": b"1111", "two": b"2" * 2000})
     (dirs / "t" / "x").write_bytes(b"1111")

@@ -96,9 +96,18 @@ def file_counts(targets: DataFrame, files: DataFrame) -> DataFrame:
     return files.join(counts, ["full_hash", "size"]).select("source_archive", "size", "target_count")
 
 
-def nested_result(matches: DataFrame, most: int = 10_000) -> DataFrame:
-    """source_archive, part, duplicates: the matches of each archive as arrays of about ``most`` (one part, from 0, if that is all)."""
+def nested_result(matches: DataFrame, most: int = 10_000, *, in_order: tuple[str, ...] = ()) -> DataFrame:
+    """source_archive, part, duplicates: the matches of each archive as arrays of about ``most`` (one part, from 0, if that is all).
+
+    With columns ``in_order`` an archive's parts, of at most ``most`` matches, follow each other in these columns' order; their
+    numbers grow with it, but neither start at 0 nor are without gaps.
+    """
     rows = F.struct(F.struct(*SOURCE_COLUMNS).alias("source_file"), "target_path", "target_size", "selected")
-    parts = matches.groupBy("source_archive").agg(F.ceil(F.count("*") / most).alias("__parts"))
-    dealt = matches.join(parts, "source_archive").withColumn("part", F.pmod(F.xxhash64("target_path", "path_in_archive"), "__parts"))
+    if in_order:
+        keys = ["source_archive", *in_order]
+        # ids grow by task and by row within it, so that no part spans two tasks
+        dealt = matches.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.expr(f"monotonically_increasing_id() div {most}"))
+    else:
+        parts = matches.groupBy("source_archive").agg(F.ceil(F.count("*") / most).alias("__parts"))
+        dealt = matches.join(parts, "source_archive").withColumn("part", F.pmod(F.xxhash64("target_path", "path_in_archive"), "__parts"))
     return dealt.groupBy("source_archive", "part").agg(F.sort_array(F.collect_list(rows)).alias("duplicates"))
